@@ -1,0 +1,17 @@
+"""Local names inside one expression."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Catalyst does not share sub-expressions inside higher-order functions, so a value that the body
+    uses several times is bound as a lambda variable instead of being repeated.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
