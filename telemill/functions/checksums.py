@@ -1,13 +1,10 @@
-"""Checksum validators as Column expressions (all JVM-side)."""
+"""Checksum validators as SQL fragments over a string of digits."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from telemill.functions.let import let
+from telemill.functions.sqltext import let, lit, when
 
 # Published weights of the Australian identifier checksums.
 TFN_WEIGHTS = (1, 4, 3, 7, 5, 8, 6, 9, 10)
@@ -16,107 +13,95 @@ ACN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 1)
 MEDICARE_WEIGHTS = (1, 3, 7, 9, 1, 3, 7, 9)
 IHI_PREFIX = "800360"
 
+BLANK = r"\s"
+
 
-def digits_only(text: Column) -> Column:
+def digits_only(text: str) -> str:
     """ASCII digits of the text."""
-    return F.regexp_replace(text, "[^0-9]", "")
+    return f"regexp_replace({text}, '[^0-9]', '')"
 
 
-def count_digits(text: Column) -> Column:
+def count_digits(text: str) -> str:
     """Number of ASCII digits in the text."""
-    return F.length(digits_only(text))
+    return f"length({digits_only(text)})"
 
 
-def digit_at(digits: Column, position: int) -> Column:
+def digit_at(digits: str, position: int) -> str:
     """The digit at a 1-based position as an integer."""
-    return F.ascii(F.substring(digits, position, 1)) - F.lit(48)
+    return f"(ascii(substring({digits}, {position}, 1)) - 48)"
 
 
-def weighted_sum(digits: Column, weights: Sequence[int]) -> Column:
+def weighted_sum(digits: str, weights: Sequence[int]) -> str:
     """Sum of digit times weight, from the first digit on."""
-    total = F.lit(0)
-    for position, weight in enumerate(weights, start=1):
-        total = total + digit_at(digits, position) * F.lit(weight)
-    return total
+    return "(" + " + ".join(f"{digit_at(digits, i)} * {w}" for i, w in enumerate(weights, start=1)) + ")"
 
 
-def _all_digits(digits: Column, length: str) -> Column:
-    return F.coalesce(digits.rlike(f"^[0-9]{{{length}}}$"), F.lit(False))
+def all_digits(digits: str, length: str) -> str:
+    """Only ASCII digits, as many as the repetition says."""
+    return f"coalesce({digits} RLIKE '^[0-9]{{{length}}}$', false)"
 
 
-def luhn(digits: Column) -> Column:
+def luhn(digits: str) -> str:
     """Luhn check of a non-empty string of ASCII digits."""
-    return _all_digits(digits, "1,") & F.coalesce(F.luhn_check(digits), F.lit(False))
+    return f"({all_digits(digits, '1,')} AND coalesce(luhn_check({digits}), false))"
 
 
-def valid_tfn(digits: Column) -> Column:
+def valid_tfn(digits: str) -> str:
     """Tax file number; eight digits count as nine with a leading zero."""
-    return _all_digits(digits, "8,9") & let(
-        F.lpad(digits, 9, "0"), lambda d: weighted_sum(d, TFN_WEIGHTS) % 11 == 0
-    )
+    padded = let("tfn", f"lpad({digits}, 9, '0')", f"{weighted_sum('tfn', TFN_WEIGHTS)} % 11 = 0")
+    return f"({all_digits(digits, '8,9')} AND {padded})"
 
 
-def valid_abn(digits: Column) -> Column:
+def valid_abn(digits: str) -> str:
     """Australian business number: one is taken off the first digit before weighting."""
-    return _all_digits(digits, "11") & (
-        (weighted_sum(digits, ABN_WEIGHTS) - F.lit(ABN_WEIGHTS[0])) % 89 == 0
-    )
+    return f"({all_digits(digits, '11')} AND ({weighted_sum(digits, ABN_WEIGHTS)} - {ABN_WEIGHTS[0]}) % 89 = 0)"
 
 
-def valid_acn(digits: Column) -> Column:
+def valid_acn(digits: str) -> str:
     """Australian company number: the ninth digit complements the weighted sum."""
-    return _all_digits(digits, "9") & (
-        (weighted_sum(digits, ACN_WEIGHTS) + digit_at(digits, 9)) % 10 == 0
-    )
+    return f"({all_digits(digits, '9')} AND ({weighted_sum(digits, ACN_WEIGHTS)} + {digit_at(digits, 9)}) % 10 = 0)"
 
 
-def valid_medicare(digits: Column) -> Column:
+def valid_medicare(digits: str) -> str:
     """Medicare card number with check digit nine and a non-zero issue number."""
-    return F.coalesce(digits.rlike("^[2-6][0-9]{8}[1-9]$"), F.lit(False)) & (
-        weighted_sum(digits, MEDICARE_WEIGHTS) % 10 == digit_at(digits, 9)
+    return (
+        f"(coalesce({digits} RLIKE '^[2-6][0-9]{{8}}[1-9]$', false)"
+        f" AND {weighted_sum(digits, MEDICARE_WEIGHTS)} % 10 = {digit_at(digits, 9)})"
     )
 
 
-def valid_ihi(digits: Column) -> Column:
+def valid_ihi(digits: str) -> str:
     """Individual healthcare identifier: fixed prefix, sixteen digits, Luhn."""
-    return _all_digits(digits, "16") & digits.startswith(IHI_PREFIX) & luhn(digits)
+    return f"({all_digits(digits, '16')} AND startswith({digits}, {lit(IHI_PREFIX)}) AND {luhn(digits)})"
 
 
-def iban_valid(text: Column) -> Column:
+def iban_valid(text: str) -> str:
     """ISO 13616 mod-97 check of an IBAN, blanks ignored."""
-
-    def remainder(compact: Column) -> Column:
-        turned = F.concat(F.substring(compact, 5, 34), F.substring(compact, 1, 4))
-
-        def step(total: Column, char: Column) -> Column:
-            code = F.ascii(char)
-            return F.when(code < 58, (total * 10 + code - 48) % 97).otherwise((total * 100 + code - 55) % 97)
-
-        return F.aggregate(F.split(turned, "(?!^)(?!$)"), F.lit(0), step)
-
-    compact = F.upper(F.regexp_replace(text, r"\s", ""))
+    step = "IF(ascii(ch) < 58, (total * 10 + ascii(ch) - 48) % 97, (total * 100 + ascii(ch) - 55) % 97)"
+    turned = "concat(substring(iban, 5), substring(iban, 1, 4))"
+    remainder = f"aggregate(split({turned}, '(?!^)(?!$)'), 0, (total, ch) -> {step})"
     return let(
-        compact,
-        lambda c: F.when(F.coalesce(c.rlike("^[0-9A-Z]{15,34}$"), F.lit(False)), remainder(c) == 1).otherwise(F.lit(False)),
+        "iban",
+        f"upper(regexp_replace({text}, {lit(BLANK)}, ''))",
+        when([("iban RLIKE '^[0-9A-Z]{15,34}$'", f"{remainder} = 1")], "false"),
     )
 
 
-def card_network(digits: Column) -> Column:
+def card_network(digits: str) -> str:
     """Payment network by prefix and length; null when none fits."""
-    size = F.length(digits)
-    four = F.substring(digits, 1, 4)
-    two = F.substring(digits, 1, 2)
-    sixteen = size == 16
-    return (
-        F.when((F.substring(digits, 1, 1) == "4") & size.isin(13, 16, 19), "Visa")
-        .when(sixteen & (two.between("51", "55") | four.between("2221", "2720")), "Mastercard")
-        .when(sixteen & ((four == "6011") | (two == "65")), "Discover")
-        .when(sixteen & (two == "35"), "JCB")
-        .when((size == 15) & two.isin("34", "37"), "Amex")
-        .when(size.isin(14, 16) & (two.isin("36", "38") | (F.substring(digits, 1, 3) == "300")), "Diners")
+    size, two, four = f"length({digits})", f"substring({digits}, 1, 2)", f"substring({digits}, 1, 4)"
+    return when(
+        [
+            (f"startswith({digits}, '4') AND {size} IN (13, 16, 19)", "'Visa'"),
+            (f"{size} = 16 AND ({two} BETWEEN '51' AND '55' OR {four} BETWEEN '2221' AND '2720')", "'Mastercard'"),
+            (f"{size} = 16 AND ({four} = '6011' OR {two} = '65')", "'Discover'"),
+            (f"{size} = 16 AND {two} = '35'", "'JCB'"),
+            (f"{size} = 15 AND {two} IN ('34', '37')", "'Amex'"),
+            (f"{size} IN (14, 16) AND ({two} IN ('36', '38') OR startswith({digits}, '300'))", "'Diners'"),
+        ]
     )
 
 
-def valid_card(digits: Column) -> Column:
+def valid_card(digits: str) -> str:
     """13 to 19 digits that pass Luhn and belong to a known network."""
-    return _all_digits(digits, "13,19") & luhn(digits) & card_network(digits).isNotNull()
+    return f"({all_digits(digits, '13,19')} AND {luhn(digits)} AND {card_network(digits)} IS NOT NULL)"

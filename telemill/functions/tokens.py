@@ -1,102 +1,77 @@
-"""Replacement values: masks, hashes, keyed hashes and encryption tokens."""
+"""Replacement values as SQL fragments: masks, hashes, keyed hashes and encryption tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import hashlib
 
 from telemill.functions.checksums import digits_only
-from telemill.functions.let import let
+from telemill.functions.sqltext import let, lit
 
 HMAC_BLOCK = 64
 
 
-def sha256_token(text: Column) -> Column:
+def sha256_token(text: str) -> str:
     """``sha256:`` and the hex digest of the UTF-8 text."""
-    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+    return f"concat('sha256:', sha2({text}, 256))"
 
 
-def hmac_sha256_hex(text: Column, key: bytes) -> Column:
-    """RFC 2104 HMAC-SHA-256 as hex, built from two SHA-256 calls over padded key literals."""
-    import hashlib
-
+def hmac_sha256_hex(text: str, key: bytes) -> str:
+    """RFC 2104 HMAC-SHA-256 as hex: two SHA-256 calls over key literals padded on the driver."""
     block = hashlib.sha256(key).digest() if len(key) > HMAC_BLOCK else key
     block = block.ljust(HMAC_BLOCK, b"\0")
-    inner_pad = F.lit(bytearray(b ^ 0x36 for b in block))
-    outer_pad = F.lit(bytearray(b ^ 0x5C for b in block))
-    inner = F.unhex(F.sha2(F.concat(inner_pad, F.encode(text, "UTF-8")), 256))
-    return F.sha2(F.concat(outer_pad, inner), 256)
+    inner_pad = lit(bytes(b ^ 0x36 for b in block))
+    outer_pad = lit(bytes(b ^ 0x5C for b in block))
+    inner = f"unhex(sha2(concat({inner_pad}, encode({text}, 'UTF-8')), 256))"
+    return f"sha2(concat({outer_pad}, {inner}), 256)"
 
 
-def hmac_token(text: Column, key: bytes | None) -> Column:
+def hmac_token(text: str, key: bytes | None) -> str:
     """Keyed token; without a key of at least 32 bytes the plain SHA-256 token."""
     if key is None or len(key) < 32:
         return sha256_token(text)
-    return F.concat(F.lit("hmac-sha256:"), hmac_sha256_hex(text, key))
+    return f"concat('hmac-sha256:', {hmac_sha256_hex(text, key)})"
 
 
-def encrypt_token(text: Column, key: bytes | None) -> Column:
+def encrypt_token(text: str, key: bytes | None) -> str:
     """AES-256-GCM token ``enc:aesgcm:nonce:tag:ciphertext``; empty text without a 32-byte key."""
     if key is None or len(key) != 32:
-        return F.lit("")
-    sealed = F.aes_encrypt(F.encode(text, "UTF-8"), F.lit(bytearray(key)), F.lit("GCM"))
-
-    def layout(box: Column) -> Column:
-        size = F.octet_length(box)
-        return F.concat(
-            F.lit("enc:aesgcm:"),
-            F.base64(box.substr(F.lit(1), F.lit(12))),
-            F.lit(":"),
-            F.base64(box.substr(size - 15, F.lit(16))),
-            F.lit(":"),
-            F.base64(box.substr(F.lit(13), size - 28)),
-        )
-
-    return let(sealed, layout)
+        return "''"
+    sealed = f"aes_encrypt(encode({text}, 'UTF-8'), {lit(key)}, 'GCM')"
+    layout = (
+        "concat('enc:aesgcm:', base64(substring(box, 1, 12)), ':', "
+        "base64(substring(box, octet_length(box) - 15, 16)), ':', "
+        "base64(substring(box, 13, octet_length(box) - 28)))"
+    )
+    return let("box", sealed, layout)
 
 
-def decrypt_token(token: Column, key: bytes) -> Column:
+def decrypt_token(token: str, key: bytes) -> str:
     """Inverse of :func:`encrypt_token`."""
-    parts = F.split(token, ":")
-    sealed = F.concat(F.unbase64(parts[2]), F.unbase64(parts[4]), F.unbase64(parts[3]))
-    return F.decode(F.aes_decrypt(sealed, F.lit(bytearray(key)), F.lit("GCM")), "UTF-8")
+    parts = [f"unbase64(split({token}, ':')[{i}])" for i in (2, 4, 3)]
+    return f"decode(aes_decrypt(concat({', '.join(parts)}), {lit(key)}, 'GCM'), 'UTF-8')"
 
 
-def mask_middle(text: Column) -> Column:
+def mask_middle(text: str) -> str:
     """First two and last two characters stay; four or fewer become ``****``."""
-    size = F.length(text)
-    return F.when(size <= 4, F.lit("****")).otherwise(
-        F.concat(
-            text.substr(F.lit(1), F.lit(2)),
-            F.repeat(F.lit("*"), size - 4),
-            text.substr(size - 1, F.lit(2)),
-        )
+    return (
+        f"IF(length({text}) <= 4, '****', "
+        f"concat(left({text}, 2), repeat('*', length({text}) - 4), right({text}, 2)))"
     )
 
 
-def mask_email(text: Column) -> Column:
+def mask_email(text: str) -> str:
     """``a***@domain``."""
-    at = F.instr(text, "@")
-    return F.when(at > 1, F.concat(F.substring(text, 1, 1), F.lit("***"), text.substr(at, F.length(text)))).otherwise(
-        mask_middle(text)
-    )
+    at = f"instr({text}, '@')"
+    return f"IF({at} > 1, concat(left({text}, 1), '***', substring({text}, {at})), {mask_middle(text)})"
 
 
-def mask_card(text: Column) -> Column:
+def mask_card(text: str) -> str:
     """``****-****-****-`` and the last four digits."""
-    return let(
-        digits_only(text),
-        lambda d: F.when(F.length(d) >= 4, F.concat(F.lit("****-****-****-"), F.right(d, F.lit(4)))).otherwise(
-            mask_middle(text)
-        ),
-    )
+    masked = f"IF(length(ds) >= 4, concat('****-****-****-', right(ds, 4)), {mask_middle(text)})"
+    return let("ds", digits_only(text), masked)
 
 
-def mask_digits(text: Column) -> Column:
+def mask_digits(text: str) -> str:
     """Stars for all digits but the last four."""
-    return let(
-        digits_only(text),
-        lambda d: F.when(
-            F.length(d) >= 4, F.concat(F.repeat(F.lit("*"), F.length(d) - 4), F.right(d, F.lit(4)))
-        ).otherwise(mask_middle(text)),
-    )
+    masked = f"IF(length(ds) >= 4, concat(repeat('*', length(ds) - 4), right(ds, 4)), {mask_middle(text)})"
+    return let("ds", digits_only(text), masked)
