@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemill.operators.ordinals import running_sum
+
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """First row of every key; aggregated with map-side combine, so a hot key never sits in one task."""
@@ -42,34 +43,10 @@ def admit_by_capacity(
     partition: Sequence[str],
     order: Sequence[str] = ("received_at", "event_id"),
     size: str = "payload_bytes",
-    buckets: int = 256,
 ) -> DataFrame:
     """Adds ``running_bytes`` and ``admitted``: rows in order while the running size fits.
 
-    A ledger may hold most of the rows, so the running sum is built in two steps: ranges of the order
-    column get their own running sum, and the (few) range totals carry the offset. No task has to sort
-    a whole ledger. Capacity is cut as a prefix: nothing after the first row that does not fit.
+    Capacity is cut as a prefix: nothing after the first row that does not fit is admitted.
     """
-    first = order[0]
-    keys = list(partition)
-    edges = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(first).cast("double"), [i / buckets for i in range(1, buckets)], 10000).alias("_edges")
-    )
-    # One small row per ledger; joined by key, broadcast only if Spark measures it as small.
-    ranged = df.join(edges, keys).withColumn(
-        "_bucket", F.expr(f"size(filter(_edges, e -> e < cast({first} AS double)))")
-    ).drop("_edges")
-    totals = ranged.groupBy(*keys, "_bucket").agg(F.sum(size).alias("_total"))
-    before = totals.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_total").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).drop("_total")
-    window = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        ranged.join(before, [*keys, "_bucket"])
-        .withColumn("running_bytes", F.col("_before") + F.sum(size).over(window))
-        .withColumn("admitted", F.col("running_bytes") <= F.lit(max_bytes))
-        .drop("_bucket", "_before")
-    )
+    summed = running_sum(df, partition, order, size, "running_bytes")
+    return summed.withColumn("admitted", F.col("running_bytes") <= F.lit(max_bytes))

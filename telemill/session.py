@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REQUIRED_CONF = {
     # All timestamps are compared and printed in UTC.
@@ -22,13 +22,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, purpose: str) -> str:
-    """A folder below the cluster's shared checkpoint folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only when that is unset (tests on one
-    machine) a fresh local folder is used.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
+    fresh local folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="telemill-")
-    return f"{base.rstrip('/')}/{purpose}"
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telemill-")
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """The rows as written to the shared folder: later steps see the same rows in every use and after
+    the loss of an executor."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
