@@ -38,6 +38,16 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def once(value: str) -> str:
+    """``value`` in a form that the optimizer does not copy.
+
+    Filters and generators above a projection are pushed below it by copying the projected expression;
+    for a wide one that doubles the work, and along a chain of them the plan grows without bound. An
+    expression with a random part is never copied; the condition is always true.
+    """
+    return f"IF(rand(0) + 1D > 0D, {value}, NULL)"
+
+
 def when(cases: Iterable[tuple[str, str]], otherwise: str = "NULL") -> str:
     """``CASE`` over condition and value fragments."""
     arms = " ".join(f"WHEN {condition} THEN {value}" for condition, value in cases)

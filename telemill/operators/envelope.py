@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telemill import schema as S
 from telemill.functions.jsonread import parse_instant
-from telemill.functions.sqltext import let, lit, lits, struct, when
+from telemill.functions.sqltext import let, lit, lits, once, struct, when
 from telemill.functions.text import present
 
 # Read form: instants and enumerations as text, so that a bad one can be told from a missing one.
@@ -100,7 +100,7 @@ def decode_envelope(df: DataFrame, column: str = "json", output: str = "event",
     )
     ok = f"IF({column} IS NULL, NULL, {decoded})"
     return (
-        df.withColumn("_decoded", F.expr(ok))
+        df.withColumn("_decoded", F.expr(once(ok)))
         .withColumn(output, F.col("_decoded.event"))
         .withColumn(failure, F.col("_decoded.failure"))
         .drop("_decoded")

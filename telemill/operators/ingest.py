@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from telemill import schema as S
 from telemill.functions.fingerprint import event_fingerprint
-from telemill.functions.sqltext import let, lit, struct, when
+from telemill.functions.sqltext import let, lit, once, struct, when
 from telemill.operators import envelope, policy
 from telemill.operators.privacy import engine, jsonwalk
 from telemill.operators.privacy.detectors import Detector
@@ -156,7 +156,7 @@ def process(
 
     accepted = "event IS NOT NULL AND size(failures) = 0 AND _policy.action IN ('accept', 'redactAndAccept')"
     draft = judged.withColumn("_accepted", F.expr(accepted)).withColumn(
-        "_alert", F.expr(alert_sql("event", "redaction", who, now))
+        "_alert", F.expr(once(alert_sql("event", "redaction", who, now)))
     )
     # The alert is an event like any other: it needs a policy that accepts it.
     alerts = policy.evaluate_policies(draft, policies, "_alert", "_alert_policy")
@@ -171,11 +171,13 @@ def process(
     settled = alerts.withColumn(
         "alert",
         F.expr(
-            "IF(_alert_policy.action IN ('accept', 'redactAndAccept'), "
-            + with_fields("_alert", {"security": alert_security})
-            + ", NULL)"
+            once(
+                "IF(_alert_policy.action IN ('accept', 'redactAndAccept'), "
+                + with_fields("_alert", {"security": alert_security})
+                + ", NULL)"
+            )
         ),
-    ).withColumn("_arranged", F.expr(f"IF(_accepted, {arrange_sql('event', '_policy', 'redaction', who, now)}, event)"))
+    ).withColumn("_arranged", F.expr(once(f"IF(_accepted, {arrange_sql('event', '_policy', 'redaction', who, now)}, event)")))
 
     action = when(
         [

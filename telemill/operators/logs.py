@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.jsonread import ISO_DATE
-from telemill.functions.sqltext import let, lit, lits, struct, when
+from telemill.functions.sqltext import let, lit, lits, once, struct, when
 from telemill.functions.text import ascii_key
 
 MAX_FIELDS = 64
@@ -337,14 +337,14 @@ def parse_logs(df: DataFrame, config: LogConfig) -> DataFrame:
         records = let("doc", "try_parse_json(line)", f"IF(doc IS NULL, array(cast(NULL AS variant)), {documents})")
         exploded = lines.withColumn("_doc", F.explode(F.expr(records)))
         good = "try_variant_get(_doc, '$', 'map<string,variant>') IS NOT NULL"
-        parsed = exploded.withColumn("fields", F.expr(f"IF({good}, {flatten_json('_doc')}, NULL)")).drop("_doc")
+        parsed = exploded.withColumn("fields", F.expr(once(f"IF({good}, {flatten_json('_doc')}, NULL)"))).drop("_doc")
     elif config.format == "csv":
         body = lines.filter(~_is_header(df))
-        parsed = body.withColumn("fields", F.expr(csv_values("line", config)))
+        parsed = body.withColumn("fields", F.expr(once(csv_values("line", config))))
     elif config.format == "keyvalue":
-        parsed = lines.withColumn("fields", F.expr(key_values("line", config.separator)))
+        parsed = lines.withColumn("fields", F.expr(once(key_values("line", config.separator))))
     else:
-        parsed = lines.withColumn("fields", F.expr(regex_groups("line", config.pattern, config.groups)))
+        parsed = lines.withColumn("fields", F.expr(once(regex_groups("line", config.pattern, config.groups))))
     return parsed.withColumn("failure_code", F.when(F.col("fields").isNull(), f"not-{config.format}"))
 
 

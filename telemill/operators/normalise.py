@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions.fingerprint import RESULT_NAMES
 from telemill.functions.jsonread import child, jarray, jfirst, jnum, jstr, jtime
-from telemill.functions.sqltext import let, lit, lookup, struct, when
+from telemill.functions.sqltext import let, lit, lookup, once, struct, when
 from telemill.functions.text import contains_ci, truncate
 from telemill.operators.envelope import decode_envelope
 
@@ -274,7 +274,7 @@ def normalise(
         raise ValueError(f"unsupported source kind: {kind}")
     mapped = f"IF(bad IS NULL, cast({_event(mappers[kind]('doc', now))} AS {OCSF_EVENT}), NULL)"
     body = let("bad", _failure(column, "doc", "true"), _result(mapped, "bad", lit(kind)))
-    return df.withColumn(output, F.expr(let("doc", _document(column), body)))
+    return df.withColumn(output, F.expr(once(let("doc", _document(column), body))))
 
 
 def normalise_mixed(
@@ -291,4 +291,4 @@ def normalise_mixed(
     cases.append(("_event IS NOT NULL", f"cast({_envelope_event('_event')} AS {OCSF_EVENT})"))
     failure = f"coalesce({_failure(column, 'doc', known)}, _decode)"
     body = let("bad", failure, _result(f"IF(bad IS NULL, {when(cases)}, NULL)", "bad", kind_column))
-    return decoded.withColumn(output, F.expr(let("doc", _document(column), body))).drop("_text", "_event", "_decode")
+    return decoded.withColumn(output, F.expr(once(let("doc", _document(column), body)))).drop("_text", "_event", "_decode")

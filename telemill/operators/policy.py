@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.sqltext import let, lit, lits, struct, when
+from telemill.functions.sqltext import let, lit, lits, once, struct, when
 from telemill.functions.text import parse_decision, present
 
 # The built-in decision for events no policy names.
@@ -204,4 +204,4 @@ def evaluate_policies(
     df: DataFrame, policies: Sequence[TelemetryPolicy] = DEFAULT_POLICIES, event: str = "event", output: str = "decision"
 ) -> DataFrame:
     """Adds ``struct<action, policyId, policyVersion, policyHash, score, reasons, warnings>``."""
-    return df.withColumn(output, F.expr(f"IF({event} IS NULL, NULL, {decision_sql(event, policies)})"))
+    return df.withColumn(output, F.expr(once(f"IF({event} IS NULL, NULL, {decision_sql(event, policies)})")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions import tokens
-from telemill.functions.sqltext import let, lit, lits, lookup, struct, when
+from telemill.functions.sqltext import let, lit, lits, lookup, once, struct, when
 from telemill.operators.privacy import policy as pol
 from telemill.operators.privacy.detectors import Detector, builtin_detectors
 from telemill.operators.privacy.policy import PrivacyPolicy
@@ -240,7 +240,7 @@ def scan_text(
     """Adds ``_spans`` (resolved spans of ``column``); the building block of the operators below."""
     policy = policy or PrivacyPolicy()
     scannable = f"IF({text_failure(column)} IS NULL, {column}, NULL)"
-    return df.withColumn("_spans", F.expr(let("val", scannable, value_spans("val", policy, detectors))))
+    return df.withColumn("_spans", F.expr(once(let("val", scannable, value_spans("val", policy, detectors)))))
 
 
 def redact_text(
@@ -267,7 +267,7 @@ def redact_text(
             privacy=privacy_metadata("found"),
         ),
     )
-    return scan_text(df, column, policy, detectors).withColumn(output, F.expr(result)).drop("_spans")
+    return scan_text(df, column, policy, detectors).withColumn(output, F.expr(once(result))).drop("_spans")
 
 
 def find_sensitive(

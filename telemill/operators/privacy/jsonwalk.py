@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.sqltext import let, lit, lits, struct, when
+from telemill.functions.sqltext import let, lit, lits, once, struct, when
 from telemill.functions.text import field_key
 from telemill.operators.privacy import engine
 from telemill.operators.privacy import policy as pol
@@ -196,7 +196,7 @@ def redact_json(
     # An oversized text is never parsed.
     parsed = f"try_parse_json(IF(octet_length({column}) <= {engine.MAX_PAYLOAD_BYTES}, {column}, NULL))"
     scan = let("doc", parsed, let("failed", candidate_failure(column, "doc"), walked))
-    scanned = df.withColumn("_scan", F.expr(scan))
+    scanned = df.withColumn("_scan", F.expr(once(scan)))
 
     value_findings = f"flatten(transform(_scan.hits, h -> {engine.findings_of('h.spans', policy, detectors, path='h.path')}))"
     name_finding = struct(
@@ -239,4 +239,4 @@ def redact_json(
         masked_paths=engine.paths_with("_findings", pol.MASKING_ACTIONS),
         privacy=engine.privacy_metadata("_findings"),
     )
-    return rewritten.withColumn(output, F.expr(result)).drop("_scan", "_findings", "_edits", "_json")
+    return rewritten.withColumn(output, F.expr(once(result))).drop("_scan", "_findings", "_edits", "_json")

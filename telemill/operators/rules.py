@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.jsonread import child, jarray, jobject
-from telemill.functions.sqltext import let, lit, lits, struct
+from telemill.functions.sqltext import let, lit, lits, once, struct
 from telemill.functions.text import contains_ci
 
 # Recommended event ids and score weights.
@@ -59,7 +59,7 @@ def parse_rules(df: DataFrame, column: str = "raw") -> DataFrame:
         sources=f"cast(coalesce({as_list}, {as_groups}, array()) AS array<{SOURCE}>)",
         destinations=f"IF({jobject('doc', 'destinations')} IS NULL, {destinations}, {destination_groups})",
     )
-    return df.withColumn("_rule", F.expr(let("doc", f"try_parse_json({column})", parsed))).select(
+    return df.withColumn("_rule", F.expr(once(let("doc", f"try_parse_json({column})", parsed)))).select(
         *[c for c in df.columns if c != column], "_rule.*"
     )
 

@@ -235,7 +235,7 @@ ALERTS_SQL = f"""
       'Privacy engine applied controls for ' || n_removed || ' high-risk finding(s)' AS reason,
       CASE WHEN has_corr THEN 'c' || event_id ELSE 'event-' || event_id END AS correlation,
       'BWR-POL-PRIVACY-DETECT' AS policy_id,
-      CAST(40 + 30 + 10 + 5 + 5 * has_source::INT + 10 + 2 AS BIGINT) AS score,
+      CAST(least(100, 40 + 30 + 10 + 5 + 5 * has_source::INT + 10 + 2) AS BIGINT) AS score,
       worthy_ids AS detected, CASE event_type WHEN 'error' THEN 'authentication_failure' ELSE event_type END AS source_type
     FROM d WHERE decodes AND worthy
 """

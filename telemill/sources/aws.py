@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemill import schema as S
 from telemill.functions.jsonread import child, jarray, jfirst, jnum, jstr, jtime
-from telemill.functions.sqltext import let, lit, struct, when
+from telemill.functions.sqltext import let, lit, once, struct, when
 from telemill.functions.text import drop_nulls, instant_text, joined_parts, prefixed_id, truncate
 
 # Source kinds and the names used inside fingerprints.
@@ -73,7 +73,7 @@ def aws_limits(df: DataFrame, kind: str, options: AwsOptions, column: str = "raw
     document = f"IF(octet_length({column}) <= {limit}, try_parse_json({column}), NULL)"
     body = let("doc", document, let("recs", records_sql("doc", kind), struct(records="recs", failure=failure)))
     return (
-        df.withColumn("_aws", F.expr(body))
+        df.withColumn("_aws", F.expr(once(body)))
         .withColumn("failure_code", F.col("_aws.failure"))
         .withColumn("records", F.expr("IF(_aws.failure IS NULL, _aws.records, NULL)"))
         .drop("_aws")
@@ -231,5 +231,5 @@ def map_aws(df: DataFrame, kind: str, options: AwsOptions, observed: str, column
     if kind not in KIND_NAMES:
         raise ValueError(f"unknown AWS source kind: {kind}")
     return expand_aws(df, kind, options, column).withColumn(
-        "event", F.expr(aws_envelope(kind, options, "record", observed))
+        "event", F.expr(once(aws_envelope(kind, options, "record", observed)))
     )

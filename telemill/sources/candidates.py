@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.functions.sqltext import let, struct
+from telemill.functions.sqltext import let, once, struct
 from telemill.operators.privacy.engine import MAX_PAYLOAD_BYTES
 from telemill.operators.privacy.jsonwalk import candidate_failure
 
@@ -15,7 +15,7 @@ def with_candidate_status(df: DataFrame, column: str = "raw") -> DataFrame:
     document = f"try_parse_json(IF(octet_length({column}) <= {MAX_PAYLOAD_BYTES}, {column}, NULL))"
     checked = let("doc", document, struct(parsed="doc", failure=candidate_failure(column, "doc")))
     return (
-        df.withColumn("_c", F.expr(checked))
+        df.withColumn("_c", F.expr(once(checked)))
         .withColumn("failure_code", F.col("_c.failure"))
         .withColumn("parsed", F.expr("IF(_c.failure IS NULL, _c.parsed, NULL)"))
         .drop("_c")
