@@ -263,7 +263,7 @@ def with_lines(df: DataFrame) -> DataFrame:
     return df.filter(F.trim("line") != "")
 
 
-def _is_header(df: DataFrame) -> Column:
+def _is_header() -> Column:
     return F.col("line_no") == F.lit(0)
 
 
@@ -323,7 +323,7 @@ def config_for(inferred, headers: Sequence[str] = ()) -> LogConfig:
 
 def csv_headers(df: DataFrame, delimiter: str) -> DataFrame:
     """The distinct header rows (one, for files of one kind)."""
-    return with_lines(df).filter(_is_header(df)).select(F.expr(split_delimited("line", delimiter)).alias("headers")).distinct()
+    return with_lines(df).filter(_is_header()).select(F.expr(split_delimited("line", delimiter)).alias("headers")).distinct()
 
 
 def parse_logs(df: DataFrame, config: LogConfig) -> DataFrame:
@@ -339,7 +339,7 @@ def parse_logs(df: DataFrame, config: LogConfig) -> DataFrame:
         good = "try_variant_get(_doc, '$', 'map<string,variant>') IS NOT NULL"
         parsed = exploded.withColumn("fields", F.expr(once(f"IF({good}, {flatten_json('_doc')}, NULL)"))).drop("_doc")
     elif config.format == "csv":
-        body = lines.filter(~_is_header(df))
+        body = lines.filter(~_is_header())
         parsed = body.withColumn("fields", F.expr(once(csv_values("line", config))))
     elif config.format == "keyvalue":
         parsed = lines.withColumn("fields", F.expr(once(key_values("line", config.separator))))

@@ -1,54 +1,129 @@
-"""Stateful streaming: the delivery ledger and the collector fleet, micro-batch by micro-batch.
+"""Stateful streaming: the delivery ledger and the collector fleet.
 
-Both fold ordered moves into one row per key. On a stream the current rows live in a table; every
-micro-batch joins its moves with the rows of their keys only, folds them with the batch operators and
-writes the next version of the table. A replayed batch reads the same previous version, so it writes
-the same result.
+State is kept per key in Spark's state store, so a micro-batch costs as much as the keys it touches,
+not as much as the table. Moves of one key in one micro-batch are few; they are applied in ``seq``
+order by a small function. The batch operators ``ledger_apply`` and ``fold_from`` give the same states.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import namedtuple
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from telemill.operators.fleet import fold_from
-from telemill.operators.ledger import ledger_apply
+from telemill.operators.ledger import DEAD_LETTERED, DELIVERED, QUEUED, RETRYING, UPLOADING
 
+LEDGER_STATE = "state int, attempts int, lease_until timestamp, next_attempt_at timestamp, failure_code string"
+LEDGER_OUT = "event_id string, seq bigint, action string, accepted boolean, state int, attempts int, failure_code string"
 
-def versioned_state(spark: SparkSession, base: str, empty: DataFrame, version: int) -> DataFrame:
-    """State as of before micro-batch ``version``: the previous version's table, at first the given one."""
-    return empty if version == 0 else spark.read.schema(empty.schema).parquet(f"{base}/version={version - 1}")
+FLEET_STATE = "status string, principal string, version string, queue_depth bigint, delivery_status string, last_seen_at timestamp"
+FLEET_OUT = (
+    "collector_id string, seq bigint, kind string, outcome string, status string, version string, queue_depth bigint, "
+    "delivery_status string, last_seen_at timestamp"
+)
 
 
-def start_fold(
-    moves: DataFrame,
-    base: str,
-    initial: DataFrame,
-    fold: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-    checkpoint: str,
-    available_now: bool = False,
-) -> StreamingQuery:
-    """Runs ``fold(state, batch) -> state, errors`` per micro-batch over a versioned state table."""
-    spark = moves.sparkSession
+def _plain(value):
+    """None for the missing values of pandas, everything else unchanged."""
+    return None if value is None or (not isinstance(value, str) and pd.isna(value)) else value
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        state, errors = fold(versioned_state(spark, base, initial, batch_id), batch)
-        state.write.mode("overwrite").parquet(f"{base}/version={batch_id}")
-        errors.write.mode("overwrite").parquet(f"{base}_errors/version={batch_id}")
 
-    writer = moves.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def _in_order(frames: Iterator[pd.DataFrame]) -> list:
+    """The rows of one key by ``seq``; plain tuples, since a key has only a few."""
+    rows: list = []
+    for frame in frames:
+        row = namedtuple("Move", frame.columns)
+        rows.extend(map(row, *(frame[c].tolist() for c in frame.columns)))
+    return sorted(rows, key=lambda r: r.seq)
 
 
-def fold_ledger(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ledger rows and refused moves."""
-    return ledger_apply(state, batch)
+def _may_lease(state: tuple, at) -> bool:
+    number, _, lease_until, next_attempt_at, _ = state
+    if number == RETRYING:
+        return next_attempt_at is None or next_attempt_at <= at
+    return number == QUEUED or (number == UPLOADING and lease_until is not None and lease_until <= at)
 
 
-def fold_fleet(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Collector states ``collector_id, state`` and refused events."""
-    folded = fold_from(state, batch)
-    refused = folded.selectExpr("collector_id", "inline(filter(log, l -> l.outcome <> 'ok'))")
-    return folded.select("collector_id", "state"), refused
+def ledger_stream(moves: DataFrame) -> DataFrame:
+    """Outcome and resulting state of every move ``event_id, seq, action, at, lease_until,
+    next_attempt_at, failure_code, acknowledgement``. The action ``enqueue`` creates the row."""
+    results = {"delivered": DELIVERED, "retrying": RETRYING, "dead-lettered": DEAD_LETTERED}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state = tuple(_plain(v) for v in kept.get) if kept.exists else None
+        out = []
+        for row in _in_order(frames):
+            action, at = row.action, _plain(row.at)
+            new = None
+            if action == "enqueue" and state is None:
+                new = (QUEUED, 0, None, None, None)
+            elif action == "lease" and state is not None and _may_lease(state, at):
+                new = (UPLOADING, state[1] + 1, _plain(row.lease_until), state[3], state[4])
+            elif action in results and state is not None and state[0] == UPLOADING:
+                code = _plain(row.failure_code) if action != "delivered" else None
+                if action == "delivered" and _plain(row.acknowledgement) or code:
+                    new = (results[action], state[1], None, _plain(row.next_attempt_at) if action == "retrying" else None, code)
+            state = new or state
+            shown = state or (None, None, None, None, None)
+            out.append((key[0], row.seq, action, new is not None, shown[0], shown[1], shown[4]))
+        if state is not None:
+            kept.update(state)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER_OUT.split(", ")])
+
+    return moves.groupBy("event_id").applyInPandasWithState(step, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+_DECISIONS = {
+    # action: (statuses it may start from, status it has to lead to)
+    "approved": (("Pending",), "Approved"),
+    "rejected": (("Pending",), "Revoked"),
+    "suspended": (("Approved", "Active"), "Suspended"),
+    "revoked": (("Pending", "Approved", "Active", "Suspended"), "Revoked"),
+}
+
+
+def fleet_stream(events: DataFrame) -> DataFrame:
+    """Outcome and resulting state of every fleet event, as :func:`telemill.operators.fleet.fleet_fold`."""
+
+    def outcome(row, state: tuple | None) -> str:
+        if row.kind == "register":
+            return "identity-conflict" if state is not None and state[1] != row.principal else "ok"
+        if row.kind == "heartbeat":
+            if state is None or state[1] != row.principal:
+                return "unknown-collector"
+            return "state-conflict" if state[0] in ("Pending", "Suspended", "Revoked") else "ok"
+        if row.kind != "decide":
+            return "unknown-kind"
+        reason = _plain(row.reason) or ""
+        if not reason.strip() or len(reason) > 500:
+            return "reason-required"
+        if state is None:
+            return "unknown-collector"
+        sources, target = _DECISIONS.get(row.action, ((), None))
+        return "ok" if state[0] in sources and row.target_status == target else "state-conflict"
+
+    def moved(row, state: tuple | None) -> tuple:
+        if row.kind == "register":
+            old = state or ("Pending", None, None, 0, "unknown", None)
+            return (old[0], row.principal, _plain(row.version), old[3], old[4], row.at)
+        if row.kind == "heartbeat":
+            return ("Active", state[1], _plain(row.version), int(row.queue_depth), _plain(row.delivery_status), row.at)
+        return (row.target_status, *state[1:])
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state = tuple(_plain(v) for v in kept.get) if kept.exists else None
+        out = []
+        for row in _in_order(frames):
+            verdict = outcome(row, state)
+            if verdict == "ok":
+                state = moved(row, state)
+            status, _, version, depth, delivery, seen = state or (None,) * 6
+            out.append((key[0], row.seq, row.kind, verdict, status, version, depth, delivery, seen))
+        if state is not None:
+            kept.update(state)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLEET_OUT.split(", ")])
+
+    return events.groupBy("collector_id").applyInPandasWithState(step, FLEET_OUT, FLEET_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -30,6 +30,36 @@ def text(value) -> str:
     return str(value)
 
 
+def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    """A database with the tables as views."""
+    db = duckdb.connect()
+    for name in TABLES:
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return db
+
+
+def compare(spark: SparkSession, db, sf_dir: str, run, sql: str | None) -> tuple[str, str]:
+    """``ok``, ``rows`` (no oracle) or ``DIFF``, and a line about it."""
+    df = run(spark, sf_dir)
+    columns = sorted(df.columns)
+    ours = sorted(tuple(text(r[c]) for c in columns) for r in df.collect())
+    if sql is None:
+        return "rows", f"{len(ours)} rows"
+    cursor = db.execute(sql)
+    names = [d[0] for d in cursor.description]
+    if sorted(names) != columns:
+        return "DIFF", f"columns {columns} against {sorted(names)}"
+    place = [names.index(c) for c in columns]
+    theirs = sorted(tuple(text(r[i]) for i in place) for r in cursor.fetchall())
+    if ours == theirs:
+        return "ok", f"{len(ours)} rows"
+    left, right = set(ours), set(theirs)
+    return "DIFF", (
+        f"{len(ours)} against {len(theirs)} rows; {columns}\n   ours   {[r for r in ours if r not in right][:2]}"
+        f"\n   theirs {[r for r in theirs if r not in left][:2]}"
+    )
+
+
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = tuple(sys.argv[2:])
@@ -42,46 +72,17 @@ def main() -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    db = duckdb.connect()
-    for name in TABLES:
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    oracle, bad = entry.oracle_sql(), 0
+    db, oracle, bad = database(sf_dir), entry.oracle_sql(), 0
     for name, run in entry.queries().items():
         if prefixes and not name.startswith(prefixes):
             continue
         started = time.time()
         try:
-            df = run(spark, sf_dir)
-            columns = sorted(df.columns)
-            ours = sorted(tuple(text(r[c]) for c in columns) for r in df.collect())
+            verdict, line = compare(spark, db, sf_dir, run, oracle.get(name))
         except Exception as error:  # noqa: BLE001 - report and go on
-            bad += 1
-            print(f"FAIL  {name}: spark: {str(error)[:700]}", flush=True)
-            continue
-        took = time.time() - started
-        if name not in oracle:
-            print(f"rows  {name}: {len(ours)} rows, {took:.1f}s", flush=True)
-            continue
-        try:
-            cursor = db.execute(oracle[name])
-            names = [d[0] for d in cursor.description]
-            if sorted(names) != columns:
-                bad += 1
-                print(f"FAIL  {name}: columns {columns} against {sorted(names)}", flush=True)
-                continue
-            place = [names.index(c) for c in columns]
-            theirs = sorted(tuple(text(r[i]) for i in place) for r in cursor.fetchall())
-        except Exception as error:  # noqa: BLE001
-            bad += 1
-            print(f"FAIL  {name}: oracle: {str(error)[:500]}", flush=True)
-            continue
-        if ours == theirs:
-            print(f"ok    {name}: {len(ours)} rows, {took:.1f}s", flush=True)
-        else:
-            bad += 1
-            only_ours = [r for r in ours if r not in set(theirs)][:2]
-            only_theirs = [r for r in theirs if r not in set(ours)][:2]
-            print(f"DIFF  {name}: {len(ours)} against {len(theirs)} rows; {columns}\n   ours   {only_ours}\n   theirs {only_theirs}", flush=True)
+            verdict, line = "FAIL", str(error)[:700]
+        bad += verdict in ("DIFF", "FAIL")
+        print(f"{verdict:5} {name}: {line}, {time.time() - started:.1f}s", flush=True)
     print("bad:", bad)
     return 1 if bad else 0
 
