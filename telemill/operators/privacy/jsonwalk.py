@@ -18,6 +18,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from telemill.functions.sqltext import let, lit, lits, once, struct, when
 from telemill.functions.text import field_key
@@ -156,7 +157,7 @@ def put_edits(document: str | None, edits: str | None) -> str | None:
     return re.sub(r'"\\u0000([-+0-9.eE]+)\\u0000"', r"\1", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _put_edits(documents: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([put_edits(d, e) for d, e in zip(documents, edits)], dtype=object)
 
