@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemill.functions.jsonread import ISO_DATE
@@ -239,6 +240,12 @@ def key_values(line: str, separator: str) -> str:
     return let("ks", keys, f"IF(size(ks) < 2, NULL, {body})")
 
 
+def has_pairs(line: str, separator: str) -> str:
+    """Whether :func:`key_values` gives a map, without building it."""
+    usable = f"exists(ks, k -> {valid_name('k')} AND NOT {is_prohibited('k')})"
+    return let("ks", f"regexp_extract_all({line}, {lit(pair_pattern(separator))}, 1)", f"size(ks) >= 2 AND {usable}")
+
+
 def regex_groups(line: str, pattern: str, groups: Sequence[str]) -> str:
     """Map of the groups of a matching line; null without a match. Empty optional groups are left out."""
     fields = ", ".join(
@@ -275,21 +282,30 @@ def infer_log_format(df: DataFrame) -> DataFrame:
     widths are compared by their minimum and maximum, so that one aggregation with partial results
     decides everything. Line numbers start at 0 and line 0 of each file is its header.
     """
+    def width(delimiter: str) -> str:
+        # Only a line with quotes has to be taken apart to count its cells.
+        plain = f"length(line) - length(replace(line, {lit(delimiter)}, '')) + 1"
+        return f"IF(contains(line, '\"'), size({split_delimited('line', delimiter)}), {plain})"
+
+    def header(delimiter: str) -> str:
+        good = (
+            f"size(cells) BETWEEN 2 AND {MAX_FIELDS} AND forall(cells, c -> {valid_name('c')}) "
+            "AND size(array_distinct(cells)) = size(cells)"
+        )
+        return f"IF(line_no = 0, {let('cells', split_delimited('line', delimiter), good)}, true)"
+
     lines = with_lines(df)
     tests = {"json": "try_variant_get(try_parse_json(line), '$', 'map<string,variant>') IS NOT NULL"}
     aggregates = [F.count("*").alias("n"), F.expr(f"bool_and({tests['json']})").alias("json")]
-    for i, delimiter in enumerate(DELIMITERS):
-        cells = split_delimited("line", delimiter)
-        header = f"filter({cells}, c -> {valid_name('c')})"
-        good_header = f"size({cells}) BETWEEN 2 AND {MAX_FIELDS} AND size({header}) = size({cells}) AND size(array_distinct({cells})) = size({cells})"
+    for i, d in enumerate(DELIMITERS):
         aggregates += [
-            F.expr(f"min(size({cells}))").alias(f"min{i}"),
-            F.expr(f"max(size({cells}))").alias(f"max{i}"),
-            F.expr(f"bool_and(IF(line_no = 0, {good_header}, true))").alias(f"head{i}"),
+            F.expr(f"min({width(d)})").alias(f"min{i}"),
+            F.expr(f"max({width(d)})").alias(f"max{i}"),
+            F.expr(f"bool_and({header(d)})").alias(f"head{i}"),
         ]
     aggregates.append(F.expr("count_if(line_no > 0)").alias("data_lines"))
     for i, separator in enumerate(SEPARATORS):
-        aggregates.append(F.expr(f"bool_and({key_values('line', separator)} IS NOT NULL)").alias(f"kv{i}"))
+        aggregates.append(F.expr(f"bool_and({has_pairs('line', separator)})").alias(f"kv{i}"))
     for i, (pattern, _) in enumerate(LINE_PATTERNS.values()):
         aggregates.append(F.expr(f"bool_and(line RLIKE {lit(pattern)})").alias(f"rx{i}"))
     row = lines.agg(*aggregates)
@@ -354,9 +370,14 @@ def infer_schema(parsed: DataFrame) -> DataFrame:
     Types, presence and the field list come from one aggregation per name with partial results. At most
     64 fields are kept, in name order of their first line.
     """
-    records = parsed.filter("fields IS NOT NULL")
-    total = records.agg(F.count("*").alias("_records"))
-    cells = records.select("file", "line_no", F.posexplode("fields").alias("pos", "name", "value"))
+    # Every record adds a nameless cell, so that the records are counted in the same pass.
+    marked = (
+        "concat(array(named_struct('pos', -1, 'name', '', 'value', '')), "
+        "transform(map_entries(fields), (e, i) -> named_struct('pos', i, 'name', e.key, 'value', e.value)))"
+    )
+    cells = parsed.filter("fields IS NOT NULL").select("file", "line_no", F.explode(F.expr(marked)).alias("c")).select(
+        "file", "line_no", "c.*"
+    )
     kinds = {"ip": is_ip("value"), "dt": is_datetime("value"), "wn": is_whole_number("value"), "bo": is_boolean("value")}
     has_value = "trim(value) <> ''"
     per_name = cells.groupBy("name").agg(
@@ -375,11 +396,12 @@ def infer_schema(parsed: DataFrame) -> DataFrame:
         ],
         "'Text'",
     )
+    top = per_name.filter(f"NOT {is_prohibited('name')}").orderBy("_first", "name").limit(MAX_FIELDS + 1)
+    # At most 65 rows from here on, the first of them being the record count.
+    records = F.max(F.when(F.col("name") == "", F.col("_present"))).over(W.partitionBy(F.lit(1)))
     typed = (
-        per_name.filter(f"NOT {is_prohibited('name')}")
-        .orderBy("_first", "name")
-        .limit(MAX_FIELDS)
-        .crossJoin(total)  # one row
+        top.withColumn("_records", records)
+        .filter("name <> ''")
         .select("name", F.expr(kind).alias("type"), (F.col("_present") == F.col("_records")).alias("required"), "values")
     )
     return map_fields(typed)

@@ -176,7 +176,7 @@ def value_spans(text: str, policy: PrivacyPolicy, detectors: Sequence[Detector]
     for order, detector in active:
         spans, condition = detector_spans(text, detector, order, policy), may_match(text, detector, shapes)
         parts.append(f"IF({condition}, {spans}, {NO_SPANS})" if condition else spans)
-    found = let("known", known, f"concat({', '.join(parts)})")
+    found = let("known", known, f"flatten(array({', '.join(parts)}))")
     resolved = let("every", found, f"IF(size(every) <= 1, every, {resolve_overlaps('every')})")
     return f"IF({text} IS NULL OR {text} = '', {NO_SPANS}, {resolved})"
 

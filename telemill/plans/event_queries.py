@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemill.operators import detect, envelope, ingest, normalise, policy, quality
 from telemill.operators.privacy import jsonwalk
-from telemill.plans.inputs import CANDIDATE_CTE, NOW, candidates, numbered_events, spread, table
+from telemill.plans.inputs import CANDIDATE_CTE, NOW, candidates, numbered_events, table
 from telemill.sinks import lake
 from telemill.sources.candidates import with_candidate_status
 from telemill.streaming.ingest import burst_counts
@@ -27,7 +27,7 @@ POLICIES = (*policy.DEFAULT_POLICIES, SHOP_POLICY)
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate through the whole pipeline."""
-    return ingest.process(spread(candidates(spark, sf_dir)), COLLECTOR, NOW, POLICIES)
+    return ingest.process(candidates(spark, sf_dir), COLLECTOR, NOW, POLICIES)
 
 
 # ---- oracle pieces -------------------------------------------------------------------------------
@@ -111,7 +111,7 @@ CANDIDATE_STATUS_SQL = f"""
 
 def json_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths, detectors and the redacted note of every candidate."""
-    done = jsonwalk.redact_json(spread(candidates(spark, sf_dir)), "raw")
+    done = jsonwalk.redact_json(candidates(spark, sf_dir), "raw")
     return done.select(
         "event_id",
         F.coalesce("redaction.failure_code", F.lit("-")).alias("code"),

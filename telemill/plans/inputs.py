@@ -34,7 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the number inside ``props`` as ``k``."""
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     return events.withColumn("k", F.expr("cast(get_json_object(props, '$.k') AS bigint)"))
 
 
