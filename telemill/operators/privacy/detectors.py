@@ -185,13 +185,16 @@ def _whole_or_context(minimum: int, *words: str) -> Callable[[str, str, str], st
 # the same matches as the plain pattern, without re-scanning a long run from each of its characters.
 EMAIL_SCAN = r"(?:(?<![A-Za-z0-9._%+\-])|\G)" + PATTERNS["id.email"]
 
+# Shapes every match of some detectors implies: so many digits, at most one separator between two.
 DIGITS = r"[0-9]{2}[\s-]?[0-9]"
+EIGHT_DIGITS = r"[0-9](?:[\s-]?[0-9]){7}"
+NINE_DIGITS = r"[0-9](?:[\s-]?[0-9]){8}"
 TWO_DIGITS = "[0-9]{2}"
 
 _TRAITS = {
-    "au.tfn": dict(shape=DIGITS, groups=(1,), accept=_digits_pass(cs.valid_tfn)),
-    "au.crn": dict(shape=DIGITS, groups=(1,)),
-    "au.medicare": dict(shape=DIGITS, accept=_digits_pass(cs.valid_medicare)),
+    "au.tfn": dict(shape=EIGHT_DIGITS, groups=(1,), accept=_digits_pass(cs.valid_tfn)),
+    "au.crn": dict(shape=NINE_DIGITS, groups=(1,)),
+    "au.medicare": dict(shape=NINE_DIGITS, accept=_digits_pass(cs.valid_medicare)),
     "au.ihi": dict(words=(cs.IHI_PREFIX,), accept=_digits_pass(cs.valid_ihi)),
     "au.passport": dict(shape=DIGITS, groups=(1, 2), gate=lambda text: contains_any_word(text, "passport"), checked=False),
     "au.driver-licence": dict(
@@ -200,20 +203,20 @@ _TRAITS = {
         checked=False,
         sub_kind=licence_state,
     ),
-    "au.abn": dict(shape=DIGITS, accept=_digits_pass(cs.valid_abn)),
-    "au.acn": dict(shape=DIGITS, accept=_digits_pass(cs.valid_acn)),
-    "au.dva": dict(shape=DIGITS, groups=(1,), accept=_whole_or_context(6, "DVA", "Veteran"), checked=False),
+    "au.abn": dict(shape=NINE_DIGITS, accept=_digits_pass(cs.valid_abn)),
+    "au.acn": dict(shape=NINE_DIGITS, accept=_digits_pass(cs.valid_acn)),
+    "au.dva": dict(shape="(?i)[NQVSTW][A-Z]?[0-9]{4}", groups=(1,), accept=_whole_or_context(6, "DVA", "Veteran"), checked=False),
     "fin.credit-card": dict(
         shape="[0-9](?:[ -]*[0-9]){12}",
         accept=_digits_pass(cs.valid_card),
         sub_kind=lambda value: let("digits", cs.digits_only(value), cs.card_network("digits")),
     ),
-    "fin.bsb-account": dict(shape=DIGITS),
+    "fin.bsb-account": dict(shape=r"[0-9]{3}[-\s]?[0-9]{3}"),
     "fin.iban": dict(shape=TWO_DIGITS, accept=lambda value, whole, text: cs.iban_valid(value)),
     "fin.swift-bic": dict(shape="[A-Z]{6}[A-Z0-9]{2}"),
     "fin.payid": dict(words=("payid",), groups=(1,), checked=False),
     "id.email": dict(words=("@",), scan_pattern=EMAIL_SCAN),
-    "id.phone.au": dict(shape=DIGITS),
+    "id.phone.au": dict(shape=NINE_DIGITS),
     "id.phone.intl": dict(words=("+",), shape=DIGITS),
     "id.dob": dict(words=("dob", "birth", "born"), groups=(1,), checked=False),
     "id.address": dict(shape="[0-9]"),

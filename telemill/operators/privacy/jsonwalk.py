@@ -39,7 +39,7 @@ NO_BRACKETS = r"[^\[\]{}]+"
 
 STEPS = "array<string>"
 # One node of the walk: is its value an object, an array or a text?
-NODE = f"struct<path:string,steps:{STEPS},v:variant,obj:map<string,variant>,arr:array<variant>>"
+NODE = f"struct<path:string,steps:{STEPS},v:variant,obj:map<string,variant>,arr:array<variant>,secret:boolean>"
 LEAF = f"struct<path:string,steps:{STEPS},text:string>"
 SECRET = f"struct<path:string,steps:{STEPS}>"
 
@@ -92,14 +92,14 @@ def is_secret_name(name: str, names: Sequence[str] = SECRET_FIELD_NAMES) -> str:
 def walk(parsed: str, names: Sequence[str] | None, strict: bool = False) -> str:
     """``struct<leaves, secrets>`` of a parsed object."""
 
-    def node(path: str, step: str, value: str) -> str:
+    def node(path: str, step: str, value: str, secret: str = "false") -> str:
         return struct(
-            path=path, steps=f"concat(n.steps, array({step}))", v=value, obj=as_object(value), arr=as_array(value)
+            path=path, steps=f"concat(n.steps, array({step}))", v=value, obj=as_object(value), arr=as_array(value), secret=secret
         )
 
     members = (
         "transform(map_entries(n.obj), e -> "
-        + node("concat(n.path, '.', e.key)", "concat('k', e.key)", "e.value")
+        + node("concat(n.path, '.', e.key)", "concat('k', e.key)", "e.value", is_secret_name("e.key", names or ()))
         + ")"
     )
     elements = (
@@ -107,10 +107,8 @@ def walk(parsed: str, names: Sequence[str] | None, strict: bool = False) -> str:
         + node("concat(n.path, '[', cast(i AS string), ']')", "concat('i', cast(i AS string))", "x")
         + ")"
     )
-    secret = is_secret_name("substring(element_at(n.steps, -1), 2)", names or ())
-
     found = f"flatten(transform(state.open, n -> {members}))"
-    kept = f"filter(found, n -> NOT ({secret}))"
+    kept = "filter(found, n -> NOT n.secret)"
     items = f"flatten(transform(filter(kept, n -> n.arr IS NOT NULL), n -> {elements}))"
     if strict:
         for _ in range(4):
@@ -125,10 +123,10 @@ def walk(parsed: str, names: Sequence[str] | None, strict: bool = False) -> str:
     next_state = struct(
         open="filter(nodes, n -> n.obj IS NOT NULL)",
         leaves=f"concat(state.leaves, transform(filter(nodes, n -> {is_text}), n -> {leaf}))",
-        secrets=f"concat(state.secrets, transform(filter(found, n -> {secret}), n -> named_struct('path', n.path, 'steps', n.steps)))",
+        secrets=f"concat(state.secrets, transform(filter(found, n -> n.secret), n -> named_struct('path', n.path, 'steps', n.steps)))",
     )
     level = let("found", found, let("kept", kept, let("nodes", f"concat(kept, {items})", next_state)))
-    root = struct(path="'$'", steps=f"cast(array() AS {STEPS})", v=parsed, obj=as_object(parsed), arr=as_array(parsed))
+    root = struct(path="'$'", steps=f"cast(array() AS {STEPS})", v=parsed, obj=as_object(parsed), arr=as_array(parsed), secret="false")
     start = struct(open=f"array(cast({root} AS {NODE}))", leaves=empty(LEAF), secrets=empty(SECRET))
     return (
         f"aggregate(sequence(1, {MAX_DEPTH}), {start}, (state, lvl) -> IF(size(state.open) = 0, state, {level}), "

@@ -389,9 +389,29 @@ DETAILS_SQL = """
 """
 
 
+def current_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source rows of the last accepted report of every collector."""
+    report = "array(named_struct('source_id', concat('s', seq), 'type', 'file', 'status', 'ok', 'lag_seconds', seq, 'last_event_at', at))"
+    events = fleet_events(spark, sf_dir).withColumn("sources", F.expr(report))
+    return fleet.current_reports(fleet.fleet_state(fleet.fleet_fold(events)), events, "sources").select("collector_id", "source_id", "lag_seconds")
+
+
+REPORTS_SQL = f"WITH {FLEET_CTE}, q AS (SELECT collector_id, CASE WHEN again THEN 5 WHEN beat THEN 4 ELSE 1 END AS seq FROM fl) SELECT collector_id, 's' || seq AS source_id, CAST(seq AS BIGINT) AS lag_seconds FROM q"
+
+
+def total_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total payload bytes, for the capacity check."""
+    return ledger.ledger_bytes(ledger_of(spark, sf_dir))
+
+
+BYTES_SQL = f"WITH {L} SELECT CAST(sum(payload_bytes) AS BIGINT) AS total_bytes FROM l"
+
+
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
+        "current_reports": (current_reports, REPORTS_SQL),
+        "ledger_bytes": (total_bytes, BYTES_SQL),
         "ledger_snapshot": (snapshot, SNAPSHOT_SQL),
         "due_for_delivery": (due, DUE_SQL),
         "ledger_apply": (applied, APPLIED_SQL),

@@ -74,6 +74,22 @@ STREAM_DEDUPE_SQL = f"""
 """
 
 
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted events sent twice through the rules; one alert per rule and event."""
+    place = _place(spark, "alerts")
+    once = candidates(spark, sf_dir)
+    arriving = _as_stream(once.unionByName(once), place, files_per_trigger=8)
+    done = streaming.process_stream(arriving, event_queries.COLLECTOR, NOW, event_queries.POLICIES)
+    alerts = streaming.alert_stream(done, event_queries.RULES, "1 hour", NOW)
+    kept = _run(alerts.select("rule_id", "event_id"), place)
+    return kept.filter("rule_id <> 'off'").groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+
+
+STREAM_ALERTS_SQL = event_queries.DETECTIONS_SQL.rsplit("SELECT 'event-'", 1)[0] + """
+    SELECT rule_id, count(*) AS n, count(*) AS events FROM a WHERE accepted GROUP BY 1
+"""
+
+
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enqueue, lease and result moves of every order through keyed state."""
     place = _place(spark, "ledger")
@@ -140,6 +156,7 @@ def build() -> dict:
     return {
         "stream_ingest": (stream_ingest, STREAM_INGEST_SQL),
         "stream_dedupe": (stream_dedupe, STREAM_DEDUPE_SQL),
+        "stream_alerts": (stream_alerts, STREAM_ALERTS_SQL),
         "stream_ledger": (stream_ledger, STREAM_LEDGER_SQL),
         "stream_fleet": (stream_fleet, STREAM_FLEET_SQL),
         "sql_functions": (sql_functions, SQL_FUNCTIONS_SQL),

@@ -39,10 +39,11 @@ def pack_files(
     does, so however many rows a collector has, one fold sees one batch. The fold handles ids and
     sizes; payloads are joined back by position.
     """
-    ranked = running_sum(df.withColumn("_one", F.lit(1)), keys, order, "_one", "_pos").withColumn(
+    # Keys, order and sizes are ranked and packed; payloads are read once, for the last join.
+    slim = df.select(*keys, *order, (F.octet_length(payload) + 1).alias("_bytes"), F.lit(1).alias("_one"))
+    slim = running_sum(slim, keys, order, "_one", "_pos").withColumn(
         "batch_no", F.expr(f"cast((_pos - 1) div {batch} AS bigint)")
-    ).drop("_one")
-    slim = ranked.select(*keys, "batch_no", "_pos", (F.octet_length(payload) + 1).alias("_bytes"))
+    )
     grouped = slim.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list(F.struct("_pos", "_bytes"))).alias("_rows"))
     full = f"acc.used > 0 AND acc.used + r._bytes > {max_bytes}"
     step = struct(
@@ -54,7 +55,8 @@ def pack_files(
     packed = grouped.select(
         *keys, "batch_no", F.explode(F.expr(f"aggregate(_rows, {start}, (acc, r) -> {step}, acc -> acc.out)")).alias("p")
     ).select(*keys, "batch_no", "p.*")
-    return ranked.join(packed, [*keys, "batch_no", "_pos"])
+    placed = slim.drop("_bytes", "_one").join(packed, [*keys, "batch_no", "_pos"])
+    return df.join(placed, [*keys, *order])
 
 
 def write_spool(packed: DataFrame, path: str, keys: Sequence[str] = ("collector_id", "stream"), payload: str = "payload") -> None:
