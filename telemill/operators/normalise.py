@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.fingerprint import RESULT_NAMES
-from telemill.functions.jsonread import child, jarray, jfirst, jnum, jstr, jtime
+from telemill.functions.jsonread import jarray, jfirst, jnum, jstr, jtime
 from telemill.functions.sqltext import let, lit, lookup, once, struct, when
 from telemill.functions.text import contains_ci, truncate
 from telemill.operators.envelope import decode_envelope

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from telemill.operators import dedupe, detect, envelope, ingest, normalise, policy
 from telemill.sources import aws, hostlogs, incremental
