@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import simhash
+from telemill.llm import bpe, simhash
 from telemill.llm.common import table
 
 
@@ -17,8 +18,15 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encoded(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
         "op7_simhash": (simhash_near_duplicates, None),
+        "op9_bpe": (bpe_round_trip, None),
     }
