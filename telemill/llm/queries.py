@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, simhash
+from telemill.llm import bpe, decontaminate, simhash, warc
 from telemill.llm.common import table
+from telemill.session import shared_dir
 
 
 def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,24 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives in the shared folder and read back."""
+    out_dir = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), out_dir)
+    return warc.read(spark, out_dir, payloads=False).drop("payload", "url").withColumnRenamed("id", "page_id")
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every document occurs in benchmark items."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,6 +87,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
+        "op4_warc": (warc_archives, WARC_SQL),
         "op5_decontamination": (decontamination, DECONTAMINATION_SQL),
         "op7_simhash": (simhash_near_duplicates, None),
         "op9_bpe": (bpe_round_trip, None),
