@@ -66,7 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
     found = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    mark = None
+    # Links may be dear to find, so they are found once.
+    found, mark = saved(found.mapInArrow(_contract, _EDGE).distinct()), None
     while True:
         links = found.mapInArrow(_contract, _EDGE).distinct()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

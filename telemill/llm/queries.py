@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, simhash, warc
+from telemill.llm import bpe, decontaminate, simhash, toxicity, warc
 from telemill.llm.common import table
 from telemill.session import shared_dir
 
@@ -78,6 +78,16 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """.replace("\\\\", "\\")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a model fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +99,7 @@ def build() -> dict:
     return {
         "op4_warc": (warc_archives, WARC_SQL),
         "op5_decontamination": (decontamination, DECONTAMINATION_SQL),
+        "op6_toxicity": (toxicity_scores, None),
         "op7_simhash": (simhash_near_duplicates, None),
         "op9_bpe": (bpe_round_trip, None),
     }
