@@ -32,64 +32,77 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-def merge(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
+#: Pair positions that one bottom node of the tree covers.
+_BLOCK = 16
+#: Above every pair's value.
+_NONE = 1 << 50
+
+
+def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
     """Merges symbols until no adjacent pair has a rank, always the leftmost pair of the lowest rank.
 
-    A segment tree has one leaf per pair position with ``rank * size + position`` (or a value above all),
-    and in each node the smaller of its children, so the root is the next merge. A merge changes at most
-    three leaves, each in a logarithmic number of steps: n symbols take O(n log n).
+    ``pairs`` has ``rank << 24 | new symbol`` by ``left << 24 | right``. A segment tree holds that value and
+    the pair's position for each pair; a bottom node covers ``_BLOCK`` positions, every other node its two
+    children, and each knows its least entry, so the root is the next merge. A merge changes three entries,
+    each with the way to the root: n symbols take O(n log n). A word of one block has one node.
     """
     n = len(ids)
     if n < 2:
         return ids
-    depth = (n - 2).bit_length()
-    size = 1 << depth
-    none = 1 << 62
     get = pairs.get
-    tree = [none] * (2 * size)
-    for i in range(n - 1):
-        found = get(ids[i] << 24 | ids[i + 1])
-        if found:
-            tree[size + i] = found[0] << depth | i
+    values = [get(a << 24 | b, _NONE) for a, b in zip(ids, ids[1:])]
+    if n - 1 <= _BLOCK:
+        return _merge_block(ids, values, get)
+    depth = (n - 1).bit_length()
+    low, limit = (1 << depth) - 1, _NONE << depth
+    leaves = [v << depth | i for i, v in enumerate(values)]
+    blocks = [min(leaves[k : k + _BLOCK]) for k in range(0, n - 1, _BLOCK)]
+    size = 1 << (len(blocks) - 1).bit_length()
+    tree = [limit] * size + blocks + [limit] * (size - len(blocks))
     for node in range(size - 1, 0, -1):
-        a, b = tree[2 * node], tree[2 * node + 1]
-        tree[node] = a if a < b else b
+        tree[node] = min(tree[2 * node], tree[2 * node + 1])
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-
-    def put(i: int, value: int) -> None:
-        node = size + i
-        tree[node] = value
-        while node > 1:
-            other = tree[node ^ 1]
-            node >>= 1
-            if other < value:
-                value = other
-            if tree[node] == value:
-                return
-            tree[node] = value
-
-    while (best := tree[1]) < none:
-        i = best & (size - 1)
+    while (best := tree[1]) < limit:
+        i = best & low
         j = after[i]
-        ids[i] = get(ids[i] << 24 | ids[j])[1]
+        new = ids[i] = best >> depth & 0xFFFFFF
+        ids[j] = -1
         k = after[i] = after[j]
-        if j < n - 1:
-            put(j, none)
+        changed = {i // _BLOCK}
         if k >= 0:
             before[k] = i
-            found = get(ids[i] << 24 | ids[k])
-            put(i, found[0] << depth | i if found else none)
+            leaves[j] = limit
+            changed.add(j // _BLOCK)
+            leaves[i] = get(new << 24 | ids[k], _NONE) << depth | i
         else:
-            put(i, none)
+            leaves[i] = limit
         h = before[i]
         if h >= 0:
-            found = get(ids[h] << 24 | ids[i])
-            put(h, found[0] << depth | h if found else none)
-    out, i = [], 0
-    while i >= 0:
-        out.append(ids[i])
-        i = after[i]
-    return out
+            leaves[h] = get(ids[h] << 24 | new, _NONE) << depth | h
+            changed.add(h // _BLOCK)
+        for block in changed:
+            node, value = size + block, min(leaves[block * _BLOCK : (block + 1) * _BLOCK])
+            tree[node] = value
+            while node > 1:
+                value = min(value, tree[node ^ 1])
+                node >>= 1
+                if tree[node] == value:
+                    break
+                tree[node] = value
+    return [x for x in ids if x >= 0]
+
+
+def _merge_block(ids: list[int], values: list[int], get) -> list[int]:
+    """The merges of a word whose tree is one bottom node: its entries close up instead of being marked."""
+    while values and (best := min(values)) < _NONE:
+        i = values.index(best)
+        new = ids[i] = best & 0xFFFFFF
+        del ids[i + 1], values[i]
+        if i < len(values):
+            values[i] = get(new << 24 | ids[i + 1], _NONE)
+        if i:
+            values[i - 1] = get(ids[i - 1] << 24 | new, _NONE)
+    return ids
 
 
 class _Memory(dict):
@@ -124,7 +137,7 @@ class Encoder:
         self.pairs = {}
         for rank, (a, b) in enumerate(model["merges"]):
             # Of a pair that is listed twice the later rank counts.
-            self.pairs[vocab[a] << 24 | vocab[b]] = (rank, vocab[a + b])
+            self.pairs[vocab[a] << 24 | vocab[b]] = rank << 24 | vocab[a + b]
         letters = byte_letters()
         self.byte = {c: b for b, c in enumerate(letters)}
         self.library = Tokenizer.from_file(path)
@@ -134,6 +147,7 @@ class Encoder:
         self.words_of = regex.compile(split).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.mark = "<|"
+        self.assigned: set[str] = set()
         self.words = _Memory(self._word)
         self.pieces = _Memory(self._piece)
 
@@ -141,19 +155,28 @@ class Encoder:
         data = word.encode()
         return tuple(merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]], self.pairs))
 
+    def _assigned(self, piece: str) -> bool:
+        """Whether this Python's Unicode tables know all characters of a piece."""
+        known = {c for c in piece if unicodedata.category(c) != "Cn"}
+        self.assigned |= known
+        return known.issuperset(piece)
+
     def _newer(self, piece: str) -> list[str]:
         """Words of a piece with characters this Python's Unicode tables do not know: as the library splits it."""
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
         return [bytes(map(self.byte.__getitem__, word)).decode() for word, _ in split]
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
-            words = self._newer(piece)
-        else:
+        if piece.isascii():
+            words = self.words_of(piece.lower())
+        elif self.assigned.issuperset(piece) or self._assigned(piece):
             # The capital sigma is lowered without looking at its neighbours.
             words = self.words_of(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
-        ids = tuple(chain.from_iterable(self.words[w] for w in words))
-        return ids, " ".join([self.token[i] for i in ids])
+        else:
+            words = self._newer(piece)
+        known = self.words
+        ids = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable([known[w] for w in words]))
+        return ids, " ".join(map(self.token.__getitem__, ids))
 
     def _split(self, text: str) -> list[str]:
         return _SPACE.split(text) if _EXTRA.search(text) else text.split()
@@ -168,7 +191,7 @@ class Encoder:
                 else:
                     found += [x for x in map(self.pieces.__getitem__, self._split(part)) if x[0]]
         else:
-            found = [self.pieces[p] for p in self._split(text) if p]
+            found = [*map(self.pieces.__getitem__, filter(None, self._split(text)))]
         return [x[0] for x in found], " ".join([x[1] for x in found])
 
 
