@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, lines, simhash, toxicity, warc
+from telemill.llm import bpe, decontaminate, licenses, lines, simhash, toxicity, warc
 from telemill.llm.common import table
 from telemill.session import shared_dir
 
@@ -125,6 +125,11 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
@@ -134,4 +139,5 @@ def build() -> dict:
         "op7_simhash": (simhash_near_duplicates, None),
         "op8_line_dedup": (line_repeats, LINE_REPEATS_SQL),
         "op9_bpe": (bpe_round_trip, None),
+        "op10_license_scan": (license_scan, licenses.scan_sql()),
     }
