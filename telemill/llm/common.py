@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.session import configure, stable
+from telemill.session import configure, shared_dir, stable
 
 #: Bytes of text that one Python step holds at a time; a longer single text is a step of its own.
 STEP_BYTES = 8 << 20
@@ -47,3 +49,10 @@ def utf8(column: pa.Array) -> list[bytes]:
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text``: the two columns an operator reads, under its own names."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: like :func:`saved`, and Spark knows its size for joins."""
+    path = f"{shared_dir(df.sparkSession)}/telemill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, licenses, lines, simhash, toxicity, warc
+from telemill.llm import bpe, decontaminate, html, licenses, lines, simhash, toxicity, warc
 from telemill.llm.common import table
 from telemill.session import shared_dir
 
@@ -21,6 +21,12 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives in the shared folder and read back."""
     out_dir = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -133,6 +139,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
+        "op3_html_text": (page_texts, None),
         "op4_warc": (warc_archives, WARC_SQL),
         "op5_decontamination": (decontamination, DECONTAMINATION_SQL),
         "op6_toxicity": (toxicity_scores, None),
