@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, html, licenses, lines, simhash, toxicity, warc
+from telemill.llm import bpe, decontaminate, embeddings, html, licenses, lines, simhash, toxicity, warc
 from telemill.llm.common import table
 from telemill.session import shared_dir
 
@@ -21,6 +21,36 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm
+  FROM embeddings
+),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(embedding) > 0 AND norm > 0 AND isfinite(norm)
+    AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+),
+e AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.embedding) = len(b.embedding)
+    AND list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (a.norm * b.norm) >= 0.98
+),
+r AS (
+  SELECT vec_id, vec_id AS root FROM embeddings
+  UNION
+  SELECT e.v, r.root FROM r JOIN e ON e.u = r.vec_id WHERE r.root < e.v
+),
+n AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
+SELECT vec_id, coalesce(any_value(n_links), 0) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept
+FROM r LEFT JOIN n ON n.u = r.vec_id GROUP BY vec_id
+"""
+
+
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
@@ -139,6 +169,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
+        "op2_embedding_dedup": (embedding_near_duplicates, EMBEDDING_SQL),
         "op3_html_text": (page_texts, None),
         "op4_warc": (warc_archives, WARC_SQL),
         "op5_decontamination": (decontamination, DECONTAMINATION_SQL),
