@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, embeddings, html, licenses, lines, simhash, toxicity, warc
+from telemill.llm import bpe, decontaminate, embeddings, html, licenses, lines, simhash, suffixes, toxicity, warc
 from telemill.llm.common import table
 from telemill.session import shared_dir
 
@@ -21,6 +22,15 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 100 bytes take from every document."""
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -169,6 +179,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
+        "op1_suffix_dedup": (substring_repeats, None),
         "op2_embedding_dedup": (embedding_near_duplicates, EMBEDDING_SQL),
         "op3_html_text": (page_texts, None),
         "op4_warc": (warc_archives, WARC_SQL),
@@ -178,4 +189,5 @@ def build() -> dict:
         "op8_line_dedup": (line_repeats, LINE_REPEATS_SQL),
         "op9_bpe": (bpe_round_trip, None),
         "op10_license_scan": (license_scan, licenses.scan_sql()),
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }

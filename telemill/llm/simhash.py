@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.common import keyed, saved, steps, utf8
+from telemill.llm.common import keyed, saved, steps, utf8, written
 from telemill.llm.components import components
 
 BITS = 64
@@ -122,5 +122,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     found = near_duplicates(df, id_col, text_col, words, distance)
     # No loss may follow from a null id, so the ids to remove are looked up, not those to keep.
-    gone = found.where("component_id <> id").select(F.col("id").alias("_gone")).distinct()
+    # They are written, so that Spark knows their size: texts are shuffled only if they are many.
+    gone = written(found.where("component_id <> id").select(F.col("id").alias("_gone")).distinct())
     return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
