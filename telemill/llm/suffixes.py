@@ -20,7 +20,9 @@ LENGTH = 100
 #: Bytes of the piece that names a string's group: the least of its pieces by hash.
 PIECE = 32
 #: Bytes of text one suffix array is built on, about.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
+#: Bytes of text that are hashed at a time; a place takes some 60 bytes of memory.
+HASH_BYTES = 1 << 20
 #: Groups of more texts are dealt further, by the ends of their strings.
 GROUP_UNITS = 4096
 
@@ -187,12 +189,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tup
     """The texts of ``id, text`` in steps of bounded size; a long text in pieces that overlap by a string."""
     step, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, column in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = column.as_py()
             if doc is None or text is None or len(text) < length:
                 continue
-            for at in range(0, len(text) - length + 1, STEP_BYTES):
-                part = text[at : at + STEP_BYTES + length - 1]
-                if step and size + len(part) > STEP_BYTES:
+            for at in range(0, len(text) - length + 1, HASH_BYTES):
+                part = text[at : at + HASH_BYTES + length - 1]
+                if step and size + len(part) > HASH_BYTES:
                     yield step
                     step, size = [], 0
                 step.append((doc, at, part))
@@ -206,8 +209,19 @@ _UNITS = "bucket int, groups binary, digests binary, ids binary, starts binary,
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     """The units of each step, packed by bucket of their group; of equal units of a step the rest go to bucket -1."""
-    for step in _pieces(batches, length):
-        group, digest, ids, start, count = units(step, length)
+
+    def found() -> Iterator[tuple[np.ndarray, ...]]:
+        held, size = [], 0
+        for step in _pieces(batches, length):
+            held.append(units(step, length))
+            size += sum(len(p[2]) for p in step)
+            if size >= STEP_BYTES:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    for group, digest, ids, start, count in found():
         bucket = ((group >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         small = (group & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         order = np.lexsort((start, ids, digest, small, bucket))
@@ -217,14 +231,14 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Itera
         bucket[again] = -1
         order = np.argsort(bucket, kind="stable")
         bucket, small, digest, ids, start, count = (x[order] for x in (bucket, small, digest, ids, start, count))
-        found, first = np.unique(bucket, return_index=True)
+        present, first = np.unique(bucket, return_index=True)
         bounds = [*first.tolist(), len(bucket)]
         columns = [
             [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             for x in (small, digest, ids, start, count.astype(np.uint8))
         ]
         # Steps number the pieces that are removed already, so that they do not meet in one place.
-        key = np.where(found < 0, -1 - int(digest[0] % np.uint64(buckets)), found).astype(np.int32)
+        key = np.where(present < 0, -1 - int(digest[0] % np.uint64(buckets)), present).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c, pa.binary()) for c in columns)], _UNITS.replace(" int", "").replace(" binary", "").split(", "))
 
 
@@ -233,7 +247,7 @@ _RANGES = "id long, start long, count long, kind int, part long"
 REMOVED, COMPARE, DEAL = 0, 1, 2
 
 
-def _settle(frame: pd.DataFrame) -> pd.DataFrame:
+def _settle(frame: pd.DataFrame, group_units: int) -> pd.DataFrame:
     """Of one bucket's units: which are later copies, and which differ from others of their group."""
     bucket = int(frame.bucket.iloc[0])
     small, digest, ids, start, count = (
@@ -249,7 +263,7 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
         first = new_group | np.r_[True, digest[1:] != digest[:-1]]
         number = np.cumsum(new_group) - 1
         distinct = np.bincount(number, weights=first)[number]
-        kind = np.where(~first, REMOVED, np.where(distinct > GROUP_UNITS, DEAL, COMPARE)).astype(np.int32)
+        kind = np.where(~first, REMOVED, np.where(distinct > group_units, DEAL, COMPARE)).astype(np.int32)
         keep = ~first | (distinct > 1)
         part = (np.int64(bucket) << 32 | small.astype(np.int64))[keep]
         ids, start, count, kind = ids[keep], start[keep], count[keep], kind[keep]
@@ -318,7 +332,9 @@ def packed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, "id long, packed binary")
 
 
-def later_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def later_strings(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_units: int = GROUP_UNITS
+) -> DataFrame:
     """``id, start, count``: ranges of offsets (UTF-8 bytes) where a string of ``length`` bytes starts again.
 
     1. Every string of ``length`` bytes belongs to the group of its least 32-byte piece (by hash), so equal
@@ -329,14 +345,14 @@ def later_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        buckets of about ``ARRAY_BYTES``; each gets a suffix array by the difference-cover algorithm, and
        neighbours that agree in ``length`` bytes are equal strings, of which the earliest stays.
 
-    A group of more than ``GROUP_UNITS`` different units is dealt further by the first and last bytes of its
+    A group of more than ``group_units`` different units is dealt further by the first and last bytes of its
     strings, so that no bucket is unbounded. Both steps are exact but for digests of 64 bits within a group.
     """
     spark = df.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     dealt = slim.mapInArrow(lambda batches: _deal(batches, buckets, length), _UNITS)
-    settled = written(dealt.groupBy("bucket").applyInPandas(_settle, _RANGES))
+    settled = written(dealt.groupBy("bucket").applyInPandas(lambda frame: _settle(frame, group_units), _RANGES))
     open_ = settled.where(F.col("kind") != REMOVED)
     sums = open_.agg(F.sum(F.when(F.col("kind") == COMPARE, F.col("count") + length).otherwise(F.col("count") * length))).first()
     arrays = max(1, math.ceil((sums[0] or 0) / ARRAY_BYTES))
@@ -348,7 +364,9 @@ def later_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return settled.where(F.col("kind") == REMOVED).select("id", "start", "count").unionByName(written(compared))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_units: int = GROUP_UNITS
+) -> DataFrame:
     """``id, n_bytes, spans, kept``: for each row its size, the removed byte spans and the bytes that stay.
 
     A byte is removed if a string of ``length`` bytes over it also starts earlier: in a document of a smaller
@@ -357,7 +375,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     loses bytes nor counts as an earlier place. Rows that share an id count as one document: their offsets
     lie over each other and each loses the spans of all. An empty table gives no row.
     """
-    found = later_strings(df, id_col, text_col, length)
+    found = later_strings(df, id_col, text_col, length, group_units)
     spans = found.groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
     joined = packed_texts(df, id_col, text_col).join(spans, "id", "left").select("id", "packed", "ranges")
 
