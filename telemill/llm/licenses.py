@@ -95,7 +95,7 @@ def scan(
     """
     known = templates(df.sparkSession, notices)
     rows = known.select("width", "needed").collect()
-    hashes, widths = sorted({h for r in rows for h in r.needed}), sorted({r.width for r in rows})
+    hashes, widths = sorted({h for r in rows for h in r.needed}), sorted({r.width for r in rows} or {8})
 
     def found_in(words: Column) -> Column:
         n = F.size(words)
