@@ -25,7 +25,7 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: Weight of the squared size of the coefficients, and of squared changes of the score under swaps.
 RIDGE, COUNTERFACTUAL = 0.3, 10.0
 #: Words whose features a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 # Groups of terms that name people; a swap puts another term of the same group in place.
 IDENTITY_GROUPS = (
