@@ -14,11 +14,14 @@ from telemill.session import configure, shared_dir, stable
 
 #: Bytes of text that one Python step holds at a time; a longer single text is a step of its own.
 STEP_BYTES = 8 << 20
+#: Rows that Spark hands to Python at a time. Rows are whole texts, so Spark's 10,000 would fill its buffers.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

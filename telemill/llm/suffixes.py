@@ -277,7 +277,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     """The bytes of the ranges of each text; strings of crowded groups one by one, under a part of their own."""
     unpack = zstandard.ZstdDecompressor().decompress
     tail = length - 1
-    for batch in batches:
+    for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
         rows: list[tuple] = []
         size = 0
         for doc, packed, ranges in zip(*(c.to_pylist() for c in batch.columns)):
@@ -383,8 +383,8 @@ def remove_repeats(
         unpack = zstandard.ZstdDecompressor().decompress
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
                 sizes, out, kept = [], [], []
                 for packed, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     text = unpack(packed)
