@@ -7,7 +7,11 @@ Fragments take and return SQL text; a column name is SQL text too.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Iterable, Mapping
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
 
 
 def lit(value: str | int | float | bool | bytes | None) -> str:
@@ -38,12 +42,24 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def once(value: str) -> str:
-    """``value`` in a form that the optimizer does not copy.
+def once(df: DataFrame, name: str, value: str) -> DataFrame:
+    """``df`` with the fragment ``value`` as column ``name``, in a form that the optimizer does not copy.
 
-    Filters and generators above a projection are pushed below it by copying the projected expression;
-    for a wide one that doubles the work, and along a chain of them the plan grows without bound. An
-    expression with a random part is never copied; the condition is always true.
+    Filters and generators above a projection are pushed below it by copying the projected expression; for
+    a wide one that doubles the work, and along a chain of them the plan grows without bound. The result of
+    a generator is never copied, while filters on the other columns pass it and reach the scan.
+    """
+    from pyspark.sql import functions as F
+
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(F.expr(value))).alias(name))
+
+
+def opaque(value: str) -> str:
+    """``value`` as an expression that is not copied: for arrays that are exploded next.
+
+    Spark 4.1 loses nested columns where a generator stands on another one, so :func:`once` cannot be used
+    there. No filter passes such a projection.
     """
     return f"IF(rand(0) + 1D > 0D, {value}, NULL)"
 
@@ -62,10 +78,3 @@ def lookup(key: str, table: Mapping[str, str], otherwise: str) -> str:
 def struct(**fields: str) -> str:
     """``named_struct`` of fragments."""
     return "named_struct(" + ", ".join(f"{lit(name)}, {value}" for name, value in fields.items()) + ")"
-
-
-def apply(fragment: Callable[..., str], *columns: str):
-    """A fragment over named columns as a Column."""
-    from pyspark.sql import functions as F
-
-    return F.expr(fragment(*columns))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +12,15 @@ from telemill.operators.ordinals import running_sum
 
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """First row of every key; aggregated with map-side combine, so a hot key never sits in one task."""
+    """First row of every key; aggregated with map-side combine, so a hot key never sits in one task.
+
+    A null key is no key: its rows all stay.
+    """
     columns = df.columns
     row = F.struct(*columns)
     rank = F.struct(*order)
-    return df.groupBy(key).agg(F.min_by(row, rank).alias("_row")).select("_row.*").select(*columns)
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, rank).alias("_row"))
+    return first.select("_row.*").select(*columns).unionByName(df.where(F.col(key).isNull()))
 
 
 def dedupe_first(
@@ -46,7 +51,47 @@ def admit_by_capacity(
 ) -> DataFrame:
     """Adds ``running_bytes`` and ``admitted``: rows in order while the running size fits.
 
-    Capacity is cut as a prefix: nothing after the first row that does not fit is admitted.
+    Capacity is cut as a prefix: nothing after the first row that does not fit is admitted. This needs no
+    state; :func:`admit_skipping` refuses single rows and goes on.
     """
     summed = running_sum(df, partition, order, size, "running_bytes")
     return summed.withColumn("admitted", F.col("running_bytes") <= F.lit(max_bytes))
+
+
+def admit_skipping(
+    df: DataFrame,
+    max_bytes: int,
+    partition: Sequence[str],
+    order: Sequence[str] = ("received_at", "event_id"),
+    size: str = "payload_bytes",
+) -> DataFrame:
+    """Adds ``admitted_bytes`` and ``admitted``: each row in order that still fits what was admitted before.
+
+    A row that does not fit is refused and later, smaller ones may fit. The decision needs all earlier ones,
+    so each group is read in order, one row at a time, with one number kept; a null size is none, a null
+    key is a group like any other. Rows of one ledger are bounded by its capacity, not by this function.
+    """
+    columns, schema = df.columns, f"{_ddl(df)}, admitted_bytes long, admitted boolean"
+    place = {c: columns.index(c) for c in (*partition, size)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used = None, 0
+        for batch in batches:
+            keys = zip(*(batch.column(place[c]).to_pylist() for c in partition))
+            sums, fits = [], []
+            for key, own in zip(keys, batch.column(place[size]).to_pylist()):
+                if key != group:
+                    group, used = key, 0
+                fit = used + (own or 0) <= max_bytes
+                used += (own or 0) if fit else 0
+                sums.append(used)
+                fits.append(fit)
+            extra = [pa.array(sums, pa.int64()), pa.array(fits, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*columns, "admitted_bytes", "admitted"])
+
+    dealt = df.repartition(*partition).sortWithinPartitions(*partition, *order)
+    return dealt.mapInArrow(run, schema)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

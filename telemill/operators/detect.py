@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.fingerprint import RESULT_NAMES
-from telemill.functions.sqltext import let, lit, lits, lookup, once, struct, when
+from telemill.functions.sqltext import let, lit, lits, lookup, opaque, struct, when
 
 # The named fields a rule can look at, in lookup order.
 HAYSTACK_FIELDS = {
@@ -221,7 +221,7 @@ def detect(
             for r in active
         )
         active_sql = let("lbl", lowered_labels(event), f"array({items})")
-    fired = df.withColumn("_hits", F.expr(once(f"filter({active_sql}, r -> r.hit.fired)"))).withColumn("_hit", F.explode("_hits"))
+    fired = df.withColumn("_hits", F.expr(opaque(f"filter({active_sql}, r -> r.hit.fired)"))).withColumn("_hit", F.explode("_hits"))
     e = event
     return fired.select(
         F.expr(f"concat('alert-', left(sha2(concat_ws(':', _hit.rule_id, {e}.eventId, _hit.hash), 256), 32))").alias("alert_id"),

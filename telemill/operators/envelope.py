@@ -100,7 +100,7 @@ def decode_envelope(df: DataFrame, column: str = "json", output: str = "event",
     )
     ok = f"IF({column} IS NULL, NULL, {decoded})"
     return (
-        df.withColumn("_decoded", F.expr(once(ok)))
+        df.transform(once, "_decoded", ok)
         .withColumn(output, F.col("_decoded.event"))
         .withColumn(failure, F.col("_decoded.failure"))
         .drop("_decoded")

@@ -155,9 +155,7 @@ def process(
     judged = policy.evaluate_policies(checked, policies, "event", "_policy")
 
     accepted = "event IS NOT NULL AND size(failures) = 0 AND _policy.action IN ('accept', 'redactAndAccept')"
-    draft = judged.withColumn("_accepted", F.expr(accepted)).withColumn(
-        "_alert", F.expr(once(alert_sql("event", "redaction", who, now)))
-    )
+    draft = judged.withColumn("_accepted", F.expr(accepted)).transform(once, "_alert", alert_sql("event", "redaction", who, now))
     # The alert is an event like any other: it needs a policy that accepts it.
     alerts = policy.evaluate_policies(draft, policies, "_alert", "_alert_policy")
     alert_security = struct(
@@ -168,16 +166,11 @@ def process(
         classificationReasons="_alert_policy.reasons",
         policyHash="_alert_policy.policyHash",
     )
-    settled = alerts.withColumn(
+    settled = alerts.transform(
+        once,
         "alert",
-        F.expr(
-            once(
-                "IF(_alert_policy.action IN ('accept', 'redactAndAccept'), "
-                + with_fields("_alert", {"security": alert_security})
-                + ", NULL)"
-            )
-        ),
-    ).withColumn("_arranged", F.expr(once(f"IF(_accepted, {arrange_sql('event', '_policy', 'redaction', who, now)}, event)")))
+        "IF(_alert_policy.action IN ('accept', 'redactAndAccept'), " + with_fields("_alert", {"security": alert_security}) + ", NULL)",
+    ).transform(once, "_arranged", f"IF(_accepted, {arrange_sql('event', '_policy', 'redaction', who, now)}, event)")
 
     action = when(
         [

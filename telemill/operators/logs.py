@@ -18,8 +18,6 @@ from telemill.functions.jsonread import ISO_DATE
 from telemill.functions.sqltext import let, lit, lits, once, struct, when
 from telemill.functions.text import ascii_key
 
-MAX_FIELDS = 64
-MAX_JSON_LEVELS = 4
 MAX_PATTERN = 2048
 PREVIEW_ROWS = 20
 
@@ -180,8 +178,8 @@ def split_delimited(line: str, delimiter: str) -> str:
     return f"IF(size({pieces}) % 2 = 0, cast(array() AS array<string>), {cells})"
 
 
-def flatten_json(document: str) -> str:
-    """Scalars of a parsed object under dotted names, at most four levels below the root.
+def flatten_json(document: str, levels: int | None = None, fields: int | None = None) -> str:
+    """Scalars of a parsed object under dotted names, of all levels and fields unless limits are given.
 
     Invalid and prohibited names drop out with everything below them; arrays and nulls are skipped.
     """
@@ -207,9 +205,12 @@ def flatten_json(document: str) -> str:
         open=f"cast(array(named_struct('name', '', 'obj', try_variant_get({document}, '$', 'map<string,variant>'))) AS array<{node}>)",
         leaves=f"cast(array() AS array<{entry}>)",
     )
+    # No object is deeper than its schema has objects.
+    depth = str(levels) if levels is not None else f"coalesce(regexp_count(schema_of_variant({document}), 'OBJECT'), 0)"
+    leaves = "state.leaves" if fields is None else f"slice(state.leaves, 1, {fields})"
     fold = (
-        f"aggregate(sequence(0, {MAX_JSON_LEVELS}), {start}, (state, lvl) -> IF(size(state.open) = 0, state, {step}), "
-        f"state -> slice(state.leaves, 1, {MAX_FIELDS}))"
+        f"aggregate(sequence(0, {depth}), {start}, (state, lvl) -> IF(size(state.open) = 0, state, {step}), "
+        f"state -> {leaves})"
     )
     return last_wins(fold)
 
@@ -289,7 +290,7 @@ def infer_log_format(df: DataFrame) -> DataFrame:
 
     def header(delimiter: str) -> str:
         good = (
-            f"size(cells) BETWEEN 2 AND {MAX_FIELDS} AND forall(cells, c -> {valid_name('c')}) "
+            f"size(cells) >= 2 AND forall(cells, c -> {valid_name('c')}) "
             "AND size(array_distinct(cells)) = size(cells)"
         )
         return f"IF(line_no = 0, {let('cells', split_delimited('line', delimiter), good)}, true)"
@@ -353,22 +354,22 @@ def parse_logs(df: DataFrame, config: LogConfig) -> DataFrame:
         records = let("doc", "try_parse_json(line)", f"IF(doc IS NULL, array(cast(NULL AS variant)), {documents})")
         exploded = lines.withColumn("_doc", F.explode(F.expr(records)))
         good = "try_variant_get(_doc, '$', 'map<string,variant>') IS NOT NULL"
-        parsed = exploded.withColumn("fields", F.expr(once(f"IF({good}, {flatten_json('_doc')}, NULL)"))).drop("_doc")
+        parsed = exploded.transform(once, "fields", f"IF({good}, {flatten_json('_doc')}, NULL)").drop("_doc")
     elif config.format == "csv":
         body = lines.filter(~_is_header())
-        parsed = body.withColumn("fields", F.expr(once(csv_values("line", config))))
+        parsed = body.transform(once, "fields", csv_values("line", config))
     elif config.format == "keyvalue":
-        parsed = lines.withColumn("fields", F.expr(once(key_values("line", config.separator))))
+        parsed = lines.transform(once, "fields", key_values("line", config.separator))
     else:
-        parsed = lines.withColumn("fields", F.expr(once(regex_groups("line", config.pattern, config.groups))))
+        parsed = lines.transform(once, "fields", regex_groups("line", config.pattern, config.groups))
     return parsed.withColumn("failure_code", F.when(F.col("fields").isNull(), f"not-{config.format}"))
 
 
-def infer_schema(parsed: DataFrame) -> DataFrame:
+def infer_schema(parsed: DataFrame, max_fields: int | None = None) -> DataFrame:
     """Field rows of parsed lines: ``name, type, required, values, ocsf_path, asim_field, sensitive``.
 
-    Types, presence and the field list come from one aggregation per name with partial results. At most
-    64 fields are kept, in name order of their first line.
+    Types, presence and the field list come from one aggregation per name with partial results.
+    All fields are kept, or the first ``max_fields`` in the order of their first line.
     """
     # Every record adds a nameless cell, so that the records are counted in the same pass.
     marked = (
@@ -396,8 +397,10 @@ def infer_schema(parsed: DataFrame) -> DataFrame:
         ],
         "'Text'",
     )
-    top = per_name.filter(f"NOT {is_prohibited('name')}").orderBy("_first", "name").limit(MAX_FIELDS + 1)
-    # At most 65 rows from here on, the first of them being the record count.
+    top = per_name.filter(f"NOT {is_prohibited('name')}")
+    if max_fields is not None:
+        top = top.orderBy("_first", "name").limit(max_fields + 1)
+    # One row per field name from here on, one of them being the record count.
     records = F.max(F.when(F.col("name") == "", F.col("_present"))).over(W.partitionBy(F.lit(1)))
     typed = (
         top.withColumn("_records", records)

@@ -18,7 +18,6 @@ from telemill.functions.text import contains_ci, truncate
 from telemill.operators.envelope import decode_envelope
 
 MAPPING_VERSION = "1.0.0"
-MAX_PAYLOAD_BYTES = 1_048_576
 
 OCSF_FIELDS = {
     "class_uid": "int",
@@ -246,7 +245,6 @@ def _failure(raw: str, doc: str, known: str) -> str:
     return when(
         [
             (f"{raw} IS NULL OR trim({raw}) = ''", "'empty-payload'"),
-            (f"octet_length({raw}) > {MAX_PAYLOAD_BYTES}", "'payload-too-large'"),
             (f"NOT ({known})", "'unsupported-source'"),
             (f"{doc} IS NULL", "'invalid-json'"),
         ]
@@ -261,7 +259,7 @@ def _result(event: str, failure: str, kind: str) -> str:
 
 
 def _document(column: str) -> str:
-    return f"try_parse_json(IF(octet_length({column}) <= {MAX_PAYLOAD_BYTES}, {column}, NULL))"
+    return f"try_parse_json({column})"
 
 
 def normalise(
@@ -274,7 +272,7 @@ def normalise(
         raise ValueError(f"unsupported source kind: {kind}")
     mapped = f"IF(bad IS NULL, cast({_event(mappers[kind]('doc', now))} AS {OCSF_EVENT}), NULL)"
     body = let("bad", _failure(column, "doc", "true"), _result(mapped, "bad", lit(kind)))
-    return df.withColumn(output, F.expr(once(let("doc", _document(column), body))))
+    return df.transform(once, output, let("doc", _document(column), body))
 
 
 def normalise_mixed(
@@ -285,10 +283,10 @@ def normalise_mixed(
     cases = [(f"{kind_column} = {lit(k)}", f"cast({_event(m('doc', now))} AS {OCSF_EVENT})") for k, m in mappers.items()]
     # Only envelope rows are decoded as envelopes.
     decoded = decode_envelope(
-        df.withColumn("_text", F.expr(f"IF({kind_column} = {lit(ENVELOPE_KIND)} AND octet_length({column}) <= {MAX_PAYLOAD_BYTES}, {column}, NULL)")),
+        df.withColumn("_text", F.expr(f"IF({kind_column} = {lit(ENVELOPE_KIND)}, {column}, NULL)")),
         "_text", "_event", "_decode",
     )
     cases.append(("_event IS NOT NULL", f"cast({_envelope_event('_event')} AS {OCSF_EVENT})"))
     failure = f"coalesce({_failure(column, 'doc', known)}, _decode)"
     body = let("bad", failure, _result(f"IF(bad IS NULL, {when(cases)}, NULL)", "bad", kind_column))
-    return decoded.withColumn(output, F.expr(once(let("doc", _document(column), body)))).drop("_text", "_event", "_decode")
+    return decoded.transform(once, output, let("doc", _document(column), body)).drop("_text", "_event", "_decode")

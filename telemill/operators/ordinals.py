@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,8 +16,13 @@ def _with_offsets(df: DataFrame, keys: Sequence[str], part: str, amount: Column,
     """Adds the sum of ``amount`` over the earlier parts of the group."""
     totals = df.groupBy(*keys, part).agg(F.sum(amount).alias("_total"))
     window = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select(*keys, part, F.coalesce(F.sum("_total").over(window), F.lit(0)).alias(name))
-    return df.join(before, [*keys, part])
+    before = totals.select(
+        *(F.col(k).alias(f"_key_{i}") for i, k in enumerate((*keys, part))),
+        F.coalesce(F.sum("_total").over(window), F.lit(0)).alias(name),
+    )
+    # Null keys are a group like any other.
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate((*keys, part))]
+    return df.join(before, reduce(lambda a, b: a & b, same)).drop(*(f"_key_{i}" for i in range(len(keys) + 1)))
 
 
 def index_within(df: DataFrame, keys: Sequence[str], order: str, output: str = "index", width: int = 100_000) -> DataFrame:

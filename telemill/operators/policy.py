@@ -204,4 +204,4 @@ def evaluate_policies(
     df: DataFrame, policies: Sequence[TelemetryPolicy] = DEFAULT_POLICIES, event: str = "event", output: str = "decision"
 ) -> DataFrame:
     """Adds ``struct<action, policyId, policyVersion, policyHash, score, reasons, warnings>``."""
-    return df.withColumn(output, F.expr(once(f"IF({event} IS NULL, NULL, {decision_sql(event, policies)})")))
+    return df.transform(once, output, f"IF({event} IS NULL, NULL, {decision_sql(event, policies)})")

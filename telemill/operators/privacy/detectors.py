@@ -40,7 +40,7 @@ PATTERNS = {
     "id.address": r"(?i)\b\d{1,5}\s+[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){0,3}\s+(?:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Court|Ct|Place|Pl|Lane|Ln|Parade|Pde|Crescent|Cres|Boulevard|Blvd|Highway|Hwy)\b",
     "id.gps": r"\b-?\d{1,2}\.\d{4,},\s*-?\d{1,3}\.\d{4,}\b",
     "id.ip": r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
-    "id.hostname": r"(?i)\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+(?:com|net|org|io|au|local|internal|corp)\b",
+    "id.hostname": r"(?i)\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.){1,127}(?:com|net|org|io|au|local|internal|corp)\b",
     "id.username": r"(?i)\b(?:username|user\s*name|login)[:\s=]+([A-Za-z0-9._\-]{2,64})\b",
     "crypto.material": r"-----BEGIN (?:RSA |EC |OPENSSH |ENCRYPTED |DSA )?PRIVATE KEY-----[\s\S]+?-----END (?:RSA |EC |OPENSSH |ENCRYPTED |DSA )?PRIVATE KEY-----|-----BEGIN CERTIFICATE-----[\s\S]+?-----END CERTIFICATE-----|-----BEGIN PGP (?:PRIVATE |PUBLIC )?KEY BLOCK-----[\s\S]+?-----END PGP (?:PRIVATE |PUBLIC )?KEY BLOCK-----|-----BEGIN OPENSSH PRIVATE KEY-----[\s\S]+?-----END OPENSSH PRIVATE KEY-----",
     "class.security-marking": r"(?i)\b(?:OFFICIAL(?::\s*Sensitive)?|PROTECTED|SECRET|TOP\s*SECRET|CABINET-IN-CONFIDENCE)\b",
@@ -58,7 +58,7 @@ SECRET_PATTERNS = {
     "secret.kubernetes": r"(?i)\bclient-key-data:\s*[A-Z0-9+/]{20,}={0,2}|\bk8s-aws-v1\.[A-Z0-9_\-]{20,}",
     "secret.docker": r"\bdckr_pat_[A-Za-z0-9_\-]{20,}|\"auth\"\s*:\s*\"[A-Za-z0-9+/]{12,}={0,2}\"",
     "secret.database": r"(?i)\b(?:postgres|postgresql|mysql|mariadb|mongodb|mongodb\+srv|redis|amqp|sqlserver)://[^\s:/@]+:[^\s@]+@[^\s\"']+|\b(?:Server|Data Source)=[^;\s]+;[^\r\n\"']*\b(?:Password|Pwd)=[^;\s\"']+",
-    "secret.env-var": r"\b(?:[A-Z0-9]+_)*(?:PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|PRIVATE_KEY)(?:_[A-Z0-9]+)*\s*=\s*[^\s\"']{4,}",
+    "secret.env-var": r"\b(?:[A-Z0-9_]*_)?(?:PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|PRIVATE_KEY)(?:_[A-Z0-9_]*)?\s*=\s*[^\s\"']{4,}",
 }
 
 # Category by id prefix.

@@ -21,8 +21,6 @@ from telemill.operators.privacy import policy as pol
 from telemill.operators.privacy.detectors import Detector, builtin_detectors
 from telemill.operators.privacy.policy import PrivacyPolicy
 
-MAX_PAYLOAD_BYTES = 1_048_576
-
 SPAN = "struct<start:int,size:int,ord:int,sub_kind:string,edit:string>"
 NO_SPANS = f"cast(array() AS array<{SPAN}>)"
 
@@ -224,11 +222,10 @@ def paths_with(findings: str, actions: Sequence[str]) -> str:
     return f"array_sort(array_distinct(transform(filter({findings}, f -> f.action IN ({lits(actions)})), f -> f.path)))"
 
 
-def text_failure(text: str) -> str:
-    """Failure code of a text payload, null when it can be scanned."""
-    return when(
-        [(f"{text} IS NULL", "'empty-payload'"), (f"octet_length({text}) > {MAX_PAYLOAD_BYTES}", "'payload-too-large'")]
-    )
+def text_failure(text: str, max_bytes: int | None = None) -> str:
+    """Failure code of a text payload, null when it can be scanned; any size can, unless a limit is given."""
+    large = [(f"octet_length({text}) > {max_bytes}", "'payload-too-large'")] if max_bytes is not None else []
+    return when([(f"{text} IS NULL", "'empty-payload'"), *large])
 
 
 def scan_text(
@@ -236,11 +233,12 @@ def scan_text(
     column: str,
     policy: PrivacyPolicy | None = None,
     detectors: Sequence[Detector] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Adds ``_spans`` (resolved spans of ``column``); the building block of the operators below."""
     policy = policy or PrivacyPolicy()
-    scannable = f"IF({text_failure(column)} IS NULL, {column}, NULL)"
-    return df.withColumn("_spans", F.expr(once(let("val", scannable, value_spans("val", policy, detectors)))))
+    scannable = f"IF({text_failure(column, max_bytes)} IS NULL, {column}, NULL)"
+    return df.transform(once, "_spans", let("val", scannable, value_spans("val", policy, detectors)))
 
 
 def redact_text(
@@ -249,13 +247,14 @@ def redact_text(
     policy: PrivacyPolicy | None = None,
     detectors: Sequence[Detector] | None = None,
     output: str = "redaction",
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Adds ``struct<succeeded, failure_code, text, findings, privacy>`` for a string column.
 
-    A null or oversized payload fails and carries no text.
+    A null payload, or one over ``max_bytes`` if that is given, fails and carries no text.
     """
     policy = policy or PrivacyPolicy()
-    failure = text_failure(column)
+    failure = text_failure(column, max_bytes)
     result = let(
         "found",
         findings_of("_spans", policy, detectors),
@@ -267,7 +266,7 @@ def redact_text(
             privacy=privacy_metadata("found"),
         ),
     )
-    return scan_text(df, column, policy, detectors).withColumn(output, F.expr(once(result))).drop("_spans")
+    return scan_text(df, column, policy, detectors, max_bytes).transform(once, output, result).drop("_spans")
 
 
 def find_sensitive(

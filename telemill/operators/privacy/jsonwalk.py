@@ -72,12 +72,12 @@ def json_depth_exceeds(raw: str, limit: int) -> str:
     return f"IF({opening} <= {limit}, false, {deepest} > {limit})"
 
 
-def candidate_failure(raw: str, parsed: str) -> str:
+def candidate_failure(raw: str, parsed: str, max_bytes: int | None = None) -> str:
     """Failure code of a candidate document, null when it is a usable JSON object."""
     return when(
         [
             (f"{raw} IS NULL OR {raw} RLIKE {lit(r'^\s*$')}", "'empty-payload'"),
-            (f"octet_length({raw}) > {engine.MAX_PAYLOAD_BYTES}", "'payload-too-large'"),
+            *([(f"octet_length({raw}) > {max_bytes}", "'payload-too-large'")] if max_bytes is not None else []),
             (f"{parsed} IS NULL OR {json_depth_exceeds(raw, MAX_DEPTH)}", "'invalid-json'"),
             (f"{as_object(parsed)} IS NULL", "'root-must-be-object'"),
         ]
@@ -138,9 +138,15 @@ def put_edits(document: str | None, edits: str | None) -> str | None:
     """The document with ``[{steps, text, drop}]`` applied; number literals keep their text."""
     if document is None or edits is None:
         return None
-    mark = "\0"
+    todo = json.loads(edits)
+    # Number literals travel as texts with a mark that neither the document nor an edit holds.
+    mark = "\ue000"
+    if any(mark in x or "\\ue000" in x.lower() for x in (document, edits)):
+        plain = json.dumps([json.loads(document), todo], ensure_ascii=False)
+        while mark in plain:
+            mark += "\ue001"
     root = json.loads(document, parse_float=lambda literal: f"{mark}{literal}{mark}")
-    for edit in json.loads(edits):
+    for edit in todo:
         steps = [step[1:] if step[0] == "k" else int(step[1:]) for step in edit["steps"]]
         place = root
         for step in steps[:-1]:
@@ -152,7 +158,9 @@ def put_edits(document: str | None, edits: str | None) -> str | None:
         else:
             place[steps[-1]] = edit["text"]
     text = json.dumps(root, ensure_ascii=False, separators=(",", ":"))
-    return re.sub(r'"\\u0000([-+0-9.eE]+)\\u0000"', r"\1", text)
+    text = re.sub(f'"{mark}([-+0-9.eE]+){mark}"', r"\1", text)
+    # A surrogate without its other half stays an escape.
+    return re.sub("[\ud800-\udfff]", lambda half: f"\\u{ord(half[0]):04x}", text)
 
 
 @F.pandas_udf(StringType())
@@ -168,6 +176,7 @@ def redact_json(
     field_names: Sequence[str] = SECRET_FIELD_NAMES,
     output: str = "redaction",
     strict: bool = False,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Adds ``struct<succeeded, failure_code, json, findings, removed_paths, masked_paths, privacy>``.
 
@@ -192,10 +201,10 @@ def redact_json(
             secrets="tree.secrets",
         ),
     )
-    # An oversized text is never parsed.
-    parsed = f"try_parse_json(IF(octet_length({column}) <= {engine.MAX_PAYLOAD_BYTES}, {column}, NULL))"
-    scan = let("doc", parsed, let("failed", candidate_failure(column, "doc"), walked))
-    scanned = df.withColumn("_scan", F.expr(once(scan)))
+    # A text over the limit, if there is one, is never parsed.
+    parsed = f"try_parse_json({column})" if max_bytes is None else f"try_parse_json(IF(octet_length({column}) <= {max_bytes}, {column}, NULL))"
+    scan = let("doc", parsed, let("failed", candidate_failure(column, "doc", max_bytes), walked))
+    scanned = df.transform(once, "_scan", scan)
 
     value_findings = f"flatten(transform(_scan.hits, h -> {engine.findings_of('h.spans', policy, detectors, path='h.path')}))"
     name_finding = struct(
@@ -238,4 +247,4 @@ def redact_json(
         masked_paths=engine.paths_with("_findings", pol.MASKING_ACTIONS),
         privacy=engine.privacy_metadata("_findings"),
     )
-    return rewritten.withColumn(output, F.expr(once(result))).drop("_scan", "_findings", "_edits", "_json")
+    return rewritten.transform(once, output, result).drop("_scan", "_findings", "_edits", "_json")

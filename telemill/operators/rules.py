@@ -59,7 +59,7 @@ def parse_rules(df: DataFrame, column: str = "raw") -> DataFrame:
         sources=f"cast(coalesce({as_list}, {as_groups}, array()) AS array<{SOURCE}>)",
         destinations=f"IF({jobject('doc', 'destinations')} IS NULL, {destinations}, {destination_groups})",
     )
-    return df.withColumn("_rule", F.expr(once(let("doc", f"try_parse_json({column})", parsed)))).select(
+    return df.transform(once, "_rule", let("doc", f"try_parse_json({column})", parsed)).select(
         *[c for c in df.columns if c != column], "_rule.*"
     )
 

@@ -25,10 +25,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    fresh local folder is used.
+    The cluster names it in ``spark.checkpoint.dir``. A folder of one machine is no substitute, so without
+    that setting only a local master, where there is one machine, falls back to a temporary folder.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telemill-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="telemill-")
 
 
 def stable(df: DataFrame) -> DataFrame:

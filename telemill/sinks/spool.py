@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemill.functions.sqltext import struct
@@ -37,11 +39,15 @@ def pack_files(
 
     Packing runs per delivery batch (a fixed number of rows of one collector and stream), as a delivery
     does, so however many rows a collector has, one fold sees one batch. The fold handles ids and
-    sizes; payloads are joined back by position.
+    sizes; payloads are joined back by row. Rows with null keys form groups of their own, equal rows
+    are packed one by one.
     """
-    # Keys, order and sizes are ranked and packed; payloads are read once, for the last join.
-    slim = df.select(*keys, *order, (F.octet_length(payload) + 1).alias("_bytes"), F.lit(1).alias("_one"))
-    slim = running_sum(slim, keys, order, "_one", "_pos").withColumn(
+    # Each row has a digest of its own to come back by: of all columns, and a number among equal rows.
+    numbered = df.withColumn("_row", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)).withColumn(
+        "_copy", F.row_number().over(W.partitionBy("_row").orderBy(*order))
+    )
+    slim = numbered.select(*keys, *order, "_row", "_copy", (F.octet_length(payload) + 1).alias("_bytes"), F.lit(1).alias("_one"))
+    slim = running_sum(slim, keys, [*order, "_row", "_copy"], "_one", "_pos").withColumn(
         "batch_no", F.expr(f"cast((_pos - 1) div {batch} AS bigint)")
     )
     grouped = slim.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list(F.struct("_pos", "_bytes"))).alias("_rows"))
@@ -55,8 +61,10 @@ def pack_files(
     packed = grouped.select(
         *keys, "batch_no", F.explode(F.expr(f"aggregate(_rows, {start}, (acc, r) -> {step}, acc -> acc.out)")).alias("p")
     ).select(*keys, "batch_no", "p.*")
-    placed = slim.drop("_bytes", "_one").join(packed, [*keys, "batch_no", "_pos"])
-    return df.join(placed, [*keys, *order])
+    places = packed.withColumnsRenamed({k: f"_p_{k}" for k in (*keys, "batch_no", "_pos")})
+    same = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in (*keys, "batch_no", "_pos")]
+    placed = slim.join(places, reduce(lambda a, b: a & b, same)).select("_row", "_copy", "batch_no", "_pos", "file_no")
+    return numbered.join(placed, ["_row", "_copy"]).drop("_row", "_copy")
 
 
 def write_spool(packed: DataFrame, path: str, keys: Sequence[str] = ("collector_id", "stream"), payload: str = "payload") -> None:

@@ -34,16 +34,17 @@ class AwsOptions:
     region: str | None = None
     environment: str = "production"
     application_name: str = "aws-security"
-    max_record_bytes: int = 65_536
-    max_batch_events: int = 1_000
+    # None: any size. A breach rejects the single record or the document, as rows of rejected_aws.
+    max_record_bytes: int | None = None
+    max_batch_events: int | None = None
 
     def __post_init__(self) -> None:
         if not self.source_id.strip() or len(self.source_id) > 128:
             raise ValueError("source_id must have 1 to 128 characters")
-        if not 1_024 <= self.max_record_bytes <= 1_048_576:
-            raise ValueError("max_record_bytes must be between 1 KiB and 1 MiB")
-        if not 1 <= self.max_batch_events <= 10_000:
-            raise ValueError("max_batch_events must be between 1 and 10,000")
+        if self.max_record_bytes is not None and self.max_record_bytes < 1_024:
+            raise ValueError("max_record_bytes must be 1 KiB or more")
+        if self.max_batch_events is not None and self.max_batch_events < 1:
+            raise ValueError("max_batch_events must be 1 or more")
         if self.account_id is not None and not (len(self.account_id) == 12 and self.account_id.isascii() and self.account_id.isdigit()):
             raise ValueError("account_id must be 12 digits")
 
@@ -56,24 +57,23 @@ def records_sql(document: str, kind: str) -> str:
 
 
 def aws_limits(df: DataFrame, kind: str, options: AwsOptions, column: str = "raw") -> DataFrame:
-    """Adds ``records`` (array of VARIANT) and ``failure_code``; any breach rejects the whole document.
+    """Adds ``records`` (array of VARIANT) and ``failure_code``; with limits, a breach rejects the document.
 
-    The decision is taken before the records are exploded, so no grouping is needed for it.
+    Limits are off unless the options set them. The decision is taken before the records are exploded, so
+    no grouping is needed for it.
     """
-    limit = options.max_record_bytes * options.max_batch_events
-    failure = when(
-        [
-            (f"{column} IS NULL OR trim({column}) = ''", "'empty-payload'"),
-            (f"octet_length({column}) > {limit}", "'document-too-large'"),
-            ("doc IS NULL", "'invalid-json'"),
-            (f"size(recs) > {options.max_batch_events}", "'batch-too-large'"),
-            (f"exists(recs, r -> octet_length(to_json(r)) > {options.max_record_bytes})", "'record-too-large'"),
-        ]
-    )
-    document = f"IF(octet_length({column}) <= {limit}, try_parse_json({column}), NULL)"
+    record, events = options.max_record_bytes, options.max_batch_events
+    limit = record * events if record and events else None
+    cases = [(f"{column} IS NULL OR trim({column}) = ''", "'empty-payload'")]
+    cases += [(f"octet_length({column}) > {limit}", "'document-too-large'")] if limit else []
+    cases.append(("doc IS NULL", "'invalid-json'"))
+    cases += [(f"size(recs) > {events}", "'batch-too-large'")] if events else []
+    cases += [(f"exists(recs, r -> octet_length(to_json(r)) > {record})", "'record-too-large'")] if record else []
+    failure = when(cases)
+    document = f"IF(octet_length({column}) <= {limit}, try_parse_json({column}), NULL)" if limit else f"try_parse_json({column})"
     body = let("doc", document, let("recs", records_sql("doc", kind), struct(records="recs", failure=failure)))
     return (
-        df.withColumn("_aws", F.expr(once(body)))
+        df.transform(once, "_aws", body)
         .withColumn("failure_code", F.col("_aws.failure"))
         .withColumn("records", F.expr("IF(_aws.failure IS NULL, _aws.records, NULL)"))
         .drop("_aws")
@@ -87,6 +87,11 @@ def expand_aws(df: DataFrame, kind: str, options: AwsOptions, column: str = "raw
     )
 
 
+def rejected_aws(df: DataFrame, kind: str, options: AwsOptions, column: str = "raw") -> DataFrame:
+    """The documents that :func:`expand_aws` gives no record of, with their ``failure_code``."""
+    return aws_limits(df, kind, options, column).where("failure_code IS NOT NULL").drop("records")
+
+
 def severity_from_number(value: str) -> str:
     """Finding severity by number."""
     return when(
@@ -230,6 +235,4 @@ def map_aws(df: DataFrame, kind: str, options: AwsOptions, observed: str, column
     """Documents of one kind to ``event`` envelopes, one row per record."""
     if kind not in KIND_NAMES:
         raise ValueError(f"unknown AWS source kind: {kind}")
-    return expand_aws(df, kind, options, column).withColumn(
-        "event", F.expr(once(aws_envelope(kind, options, "record", observed)))
-    )
+    return expand_aws(df, kind, options, column).transform(once, "event", aws_envelope(kind, options, "record", observed))

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.functions.sqltext import let, once, struct
-from telemill.operators.privacy.engine import MAX_PAYLOAD_BYTES
 from telemill.operators.privacy.jsonwalk import candidate_failure
 
 
 def with_candidate_status(df: DataFrame, column: str = "raw") -> DataFrame:
     """Adds ``parsed`` (VARIANT, null on failure) and ``failure_code``; bad rows stay as quarantine rows."""
-    document = f"try_parse_json(IF(octet_length({column}) <= {MAX_PAYLOAD_BYTES}, {column}, NULL))"
+    document = f"try_parse_json({column})"
     checked = let("doc", document, struct(parsed="doc", failure=candidate_failure(column, "doc")))
     return (
-        df.withColumn("_c", F.expr(once(checked)))
+        df.transform(once, "_c", checked)
         .withColumn("failure_code", F.col("_c.failure"))
         .withColumn("parsed", F.expr("IF(_c.failure IS NULL, _c.parsed, NULL)"))
         .drop("_c")

@@ -120,6 +120,16 @@ def test_custom_mapper(spark):
         normalise.register_mapper(mappers, "Mine", normalise.sysmon)
 
 
+def test_aws_documents_of_any_size(spark):
+    raw = json.dumps({"Records": [{"eventID": str(i), "eventName": "x" * 70_000 if i == 7 else "x"} for i in range(1_001)]})
+    df = spark.createDataFrame([(raw,), ("{bad",)], "raw string")
+    options = aws.AwsOptions("s")
+    assert aws.map_aws(df, "cloudtrail", options, NOW).count() == 1_001
+    assert [r.failure_code for r in aws.rejected_aws(df, "cloudtrail", options).collect()] == ["invalid-json"]
+    limited = aws.AwsOptions("s", max_batch_events=1_000)
+    assert sorted(r.failure_code for r in aws.rejected_aws(df, "cloudtrail", limited).collect()) == ["batch-too-large", "invalid-json"]
+
+
 def test_aws_oversize_record_rejects_document(spark):
     options = aws.AwsOptions("s", max_record_bytes=1_024)
     raw = json.dumps([{"title": "x" * 2_000}, {"title": "ok"}])

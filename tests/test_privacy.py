@@ -12,9 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemill.functions import checksums, tokens
+from telemill.operators import normalise
 from telemill.operators.privacy import engine, jsonwalk
 from telemill.operators.privacy.detectors import builtin_detectors, register_detector
 from telemill.operators.privacy.policy import ENCRYPT, HMAC, MASK, OPT_IN_DETECTORS, REPLACE, PrivacyPolicy
+from telemill.sources import aws
+from telemill.sources.candidates import with_candidate_status
 
 AWS = "AKIA" + "IOSFODNN7EXAMPLE"
 JWT = "eyJ" + "hbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9" + ".eyJ" + "zdWIiOiIxIn0" + ".signature"
@@ -124,9 +127,56 @@ def test_failures(spark, raw, code):
     assert (r["succeeded"], r["failure_code"], r["json"]) == (False, code, None)
 
 
-def test_oversized_text_fails(spark):
-    r = redact(spark, "a" * (engine.MAX_PAYLOAD_BYTES + 1))
-    assert (r["failure_code"], r["text"]) == ("payload-too-large", None)
+def test_long_texts_are_scanned_unless_limited(spark):
+    text = "a " * 600_000 + "bob@example.org"
+    df = spark.createDataFrame([(1, text), (2, "x")], "id int, t string")
+    assert [(r.id, r.start) for r in engine.find_sensitive(df, "id", "t").collect()] == [(1, 1_200_000)]
+    limited = engine.redact_text(df, "t", max_bytes=1_000).orderBy("id").select("redaction.*").collect()
+    assert [(r.failure_code, r.text) for r in limited] == [("payload-too-large", None), (None, "x")]
+
+
+CHAINS = {
+    "names": "A_" * 10_000 + "=x", "labels": "a." * 10_000, "digits": "1" * 60_000, "at": "@" * 60_000,
+    "keys": "-----BEGIN RSA PRIVATE KEY-----" + "A" * 60_000, "words": "Password " * 8_000, "mails": "a@" * 30_000,
+}
+
+
+def test_hostile_texts_do_not_end_the_executor(spark):
+    """With every detector on; good rows beside them still give their findings."""
+    detectors = list(builtin_detectors())
+    policy = PrivacyPolicy(enabled_opt_in=OPT_IN_DETECTORS)
+    rows = [(name, text) for name, text in CHAINS.items()] + [("good", "mail bob@example.org")]
+    df = spark.createDataFrame(rows, "id string, t string").repartition(4)
+    found = engine.find_sensitive(df, "id", "t", policy, detectors).where("id = 'good'").collect()
+    assert "id.email" in {r.detector for r in found}
+
+
+@pytest.mark.parametrize("raw, want", [
+    ('{"a":"\\ud800 x","mail":"bob@example.org"}', '\\ud800 x'),
+    ('{"a":"\\u000012\\u0000","mail":"bob@example.org"}', '\\u000012\\u0000'),
+    ('{"a":"\ue0001.5\ue000","n":1.50,"mail":"bob@example.org"}', '"n":1.50'),
+])
+def test_odd_characters_survive_edits(spark, raw, want):
+    r = redact_json(spark, raw)
+    assert r["succeeded"] and want in r["json"] and "bob@" not in r["json"]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """A filter on a column that an operator passes through is pushed below it."""
+    path = str(tmp_path / "t")
+    spark.range(10).selectExpr("id", "'x' AS source", "'{\"a\":1}' AS raw").write.parquet(path)
+    df = spark.read.parquet(path)
+    now = "timestamp'2024-01-01 00:00:00Z'"
+    plans = {
+        "text": engine.redact_text(df, "raw"),
+        "json": jsonwalk.redact_json(df, "raw"),
+        "normalise": normalise.normalise(df, "CrowdStrike", now),
+        "aws": aws.map_aws(df, "guardduty", aws.AwsOptions("s"), now),
+        "candidates": with_candidate_status(df),
+    }
+    for name, plan in plans.items():
+        text = plan.where("source = 'y' AND id = 5")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(source,y)" in text and "EqualTo(id,5)" in text, name
 
 
 def test_numbers_and_nested_arrays_are_not_scanned_unless_strict(spark):

@@ -120,6 +120,27 @@ def test_spool_round_trip(spark, tmp_path):
     assert "collector_id=c_1" in str(files[0])
 
 
+def test_packing_keeps_null_keys_and_equal_rows(spark):
+    rows = [(None, "s", "e1", "x"), (None, "s", "e2", "y"), ("c", "s", "e3", "z"), ("c", "s", "e3", "z")]
+    df = spark.createDataFrame(rows, "collector_id string, stream string, event_id string, payload string").withColumn("received_at", F.lit(0))
+    packed = spool.pack_files(df, 100).collect()
+    assert sorted((r.collector_id or "", r.event_id, r._pos) for r in packed) == [("", "e1", 1), ("", "e2", 2), ("c", "e3", 1), ("c", "e3", 2)]
+
+
+def test_null_keys_are_no_duplicates(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "fp string, n int")
+    assert sorted(r.n for r in dedupe.keep_first(df, "fp", ["n"]).collect()) == [1, 2, 3]
+
+
+def test_capacity_goes_on_after_a_refused_row(spark):
+    rows = [("l", 1, 10), ("l", 2, 50), ("l", 3, 5), (None, 1, 20), (None, 2, 1), ("l", 4, None)]
+    df = spark.createDataFrame(rows, "ledger_id string, event_id int, payload_bytes int").withColumn("received_at", F.lit(0))
+    got = sorted((r.ledger_id or "", r.event_id, r.admitted) for r in dedupe.admit_skipping(df, 20, ["ledger_id"]).collect())
+    assert got == [("", 1, True), ("", 2, False), ("l", 1, True), ("l", 2, False), ("l", 3, True), ("l", 4, True)]
+    prefix = dedupe.admit_by_capacity(df, 20, ["ledger_id"]).collect()
+    assert len(prefix) == 6
+
+
 def test_running_capacity_with_one_hot_ledger(spark):
     df = spark.range(5_000).selectExpr("'hot' AS ledger_id", "lpad(cast(id AS string), 6, '0') AS event_id", "timestamp'2024-01-01' AS received_at", "cast(id % 7 + 1 AS bigint) AS payload_bytes")
     rows = dedupe.admit_by_capacity(df, 1_000, ["ledger_id"]).orderBy("event_id").collect()
