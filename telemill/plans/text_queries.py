@@ -10,7 +10,7 @@ from telemill.functions.text import field_key, safe_stem
 from telemill.operators.privacy import engine
 from telemill.operators.privacy.detectors import builtin_detectors, register_detector
 from telemill.operators.privacy.policy import OPT_IN_DETECTORS, PrivacyPolicy
-from telemill.plans.inputs import spread, table
+from telemill.plans.inputs import table
 
 ALL = PrivacyPolicy(enabled_opt_in=OPT_IN_DETECTORS)
 BY_ID = {d.id: d for d in builtin_detectors()}
@@ -183,7 +183,7 @@ CARD_AND_MAIL = [BY_ID["fin.credit-card"], BY_ID["id.email"]]
 
 def documents_findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail and card findings in all documents by source (the flagship)."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = engine.find_sensitive(docs, ["doc_id", "source"], "text", detectors=CARD_AND_MAIL)
     return engine.findings_summary(found, "doc_id", ["source"])
 
@@ -206,7 +206,7 @@ DOCUMENTS_SUMMARY_SQL = f"""
 
 def documents_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with cards removed and e-mail addresses masked."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return engine.redact_text(docs, "text", detectors=CARD_AND_MAIL).select(
         "doc_id", "redaction.succeeded", F.md5("redaction.text").alias("digest"), F.length("redaction.text").cast("bigint").alias("chars")
     )
@@ -225,7 +225,7 @@ DOCUMENTS_REDACTED_SQL = f"""
 
 def documents_all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every default detector over all documents, overlaps resolved."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return engine.findings_summary(engine.find_sensitive(docs, "doc_id", "text"), "doc_id")
 
 
@@ -256,7 +256,7 @@ CONVERSATIONS_SQL = f"""
 
 def pages_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hostnames in page URLs and HTML."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     policy = PrivacyPolicy(enabled_opt_in=frozenset({"id.hostname"}))
     found = engine.find_sensitive(
         pages.select("page_id", F.concat_ws(" ", "url", "html").alias("body")), "page_id", "body", policy, [BY_ID["id.hostname"]]
@@ -359,7 +359,7 @@ CHECKSUM_SQL = f"""
 
 def legacy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all documents in the older shape, counted."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = engine.legacy_findings(engine.find_sensitive(docs, "doc_id", "text", detectors=CARD_AND_MAIL))
     return found.groupBy("kind", "legacy_action", "preview").agg(F.count("*").alias("findings"))
 

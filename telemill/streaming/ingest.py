@@ -12,7 +12,6 @@ from telemill.operators import dedupe, ingest, policy
 from telemill.operators.detect import DetectionRule, detect
 from telemill.operators.ingest import CollectorIdentity
 from telemill.operators.privacy.policy import PrivacyPolicy
-from telemill.session import shared_dir
 from telemill.sinks.lake import write_streams
 
 CLOCK = "current_timestamp()"
@@ -66,10 +65,13 @@ def burst_counts(alerts: DataFrame, window: str = "5 minutes", delay: str = "10
     )
 
 
-def start_lake(processed: DataFrame, base: str, checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Writes every micro-batch to the lake, replay-safe; state lives below the shared folder."""
-    where = checkpoint or f"{shared_dir(processed.sparkSession)}/lake"
+def start_lake(processed: DataFrame, base: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Writes every micro-batch to the lake, replay-safe.
+
+    ``checkpoint`` belongs to this stream alone and outlives it: batch numbers go on from there, and with
+    them the folders that a batch overwrites.
+    """
     writer = processed.writeStream.foreachBatch(lambda df, batch_id: write_streams(df, base, batch_id)).option(
-        "checkpointLocation", where
+        "checkpointLocation", checkpoint
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
