@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from telemill.functions.sqltext import lit, struct, when
 from telemill.functions.text import instant_text, present
 from telemill.operators.policy import has_value
+from telemill.session import stable
 
 # Component weights and grade limits.
 WEIGHTS = {"coverage": 30, "completeness": 25, "freshness": 25, "schema": 20}
@@ -32,9 +33,9 @@ def _score(df: DataFrame, name: str, score: str, detail: str, evidence: str) ->
     )
 
 
-def _bounded(df: DataFrame, condition: str, text: str, order: str) -> DataFrame:
+def _bounded(df: DataFrame, condition: str, text: str, order: str, most: int = EVIDENCE) -> DataFrame:
     """One row: array of the first few texts (a top-k report)."""
-    top = df.filter(condition).orderBy(order).limit(EVIDENCE).selectExpr(f"{order} AS o", f"{text} AS t")
+    top = df.filter(condition).orderBy(order).limit(most).selectExpr(f"{order} AS o", f"{text} AS t")
     return top.agg(F.expr("transform(array_sort(collect_list(struct(o, t))), x -> x.t)").alias("_evidence"))
 
 
@@ -131,7 +132,12 @@ def grade(score: str) -> str:
 
 
 def quality_components(sources: DataFrame, fields: DataFrame, events: DataFrame, now: str, window: str = "INTERVAL 24 HOURS") -> DataFrame:
-    """The four component rows."""
+    """The four component rows.
+
+    Sources and fields have a row per source and field; they are kept in the shared folder, so the events
+    behind them are read once for each and not again for every count and piece of evidence.
+    """
+    sources, fields = stable(sources), stable(fields)
     return (
         quality_coverage(sources, now, window)
         .unionByName(quality_completeness(fields))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.sqltext import lit
@@ -76,12 +76,18 @@ def incremental_scan(
     return rows if batch is None else rows.limit(batch)
 
 
-def next_cursor(batch: DataFrame, kind: str, cursor: Cursor, sequence: str = "sequence", event_time: str = "event_time") -> DataFrame:
-    """One row ``rows, sequence, event_time, advanced``; the cursor is null when nothing advanced."""
+def next_cursor(
+    batch: DataFrame, kind: str, cursor: Cursor, sequence: str = "sequence", event_time: str = "event_time", **more: Column
+) -> DataFrame:
+    """One row ``rows, sequence, event_time, advanced``; the cursor is null when nothing advanced.
+
+    ``more`` are further aggregates of the same pass, by name.
+    """
     order = f"struct({sequence} AS s)" if kind == "incrementing" else f"struct({event_time} AS t, {sequence} AS s)"
     top = batch.agg(
         F.count("*").alias("rows"),
         F.expr(f"max_by(struct({sequence} AS s, {event_time} AS t), {order})").alias("top"),
+        *(value.alias(name) for name, value in more.items()),
     )
     moved = (
         f"top.s > {cursor.sequence}"
@@ -93,6 +99,7 @@ def next_cursor(batch: DataFrame, kind: str, cursor: Cursor, sequence: str = "se
         F.expr(f"coalesce({moved}, false)").alias("advanced"),
         F.expr(f"IF({moved}, top.s, NULL)").alias("sequence"),
         F.expr(f"IF({moved}, top.t, NULL)").alias("event_time"),
+        *more,
     )
 
 
@@ -107,12 +114,11 @@ def batch_report(
     event_time: str = "event_time",
 ) -> DataFrame:
     """One row with the next cursor, the largest record and the guards ``saturated`` and ``oversized``."""
-    sized = batch.withColumn("_bytes", F.octet_length(F.to_json(F.struct(*batch.columns))))
-    moved = next_cursor(batch, kind, cursor, sequence, event_time)
-    largest = sized.agg(F.coalesce(F.max("_bytes"), F.lit(0)).alias("largest"))
+    # The batch is read once: cursor and largest record are aggregates of one pass.
+    size = F.octet_length(F.to_json(F.struct(*batch.columns)))
+    moved = next_cursor(batch, kind, cursor, sequence, event_time, largest=F.coalesce(F.max(size), F.lit(0)))
     full = F.lit(overlap > timedelta(0)) & (F.col("rows") == F.lit(batch_size)) & ~F.col("advanced")
-    # Both sides are one-row aggregates.
-    return moved.crossJoin(largest).select(
+    return moved.select(
         "*", full.alias("saturated"), (F.col("largest") > F.lit(max_record_bytes)).alias("oversized")
     )
 
