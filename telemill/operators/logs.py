@@ -216,13 +216,11 @@ def flatten_json(document: str, levels: int | None = None, fields: int | None =
 
 
 def last_wins(entries: str) -> str:
-    """Map of ``struct<name, text>`` entries in which the last of equal names stays."""
-    return let(
-        "es",
-        entries,
-        "map_from_entries(transform(filter(transform(es, (e, i) -> named_struct('e', e, 'i', i)), "
-        "x -> NOT exists(slice(es, x.i + 2, size(es)), y -> y.name = x.e.name)), x -> struct(x.e.name, x.e.text)))",
-    )
+    """Map of ``struct<name, text>`` entries in which the last of equal names stays.
+
+    The session's LAST_WIN policy (``session.configure``) decides, in one pass over any number of entries.
+    """
+    return f"map_from_entries(transform({entries}, e -> struct(e.name, e.text)))"
 
 
 def pair_pattern(separator: str) -> str:

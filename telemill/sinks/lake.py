@@ -40,16 +40,22 @@ def flatten_for_analytics(df: DataFrame, event: str = "event") -> DataFrame:
     return df.filter(F.col(f"{event}.schemaVersion") == SCHEMA_VERSION).select(*columns, F.to_json(event).alias("RawEnvelope"))
 
 
+#: Parts of a day of one stream.
+FILES = 8
+
+
 def stream_of(action: str = "action") -> str:
     """Lake stream of a decision."""
     return f"CASE WHEN {action} IN ('accept', 'redactAndAccept') THEN 'accepted' WHEN {action} = 'reject' THEN 'rejected' ELSE 'quarantined' END"
 
 
-def write_streams(processed: DataFrame, base: str, batch_id: int | None = None) -> None:
+def write_streams(processed: DataFrame, base: str, batch_id: int | None = None, files: int = FILES) -> None:
     """Writes processed rows as Parquet, partitioned by stream and event date.
 
     One write with a partition column serves all three streams. A micro-batch writes under its own
     ``batch`` folder and overwrites just that, so a replayed batch leaves no duplicates.
+    Rows are dealt by stream, date and ``files`` parts of the fingerprint first: a task opens the files of few
+    dates, a folder gets at most ``files`` of them, and a busy day is spread.
     """
     # VARIANT attributes are kept as JSON text.
     rows = processed.select(
@@ -62,4 +68,5 @@ def write_streams(processed: DataFrame, base: str, batch_id: int | None = None)
         F.to_json("alert").alias("alert"),
     )
     target = base if batch_id is None else f"{base.rstrip('/')}/batch={batch_id}"
-    rows.write.mode("append" if batch_id is None else "overwrite").partitionBy("stream", "event_date").parquet(target)
+    dealt = rows.repartition("stream", "event_date", F.pmod(F.xxhash64("fingerprint", "event"), F.lit(files)))
+    dealt.write.mode("append" if batch_id is None else "overwrite").partitionBy("stream", "event_date").parquet(target)
