@@ -74,6 +74,23 @@ STREAM_DEDUPE_SQL = f"""
 """
 
 
+def stream_exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order sent twice, over several batches; one ledger row per fingerprint stays."""
+    place = _place(spark, "exact")
+    rows = state_queries.ledger_of(spark, sf_dir).select("event_id", "fingerprint", "received_at")
+    arriving = _as_stream(rows.unionByName(rows), place)
+    streaming.start_exact(arriving, f"{place}/ledger", f"{place}/state", available_now=True).awaitTermination()
+    kept = spark.read.schema(rows.schema).option("basePath", f"{place}/ledger/rows").parquet(f"{place}/ledger/rows")
+    return kept.groupBy(F.element_at(F.split("fingerprint", "-"), 2).alias("status")).agg(
+        F.count("*").alias("n"), F.count_distinct("fingerprint").alias("fingerprints")
+    )
+
+
+STREAM_EXACT_SQL = f"""
+    WITH {state_queries.L} SELECT split_part(fingerprint, '-', 2) AS status, count(DISTINCT fingerprint) AS n, count(DISTINCT fingerprint) AS fingerprints FROM l GROUP BY 1
+"""
+
+
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted events sent twice through the rules; one alert per rule and event."""
     place = _place(spark, "alerts")
@@ -156,6 +173,7 @@ def build() -> dict:
     return {
         "stream_ingest": (stream_ingest, STREAM_INGEST_SQL),
         "stream_dedupe": (stream_dedupe, STREAM_DEDUPE_SQL),
+        "stream_exact_dedupe": (stream_exact_dedupe, STREAM_EXACT_SQL),
         "stream_alerts": (stream_alerts, STREAM_ALERTS_SQL),
         "stream_ledger": (stream_ledger, STREAM_LEDGER_SQL),
         "stream_fleet": (stream_fleet, STREAM_FLEET_SQL),
