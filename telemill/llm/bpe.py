@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from telemill.llm.common import keyed, steps
 
 #: Distinct pieces a Python worker remembers; beyond it the memory is emptied and fills again.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 #: White space as Unicode defines it; Python's own split also takes the four separators below.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
