@@ -305,41 +305,56 @@ def decontaminate(
 
     A span is removed when it reaches the length limit (``window`` words) or covers a whole shorter item.
     A row more than ``max_coverage`` of whose words are hit goes altogether. Clean rows, null texts and
-    further columns are untouched. The text travels with its row, so nothing is joined or shuffled.
+    further columns are untouched. The text travels with its row, so nothing is joined or shuffled. With
+    several automata the uncut text and the hits so far go from pass to pass; coverage is tested and spans
+    are cut once, after the last, so the result does not depend on how the items are dealt.
     """
     context = df.sparkSession.sparkContext
-    state, columns = df, df.columns
-    for number, part in enumerate(automata(items, item_id, item_text, window)):
-        shared = context.broadcast(part)
-        place = columns.index(text_col)
-        if number:
-            state = saved(state)
+    columns, name = df.columns, "_hits"
+    while name in (c.lower() for c in columns):
+        name += "_"
+    place, last = columns.index(text_col), len(columns)
+    parts = automata(items, item_id, item_text, window)
+    if not parts:
+        return df
+    state = df.select("*", F.expr("cast(array() AS array<struct<start:long,end:long>>)").alias(name))
+    for number, part in enumerate(parts):
+        shared, carry = context.broadcast(part), number < len(parts) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
-            none = pa.array([[]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, carry=carry) -> Iterator[pa.RecordBatch]:
             nothing = pa.array([[]], pa.list_(pa.int64()))
             for batch in steps(batches, place):
                 n = batch.num_rows
-                index = pa.array(np.zeros(n, np.int64))
                 # The row number stands in for the id, which may be null or repeated.
                 asked = pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n)), batch.column(place), none.take(index), nothing.take(index)],
+                    [pa.array(np.arange(n)), batch.column(place), batch.column(last), nothing.take(pa.array(np.zeros(n, np.int64)))],
                     ["id", "text", "hits", "items"],
                 )
-                texts, keep = batch.column(place).to_pylist(), np.ones(n, bool)
-                changed = False
                 for found in _scan(shared, iter([asked]), False):
-                    for row, words, hits in zip(*(found.column(i).to_pylist() for i in (0, 1, 2))):
-                        if hits:
-                            spans = [(x["start"], x["end"]) for x in hits]
-                            keep[row] = sum(b - a for a, b in spans) <= max_coverage * words
-                            texts[row] = cut_words(texts[row], spans)
-                            changed = True
-                if changed:
-                    arrays = list(batch.columns)
-                    arrays[place] = pa.array(texts, batch.schema.field(place).type)
-                    batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep))
-                yield batch
-
-        state = state.mapInArrow(run, df.schema)
+                    first = found.column(0)[0].as_py()
+                    part = batch.slice(first, found.num_rows)
+                    arrays = list(part.columns)
+                    if carry:
+                        arrays[last] = found.column(2).cast(part.schema.field(last).type)
+                        yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+                    else:
+                        yield _without_hits(part, found, place, last, max_coverage)
+
+        if number:
+            state = saved(state)
+        state = state.mapInArrow(run, state.schema if carry else df.schema)
     return state
+
+
+def _without_hits(batch: pa.RecordBatch, found: pa.RecordBatch, place: int, last: int, max_coverage: float) -> pa.RecordBatch:
+    """The first ``last`` columns of a batch with the hits cut out of the texts, less the rows that are mostly hits."""
+    texts, keep = batch.column(place).to_pylist(), np.ones(batch.num_rows, bool)
+    for row, (words, hits) in enumerate(zip(found.column(1).to_pylist(), found.column(2).to_pylist())):
+        if hits:
+            spans = [(x["start"], x["end"]) for x in hits]
+            keep[row] = sum(b - a for a, b in spans) <= max_coverage * words
+            texts[row] = cut_words(texts[row], spans)
+    arrays = batch.columns[:last]
+    arrays[place] = pa.array(texts, batch.schema.field(place).type)
+    schema = pa.schema([batch.schema.field(i) for i in range(last)])
+    return pa.RecordBatch.from_arrays(arrays, schema=schema).filter(pa.array(keep))

@@ -60,6 +60,29 @@ def test_decontaminate_cuts_spans(spark):
     assert got == {1: f"{clean}(), {clean}", 3: None, 4: "q0 q1", None: f"{clean} "}
 
 
+@pytest.mark.parametrize("bound", [decontaminate.AUTOMATON_WORDS, 40])
+def test_decontaminate_does_not_depend_on_shards(spark, monkeypatch, bound):
+    """Spans of different automata overlap, meet and add up to the limit."""
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", bound)
+    rnd = random.Random(8)
+    letters = [f"w{i}" for i in range(60)]
+    items = {i: " ".join(letters[i : i + 12]) for i in range(0, 48, 6)}
+    items |= {100 + i: " ".join(f"x{i}y{k}" for k in range(12)) for i in range(6)}
+    rows = [(i, " ".join([*(f"c{i}a{k}" for k in range(rnd.randrange(40))), *letters[rnd.randrange(40) :], f"c{i}end"])) for i in range(40)]
+    rows += [(i, " ".join([items[100 + i % 6], items[100 + (i + 1) % 6], *(["c"] * (i - 80))])) for i in range(80, 100)]
+    # A cut between them must not join the ends of an item.
+    rows.append((200, " ".join(items[100].split()[:6] + items[101].split() + items[100].split()[6:])))
+    want = {}
+    for doc, text in rows:
+        n, hit, _ = brute.contamination(text, items)
+        if len(hit) <= 0.8 * n:
+            want[doc] = decontaminate.cut_words(text, decontaminate.merged([(i, i + 1) for i in hit]))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontaminate.decontaminate(docs(spark, rows), bench)
+    assert found.columns == ["doc_id", "text", "id", "hits", "items"]
+    assert {r.doc_id: r.text for r in found.collect()} == want and 0 < len(want) < len(rows)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(corpus_pipeline.TOKENIZER)
