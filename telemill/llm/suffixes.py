@@ -25,6 +25,8 @@ ARRAY_BYTES = 1 << 19
 HASH_BYTES = 1 << 20
 #: Groups of more texts are dealt further, by the ends of their strings.
 GROUP_UNITS = 4096
+#: Strings of crowded groups that one step of a task holds, to send equal ones once.
+STEP_STRINGS = 1 << 17
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LOW24 = np.uint64((1 << 24) - 1)
@@ -273,10 +275,15 @@ def _settle(frame: pd.DataFrame, group_units: int) -> pd.DataFrame:
 _TEXTS = "part long, id long, start long, count long, text binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the ranges of each text; strings of crowded groups one by one, under a part of their own."""
+def _cut(batches: Iterator[pa.RecordBatch], length: int, step_strings: int = STEP_STRINGS) -> Iterator[pa.RecordBatch]:
+    """The bytes of the ranges of each text; strings of crowded groups one by one, under a part of their own.
+
+    Of equal strings of a step only the earliest is sent with its bytes, the others as ranges without any.
+    """
     unpack = zstandard.ZstdDecompressor().decompress
     tail = length - 1
+    first: dict[bytes, tuple[int, int, int]] = {}
+    later: list[tuple[int, int]] = []
     for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
         rows: list[tuple] = []
         size = 0
@@ -286,17 +293,44 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 a, n = r["start"], r["count"]
                 if r["kind"] == COMPARE:
                     rows.append((r["part"], doc, a, n, text[a : a + n + tail]))
-                else:
-                    for i in range(a, a + n):
-                        window = text[i : i + length]
-                        part = xxhash.xxh3_64_intdigest(window[:16] + window[-16:], seed=r["part"] & 0xFFFFFFFF) >> 1
-                        rows.append((part, doc, i, 1, window))
-                size += (n + tail) * (1 if r["kind"] == COMPARE else n)
+                    size += n + tail
+                    continue
+                # Rows that share an id have each other's ranges, which may reach beyond a text.
+                for i in range(a, min(a + n, len(text) - tail)):
+                    window = text[i : i + length]
+                    old = first.get(window)
+                    if old is None:
+                        first[window] = (doc, i, r["part"])
+                    elif old[:2] <= (doc, i):
+                        later.append((doc, i))
+                    else:
+                        first[window] = (doc, i, r["part"])
+                        later.append(old[:2])
+                if len(first) + len(later) >= step_strings:
+                    yield _packed(_strings(first, later))
+                    first, later = {}, []
             if size > STEP_BYTES:
                 yield _packed(rows)
                 rows, size = [], 0
         if rows:
             yield _packed(rows)
+    if first:
+        yield _packed(_strings(first, later))
+
+
+def _strings(first: dict[bytes, tuple[int, int, int]], later: list[tuple[int, int]]) -> list[tuple]:
+    """Rows of the earliest strings, and of the others as ranges that any array may pass on."""
+    rows = []
+    for window, (doc, at, group) in first.items():
+        part = xxhash.xxh3_64_intdigest(window[:16] + window[-16:], seed=group & 0xFFFFFFFF) >> 1
+        rows.append((part, doc, at, 1, window))
+    runs: list[list[int]] = []
+    for doc, at in sorted(later):
+        if runs and runs[-1][0] == doc and runs[-1][1] + runs[-1][2] == at:
+            runs[-1][2] += 1
+        else:
+            runs.append([doc, at, 1])
+    return rows + [(xxhash.xxh3_64_intdigest(b"%d %d" % (doc, at)) >> 1, doc, at, n, None) for doc, at, n in runs]
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -305,17 +339,34 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _compare(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """The strings of one bucket's texts that start earlier, as ranges."""
-    texts = [bytes(x) for x in frame.text]
+    """The strings of one bucket's texts that start earlier, as ranges. Equal texts reach the suffix array once."""
+    texts = frame.text.tolist()
     ids, starts, counts = (frame[c].to_numpy(np.int64) for c in ("id", "start", "count"))
+    seen: set[bytes] = set()
+    own, later = [], []
+    for i in np.lexsort((starts, ids)).tolist():
+        text = texts[i]
+        # A text without bytes is known to stand earlier.
+        if text is None or text in seen:
+            later.append(i)
+            continue
+        own.append(i)
+        if len(text) == counts[i] + length - 1:
+            seen.add(text)
+    known = pd.DataFrame({"id": ids[later], "start": starts[later], "count": counts[later]}).astype("int64")
+    texts = [bytes(texts[i]) for i in own]
+    ids, starts, counts = ids[own], starts[own], counts[own]
+    if len(texts) < 2 and counts.sum() < 2:
+        return known
     owner, offset = later_windows(texts, counts, ids, starts, length)
     order = np.lexsort((offset, owner))
     owner, offset = owner[order], offset[order]
     if not len(owner):
-        return pd.DataFrame({"id": [], "start": [], "count": []}).astype("int64")
+        return known
     new = np.r_[True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)]
     head = np.flatnonzero(new)
-    return pd.DataFrame({"id": ids[owner[head]], "start": starts[owner[head]] + offset[head], "count": np.diff(np.r_[head, len(owner)])})
+    found = {"id": ids[owner[head]], "start": starts[owner[head]] + offset[head], "count": np.diff(np.r_[head, len(owner)])}
+    return pd.concat([known, pd.DataFrame(found)])
 
 
 def packed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -346,7 +397,10 @@ def later_strings(
        neighbours that agree in ``length`` bytes are equal strings, of which the earliest stays.
 
     A group of more than ``group_units`` different units is dealt further by the first and last bytes of its
-    strings, so that no bucket is unbounded. Both steps are exact but for digests of 64 bits within a group.
+    strings. Of equal strings of these each step of a task sends one, and an array holds it once, so a bucket
+    grows with the number of steps and not with the copies. What is not bounded: the units of one group,
+    some 29 bytes each, are settled in one task, and strings that differ but share both ends are one part.
+    Both steps are exact but for digests of 64 bits within a group.
     """
     spark = df.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,6 +6,8 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,33 @@ def test_substring_repeats(spark, seed, length, group_units):
     assert got == brute.substring_repeats(rows, length)
 
 
+def test_equal_strings_of_a_crowded_group_are_sent_and_sorted_once(monkeypatch):
+    """A passage behind different text in many documents."""
+    passage = bytes(range(60, 95))
+    pack = suffixes.zstandard.ZstdCompressor().compress
+    rows = [(doc, pack(b"%03d" % doc + passage), [{"start": 0, "count": 19, "kind": suffixes.DEAL, "part": 5}]) for doc in range(300)]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("count", pa.int64()), ("kind", pa.int32()), ("part", pa.int64())]))
+    columns = [pa.array(c, t) for c, t in zip(zip(*reversed(rows)), (pa.int64(), pa.binary(), kind))]
+    cut = list(suffixes._cut(iter([pa.RecordBatch.from_arrays(columns, ["id", "packed", "ranges"])]), 20))
+    sent = pa.Table.from_batches(cut).to_pandas()
+    # 16 strings of the passage; before it three, two or one digit.
+    distinct = 16 + 300 + 100 + 10
+    assert sent.text.notna().sum() == distinct
+    sorted_texts = []
+    later = suffixes.later_windows
+    monkeypatch.setattr(suffixes, "later_windows", lambda texts, *rest: sorted_texts.extend(texts) or later(texts, *rest))
+    again = sent.assign(id=sent.id + 1000)
+    found = suffixes._compare(pd.concat([again, sent]), 20)
+    assert len(sorted_texts) == len(set(sorted_texts)) == distinct
+    got = sorted((r.id, i) for r in found.itertuples() for i in range(r.start, r.start + r.count))
+    strings = [(d, i, (b"%03d" % (d % 1000) + passage)[i : i + 20]) for d in [*range(300), *range(1000, 1300)] for i in range(19)]
+    seen, want = set(), []
+    for d, i, string in strings:
+        want += [(d, i)] if string in seen else []
+        seen.add(string)
+    assert got == want
+
+
 def test_suffix_ranks():
     rnd = random.Random(5)
     for n in (1, 2, 3, 4, 5, 6, 7, 30, 301):
