@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -40,6 +41,12 @@ _MARKS = frozenset(
     " toolbar login search".split()
 )
 _HEADERS = frozenset(("header", "heading-bar", "pageheader", "siteheader"))
+_REMARKS = frozenset(("comment", "comments", "reply"))
+# Words beside a mark that do not make a name another thing: ``site-footer``, but not ``has-sidebar`` or ``social-policy``.
+_NEUTRAL = frozenset(
+    "site page main top bottom left right primary secondary global list box area section container wrapper wrap inner bar"
+    " block item items link links button buttons form post posts entry article articles story stories body".split()
+)
 #: A start tag closes open elements of these kinds.
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -56,6 +63,13 @@ _DIGITS = re.compile(r"\d+")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+@lru_cache(1 << 14)
+def _marked(name: str, marks: frozenset) -> bool:
+    """Whether a whole class or id names one of the marks: alone, or among neutral words and other marks."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return bool(words & marks) and words <= marks | _MARKS | _NEUTRAL
+
+
 def host_of(url: str | None) -> str:
     """The host of a URL in lower case; empty if there is none."""
     found = _HOST.match(url or "")
@@ -66,15 +80,49 @@ class Page:
     """The blocks of text of one page and the elements around them.
 
     ``parent``, ``tag``, ``path`` and ``dropped`` describe elements by number, 0 being the page; ``blocks``
-    are (element, text, characters inside links) in page order.
+    are (element, text, characters inside links) in page order. An element that its class or id names as
+    something else than the article (``named``) is dropped when the page is known as a whole.
     """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.path, self.dropped, self.article = [-1], [""], [""], [False], [False]
+        self.named, self.holds = [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._text, self._linked, self._link = [0], [], 0, 0
         self._read(source)
         self._flush()
+        self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Drops what is named as something else, unless it holds the main element, articles or most of the text.
+
+        Text is weighed inside main elements and articles, if they have any. Articles inside an article count
+        by their text only.
+        """
+        if not any(self.named):
+            return
+        size = len(self.parent)
+        core = list(self.holds)
+        within, articles = list(self.holds), [False] * size
+        for x in range(1, size):
+            up = self.parent[x]
+            core[x] = core[x] or core[up]
+            articles[x] = articles[up] or self.holds[x] and self.tag[x] != "main"
+        total, inner = [0] * size, [0] * size
+        for element, text, _ in self.blocks:
+            total[element] += len(text)
+            inner[element] += len(text) if core[element] else 0
+        for x in range(size - 1, 0, -1):
+            up = self.parent[x]
+            total[up] += total[x]
+            inner[up] += inner[x]
+            within[up] = within[up] or within[x]
+        weight = inner if inner[0] else total
+        for x in range(1, size):
+            up = self.parent[x]
+            wrapper = within[x] and not articles[up] or 2 * weight[x] > weight[0]
+            self.dropped[x] = self.dropped[x] or self.dropped[up] or self.named[x] and not wrapper
+        self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
 
     def _flush(self) -> None:
         if self._text:
@@ -139,7 +187,7 @@ class Page:
             self._pop(("p",), frozenset(("table", "ul", "ol", "dl", "div", "section", "article", "main", "blockquote", "td", "th", "li")))
         top = self._stack[-1]
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)} if attributes.strip() else {}
-        marks = {w.lower() for w in _WORDS.findall(f"{named.get('class', '')} {named.get('id', '')}")}
+        names = f"{named.get('class', '')} {named.get('id', '')}".split()
         classes = ".".join(sorted({_DIGITS.sub("#", c) for c in named.get("class", "").lower().split()}))
         number = len(self.parent)
         main = name in ("article", "main") or named.get("role", "").lower() in ("main", "article")
@@ -150,12 +198,18 @@ class Page:
             or "hidden" in named
             or _HIDDEN.search(named.get("style", "")) is not None
             or named.get("role", "").lower() in _ROLES
-            or (name not in ("html", "body") and not main and bool(marks & _MARKS))
-            or (not inside and not main and name not in ("html", "body") and (name == "header" or bool(marks & _HEADERS)))
+            or (not inside and not main and name == "header")
         )
-        # A reader's comment may be an article of its own.
-        if main and inside and marks & {"comment", "comments", "reply"}:
-            dropped = True
+        if main:
+            # A reader's comment may be an article of its own.
+            other = inside and any(_marked(n, _REMARKS) for n in names)
+        else:
+            other = name not in ("html", "body") and any(
+                _marked(n, _MARKS) or not inside and _marked(n, _HEADERS) for n in names
+            )
+        self.named.append(other)
+        # Comments are articles that hold no article.
+        self.holds.append(main and not dropped and not any(_marked(n, _REMARKS) for n in names))
         self.parent.append(top)
         self.tag.append(name)
         path = f"{self.path[top]}/{name}{'.' + classes if classes else ''}"
@@ -257,7 +311,8 @@ def extract(
     page votes for the path of its best one: tags and classes from the root, digits generalised. Votes are
     counted per host. Then every page is read again and the blocks below the host's winning path are taken;
     a page that has none of the host's paths falls back to its own best container. Menus, headers, footers,
-    sidebars, notices, adverts, forms, comments, scripts and styles are left out in both steps.
+    sidebars, notices, adverts, forms, comments, scripts and styles are left out in both steps. A class or id
+    counts as a whole, and never for an element that holds the main element, articles or most of the text.
 
     A null page is empty, pages without a host vote together, repeated rows stay, an empty table gives no
     row. The table of winning paths has one short row per host and is written before it is joined, so Spark

@@ -205,6 +205,23 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "no-sidebar", "content-with-comments", "social-policy", "sidebar-left", "widget", "page-header"])
+@pytest.mark.parametrize("inner", ["main", "article", "div"])
+def test_html_keeps_a_wrapper_named_after_a_part(name, inner):
+    """Whatever the wrapper is called; the parts themselves stay out."""
+    part = "<div class='sidebar'><p>beside</p></div><div id='site-footer'><p>below</p></div>"
+    article = f"<p>{'Words of the article. ' * 9}</p>"
+    source = f"<body><div class='{name}'><{inner} class='post'>{article}<div class='related-posts'><article>More</article></div></{inner}>{part}</div></body>"
+    for wrapped in (source, source.replace("<body>", "<body><main>").replace("</body>", "</main></body>")):
+        page = html.Page(wrapped)
+        assert ("Words of the article. " * 9).strip() in page.text(())
+        assert not {"beside", "below"} & {text for _, text, _ in page.blocks}
+        assert "Words" in page.text((page.path[page.best()],))
+    comments = f"<body><article>Short.</article><div class='comments'><p>{'Long remark. ' * 30}</p></div></body>"
+    assert [text for _, text, _ in html.Page(comments).blocks] == ["Short."]
+    assert html.Page("<body><main><article class='post no-comments'><p>Kept</p></article></main></body>").text(()) == "Kept"
+
+
 def test_html_uses_the_hosts_path(spark):
     """A page whose best container is another follows its host."""
     usual = "<body><div class='main'><p>{}</p></div><div class='extra'><p>{}</p></div></body>"
