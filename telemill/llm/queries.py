@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, embeddings, html, licenses, lines, simhash, suffixes, toxicity, warc
+from telemill.llm import bpe, decontaminate, embeddings, html, licenses, lines, mixing, simhash, suffixes, toxicity, warc
 from telemill.llm.common import table
 from telemill.session import shared_dir
 
@@ -176,6 +176,12 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document gives to a mix of all sources."""
+    given = mixing.mix(table(spark, sf_dir, "documents"))[1]
+    return given.withColumnRenamed("id", "doc_id").drop("source")
+
+
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     return {
@@ -189,5 +195,6 @@ def build() -> dict:
         "op8_line_dedup": (line_repeats, LINE_REPEATS_SQL),
         "op9_bpe": (bpe_round_trip, None),
         "op10_license_scan": (license_scan, licenses.scan_sql()),
+        "op12_source_mix": (source_mix, mixing.MIX_SQL),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
