@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, decontaminate, embeddings, html, licenses, lines, mixing, simhash, suffixes, toxicity, warc
+from telemill.llm import (
+    bpe,
+    codes,
+    decontaminate,
+    embeddings,
+    html,
+    licenses,
+    lines,
+    mixing,
+    negatives,
+    simhash,
+    suffixes,
+    toxicity,
+    warc,
+)
 from telemill.llm.common import table
 from telemill.session import shared_dir
 
@@ -176,6 +190,22 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector and its error."""
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_errors(found).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(codes.books_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector, with the labels of every seventh moved on."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("id") % 50 == 0)
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document gives to a mix of all sources."""
     given = mixing.mix(table(spark, sf_dir, "documents"))[1]
@@ -195,6 +225,8 @@ def build() -> dict:
         "op8_line_dedup": (line_repeats, LINE_REPEATS_SQL),
         "op9_bpe": (bpe_round_trip, None),
         "op10_license_scan": (license_scan, licenses.scan_sql()),
+        "op11_vector_codes": (vector_codes, codes.CODES_SQL),
         "op12_source_mix": (source_mix, mixing.MIX_SQL),
+        "op13_hard_negatives": (hard_negatives, negatives.NEGATIVES_SQL),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }

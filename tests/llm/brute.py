@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import xxhash
@@ -70,3 +71,53 @@ def contamination(text: str | None, items: dict[int, str], window: int = 10) ->
                 hit |= set(range(i, i + size))
                 named.add(item)
     return len(doc), hit, named
+
+
+def codes(rows: dict[int, list[float]], entries: int, rounds: int, parts: int = 4, scale: int = 1024):
+    """Codes and errors by comparing every part with every entry, and the books."""
+    ints = {k: [math.floor(scale * x) for x in v] for k, v in rows.items()}
+    size = len(next(iter(ints.values()))) // parts
+    cut = {k: [v[p * size : (p + 1) * size] for p in range(parts)] for k, v in ints.items()}
+    books = [[list(cut[k][p]) for k in sorted(cut)[:entries]] for p in range(parts)]
+
+    def nearest(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, e)), i) for i, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            members: dict[int, list] = {}
+            for k in cut:
+                members.setdefault(nearest(cut[k][p], book)[1], []).append(cut[k][p])
+            for i, group in members.items():
+                book[i] = [sum(x) // len(group) for x in zip(*group)]
+    found = {k: [nearest(v[p], books[p]) for p in range(parts)] for k, v in cut.items()}
+    return {k: (bytes(i for _, i in f), sum(d for d, _ in f)) for k, f in found.items()}, books
+
+
+def mix_targets(sizes: dict, weights: tuple, share: float, repeats: int) -> dict:
+    """Target of each source by sharing again until none is above."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    capped: set = set()
+    while True:
+        rest = share * sum(sizes.values()) - sum(repeats * sizes[s] for s in capped)
+        open_weight = sum(weight[s] for s in names if s not in capped)
+        target = {s: repeats * sizes[s] if s in capped else rest * weight[s] / open_weight for s in names}
+        above = {s for s in names if target[s] > repeats * sizes[s]}
+        if not above:
+            return target
+        capped |= above
+
+
+def hard_negatives(rows: list[tuple], anchors, positives: int, negatives: int, scale: int = 256) -> set[tuple]:
+    """Rows ``(id, label, vector)`` compared one by one."""
+    ints = [(i, label, [math.floor(scale * x) for x in v]) for i, label, v in rows]
+    out = set()
+    for a, label, vector in ints:
+        if not anchors(a):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(vector, v)), i, other) for i, other, v in ints if i != a)
+        for p_score, p, _ in [x for x in scored if x[2] == label][:positives]:
+            inside = [x for x in scored if x[2] != label and 50 * -p_score <= 100 * -x[0] <= 95 * -p_score]
+            out |= {(a, p, n + 1, i, -p_score, -s) for n, (s, i, _) in enumerate(inside[:negatives])}
+    return out
