@@ -149,36 +149,18 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which lines of every document stand earlier, by their original offsets, and what is left of the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_chars"))
-    spans = F.transform("_line_removed", lambda x: F.concat_ws("-", x["start"], x["end"]))
-    size = F.aggregate("_line_removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    """What repeats in every document, by its original offsets, and what is left of the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_chars_in"))
+    spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"]))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    none, zero = F.lit(""), F.lit(0)
     return lines.remove_repeats(docs).select(
-        "doc_id", F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars"),
-        F.coalesce(F.size("_line_removed").cast("long"), F.lit(0)).alias("n_removed"),
-        F.coalesce(size, F.lit(0)).alias("removed_chars"), F.coalesce(F.concat_ws(",", spans), F.lit("")).alias("spans"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        "doc_id", F.coalesce(F.length("text").cast("long"), zero).alias("n_chars"), F.coalesce("n_chars_in", zero).alias("n_chars_in"),
+        F.coalesce(F.size("removed").cast("long"), zero).alias("n_removed"), F.coalesce(size, zero).alias("removed_chars"),
+        F.coalesce(F.concat_ws(",", spans), none).alias("spans"), F.sha2(F.coalesce("text", none), 256).alias("kept_sha256"),
     )
 
 
-LINE_REPEATS_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, line, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS pos,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-),
-r AS (
-  SELECT *, len(string_split(unit, ' ')) >= 5
-    AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS gone FROM l
-)
-SELECT doc_id, CAST(sum(len(line) + 1) - 1 AS BIGINT) AS n_chars, count_if(gone)::BIGINT AS n_removed,
-  CAST(coalesce(sum(len(line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
-  coalesce(string_agg(CAST(pos AS BIGINT) || '-' || CAST(pos + len(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS spans,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
-"""
-
-
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -222,7 +204,7 @@ def build() -> dict:
         "op5_decontamination": (decontamination, DECONTAMINATION_SQL),
         "op6_toxicity": (toxicity_scores, None),
         "op7_simhash": (simhash_near_duplicates, None),
-        "op8_line_dedup": (line_repeats, LINE_REPEATS_SQL),
+        "op8_line_dedup": (line_repeats, lines.LINE_REPEATS_SQL),
         "op9_bpe": (bpe_round_trip, None),
         "op10_license_scan": (license_scan, licenses.scan_sql()),
         "op11_vector_codes": (vector_codes, codes.CODES_SQL),

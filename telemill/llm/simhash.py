@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.common import keyed, saved, steps, utf8, written
+from telemill.llm.common import free, keyed, saved, steps, utf8, written
 from telemill.llm.components import components
 
 BITS = 64
@@ -123,5 +123,158 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     found = near_duplicates(df, id_col, text_col, words, distance)
     # No loss may follow from a null id, so the ids to remove are looked up, not those to keep.
     # They are written, so that Spark knows their size: texts are shuffled only if they are many.
-    gone = written(found.where("component_id <> id").select(F.col("id").alias("_gone")).distinct())
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    key = free(df, "gone")
+    gone = written(found.where("component_id <> id").select(F.col("id").alias(key)).distinct())
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
+
+
+#: Bits of a fingerprint of words, cut into segments that are keys of their own, and bits that may differ in the
+#: first 128, which tell false matches apart before texts are compared.
+WORD_BITS, WORD_SEGMENT, WORD_DISTANCE = 504, 24, 32
+#: Words of a shingle, and the least Jaccard similarity of near copies.
+SHINGLE, LEAST = 5, 0.8
+
+_MIX = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_fingerprint(words: set[bytes]) -> np.ndarray:
+    """The SimHash of a set of words as 64 bytes: bit b is 1 if it is set in over half the words' hashes."""
+    first = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64)
+    # Eight hashes from one.
+    mixed = first[:, None] + _MIX[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    mixed ^= mixed >> np.uint64(31)
+    bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
+    return np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(words))
+
+
+def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The different shingles of a text as hashes; a text of fewer words is one shingle, one of none has none."""
+    if not words:
+        return np.zeros(0, np.int64)
+    line = b" ".join(words)
+    ends = list(accumulate([len(w) + 1 for w in words]))
+    starts = [0, *ends]
+    digest = xxhash.xxh3_64_digest
+    found = {digest(line[a : b - 1]) for a, b in zip(starts, ends[size - 1 :] or ends[-1:])}
+    return np.frombuffer(b"".join(found), ">i8").astype(np.int64)
+
+
+def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, t1, t2, f1, f2, keys``: digest of the words in order, 128 bits of the fingerprint, its segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1):
+            texts, prints = [], []
+            for text in utf8(batch.column(1)):
+                words = text.lower().split()
+                texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                prints.append(word_fingerprint(set(words)) if words else np.zeros(64, np.uint8))
+            rows = np.array(prints, np.uint8).reshape(-1, 64)
+            halves = np.frombuffer(b"".join(texts), ">i8").astype(np.int64).reshape(-1, 2)
+            first = rows[:, :16].copy().view(">i8").astype(np.int64)
+            parts = rows[:, : WORD_BITS // 8].reshape(len(rows), -1, WORD_SEGMENT // 8).astype(np.int64)
+            values = (parts[:, :, 0] << 16) + (parts[:, :, 1] << 8) + parts[:, :, 2]
+            keys = values + (np.arange(values.shape[1]) << WORD_SEGMENT)[None, :]
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]
+            columns = [halves[:, 0], halves[:, 1], first[:, 0], first[:, 1]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c) for c in columns), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
+                ["id", "t1", "t2", "f1", "f2", "keys"],
+            )
+
+    slim = keyed(df, id_col, text_col).where("id IS NOT NULL")
+    return slim.mapInArrow(run, "id long, t1 long, t2 long, f1 long, f2 long, keys array<long>")
+
+
+def _shingle_rows(df: DataFrame, size: int) -> DataFrame:
+    """``id, shingles`` of ``id, text`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1, 1 << 20):
+            sets = [shingles(t.lower().split(), size) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return df.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``u, v`` whose shingles have a Jaccard similarity of ``least`` or more, exactly."""
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    either = F.size("a") + F.size("b") - both
+    return pairs.join(left, "u").join(right, "v").where((both >= F.lit(least) * either) & (either > 0)).select("u", "v")
+
+
+def _close(distance: int):
+    differ = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
+    return differ <= distance
+
+
+def similar_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST,
+    distance: int = WORD_DISTANCE,
+) -> DataFrame:
+    """``id, component_id`` for each row with an id: the smallest id reachable over near copies.
+
+    Near copies have a Jaccard similarity of ``least`` or more over shingles of ``size`` words. Fingerprints of
+    shingles of such texts differ in up to a quarter of their bits, beyond what segments can retrieve, so the
+    fingerprints are those of the words a text has: near copies share nearly all of them. Each of the 21 segments
+    of 24 bits is a key; texts that share one, and differ in at most ``distance`` of the first 128 bits, are
+    compared by their shingles. Any two fingerprints with 20 or fewer differing bits share a segment.
+
+    Texts of equal words are one node, however many. In a segment's bucket each node is first compared with the
+    bucket's smallest only. Then those that are not in its component are compared with all others of the bucket
+    that are not in theirs: every pair of a bucket is in one component or has been compared, though a large group
+    of near copies never becomes all its pairs. Texts of no words are copies of each other. Rows that share an id
+    may be different texts; what links one of them counts for the id. An empty table gives no row.
+    """
+    rows = written(_word_rows(df, id_col, text_col))
+    # All copies have one fingerprint, so any of them serves.
+    nodes = rows.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("keys").alias("keys"))
+    nodes = written(nodes)
+    placed = nodes.select("node", "f1", "f2", F.explode("keys").alias("key"))
+    leaders = placed.groupBy("key").agg(
+        F.min("node").alias("leader"), F.min_by(F.struct("f1", "f2"), "node").alias("g"), F.count("*").alias("n")
+    )
+    leaders = written(leaders.where("n > 1").select("key", "leader", F.col("g.f1").alias("g1"), F.col("g.f2").alias("g2")))
+    star = placed.join(leaders, "key").where((F.col("node") != F.col("leader")) & _close(distance))
+    star = written(star.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
+
+    texts = keyed(df, id_col, text_col)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id")
+        sets = written(_shingle_rows(texts.join(ends, "id", "left_semi"), size))
+        return written(_similar(pairs, sets, least))
+
+    links = compared(star)
+    roots = components(links)
+    rooted = nodes.join(roots, "node", "left").select("node", "f1", "f2", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    rooted = written(rooted.join(leaders.select("key", "leader"), "key").where("node <> leader"))
+    homes = rooted.join(roots.withColumnsRenamed({"node": "leader", "root": "home"}), "leader", "left")
+    apart = homes.where(F.col("root") != F.coalesce("home", "leader")).select(
+        "key", F.col("node").alias("u"), F.col("root").alias("away"), F.col("f1").alias("g1"), F.col("f2").alias("g2")
+    )
+    rest = written(apart).join(rooted, "key").where((F.col("root") != F.col("away")) & _close(distance))
+    rest = rest.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    links = links.unionByName(compared(written(rest)))
+    roots = written(components(links))
+    named = nodes.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("id", "t1", "t2").join(named, ["t1", "t2"]).groupBy("id").agg(F.min("component_id").alias("component_id"))
+
+
+def keep_first_similar(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST,
+    distance: int = WORD_DISTANCE,
+) -> DataFrame:
+    """The rows of ``df`` with one document per group of :func:`similar_copies`: the one with the smallest id.
+
+    All columns stay. Rows with a null id are kept.
+    """
+    found = similar_copies(df, id_col, text_col, size, least, distance)
+    key = free(df, "gone")
+    gone = written(found.where("component_id <> id").select(F.col("id").alias(key)))
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")

@@ -121,3 +121,67 @@ def hard_negatives(rows: list[tuple], anchors, positives: int, negatives: int, s
             inside = [x for x in scored if x[2] != label and 50 * -p_score <= 100 * -x[0] <= 95 * -p_score]
             out |= {(a, p, n + 1, i, -p_score, -s) for n, (s, i, _) in enumerate(inside[:negatives])}
     return out
+
+
+def line_units(line: str) -> list[tuple[str, int, int]]:
+    """(normalised unit, start, end) of a line, in its code points."""
+    found = list(re.finditer(r"[\x20\x09-\x0D]*((?:[^\x20\x09-\x0D。！？]*[。！？]+|[^\x20\x09-\x0D。！？]+))[\x20\x09-\x0D]*", line))
+    size = [len(m[1].encode()) for m in found]
+    out, start = [], 0
+    for k, m in enumerate(found):
+        around = 3 * (size[k - 1] if k else 0) + 5 * size[k] + 7 * (size[k + 1] if k + 1 < len(size) else 0)
+        if k + 1 == len(found) or m[1][-1] in "。！？" or around % 8 == 0:
+            unit = " ".join(x[1] for x in found[start : k + 1]).encode().lower().decode()
+            out.append((unit, found[start].start(), m.end()))
+            start = k + 1
+    return out
+
+
+def line_repeats(rows: dict[int, str | None]) -> dict:
+    """(text left, cut stretches) of each document."""
+    seen, out = set(), {}
+    for doc in sorted(rows):
+        if rows[doc] is None:
+            out[doc] = (None, [])
+            continue
+        flat, at = [], 0
+        for number, line in enumerate(rows[doc].split("\n")):
+            flat += [[number, *u, u[0] in seen or u[0] in {f[1] for f in flat}] for u in line_units(line)]
+        seen |= {f[1] for f in flat}
+        gone = [False] * len(flat)
+        i = 0
+        while i < len(flat):
+            j = i
+            while j < len(flat) and flat[j][4] == flat[i][4]:
+                j += 1
+            if flat[i][4] and len(" ".join(f[1] for f in flat[i:j]).encode()) >= 60:
+                gone[i:j] = [True] * (j - i)
+            i = j
+        kept, cuts = [], []
+        for number, line in enumerate(rows[doc].split("\n")):
+            own = [i for i, f in enumerate(flat) if f[0] == number]
+            if own and all(flat[i][4] for i in own) and len(" ".join(flat[i][1] for i in own).encode()) >= 30:
+                for i in own:
+                    gone[i] = True
+            for i in own:
+                if gone[i]:
+                    a, z = at + flat[i][2], at + flat[i][3]
+                    if cuts and cuts[-1][0] == number and cuts[-1][2] == a:
+                        cuts[-1] = (number, cuts[-1][1], z)
+                    else:
+                        cuts.append((number, a, z))
+            if not own or not all(gone[i] for i in own):
+                kept.append("".join(line[flat[i][2] : flat[i][3]] for i in own if not gone[i]) if own else line)
+            at += len(line) + 1
+        out[doc] = ("\n".join(kept), cuts)
+    return out
+
+
+def shingles(text: str | None, size: int = 5) -> set[bytes]:
+    found = (text or "").encode().lower().split()
+    return {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))} if found else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    """Two empty sets are alike."""
+    return len(a & b) / len(a | b) if a or b else 1.0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import brute
 from telemill.llm import components, embeddings, lines, simhash, suffixes
 
+WORDS = "a of the and over into winter mountain letters yesterday nevertheless é 日本 x1 can't".split()
 DOCS = "doc_id long, text string, id long, fp long, u string"
 
 
@@ -147,6 +148,73 @@ def test_simhash_nulls_and_empty(spark):
     assert sorted(r.doc_id or 0 for r in simhash.keep_first(df).collect()) == [0, 0, 8, 8]
 
 
+def near(rnd, words: list[str], share: float) -> str:
+    """The words with a share of them changed."""
+    return " ".join(f"z{rnd.randrange(99)}" if rnd.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_copies(spark, seed):
+    """Groups of near copies, chains, exact copies, short and empty texts, against all pairs by their shingles."""
+    rnd = random.Random(seed)
+    rows: dict[int, str | None] = {}
+    for _ in range(12):
+        words = [f"{rnd.choice('abcdefgh')}{rnd.randrange(400)}" for _ in range(rnd.randrange(90, 300))]
+        for _ in range(rnd.randrange(1, 9)):
+            rows[len(rows) * 3] = near(rnd, words, rnd.choice([0, 0.01, 0.02, 0.03]))
+            if rnd.random() < 0.3:
+                # A chain drifts away from its start.
+                words = rows[max(rows)].split()
+    rows |= {1: None, 2: "", 4: " \n", 5: "a b c", 7: "A  b\nC", 8: "a b d", 10: rows[0].upper(), 11: "w " * 9000, 13: "w " * 9001}
+    got = {r.id: r.component_id for r in simhash.similar_copies(frame(spark, rows)).collect()}
+    sets = {k: brute.shingles(v) for k, v in rows.items()}
+    assert got == brute.groups(rows, lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
+    assert len(set(got.values())) < len(got) - 20
+
+
+def test_similar_copies_recall(spark):
+    """Of pairs that are just near enough, nearly all are found."""
+    rnd = random.Random(4)
+    rows, pairs = {}, []
+    while len(pairs) < 150:
+        words = [f"{rnd.choice(WORDS)}{rnd.randrange(60)}" for _ in range(rnd.randrange(80, 500))]
+        other = near(rnd, words, 0.02)
+        likeness = brute.jaccard(brute.shingles(" ".join(words)), brute.shingles(other))
+        if 0.8 <= likeness <= 0.87:
+            i = 2 * len(pairs)
+            rows[i], rows[i + 1] = " ".join(words), other
+            pairs.append(i)
+    got = {r.id: r.component_id for r in simhash.similar_copies(frame(spark, rows)).collect()}
+    assert sum(got[i + 1] == i for i in pairs) >= 0.95 * len(pairs)
+    assert all(got[i] == i for i in pairs)
+
+
+def test_similar_copies_edge_cases(spark):
+    assert simhash.similar_copies(spark.createDataFrame([], DOCS)).count() == 0
+    same = "one two three four five six seven eight nine ten"
+    rows = [(None, same), (1, same), (1, "other words here"), (2, same), (3, "Other words  here"), (None, None)]
+    df = spark.createDataFrame([(k, v, 0, 0, "") for k, v in rows], DOCS).withColumn("gone", F.lit(1))
+    kept = simhash.keep_first_similar(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, same), (1, same), (1, "other words here")]
+
+
+def test_a_large_group_of_near_copies_is_not_compared_in_pairs(spark):
+    rnd = random.Random(6)
+    words = [f"{rnd.choice(WORDS)}{rnd.randrange(60)}" for _ in range(200)]
+    rows = {i: near(rnd, words, 0.005) for i in range(400)}
+    compared = []
+    plain = simhash._similar
+    simhash._similar = lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest)
+    try:
+        got = {r.id: r.component_id for r in simhash.similar_copies(frame(spark, rows)).collect()}
+    finally:
+        simhash._similar = plain
+    sets = {k: brute.shingles(v) for k, v in rows.items()}
+    assert got == brute.groups(rows, lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
+    assert len(set(got.values())) < 5 and sum(compared) < 400 * 22
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 200)] + [(rnd.randrange(300, 500), rnd.randrange(300, 500)) for _ in range(150)]
@@ -158,34 +226,61 @@ def test_components(spark):
     assert got == want
 
 
-def test_lines(spark):
-    rows = {k: None if v is None else v.replace(" ", " w ") for k, v in texts(6, 40).items()}
-    seen, want = set(), {}
-    for doc in sorted(rows):
-        kept, gone = [], 0
-        for line in (rows[doc] or "").split("\n"):
-            unit = b" ".join(line.encode().lower().split())
-            if unit.count(b" ") + 1 >= 5 and unit:
-                if unit in seen:
-                    gone += 1
-                    continue
-                seen.add(unit)
-            kept.append(line)
-        want[doc] = (None if rows[doc] is None else "\n".join(kept), gone)
-    found = lines.remove_repeats(frame(spark, rows))
-    assert found.columns == ["doc_id", "text", "id", "fp", "u", "_line_removed"]
-    assert {r.doc_id: (r.text, len(r._line_removed or [])) for r in found.collect()} == want
-    for r in found.collect():
-        for span in r._line_removed or []:
-            assert (rows[r.doc_id].split("\n"))[span.line] == rows[r.doc_id][span.start : span.end]
+@pytest.mark.parametrize("seed", [6, 16])
+def test_lines(spark, seed):
+    """Against the rule written out, with passages inside lines, long and null texts, and marks."""
+    rnd = random.Random(seed)
+    words = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    passages = [words(40) + rnd.choice(["\n", ""]) + words(20) for _ in range(4)] + ["これは長い文です。" * 5]
+    rows = {}
+    for i in range(60):
+        rows[i * 2] = "".join(rnd.choice([words(rnd.randrange(12)), rnd.choice(passages), rnd.choice(passages).upper()]) + rnd.choice([" ", "\n", " \n\n", "\t"]) for _ in range(4))
+    rows |= {1: None, 3: "", 5: " \n ", 7: "\n".join([passages[0]] * 3), 9: words(3) + "x" * 5000, 11: rows[4]}
+    found = lines.remove_repeats(frame(spark, rows).withColumn("removed", F.lit(1)).withColumn("key", F.lit(2)))
+    assert found.columns == ["doc_id", "text", "id", "fp", "u", "removed", "key", "removed_"]
+    got = {r.doc_id: (r.text, [(s.line, s.start, s.end) for s in r.removed_ or []]) for r in found.collect()}
+    assert got == brute.line_repeats(rows)
+    assert sum(len(s) for _, s in got.values()) > 40
 
 
 def test_lines_edge_cases(spark):
     assert lines.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
-    line = "one two three four five"
-    rows = [(None, line, 0, 0, ""), (1, f"{line}\n{line.upper()}  ", 0, 0, ""), (1, f"{line}\n{line.upper()}  ", 0, 0, ""), (2, line, 0, 0, ""), (3, "a b", 0, 0, ""), (4, "a b", 0, 0, "")]
-    got = sorted((r.doc_id or 0, r.text) for r in lines.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
-    assert got == [(0, line), (1, line), (1, line), (2, ""), (3, "a b"), (4, "a b")]
+    line = "seven words that make thirty bytes long"
+    rows = [(None, line), (1, f"{line}\n{line.upper()}  "), (1, f"{line}\n{line.upper()}  "), (2, line), (3, "a b"), (4, "a b"), (5, f"a\n\n{line}"), (6, "文" * 10), (7, "文" * 10)]
+    df = spark.createDataFrame([(k, v, 0, 0, "") for k, v in rows], DOCS)
+    got = sorted((r.doc_id or 0, r.text) for r in lines.remove_repeats(df).collect())
+    assert got == [(0, line), (1, line), (1, line), (2, ""), (3, "a b"), (4, "a b"), (5, "a\n"), (6, "文" * 10), (7, "")]
+    # Texts that share an id are one document: neither repeats the other.
+    rows = [(1, "one " * 20), (1, "two " * 20), (2, "one " * 20 + "\n" + "two " * 20)]
+    got = {r.text for r in lines.remove_repeats(spark.createDataFrame([(k, v, 0, 0, "") for k, v in rows], DOCS)).collect()}
+    assert got == {"one " * 20, "two " * 20, ""}
+
+
+def test_hot_digests_meet_their_rows_once(spark):
+    rows = {i: f"the very same line stands in all of these texts\n{i} own words number {i * 7} only here" for i in range(300)}
+    every = {share: {r.id: sorted(r.found) for r in lines.repeats(frame(spark, rows), hot_share=share).collect()} for share in (2, 4096, 1 << 40)}
+    assert every[2] == every[4096] == every[1 << 40] and len(every[2]) == 299
+
+
+def test_passages_are_caught(spark):
+    """Words of passages that stand behind other words in an earlier document: nine of ten go, none of the others."""
+    rnd = random.Random(9)
+    words = lambda n: [f"{rnd.choice(WORDS)}{rnd.randrange(999)}" for _ in range(n)]
+    rows, spans = {}, {}
+    for i in range(0, 80, 2):
+        passage = words(rnd.randrange(51, 160))
+        rows[i] = " ".join(words(30) + passage + words(30))
+        head = words(rnd.randrange(40))
+        spans[i + 1] = (" ".join(head), " ".join(passage))
+        rows[i + 1] = " ".join([*head, *passage, *words(20)])
+    kept = {r.doc_id: r.text for r in lines.remove_repeats(frame(spark, rows)).collect()}
+    before = after = 0
+    for i, (head, passage) in spans.items():
+        before += len(passage.split())
+        after += len(set(passage.split()) & set(kept[i].split()))
+        assert set(head.split()) <= set(kept[i].split()) and passage not in kept[i]
+    assert after < 0.15 * before
+    assert all(kept[i] == rows[i] for i in range(0, 80, 2))
 
 
 def test_embeddings(spark):
