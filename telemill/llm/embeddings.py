@@ -202,6 +202,13 @@ def products(dealt: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("label", "size", "cell", "guest", "a", "b").applyInPandas(run, "rep long, n long, root long")
 
 
+def _named(nodes: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``rep``, a name of its own for each node: its smallest id, or a digest where other vectors have that id, too."""
+    shared = nodes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select(F.col("least").alias("again"))
+    joined = nodes.join(shared, F.col("least") == F.col("again"), "left")
+    return joined.withColumn("rep", F.when(F.col("again").isNull(), F.col("least")).otherwise(F.xxhash64(*key))).drop("again")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98,
     margin: float | None = None, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
@@ -216,21 +223,22 @@ def near_duplicates(
 
     ``component_id`` is the smallest id reachable over links, itself included; that row is ``kept``. Null,
     empty, zero and non-finite vectors, null labels and null ids link with nothing and are kept. Vectors of
-    different lengths do not link. Rows that repeat an id and vector count once. An empty table gives no row.
+    different lengths do not link. Rows that repeat an id and vector count once; vectors that share an id are judged
+    each by itself. An empty table gives no row.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * least)) if margin is None else margin
     every = saved(vectors(df, id_col, vector_col, label_col))
     key = ["label", "size", "h1", "h2"]
     distinct = every.where("vec IS NOT NULL").dropDuplicates(["id", *key])
-    nodes = saved(distinct.groupBy(key).agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("vec").alias("vec")))
+    nodes = saved(_named(distinct.groupBy(key).agg(F.min("id").alias("least"), F.count("*").alias("w"), F.first("vec").alias("vec")), key))
     placed = saved(assign(nodes, fit_cells(nodes, sample_rows, cell_rows), reach))
     found = saved(products(blocks(placed, block_rows), least))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")).where("u <> v"))
-    result = nodes.select(*key, "rep", "w").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    result = result.select(
-        *key, (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
-    )
+    result = nodes.select(*key, "rep", "least", "w").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    result = result.withColumn("root", F.coalesce("root", "rep"))
+    named = result.groupBy("root").agg(F.min("least").alias("component_id"))
+    result = result.join(named, "root").select(*key, (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
     joined = every.where("vec IS NOT NULL").select("id", *key).join(result, key).select("id", "n_links", "component_id")
     alone = every.where("vec IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -41,6 +41,8 @@ _MARKS = frozenset(
     " toolbar login search".split()
 )
 _HEADERS = frozenset(("header", "heading-bar", "pageheader", "siteheader"))
+#: Words in class and id names of a header that is the article's own.
+_OWN = frozenset("article entry post story".split())
 _REMARKS = frozenset(("comment", "comments", "reply"))
 # Words beside a mark that do not make a name another thing: ``site-footer``, but not ``has-sidebar`` or ``social-policy``.
 _NEUTRAL = frozenset(
@@ -192,20 +194,21 @@ class Page:
         number = len(self.parent)
         main = name in ("article", "main") or named.get("role", "").lower() in ("main", "article")
         inside = self.article[top]
+        own = any(w.lower() in _OWN for n in names for w in _WORDS.findall(n))
         dropped = (
             self.dropped[top]
             or name in _DROPPED
             or "hidden" in named
             or _HIDDEN.search(named.get("style", "")) is not None
             or named.get("role", "").lower() in _ROLES
-            or (not inside and not main and name == "header")
+            or (not inside and not main and not own and name == "header")
         )
         if main:
             # A reader's comment may be an article of its own.
             other = inside and any(_marked(n, _REMARKS) for n in names)
         else:
             other = name not in ("html", "body") and any(
-                _marked(n, _MARKS) or not inside and _marked(n, _HEADERS) for n in names
+                _marked(n, _MARKS) or not inside and not own and _marked(n, _HEADERS) for n in names
             )
         self.named.append(other)
         # Comments are articles that hold no article.

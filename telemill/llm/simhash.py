@@ -128,24 +128,33 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
 
 
-#: Bits of a fingerprint of words, cut into segments that are keys of their own, and bits that may differ in the
-#: first 128, which tell false matches apart before texts are compared.
-WORD_BITS, WORD_SEGMENT, WORD_DISTANCE = 504, 24, 32
+#: Bits of a fingerprint of words, cut into segments that are keys of their own.
+WORD_BITS, WORD_SEGMENT = 504, 24
 #: Words of a shingle, and the least Jaccard similarity of near copies.
 SHINGLE, LEAST = 5, 0.8
+#: Bits of a sketch of shingles, one of each of as many least hashes. Those of texts of similarity j differ in
+#: (1 - j) / 2 of the bits: 51 at 0.8, with a deviation of 7. Pairs of more differing bits than this are not compared.
+SKETCH, APART = 512, 74
+#: The same for the sketches of what is left after the turns.
+WIDE, WIDE_APART = 2048, 250
+#: Turns that compare the texts of a bucket with one of them, before the rest is compared with each other.
+TURNS = 3
 
-_MIX = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_GOLD = 0x9E3779B97F4A7C15
+
+
+def _mixed(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` hashes from each."""
+    mixed = hashes[:, None] + np.arange(1, count + 1, dtype=np.uint64)[None, :] * np.uint64(_GOLD)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(31))
 
 
 def word_fingerprint(words: set[bytes]) -> np.ndarray:
     """The SimHash of a set of words as 64 bytes: bit b is 1 if it is set in over half the words' hashes."""
     first = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64)
-    # Eight hashes from one.
-    mixed = first[:, None] + _MIX[None, :]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    mixed ^= mixed >> np.uint64(31)
-    bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
+    bits = np.unpackbits(_mixed(first, 8).astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(words))
 
 
@@ -161,31 +170,49 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.frombuffer(b"".join(found), ">i8").astype(np.int64)
 
 
-def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, t1, t2, f1, f2, keys``: digest of the words in order, 128 bits of the fingerprint, its segments."""
+_MULTIPLIERS = _mixed(np.array([7], np.uint64), WIDE)[0] | np.uint64(1)
+
+
+def sketch(found: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """One bit of each of the least hashes of a set of shingles, packed."""
+    if not len(found):
+        return np.zeros(bits // 8, np.uint8)
+    values, least = found.view(np.uint64), np.full(bits, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(values), 1024):
+        hashed = values[start : start + 1024, None] * _MULTIPLIERS[None, :bits]
+        np.minimum(least, (hashed ^ (hashed >> np.uint64(29))).min(axis=0), out=least)
+    return np.packbits((least * np.uint64(_GOLD) >> np.uint64(63)).astype(bool))
+
+
+_SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
+
+
+def _word_rows(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``id, t1, t2, s0..s7, keys``: digest of the words in order, sketch of the shingles, segments of the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
-            texts, prints = [], []
+            texts, prints, sketches = [], [], []
             for text in utf8(batch.column(1)):
                 words = text.lower().split()
                 texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 prints.append(word_fingerprint(set(words)) if words else np.zeros(64, np.uint8))
+                sketches.append(sketch(shingles(words, size)))
             rows = np.array(prints, np.uint8).reshape(-1, 64)
             halves = np.frombuffer(b"".join(texts), ">i8").astype(np.int64).reshape(-1, 2)
-            first = rows[:, :16].copy().view(">i8").astype(np.int64)
+            bits = np.array(sketches, np.uint8).reshape(-1, SKETCH // 8).view(">i8").astype(np.int64)
             parts = rows[:, : WORD_BITS // 8].reshape(len(rows), -1, WORD_SEGMENT // 8).astype(np.int64)
             values = (parts[:, :, 0] << 16) + (parts[:, :, 1] << 8) + parts[:, :, 2]
             keys = values + (np.arange(values.shape[1]) << WORD_SEGMENT)[None, :]
             ends = np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]
-            columns = [halves[:, 0], halves[:, 1], first[:, 0], first[:, 1]]
+            columns = [halves[:, 0], halves[:, 1], *bits.T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c) for c in columns), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-                ["id", "t1", "t2", "f1", "f2", "keys"],
+                [batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
+                ["id", "t1", "t2", *_SKETCH, "keys"],
             )
 
     slim = keyed(df, id_col, text_col).where("id IS NOT NULL")
-    return slim.mapInArrow(run, "id long, t1 long, t2 long, f1 long, f2 long, keys array<long>")
+    return slim.mapInArrow(run, f"id long, t1 long, t2 long, {', '.join(f'{s} long' for s in _SKETCH)}, keys array<long>")
 
 
 def _shingle_rows(df: DataFrame, size: int) -> DataFrame:
@@ -199,6 +226,17 @@ def _shingle_rows(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(run, "id long, shingles array<long>")
 
 
+def _wide_rows(df: DataFrame, size: int) -> DataFrame:
+    """``id, wide``: the wide sketch of ``id, text`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1, 1 << 20):
+            found = [sketch(shingles(t.lower().split(), size), WIDE).view(">i8").astype(np.int64) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "wide"])
+
+    return df.mapInArrow(run, "id long, wide array<long>")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs ``u, v`` whose shingles have a Jaccard similarity of ``least`` or more, exactly."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
@@ -208,73 +246,84 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where((both >= F.lit(least) * either) & (either > 0)).select("u", "v")
 
 
-def _close(distance: int):
-    differ = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    return differ <= distance
-
-
 def similar_copies(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST,
-    distance: int = WORD_DISTANCE,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, apart: int = APART
 ) -> DataFrame:
     """``id, component_id`` for each row with an id: the smallest id reachable over near copies.
 
     Near copies have a Jaccard similarity of ``least`` or more over shingles of ``size`` words. Fingerprints of
     shingles of such texts differ in up to a quarter of their bits, beyond what segments can retrieve, so the
     fingerprints are those of the words a text has: near copies share nearly all of them. Each of the 21 segments
-    of 24 bits is a key; texts that share one, and differ in at most ``distance`` of the first 128 bits, are
-    compared by their shingles. Any two fingerprints with 20 or fewer differing bits share a segment.
-
-    Texts of equal words are one node, however many. In a segment's bucket each node is first compared with the
-    bucket's smallest only. Then those that are not in its component are compared with all others of the bucket
-    that are not in theirs: every pair of a bucket is in one component or has been compared, though a large group
-    of near copies never becomes all its pairs. Texts of no words are copies of each other. Rows that share an id
-    may be different texts; what links one of them counts for the id. An empty table gives no row.
+    of 24 bits is a key, so any two fingerprints with 20 or fewer differing bits meet. Texts that share a key are
+    compared by their shingles, if sketches of these differ in at most ``apart`` of 512 bits.
+
+    Texts of equal words are one node, however many. In each turn the texts of a bucket are compared with one of
+    them, another in each turn, unless they are in its component already. What is then in other components is compared
+    with all others of the bucket: every pair of a bucket is in one component or has been looked at, though a
+    large group of near copies does not become all its pairs. Texts of no words are copies of each other. Rows that
+    share an id may be different texts; what links one of them counts for the id. An empty table gives no row.
     """
-    rows = written(_word_rows(df, id_col, text_col))
+    rows = written(_word_rows(df, id_col, text_col, size))
     # All copies have one fingerprint, so any of them serves.
-    nodes = rows.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("keys").alias("keys"))
-    nodes = written(nodes)
-    placed = nodes.select("node", "f1", "f2", F.explode("keys").alias("key"))
-    leaders = placed.groupBy("key").agg(
-        F.min("node").alias("leader"), F.min_by(F.struct("f1", "f2"), "node").alias("g"), F.count("*").alias("n")
-    )
-    leaders = written(leaders.where("n > 1").select("key", "leader", F.col("g.f1").alias("g1"), F.col("g.f2").alias("g2")))
-    star = placed.join(leaders, "key").where((F.col("node") != F.col("leader")) & _close(distance))
-    star = written(star.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
-
+    kept = [F.first(c).alias(c) for c in (*_SKETCH, "keys")]
+    nodes = rows.groupBy("t1", "t2").agg(F.min("id").alias("node"), *kept)
+    placed = nodes.select("node", *_SKETCH, F.explode("keys").alias("key"))
+    shared = written(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    placed = written(placed.join(shared, "key"))
+    names = written(nodes.select("t1", "t2", "node"))
     texts = keyed(df, id_col, text_col)
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in _SKETCH), F.lit(0))
+    other = [F.col(c).alias(f"o{c}") for c in _SKETCH]
+    none = df.sparkSession.createDataFrame([], "node long, root long")
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        """The rows of buckets whose texts are in more than one component."""
+        every = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return written(every.join(mixed, "key"))
 
     def compared(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id")
         sets = written(_shingle_rows(texts.join(ends, "id", "left_semi"), size))
         return written(_similar(pairs, sets, least))
 
-    links = compared(star)
-    roots = components(links)
-    rooted = nodes.join(roots, "node", "left").select("node", "f1", "f2", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
-    rooted = written(rooted.join(leaders.select("key", "leader"), "key").where("node <> leader"))
-    homes = rooted.join(roots.withColumnsRenamed({"node": "leader", "root": "home"}), "leader", "left")
-    apart = homes.where(F.col("root") != F.coalesce("home", "leader")).select(
-        "key", F.col("node").alias("u"), F.col("root").alias("away"), F.col("f1").alias("g1"), F.col("f2").alias("g2")
-    )
-    rest = written(apart).join(rooted, "key").where((F.col("root") != F.col("away")) & _close(distance))
-    rest = rest.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-    links = links.unionByName(compared(written(rest)))
+    links, roots = None, none
+    for turn in range(TURNS):
+        open_rows = rooted(roots)
+        one = F.min_by(F.struct("node", "root", *_SKETCH), F.xxhash64("node", F.lit(turn))).alias("o")
+        ones = open_rows.groupBy("key").agg(one).select("key", F.col("o.node").alias("u"), F.col("o.root").alias("oroot"), *(F.col(f"o.{c}").alias(f"o{c}") for c in _SKETCH))
+        star = open_rows.join(ones, "key").where((F.col("root") != F.col("oroot")) & (differ <= apart))
+        found = compared(star.select("u", F.col("node").alias("v")))
+        links = found if links is None else links.unionByName(found)
+        roots = written(components(links))
+    # The component of a bucket's first text is told from the others, whose texts meet all of the bucket.
+    open_rows = rooted(roots)
+    some = open_rows.select(F.col("node").alias("id")).distinct()
+    wide = _wide_rows(texts.join(some, "id", "left_semi"), size).withColumnRenamed("id", "node")
+    keys = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    open_rows = written(open_rows.join(keys, "node").join(wide, "node"))
+    first = open_rows.groupBy("key").agg(F.min_by("root", F.xxhash64("node", F.lit(0))).alias("home"))
+    away = open_rows.join(first, "key").where("root <> home")
+    away = written(away.select("key", F.col("node").alias("u"), F.col("root").alias("oroot"), F.col("keys").alias("okeys"), F.col("wide").alias("owide"), *other))
+    # A pair is looked at in one of the buckets it shares.
+    once = F.array_min(F.array_intersect("keys", "okeys")) == F.col("key")
+    far = F.aggregate(F.zip_with("wide", "owide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    rest = away.join(open_rows, "key").where((F.col("root") != F.col("oroot")) & (differ <= apart) & once & (far <= WIDE_APART))
+    links = links.unionByName(compared(rest.select("u", F.col("node").alias("v"))))
     roots = written(components(links))
-    named = nodes.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
+    named = names.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
     return rows.select("id", "t1", "t2").join(named, ["t1", "t2"]).groupBy("id").agg(F.min("component_id").alias("component_id"))
 
 
 def keep_first_similar(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST,
-    distance: int = WORD_DISTANCE,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, apart: int = APART
 ) -> DataFrame:
     """The rows of ``df`` with one document per group of :func:`similar_copies`: the one with the smallest id.
 
     All columns stay. Rows with a null id are kept.
     """
-    found = similar_copies(df, id_col, text_col, size, least, distance)
+    found = similar_copies(df, id_col, text_col, size, least, apart)
     key = free(df, "gone")
     gone = written(found.where("component_id <> id").select(F.col("id").alias(key)))
     return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")

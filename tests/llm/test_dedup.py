@@ -317,3 +317,11 @@ def test_embedding_copies_are_counted(spark):
     df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"), F.lit(1).alias("label"))
     got = embeddings.near_duplicates(df.union(df)).collect()
     assert len(got) == 600 and {(r.n_links, r.component_id) for r in got} == {(299, 0)}
+
+
+def test_vectors_that_share_an_id(spark):
+    """Each is judged by itself, though both have the smallest id of their group."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (4, [1.0, 0.0], 0), (5, [1.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1), (5, 0, 5)]

@@ -222,6 +222,13 @@ def test_html_keeps_a_wrapper_named_after_a_part(name, inner):
     assert html.Page("<body><main><article class='post no-comments'><p>Kept</p></article></main></body>").text(()) == "Kept"
 
 
+@pytest.mark.parametrize("name", ["post-header", "entry-header", "article-header"])
+def test_html_keeps_the_articles_own_header(name):
+    source = f"<body><header class='site-header'><h1>Site</h1></header><div class='post'><header class='{name}'><h1>Title</h1></header><p>{'Words here. ' * 20}</p></div></body>"
+    page = html.Page(source)
+    assert page.text((page.path[page.best()],)).startswith("Title\n\nWords") and "Site" not in page.text(())
+
+
 def test_html_uses_the_hosts_path(spark):
     """A page whose best container is another follows its host."""
     usual = "<body><div class='main'><p>{}</p></div><div class='extra'><p>{}</p></div></body>"
