@@ -7,7 +7,7 @@ Fragments take and return SQL text; a column name is SQL text too.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import TYPE_CHECKING
 
 if TYPE_CHECKING:
@@ -78,3 +78,44 @@ def lookup(key: str, table: Mapping[str, str], otherwise: str) -> str:
 def struct(**fields: str) -> str:
     """``named_struct`` of fragments."""
     return "named_struct(" + ", ".join(f"{lit(name)}, {value}" for name, value in fields.items()) + ")"
+
+
+#: Elements of an array that a fold takes at a time.
+CELL = 128
+
+
+def cells(values: str) -> str:
+    """The array ``values`` (a bound name) cut into arrays of :data:`CELL` elements."""
+    cut = f"transform(sequence(0, (size({values}) - 1) div {CELL}), cell -> slice({values}, cell * {CELL} + 1, {CELL}))"
+    return f"IF(size({values}) = 0, array(), {cut})"
+
+
+def scan(values: str, start: str, step: Callable[[str, str], str], kind: str) -> str:
+    """The array of states after each element, from ``start``; ``step`` takes a state and an element.
+
+    A fold that appends to its own result copies it every time, which is quadratic. Here only the results of a
+    cell are copied, and those of whole cells as references, so an array of n elements costs n * CELL steps.
+    States are of the type ``kind``.
+    """
+    none = f"cast(array() AS array<{kind}>)"
+    grown = f"named_struct('at', new, 'done', concat(acc.done, array(new)))"
+    inner = (
+        f"aggregate(cell, named_struct('at', outer.at, 'done', {none}), "
+        f"(acc, x) -> {let('new', step('acc.at', 'x'), grown)})"
+    )
+    outer = (
+        f"aggregate({cells('vals')}, named_struct('at', cast({start} AS {kind}), 'done', cast(array() AS array<array<{kind}>>)), "
+        f"(outer, cell) -> {let('part', inner, "named_struct('at', part.at, 'done', concat(outer.done, array(part.done)))")}, "
+        f"outer -> flatten(outer.done))"
+    )
+    return let("vals", values, outer)
+
+
+def prefix_sums(values: str) -> str:
+    """Sums of the whole numbers of an array up to and with each."""
+    return scan(values, "0", lambda state, x: f"cast({state} + {x} AS int)", "int")
+
+
+def prefix_maxima(values: str) -> str:
+    """The largest of the whole numbers of an array up to and with each."""
+    return scan(values, "-1", lambda state, x: f"greatest({state}, {x})", "int")

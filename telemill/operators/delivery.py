@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemill.operators.ledger import ledger_apply
+from telemill.session import stable
+
 # Back-off limits in seconds, and statuses worth another try.
 MAX_EXPONENT = 8
 MAX_DELAY = 300
@@ -64,3 +70,33 @@ def route_failures(failures: DataFrame, batch: DataFrame, now: str, jitter_seed:
         )
         .drop("_delay", "_wait")
     )
+
+
+#: What an output adapter tells about an event: acknowledged, with what, or failed, with a code.
+RESULT = "event_id string, acknowledged boolean, acknowledgement string, code string, retryable boolean, retry_after timestamp"
+Adapter = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def deliver(batch: DataFrame, adapter: Adapter) -> DataFrame:
+    """Sends the rows of a batch through an adapter, a function from record batches to results (:data:`RESULT`).
+
+    The adapter runs in the tasks, on the columns that ``batch`` has. Its results are kept before anything reads
+    them, as a second run would send again; a task that is lost does send its rows again, so a destination has to
+    know rows by their id. A row without a result is neither acknowledged nor failed: its lease runs out.
+    """
+    return stable(batch.mapInArrow(adapter, RESULT))
+
+
+def settle(ledger: DataFrame, results: DataFrame, now: str, jitter_seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ledger after the results of a delivery, and the moves that were refused.
+
+    Acknowledged rows are delivered; failed ones wait for another try or are dead-lettered, as :func:`route_failures`
+    says. Of several results of a row an acknowledgement counts.
+    """
+    one = results.groupBy("event_id").agg(F.max_by(F.struct("acknowledged", "acknowledgement", "code", "retryable", "retry_after"), "acknowledged").alias("r")).select("event_id", "r.*")
+    done = one.where("acknowledged").selectExpr("event_id", "'delivered' AS action", "cast(NULL AS timestamp) AS next_attempt_at", "cast(NULL AS string) AS failure_code", "coalesce(acknowledgement, event_id) AS acknowledgement")
+    failed = one.where("NOT acknowledged").select("event_id", F.coalesce("code", F.lit("unknown")).alias("code"), F.coalesce("retryable", F.lit(False)).alias("retryable"), "retry_after")
+    routed = route_failures(failed, ledger, now, jitter_seed)
+    lost = routed.selectExpr("event_id", "next_state AS action", "next_attempt_at", "code AS failure_code", "cast(NULL AS string) AS acknowledgement")
+    moves = done.unionByName(lost).selectExpr("event_id", "1L AS seq", "action", f"{now} AS at", "cast(NULL AS timestamp) AS lease_until", "next_attempt_at", "failure_code", "acknowledgement")
+    return ledger_apply(ledger, moves)

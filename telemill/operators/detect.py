@@ -30,7 +30,6 @@ HAYSTACK_FIELDS = {
 # Risk score by level.
 RISK_SCORES = {"informational": 10, "low": 25, "medium": 50, "high": 75, "critical": 95}
 DEFAULT_RISK = 40
-RULE_SALTS = 32
 CONDITION_WORDS = {"or", "and", "not", "1", "of", "them"}
 
 
@@ -248,38 +247,6 @@ def suppressed_rules(rules: Sequence[DetectionRule], suppressed: Iterable[str])
     return list({r.id.lower(): r.id for r in rules if r.id.lower() in skip}.values())
 
 
-def detect_with_table(df: DataFrame, clauses: DataFrame, suppressions: DataFrame | None = None, event: str = "event") -> DataFrame:
-    """Events against a rule *table* ``rule_id, level, field, value`` (a rule fires when all its fields match).
-
-    Per event each (field, value) pair that is contained gives a row; a rule fires when as many
-    distinct fields matched as it has. For rule sets too large to compile into one plan.
-
-    The join key is the field, of which there are eleven, so both sides carry a salt: should the rule
-    table be too large to broadcast, no task gets all cells of one field.
-    """
-    active = clauses if suppressions is None else clauses.join(
-        suppressions.select(F.lower("rule_id").alias("_s")).distinct(), F.lower("rule_id") == F.col("_s"), "left_anti"
-    )
-    sizes = active.groupBy("rule_id", "level").agg(F.countDistinct("field").alias("_fields"))
-    known = ", ".join(struct(field=lit(n), value=haystack_value(event, n)) for n in HAYSTACK_FIELDS)
-    cells = df.select(
-        F.col(f"{event}.eventId").alias("event_id"),
-        F.explode(F.expr(let("lbl", lowered_labels(event), f"array({known})"))).alias("c"),
-    ).select(
-        "event_id", F.col("c.field").alias("field"), F.lower("c.value").alias("cell"),
-        F.pmod(F.xxhash64("event_id"), F.lit(RULE_SALTS)).alias("_salt"),
-    )
-    salted = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)).cast("array<bigint>")))
-    # An equi join on field and salt; the containment is a residual predicate.
-    hits = cells.join(salted, ["field", "_salt"]).filter(F.expr("contains(cell, lower(value))"))
-    matched = hits.groupBy("event_id", "rule_id").agg(F.countDistinct("field").alias("_hit"))
-    return (
-        matched.join(sizes, "rule_id")
-        .filter("_hit = _fields")
-        .select("event_id", "rule_id", "level", F.expr(risk_score("level")).alias("risk_score"))
-    )
-
-
 # The rule every deployment starts with.
 AUTHENTICATION_FAILURE_RULE = DetectionRule(
     id="auth-failure-001",

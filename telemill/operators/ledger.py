@@ -64,17 +64,21 @@ def lease(due: DataFrame, now: str, duration: str) -> DataFrame:
     )
 
 
+#: Results of an attempt: the state they lead to and what they have to bring. Only *uploading* rows have results.
+RESULTS = {
+    "delivered": (DELIVERED, "acknowledgement"),
+    "retrying": (RETRYING, "failure_code"),
+    "dead-lettered": (DEAD_LETTERED, "failure_code"),
+}
 # What each transition does to the row; only *lease* may start from a state other than uploading.
 _ALLOWED = {
     "lease": (
         f"row.state = {QUEUED} OR (row.state = {RETRYING} AND (row.next_attempt_at IS NULL OR row.next_attempt_at <= t.at)) "
         f"OR (row.state = {UPLOADING} AND row.lease_until <= t.at)"
     ),
-    "delivered": f"row.state = {UPLOADING} AND coalesce(t.acknowledgement, '') <> ''",
-    "retrying": f"row.state = {UPLOADING} AND coalesce(t.failure_code, '') <> ''",
-    "dead-lettered": f"row.state = {UPLOADING} AND coalesce(t.failure_code, '') <> ''",
+    **{action: f"row.state = {UPLOADING} AND coalesce(t.{needs}, '') <> ''" for action, (_, needs) in RESULTS.items()},
 }
-_NEXT_STATE = {"lease": UPLOADING, "delivered": DELIVERED, "retrying": RETRYING, "dead-lettered": DEAD_LETTERED}
+_NEXT_STATE = {"lease": UPLOADING, **{action: to for action, (to, _) in RESULTS.items()}}
 _STATE = (
     "struct<state:int,delivery_attempts:int,lease_until:timestamp,next_attempt_at:timestamp,"
     "last_failure_code:string,acknowledgement:string,delivered_at:timestamp>"

@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemill.functions.jsonread import ISO_DATE
-from telemill.functions.sqltext import let, lit, lits, once, struct, when
+from telemill.functions.sqltext import let, lit, lits, once, opaque, struct, when
 from telemill.functions.text import ascii_key
+from telemill.operators.ordinals import running_sum
 
 MAX_PATTERN = 2048
 PREVIEW_ROWS = 20
@@ -127,10 +128,32 @@ def is_ip(value: str) -> str:
     return f"({value} RLIKE {lit(IPV4)} OR {value} RLIKE {lit(IPV6)})"
 
 
+#: Dates in other forms: a shape, what of it is parsed, and the pattern of that.
+DATE_FORMS = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", None, "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", None, "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", None, "M/d/yyyy H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", None, "yyyy/M/d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", None, "yyyy/M/d H:mm"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", None, "yyyy/M/d H:mm:ss"),
+    (r"^(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), )?\d{1,2} [A-Z][a-z]{2} \d{4}$", r"^[A-Z][a-z]{2}, ", "d MMM yyyy"),
+    (
+        r"^(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), )?\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}(?: GMT)?$",
+        r"^[A-Z][a-z]{2}, | GMT$", "d MMM yyyy HH:mm:ss",
+    ),
+)
+
+
 def is_datetime(value: str) -> str:
-    """ISO-like or common log date that can be parsed."""
-    iso = f"({value} RLIKE {lit(ISO_DATE)} AND try_cast({value} AS timestamp) IS NOT NULL)"
-    return f"({iso} OR try_to_timestamp({value}, 'MM/dd/yyyy HH:mm:ss') IS NOT NULL)"
+    """ISO-like date, or one of the common forms of :data:`DATE_FORMS`, that can be parsed; blanks around it do not count."""
+
+    def form(shape: str, dropped: str | None, pattern: str) -> str:
+        bare = "plain" if dropped is None else f"regexp_replace(plain, {lit(dropped)}, '')"
+        return f"(plain RLIKE {lit(shape)} AND try_to_timestamp({bare}, {lit(pattern)}) IS NOT NULL)"
+
+    iso = f"(plain RLIKE {lit(ISO_DATE)} AND try_cast(plain AS timestamp) IS NOT NULL)"
+    other = f"((contains(plain, '/') OR plain LIKE '% ___ %') AND ({' OR '.join(form(*f) for f in DATE_FORMS)}))"
+    return let("plain", f"trim({value})", f"({iso} OR {other})")
 
 
 def is_whole_number(value: str) -> str:
@@ -273,13 +296,14 @@ def _is_header() -> Column:
     return F.col("line_no") == F.lit(0)
 
 
-def infer_log_format(df: DataFrame) -> DataFrame:
-    """One row ``format, confidence, delimiter, separator, pattern_name`` for all lines of the input.
+def infer_log_format(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row ``lines, format, confidence, delimiter, separator, pattern_name`` for all lines, or for those of each ``by``.
 
     A format holds only if every line fits; the first that holds in the order JSON, comma, tab, semicolon,
-    ``=`` pairs, ``:`` pairs, known line patterns is taken. Null format: none holds. Delimited
-    widths are compared by their minimum and maximum, so that one aggregation with partial results
-    decides everything. Line numbers start at 0 and line 0 of each file is its header.
+    ``=`` pairs, ``:`` pairs, known line patterns is taken. Null format: none holds. A JSON line is an object or an
+    array of objects; documents over several lines are found by :func:`json_documents`. Delimited widths are
+    compared by their minimum and maximum, so that one aggregation with partial results decides everything. Line
+    numbers start at 0 and line 0 of each file is its header. Cheap shapes are tested first.
     """
     def width(delimiter: str) -> str:
         # Only a line with quotes has to be taken apart to count its cells.
@@ -294,8 +318,11 @@ def infer_log_format(df: DataFrame) -> DataFrame:
         return f"IF(line_no = 0, {let('cells', split_delimited('line', delimiter), good)}, true)"
 
     lines = with_lines(df)
-    tests = {"json": "try_variant_get(try_parse_json(line), '$', 'map<string,variant>') IS NOT NULL"}
-    aggregates = [F.count("*").alias("n"), F.expr(f"bool_and({tests['json']})").alias("json")]
+    of_objects = "forall(coalesce(try_variant_get(doc, '$', 'array<variant>'), array()), d -> try_variant_get(d, '$', 'map<string,variant>') IS NOT NULL)"
+    some = "size(coalesce(try_variant_get(doc, '$', 'array<variant>'), array())) > 0"
+    document = f"try_variant_get(doc, '$', 'map<string,variant>') IS NOT NULL OR ({some} AND {of_objects})"
+    json_line = f"(left(ltrim(line), 1) IN ('{{', '[') AND {let('doc', 'try_parse_json(line)', f'coalesce({document}, false)')})"
+    aggregates = [F.count("*").alias("n"), F.expr(f"bool_and({json_line})").alias("json")]
     for i, d in enumerate(DELIMITERS):
         aggregates += [
             F.expr(f"min({width(d)})").alias(f"min{i}"),
@@ -304,10 +331,10 @@ def infer_log_format(df: DataFrame) -> DataFrame:
         ]
     aggregates.append(F.expr("count_if(line_no > 0)").alias("data_lines"))
     for i, separator in enumerate(SEPARATORS):
-        aggregates.append(F.expr(f"bool_and({has_pairs('line', separator)})").alias(f"kv{i}"))
+        aggregates.append(F.expr(f"bool_and(contains(line, {lit(separator)}) AND {has_pairs('line', separator)})").alias(f"kv{i}"))
     for i, (pattern, _) in enumerate(LINE_PATTERNS.values()):
-        aggregates.append(F.expr(f"bool_and(line RLIKE {lit(pattern)})").alias(f"rx{i}"))
-    row = lines.agg(*aggregates)
+        aggregates.append(F.expr(f"bool_and(contains(line, ':') AND line RLIKE {lit(pattern)})").alias(f"rx{i}"))
+    row = lines.groupBy(*by).agg(*aggregates)
 
     def choice(fmt: str, confidence: float, delimiter=None, separator=None, name=None) -> str:
         return struct(
@@ -321,7 +348,48 @@ def infer_log_format(df: DataFrame) -> DataFrame:
     ]
     cases += [(f"kv{i}", choice("keyvalue", 0.9, separator=s)) for i, s in enumerate(SEPARATORS)]
     cases += [(f"rx{i}", choice("regex", 0.8, name=name)) for i, name in enumerate(LINE_PATTERNS)]
-    return row.select("n", F.expr(when(cases)).alias("f")).select(F.col("n").alias("lines"), "f.*")
+    return row.select(*by, "n", F.expr(when(cases)).alias("f")).select(*by, F.col("n").alias("lines"), "f.*")
+
+
+def json_documents(df: DataFrame) -> DataFrame:
+    """``file, line_no, text``: the JSON documents of files that may spread them over lines, by their first line.
+
+    Strings cannot hold line breaks, so what a line does to the depth of brackets follows from the line alone, and
+    the depth before it is a running sum over the file, cut into blocks where a file is long. A document begins
+    where the depth is zero. A file that begins with a bracket is an array, whose elements are documents: they
+    begin at depth one. ``text`` holds one or more of them without the brackets of the array around them, separated by
+    commas; what is no JSON is told when it is parsed.
+    """
+    bare = "regexp_replace(regexp_replace(line, '\\\\\\\\.', ''), '\"[^\"]*\"', '')"
+    change = let("bare", bare, "length(translate(bare, '}]', '')) - length(translate(bare, '{[', ''))")
+    lines = with_lines(df).select("file", "line_no", F.trim("line").alias("line"), F.expr(f"cast({change} AS bigint)").alias("_change"))
+    deep = running_sum(lines, ["file"], ["line_no"], "_change", "_after").withColumn("_before", F.col("_after") - F.col("_change"))
+    arrays = lines.groupBy("file").agg(F.min_by(F.expr("IF(startswith(line, '['), 1, 0)"), "line_no").alias("_base"))
+    marked = deep.join(arrays, "file").withColumn("_begins", F.expr("IF(_before <= _base, 1, 0)"))
+    grouped = running_sum(marked, ["file"], ["line_no"], "_begins", "_document")
+    # A document is as long as it is; its lines meet in one row.
+    texts = grouped.groupBy("file", "_document").agg(
+        F.min("line_no").alias("line_no"), F.first("_base").alias("_base"), F.min_by("_before", "line_no").alias("_before"),
+        F.max_by("_after", "line_no").alias("_after"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"),
+    )
+    whole = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    # Brackets of the array, and commas between its elements, stand at the ends.
+    opened = F.when((F.col("_base") == 1) & (F.col("_before") <= 0), F.regexp_replace(whole, r"^\[", "")).otherwise(whole)
+    closed = F.when((F.col("_base") == 1) & (F.col("_after") <= 0), F.regexp_replace(opened, r"\]$", "")).otherwise(opened)
+    inner = F.when(F.col("_base") == 1, F.regexp_replace(F.trim(closed), r"^,|,$", "")).otherwise(closed)
+    return texts.select("file", "line_no", F.trim(inner).alias("text")).where("trim(text) <> ''")
+
+
+def parse_json_documents(df: DataFrame) -> DataFrame:
+    """``file, line_no, fields, failure_code``: a row for each object of files of JSON documents over several lines.
+
+    ``line_no`` is the first line of the piece that holds the object. What is no object has the failure ``not-json``.
+    """
+    documents = let("doc", "try_parse_json(concat('[', text, ']'))", "IF(doc IS NULL, array(cast(NULL AS variant)), try_variant_get(doc, '$', 'array<variant>'))")
+    exploded = json_documents(df).select("file", "line_no", F.explode(F.expr(documents)).alias("_doc"))
+    good = "try_variant_get(_doc, '$', 'map<string,variant>') IS NOT NULL"
+    parsed = exploded.withColumn("fields", F.expr(opaque(f"IF({good}, {flatten_json('_doc')}, NULL)"))).drop("_doc")
+    return parsed.withColumn("failure_code", F.when(F.col("fields").isNull(), "not-json"))
 
 
 def config_for(inferred, headers: Sequence[str] = ()) -> LogConfig:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from telemill.functions import checksums as cs
-from telemill.functions.sqltext import let, lit, when
+from telemill.functions.sqltext import let, lit, prefix_sums, scan, when
 
 # SQL text in, SQL text out.
 Fragment = Callable[[str], str]
@@ -104,7 +104,8 @@ class Detector:
 
     ``words`` and ``shape`` are cheap conditions that every match implies: one of the lower-case words
     is somewhere in the lower-cased text, and the shape is found in it. They only save work on texts
-    without a match; ``gate`` is part of the meaning.
+    without a match; ``gate`` is part of the meaning. ``locate`` finds the hits without the pattern, as an array of
+    ``struct<whole, value, upto>``.
     """
 
     id: str
@@ -118,6 +119,7 @@ class Detector:
     accept: Callable[[str, str, str], str] | None = None
     checked: bool = True
     sub_kind: Fragment | None = None
+    locate: Fragment | None = None
 
     @property
     def java_pattern(self) -> str:
@@ -185,6 +187,52 @@ def _whole_or_context(minimum: int, *words: str) -> Callable[[str, str, str], st
 # the same matches as the plain pattern, without re-scanning a long run from each of its characters.
 EMAIL_SCAN = r"(?:(?<![A-Za-z0-9._%+\-])|\G)" + PATTERNS["id.email"]
 
+# A word is looked into only if an equals sign follows it: a long one without is left at once.
+ENV_SCAN = r"\b(?=[A-Z0-9_]*+\s*+=)" + SECRET_PATTERNS["secret.env-var"].removeprefix(r"\b")
+
+# The kinds of blocks, as they stand between a BEGIN and an END mark.
+BLOCK_KINDS = (r"(?:RSA |EC |OPENSSH |ENCRYPTED |DSA )?PRIVATE KEY", "CERTIFICATE", r"PGP (?:PRIVATE |PUBLIC )?KEY BLOCK")
+
+
+def key_blocks(text: str) -> str:
+    """Hits of the pattern of key blocks, from the marks alone.
+
+    The pattern would look for the END of each BEGIN through the whole text. Here all marks are located once and
+    paired in order: a BEGIN opens a block if an END of its kind comes later, and the first one that leaves a
+    character between closes it; marks inside a block count for nothing.
+    """
+    mark = lit("-----(?:BEGIN|END) (?:" + "|".join(BLOCK_KINDS) + ")(?=-----)")
+    kind = when([(f"w RLIKE {lit(k + '$')}", str(i)) for i, k in enumerate(BLOCK_KINDS)])
+    gaps = f"slice(split({text}, {mark}, -1), 1, size(wholes))"
+    upto = prefix_sums(f"zip_with({gaps}, wholes, (g, w) -> length(g) + length(w))")
+    # A mark's place, with its five last dashes at its end.
+    marks = (
+        f"zip_with(wholes, {upto}, (w, e) -> named_struct('opens', startswith(w, '-----BEGIN'), 'kind', cast({kind} AS int), "
+        "'start', e - length(w), 'upto', e + 5))"
+    )
+    last = f"transform(sequence(0, {len(BLOCK_KINDS) - 1}), k -> coalesce(array_max(transform(filter(marks, m -> NOT m.opens AND m.kind = k), m -> m.start)), -1))"
+    # Between marks: the kind and place of the open block, and the place of the block that the last mark closed.
+    opened = "named_struct('kind', x.kind, 'start', x.start, 'body', x.upto, 'closed', -1)"
+    closing = "state.kind >= 0 AND NOT x.opens AND x.kind = state.kind AND x.start > state.body"
+    step = (
+        f"CASE WHEN {closing} THEN named_struct('kind', -1, 'start', state.start, 'body', -1, 'closed', x.upto) "
+        f"WHEN state.kind < 0 AND x.opens AND x.upto < get(lasts, x.kind) AND x.start >= state.free THEN {opened} "
+        "ELSE named_struct('kind', state.kind, 'start', state.start, 'body', state.body, 'closed', -1) END"
+    )
+    kind_of = "struct<kind:int,start:int,body:int,closed:int,free:int>"
+    after = lambda state, x: let("state", state, let("new", step.replace("x.", f"{x}."), (
+        "named_struct('kind', new.kind, 'start', new.start, 'body', new.body, 'closed', new.closed, 'free', IF(new.closed >= 0, new.closed, state.free))"
+    )))
+    states = scan("marks", "named_struct('kind', -1, 'start', -1, 'body', -1, 'closed', -1, 'free', 0)", after, kind_of)
+    # Pieces are cut from fixed-width text, so that each costs its own length; a byte-order mark is put in front.
+    piece = "decode(concat(X'0000FEFF', substring(wide, s.start * 4 + 1, (s.closed - s.start) * 4)), 'UTF-32')"
+    hit = let("block", piece, "named_struct('whole', block, 'value', block, 'upto', s.closed)")
+    blocks = let("wide", f"encode({text}, 'UTF-32')", f"transform(filter(states, s -> s.closed >= 0), s -> {hit})")
+    found = let("marks", marks, let("lasts", last, let("states", states, blocks)))
+    none = "cast(array() AS array<struct<whole:string,value:string,upto:int>>)"
+    return let("wholes", f"regexp_extract_all({text}, {mark}, 0)", f"IF(size(wholes) < 2, {none}, {found})")
+
+
 # Shapes every match of some detectors implies: so many digits, at most one separator between two.
 DIGITS = r"[0-9]{2}[\s-]?[0-9]"
 EIGHT_DIGITS = r"[0-9](?:[\s-]?[0-9]){7}"
@@ -234,8 +282,8 @@ _TRAITS = {
     "secret.kubernetes": dict(words=("client-key-data", "k8s-aws")),
     "secret.docker": dict(words=("dckr_pat_", '"auth"')),
     "secret.database": dict(words=("://", "password=", "pwd=")),
-    "secret.env-var": dict(words=("=",)),
-    "crypto.material": dict(words=("-----begin ",), sub_kind=key_block_kind),
+    "secret.env-var": dict(words=("=",), scan_pattern=ENV_SCAN),
+    "crypto.material": dict(words=("-----begin ",), sub_kind=key_block_kind, locate=key_blocks),
     "class.security-marking": dict(
         words=("official", "protected", "secret", "cabinet"), sub_kind=lambda value: f"upper(trim({value}))"
     ),

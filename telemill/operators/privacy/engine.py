@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions import tokens
-from telemill.functions.sqltext import let, lit, lits, lookup, once, struct, when
+from telemill.functions.sqltext import let, lit, lits, lookup, once, prefix_maxima, prefix_sums, struct, when
 from telemill.operators.privacy import policy as pol
 from telemill.operators.privacy.detectors import Detector, builtin_detectors
 from telemill.operators.privacy.policy import PrivacyPolicy
@@ -77,6 +77,8 @@ def may_match(text: str, detector: Detector, shapes: Sequence[str]) -> str:
 
 def detector_spans(text: str, detector: Detector, order: int, policy: PrivacyPolicy) -> str:
     """Spans one detector accepts, in text order; the gate and the cheap conditions are not applied."""
+    if detector.locate is not None:
+        return let("hits", detector.locate(text), f"IF(size(hits) = 0, {NO_SPANS}, {_spans_of('hits', text, detector, order, policy)})")
     pattern = lit(detector.java_pattern)
 
     def found(group: int) -> str:
@@ -90,56 +92,46 @@ def detector_spans(text: str, detector: Detector, order: int, policy: PrivacyPol
         first, second = detector.groups
         values = f"zip_with({found(first)}, {found(second)}, (g1, g2) -> IF(g1 <> '', g1, g2))"
 
-    sub_kind = detector.sub_kind("hit.value") if detector.sub_kind else "cast(NULL AS string)"
-    # The gap before the match, the match, and the value at the end of the match.
+    # The text before a match and the match itself; their lengths add up to where the match ends.
     gaps = f"slice(split({text}, {pattern}, -1), 1, size(wholes))"
-    pairs = f"zip_with({gaps}, wholes, (g, w) -> named_struct('gap', g, 'whole', w))"
-    named = f"zip_with({pairs}, {values}, (p, v) -> named_struct('gap', p.gap, 'whole', p.whole, 'value', v))"
-    at_end = "state.at + length(hit.gap) + length(hit.whole)"
+    ends = prefix_sums(f"zip_with({gaps}, wholes, (g, w) -> length(g) + length(w))")
+    hits = f"zip_with(zip_with(wholes, {values}, (w, v) -> named_struct('whole', w, 'value', v)), {ends}, (h, e) -> named_struct('whole', h.whole, 'value', h.value, 'upto', e))"
+    return let("wholes", found(0), f"IF(size(wholes) = 0, {NO_SPANS}, {_spans_of(hits, text, detector, order, policy)})")
+
+
+def _spans_of(hits: str, text: str, detector: Detector, order: int, policy: PrivacyPolicy) -> str:
+    """The spans of the accepted hits, ``struct<whole, value, upto>``."""
+    sub_kind = detector.sub_kind("hit.value") if detector.sub_kind else "cast(NULL AS string)"
     span = struct(
-        start=f"{at_end} - length(hit.value)",
+        start="hit.upto - length(hit.value)",
         size="length(hit.value)",
         ord=str(order),
         sub_kind=f"cast({sub_kind} AS string)",
         edit=action_sql("hit.value", detector.id, policy),
     )
-    grown = f"concat(state.spans, array(cast({span} AS {SPAN})))"
     if detector.accept is not None:
-        grown = f"IF({detector.accept('hit.value', 'hit.whole', text)}, {grown}, state.spans)"
-    fold = (
-        f"aggregate({named}, named_struct('at', 0, 'spans', {NO_SPANS}), "
-        f"(state, hit) -> named_struct('at', {at_end}, 'spans', {grown}), state -> state.spans)"
-    )
-    return let("wholes", found(0), f"IF(size(wholes) = 0, {NO_SPANS}, {fold})")
+        hits = f"filter({hits}, hit -> {detector.accept('hit.value', 'hit.whole', text)})"
+    return f"transform({hits}, hit -> cast({span} AS {SPAN}))"
 
 
 def resolve_overlaps(spans: str) -> str:
     """Greedy choice of non-overlapping spans: longest first, then leftmost, then catalogue order.
 
-    Spans are first cut into runs that overlap one another; a run of one needs no choice, and the
+    Sorted spans are cut into runs where one begins behind all before it; a run of one needs no choice, and the
     greedy choice inside a run never has to look at spans outside it.
     """
     clash = "exists(chosen, c -> c.start < item.s.start + item.s.size AND item.s.start < c.start + c.size)"
     choose = (
         "array_sort(aggregate("
-        "array_sort(transform({run}, s -> named_struct('k1', -s.size, 'k2', s.start, 'k3', s.ord, 's', s))), "
+        "array_sort(transform(run, s -> named_struct('k1', -s.size, 'k2', s.start, 'k3', s.ord, 's', s))), "
         f"{NO_SPANS}, (chosen, item) -> IF({clash}, chosen, concat(chosen, array(item.s)))))"
     )
-
-    def settle(run: str) -> str:
-        return f"IF(size({run}) <= 1, {run}, {choose.format(run=run)})"
-
-    joins = "span.start < sweep.upto"
-    step = struct(
-        upto="greatest(sweep.upto, span.start + span.size)",
-        run=f"IF({joins}, concat(sweep.run, array(span)), array(span))",
-        done=f"IF({joins}, sweep.done, concat(sweep.done, {settle('sweep.run')}))",
-    )
-    start = struct(upto="0", run=NO_SPANS, done=NO_SPANS)
-    return (
-        f"aggregate(array_sort({spans}), {start}, (sweep, span) -> {step}, "
-        f"sweep -> concat(sweep.done, {settle('sweep.run')}))"
-    )
+    ends = prefix_maxima("transform(sorted, s -> s.start + s.size)")
+    heads = "filter(sequence(0, size(sorted) - 1), i -> i = 0 OR get(sorted, i).start >= get(tops, i - 1))"
+    runs = "transform(heads, (i, k) -> slice(sorted, i + 1, coalesce(get(heads, k + 1), size(sorted)) - i))"
+    settled = f"flatten(transform({runs}, run -> IF(size(run) = 1, run, {choose})))"
+    cut = let("tops", ends, let("heads", heads, f"IF(size(heads) = size(sorted), sorted, {settled})"))
+    return let("sorted", f"array_sort({spans})", cut)
 
 
 def apply_edits(text: str, spans: str) -> str:

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.operators import detect, envelope, ingest, normalise, policy, quality
+from telemill.operators import detect, envelope, ingest, normalise, policy, quality, rulematch
 from telemill.operators.privacy import jsonwalk
 from telemill.plans.inputs import CANDIDATE_CTE, NOW, candidates, numbered_events, table
 from telemill.sinks import lake
@@ -342,8 +342,8 @@ DETECTIONS_SQL = f"""
 """
 
 
-def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection with rules kept in a table: one rule per nation, made from the nation table."""
+def rule_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection with the clauses of rules kept in a table: one rule per nation, made from the nation table."""
     decoded = envelope.decode_envelope(candidates(spark, sf_dir), "raw").filter("event IS NOT NULL")
     nations = table(spark, sf_dir, "nation")
     clauses = nations.select(
@@ -351,11 +351,11 @@ def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("inline(array(struct('ActorUsername', concat('USER', n_nationkey)), struct('EventType', IF(n_regionkey % 2 = 0, 'click', 'auth'))))").alias("field", "value"),
     )
     off = nations.filter("n_nationkey % 10 = 3").select(F.concat(F.lit("N"), "n_nationkey").alias("rule_id"))
-    found = detect.detect_with_table(decoded, clauses, off)
+    found = rulematch.detect_with_table(decoded, clauses, off)
     return found.groupBy("rule_id").agg(F.count("*").alias("alerts"), F.min("risk_score").cast("bigint").alias("risk"))
 
 
-RULE_TABLE_SQL = f"""
+RULE_CLAUSES_SQL = f"""
     {JUDGED_CTE}
     SELECT 'n' || n_nationkey AS rule_id, count(*) AS alerts, CAST(75 AS BIGINT) AS risk
     FROM d JOIN nation ON has_actor AND contains('user' || user_id, 'user' || n_nationkey)
@@ -364,6 +364,72 @@ RULE_TABLE_SQL = f"""
 """
 
 
+# A rule for each part, in eight forms; p is the part's number.
+PART_RULE = """
+named_struct(
+  'rule_id', concat('p', p), 'title', p_name, 'version', p_brand, 'hash', sha2(concat(p, p_name), 256),
+  'level', element_at(array('low', 'high', 'critical', 'odd'), cast(p_size % 4 + 1 AS int)), 'techniques', array(concat('T', p)),
+  'condition', element_at(array('selection', 'a and b', 'a or b', '1 of them', 'a and missing', 'a OR missing', 'selection', 'NOT a'), cast(p % 8 + 1 AS int)),
+  'selections', CASE p % 8
+    WHEN 0 THEN map('selection', concat('ActorUsername:USER', p % 150, ';EventType:click|view;EventAction:attempt'))
+    WHEN 1 THEN map('a', concat('username:user', p % 150), 'b', concat('tier:t', p % 3, '|none;Ip:10.0.'))
+    WHEN 2 THEN map('a', concat('SourceIp:10.0.0.', p % 256), 'b', concat('Reason:reason ', p % 90, 'x|reason ', p % 100, ';ier:T1'))
+    WHEN 3 THEN map('x', concat('reason ', p % 100, ' user', p % 150), 'y', concat('TIER:t2;actorusername:user', p % 150))
+    WHEN 4 THEN map('a', 'EventType:click', 'b', 'EventType:view')
+    WHEN 5 THEN map('A', concat(' user', p % 150, ' ; EventResult:success ; ;;Application:shop|'))
+    WHEN 6 THEN map('selection', concat('EventType:', p_name, ';nolabel:x'))
+    ELSE map('a', concat('user', p % 150, ' 10.0;category:security'))
+  END)
+"""
+
+
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection with thousands of rules in a table, one of each part: alerts and reported fields of each rule."""
+    decoded = envelope.decode_envelope(candidates(spark, sf_dir), "raw").filter("event IS NOT NULL")
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "p")
+    rules = parts.select(F.expr(PART_RULE).alias("r")).select("r.*")
+    off = parts.filter("p % 50 = 9").select(F.concat(F.lit("P"), "p").alias("rule_id"))
+    found = rulematch.detect_with_rules(decoded, rules, NOW, off)
+    return found.groupBy("rule_id", "level").agg(
+        F.count("*").alias("alerts"), F.min("risk_score").cast("bigint").alias("risk"), F.min("event_id").alias("first_event"),
+        F.max(F.array_join("matched_fields", ",")).alias("most_fields"), F.max("summary").alias("last_summary"),
+    )
+
+
+RULE_TABLE_SQL = f"""
+    {JUDGED_CTE},
+    x AS (SELECT 'event-' || event_id AS event_id, 'user' || user_id AS u, CASE WHEN has_actor THEN 'user' || user_id ELSE '' END AS actor,
+        CASE WHEN has_source THEN '10.0.' || (user_id // 256) || '.' || (user_id % 256) ELSE '' END AS ip, event_type AS raw_type,
+        CASE event_type WHEN 'error' THEN 'authentication_failure' ELSE event_type END AS etype, event_type || '.attempt' AS action,
+        CASE WHEN has_reason THEN 'reason ' || k ELSE '' END AS reason, 't' || (k % 3) AS tier,
+        CASE WHEN event_type = 'error' THEN 'authentication' ELSE 'application-security' END AS category,
+        CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS result, has_target FROM d WHERE decodes),
+    h AS (SELECT *, lower(concat_ws(' ', etype, action, category, result, reason, actor, CASE WHEN actor = '' THEN '' ELSE 'u' || substr(actor, 5) END, ip,
+        '', CASE WHEN has_target THEN 'item' ELSE '' END, 'shop', tier)) AS payload FROM x),
+    p AS (SELECT p_partkey AS p, 'p' || p_partkey AS rule_id, p_name, ['low', 'high', 'critical', 'odd'][p_size % 4 + 1] AS level,
+        [25, 75, 95, 40][p_size % 4 + 1] AS risk, 'user' || (p_partkey % 150) AS u FROM part WHERE p_partkey % 50 <> 9),
+    hits AS (
+      SELECT p.rule_id, level, risk, p_name, event_id, etype, action, 'ActorUsername,EventType,EventAction' AS fields
+        FROM p JOIN h ON p % 8 = 0 AND contains(actor, p.u) AND (contains(etype, 'click') OR contains(etype, 'view'))
+      UNION ALL SELECT p.rule_id, level, risk, p_name, event_id, etype, action, 'username,tier,Ip'
+        FROM p JOIN h ON p % 8 = 1 AND contains(actor, p.u) AND tier = 't' || (p % 3) AND ip <> ''
+      UNION ALL SELECT p.rule_id, level, risk, p_name, event_id, etype, action,
+          concat_ws(',', CASE WHEN contains(ip, '10.0.0.' || (p % 256)) THEN 'SourceIp' END, CASE WHEN contains(reason, 'reason ' || (p % 100)) THEN 'Reason' || CASE WHEN tier = 't1' THEN ',ier' ELSE '' END END)
+        FROM p JOIN h ON p % 8 = 2 AND (contains(ip, '10.0.0.' || (p % 256)) OR (contains(reason, 'reason ' || (p % 100)) AND tier = 't1'))
+      UNION ALL SELECT p.rule_id, level, risk, p_name, event_id, etype, action,
+          concat_ws(',', CASE WHEN contains(payload, 'reason ' || (p % 100) || ' ' || p.u) THEN 'payload' END, CASE WHEN tier = 't2' THEN 'TIER' || CASE WHEN contains(actor, p.u) THEN ',actorusername' ELSE '' END END)
+        FROM p JOIN h ON p % 8 = 3 AND (contains(payload, 'reason ' || (p % 100) || ' ' || p.u) OR (tier = 't2' AND contains(actor, p.u)))
+      UNION ALL SELECT p.rule_id, level, risk, p_name, event_id, etype, action, 'payload,EventResult,Application'
+        FROM p JOIN h ON p % 8 = 5 AND contains(payload, p.u) AND result = 'success'
+      UNION ALL SELECT p.rule_id, level, risk, p_name, event_id, etype, action, 'payload,category'
+        FROM p JOIN h ON p % 8 = 7 AND contains(payload, p.u || ' 10.0') AND contains(category, 'security')
+    )
+    SELECT rule_id, level, count(*) AS alerts, CAST(any_value(risk) AS BIGINT) AS risk, min(event_id) AS first_event, max(fields) AS most_fields,
+      max(p_name || ' matched event ' || etype || ' (' || action || ')') AS last_summary
+    FROM hits GROUP BY rule_id, level
+"""
+
+
 def alert_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts per rule and hour."""
     decoded = envelope.decode_envelope(candidates(spark, sf_dir), "raw").filter("event IS NOT NULL")
@@ -620,6 +686,7 @@ def build() -> dict:
         "flatten_for_analytics": (flattened, FLATTENED_SQL),
         "decision_volume": (decision_volume, DECISION_VOLUME_SQL),
         "sigma_detections": (detections, DETECTIONS_SQL),
+        "sigma_rule_clauses": (rule_clauses, RULE_CLAUSES_SQL),
         "sigma_rule_table": (rule_table, RULE_TABLE_SQL),
         "alert_bursts": (alert_bursts, BURSTS_SQL),
         "field_observations": (field_fill, FIELD_FILL_SQL),

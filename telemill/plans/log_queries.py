@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators import logs
-from telemill.plans.inputs import numbered_events
+from telemill.plans.inputs import numbered_events, table
 
 TS = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"
 OTS = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
@@ -190,12 +190,97 @@ def excluded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.excluded_names(raw)
 
 
+# Five lines for an event: a document with brackets and quotes in strings, broken where k is 7.
+DOCUMENT_LINES = """inline(array(
+  named_struct('j', 0, 'line', concat(IF(event_id % 2 = 0, ',', ''), '{"id": ', event_id, ',')),
+  named_struct('j', 1, 'line', '  "note": "a ] \\\\" { \\\\\\\\",'),
+  named_struct('j', 2, 'line', '  "net": {"zone": "}",'),
+  named_struct('j', 3, 'line', concat('    "port": ', IF(k = 7, 'oops', cast(k AS string)), '},')),
+  named_struct('j', 4, 'line', concat('  "type": "', event_type, '"}'))))"""
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of documents over several lines: arrays of the events of even ids, plain documents of the others."""
+    events = numbered_events(spark, sf_dir).withColumn("file", F.concat(F.when(F.col("event_id") % 2 == 0, "array-").otherwise("plain-"), "event_type"))
+    body = events.select("file", "event_id", F.expr(DOCUMENT_LINES)).select("file", (F.col("event_id") * 5 + F.col("j") + 5).alias("line_no"), "line")
+    arrays = events.where("event_id % 2 = 0").select("file").distinct()
+    ends = arrays.select("file", F.expr("inline(array(named_struct('line_no', 1L, 'line', '[ {\"id\": -1}'), named_struct('line_no', 9000000000000L, 'line', ']')))"))
+    return body.unionByName(ends)
+
+
+def json_document_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of all documents."""
+    entries = "array_join(transform(array_sort(map_keys(fields)), n -> concat(n, '=', fields[n])), '|')"
+    return logs.parse_json_documents(document_lines(spark, sf_dir)).select(
+        "file", "line_no", F.coalesce("failure_code", F.lit("-")).alias("code"), F.coalesce(F.expr(entries), F.lit("-")).alias("fields")
+    )
+
+
+JSON_DOCUMENTS_SQL = f"""
+    WITH {E}, f AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'array-' ELSE 'plain-' END || event_type AS file FROM e)
+    SELECT file, event_id * 5 + 5 AS line_no, CASE WHEN k = 7 THEN 'not-json' ELSE '-' END AS code, CASE WHEN k = 7 THEN '-' ELSE
+      'id=' || event_id || '|net.port=' || k || '|net.zone=}}|note=a ] " {{ \\|type=' || event_type END AS fields FROM f
+    UNION ALL SELECT DISTINCT file, 1, '-', 'id=-1' FROM f WHERE event_id % 2 = 0
+"""
+
+
+def mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format of each file of a folder of files of different formats; arrays in lines are JSON, too."""
+    rows = lines("json", spark, sf_dir).select(F.concat(F.lit("json-"), "file").alias("file"), "line_no", "line")
+    for fmt in ("csv", "keyvalue", "regex", "http", "syslog"):
+        rows = rows.unionByName(lines(fmt, spark, sf_dir).select(F.concat(F.lit(f"{fmt}-"), "file").alias("file"), "line_no", "line"))
+    arrays = lines("json", spark, sf_dir).select(F.lit("arrays").alias("file"), "line_no", F.expr("IF(line_no % 3 = 0, concat('[', line, ', ', line, ']'), line)").alias("line"))
+    numbers = lines("json", spark, sf_dir).select(F.lit("numbers").alias("file"), "line_no", F.expr("IF(line_no % 3 = 0, '[1, 2]', line)").alias("line"))
+    dash = F.lit("-")
+    return logs.infer_log_format(rows.unionByName(arrays).unionByName(numbers), by=["file"]).select(
+        "file", "lines", F.coalesce("format", dash).alias("format"), F.coalesce("delimiter", "separator", "pattern_name", dash).alias("detail")
+    )
+
+
+MIXED_FORMATS_SQL = f"""
+    WITH {E}, t AS (SELECT event_type AS type, count(*) AS n FROM e GROUP BY 1)
+    SELECT fmt || '-' || type AS file, n + CASE fmt WHEN 'csv' THEN 1 ELSE 0 END AS lines, CASE WHEN fmt IN ('http', 'syslog') THEN 'regex' ELSE fmt END AS format,
+      CASE fmt WHEN 'json' THEN '-' WHEN 'csv' THEN ',' WHEN 'keyvalue' THEN '=' WHEN 'regex' THEN 'timestamp-severity' WHEN 'http' THEN 'http-access' ELSE 'syslog' END AS detail
+    FROM t, (VALUES ('json'), ('csv'), ('keyvalue'), ('regex'), ('http'), ('syslog')) AS f(fmt)
+    UNION ALL SELECT 'arrays', count(*), 'json', '-' FROM e
+    UNION ALL SELECT 'numbers', count(*), '-', '-' FROM e
+"""
+
+# Forms of a date, and whether they are one.
+DATE_TEXTS = (
+    ("date_format(o_orderdate, 'yyyy-MM-dd')", True), ("date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", True),
+    ("date_format(o_orderdate, 'MM/dd/yyyy HH:mm:ss')", True), ("date_format(o_orderdate, 'M/d/yyyy')", True),
+    ("date_format(o_orderdate, 'yyyy/MM/dd HH:mm:ss')", True), ("concat(' ', date_format(o_orderdate, 'yyyy/MM/dd'), ' ')", True),
+    ("concat(date_format(o_orderdate, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT')", True), ("date_format(o_orderdate, 'dd MMM yyyy')", True),
+    ("date_format(o_orderdate, '13/32/yyyy')", False), ("date_format(o_orderdate, 'yyyyMMdd')", False),
+    ("concat('Xyz, ', date_format(o_orderdate, 'dd MMM yyyy HH:mm:ss'), ' GMT')", False), ("concat('on ', date_format(o_orderdate, 'yyyy-MM-dd'))", False),
+)
+
+
+def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in twelve forms: how many of each count as dates."""
+    cases = " ".join(f"WHEN {i} THEN {text}" for i, (text, _) in enumerate(DATE_TEXTS))
+    orders = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % len(DATE_TEXTS)).alias("form"), F.expr(f"CASE o_orderkey % {len(DATE_TEXTS)} {cases} END").alias("value")
+    )
+    return orders.groupBy("form").agg(F.count("*").alias("n"), F.expr(f"count_if({logs.is_datetime('value')})").alias("dates"))
+
+
+DATE_FORMS_SQL = f"""
+    SELECT o_orderkey % {len(DATE_TEXTS)} AS form, count(*) AS n, count(*) FILTER ([{", ".join(str(good).lower() for _, good in DATE_TEXTS)}][o_orderkey % {len(DATE_TEXTS)} + 1]) AS dates
+    FROM orders GROUP BY 1
+"""
+
+
 def build() -> dict:
     """Query name to (callable, oracle SQL or None)."""
     found = {f"parse_{f}": (partial(parse_query, f), parse_oracle(f)) for f in LINES}
     found |= {f"infer_schema_{f}": (partial(schema_query, f), schema_oracle(f)) for f in SCHEMAS}
     return found | {
         "infer_log_format": (infer_formats, FORMATS_SQL),
+        "infer_format_mixed": (mixed_formats, MIXED_FORMATS_SQL),
+        "parse_json_documents": (json_document_query, JSON_DOCUMENTS_SQL),
+        "date_forms": (date_forms, DATE_FORMS_SQL),
         "apply_schema": (typed_rows, TYPED_SQL),
         "validate_types": (type_checks, TYPE_CHECKS_SQL),
         "log_preview": (preview_query, PREVIEW_SQL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "event_queries", "source_queries", "log_queries", "state_queries", "stream_queries", "whole_queries")
+MODULES = ("text_queries", "event_queries", "source_queries", "log_queries", "state_queries", "stream_queries", "whole_queries", "extension_queries")
 
 
 def registered() -> dict:

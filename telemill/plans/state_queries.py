@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators import dedupe, delivery, fleet, ledger, rules
 from telemill.plans.inputs import table
+from telemill.session import shared_dir
 from telemill.sinks import spool
 
 NOW = "timestamp'1998-01-01 00:00:00Z'"
@@ -202,6 +207,71 @@ def oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OVERSIZE_SQL = f"WITH {_SPOOL_CTE} SELECT event_id, 'record-exceeds-ama-file-limit' AS code, false AS retryable FROM p WHERE length(payload) + 1 > 100"
 
+
+
+def spool_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed rows written to spool files, the first third of them twice, and read back: rows and bytes of each file."""
+    place = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    good, _ = spool.split_oversize(_spool_rows(spark, sf_dir), 200)
+    files = spool.pack_files(good, 1_000)
+    # A delivery that broke off and is run again.
+    spool.write_delivery(files.where("batch_no % 3 = 0"), place, "d1")
+    spool.write_delivery(files, place, "d1")
+    lines = spark.read.option("lineSep", "\n").text(f"{place}/ready").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("file"), "value")
+    told = spool.acknowledgements(files, "d1").groupBy("acknowledgement").agg(F.count("*").alias("told"))
+    read = lines.groupBy("file").agg(F.count("*").alias("rows"), F.sum(F.octet_length("value") + 1).cast("bigint").alias("bytes"))
+    return read.join(told, F.concat(F.lit("spool:"), "file") == F.col("acknowledgement")).select("file", "rows", "bytes", "told")
+
+
+SPOOL_ROUND_TRIP_SQL = f"""
+    WITH RECURSIVE {PACKED_SQL.split("WITH RECURSIVE")[1].rsplit("SELECT collector_id", 1)[0]}
+    SELECT collector_id || '-main-d1-' || lpad(CAST(batch_no AS VARCHAR), 10, '0') || '-' || lpad(CAST(file_no AS VARCHAR), 6, '0') AS file,
+      count(*) AS rows, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS told FROM g GROUP BY ALL
+"""
+
+
+def _destination(batches):
+    """A destination that knows ids: it refuses some rows, and tells some to wait."""
+    for batch in batches:
+        ids = batch.column("event_id").to_pylist()
+        kinds = [int(i[1:]) % 5 for i in ids]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.string()), pa.array([k < 2 for k in kinds]), pa.array([f"ack-{i}" if k < 2 else None for i, k in zip(ids, kinds)], pa.string()),
+                pa.array([None if k < 2 else f"http-{400 + k}" for k in kinds], pa.string()), pa.array([k in (2, 3) for k in kinds]),
+                pa.array([datetime(1998, 1, 1, 1, tzinfo=timezone.utc) if k == 2 else None for k in kinds], pa.timestamp("us", "UTC")),
+            ],
+            names=["event_id", "acknowledged", "acknowledgement", "code", "retryable", "retry_after"],
+        )
+
+
+def output_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All due rows leased and sent through an adapter of the user's, and the ledger after its results."""
+    rows = ledger_of(spark, sf_dir)
+    due = rows.filter(F.expr(ledger.is_due(NOW)))
+    sent = ledger.lease(due, NOW, "INTERVAL 5 MINUTES")
+    results = delivery.deliver(sent.select("event_id", "payload"), _destination)
+    kept = rows.join(due.select("event_id"), "event_id", "left_anti").unionByName(sent)
+    after, refused = delivery.settle(kept, results, NOW)
+    wait = f"unix_seconds(next_attempt_at) - unix_seconds({NOW})"
+    return after.select(
+        F.expr(ledger.state_name("state")).alias("state"), F.coalesce("last_failure_code", F.lit("-")).alias("code"),
+        F.when(F.expr(f"state = {ledger.RETRYING} AND last_failure_code IS NOT NULL"), F.expr(wait)).otherwise(-1).alias("wait"), F.col("acknowledgement").isNotNull().alias("acked"),
+    ).groupBy("state", "code", "wait", "acked").agg(F.count("*").alias("n")).unionByName(
+        refused.groupBy().agg(F.count("*").alias("n")).selectExpr("'refused' AS state", "'-' AS code", "-1L AS wait", "false AS acked", "n")
+    )
+
+
+OUTPUT_RESULTS_SQL = f"""
+    WITH {L}, d AS (SELECT *, (state = 0 OR (state = 2 AND (next_attempt_at IS NULL OR next_attempt_at <= {NOW_SQL})) OR (state = 1 AND lease_until <= {NOW_SQL})) AS due FROM l)
+    SELECT CASE WHEN due THEN CASE WHEN k % 5 < 2 THEN 'delivered' WHEN k % 5 < 4 THEN 'retrying' ELSE 'dead-lettered' END
+        ELSE CASE state WHEN 0 THEN 'queued' WHEN 1 THEN 'uploading' WHEN 2 THEN 'retrying' WHEN 3 THEN 'delivered' ELSE 'dead-lettered' END END AS state,
+      CASE WHEN due AND k % 5 >= 2 THEN 'http-' || (400 + k % 5) ELSE '-' END AS code,
+      CAST(CASE WHEN due AND k % 5 = 2 THEN 3600 WHEN due AND k % 5 = 3 THEN least(300, 2 ** least(delivery_attempts + 1, 8)) ELSE -1 END AS BIGINT) AS wait,
+      due AND k % 5 < 2 AS acked, count(*) AS n
+    FROM d GROUP BY ALL UNION ALL SELECT 'refused', '-', -1, false, 0
+"""
+
 # ---- collection rules ----------------------------------------------------------------------------
 
 RULE_DOCUMENT = """to_json(named_struct('id', concat('r', c_custkey), 'name', c_name,
@@ -422,6 +492,8 @@ def build() -> dict:
         "new_fingerprints": (new_rows, NEW_ROWS_SQL),
         "admit_by_capacity": (admitted, ADMITTED_SQL),
         "pack_files": (packed, PACKED_SQL),
+        "spool_round_trip": (spool_round_trip, SPOOL_ROUND_TRIP_SQL),
+        "output_results": (output_results, OUTPUT_RESULTS_SQL),
         "split_oversize": (oversize, OVERSIZE_SQL),
         "rule_scores": (rule_scores, RULE_SCORES_SQL),
         "rule_recommendations": (rule_findings, RULE_FINDINGS_SQL),

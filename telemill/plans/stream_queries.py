@@ -6,16 +6,20 @@ and returns what the stream wrote.
 
 from __future__ import annotations
 
+import time
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.operators import detect, envelope
 from telemill.plans import event_queries, state_queries
-from telemill.plans.inputs import NOW, candidates
+from telemill.plans.inputs import NOW, candidates, table
 from telemill.session import configure, shared_dir
+from telemill.sources import polling
 from telemill.streaming import ingest as streaming
-from telemill.streaming.lifecycle import fleet_stream, ledger_stream
+from telemill.streaming.lifecycle import fleet_stream, ledger_stream, stale_stream, state_store
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -32,11 +36,12 @@ def _as_stream(df: DataFrame, place: str, files_per_trigger: int = 4) -> DataFra
 
 def _run(result: DataFrame, place: str, mode: str = "append") -> DataFrame:
     """Runs the stream to its end and reads its output."""
-    query = (
-        result.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out")
-        .option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with state_store(result.sparkSession):
+        query = (
+            result.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out")
+            .option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return result.sparkSession.read.schema(result.schema).parquet(f"{place}/out")
 
 
@@ -117,7 +122,7 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     # All moves of a row arrive in one file, in any order.
     moves.write.parquet(f"{place}/in")
     arriving = spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
-    done = _run(ledger_stream(arriving), place)
+    done = _run(ledger_stream(arriving, "20000 days"), place)
     return done.groupBy("action", "accepted", F.col("state").cast("bigint").alias("state"), F.coalesce("failure_code", F.lit("-")).alias("code")).agg(F.count("*").alias("n"))
 
 
@@ -128,13 +133,161 @@ STREAM_LEDGER_SQL = f"""
 """
 
 
+def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five moves of every order in files by their number, last ones first; some leases are lost.
+
+    The stream stops when it has read the files, and goes on from its state when one more arrives, whose time lets
+    the watermark pass the rest.
+    """
+    place = _place(spark, "disorder")
+    moves = state_queries.ledger_of(spark, sf_dir).selectExpr("event_id", "o_orderkey", DISORDER).where("NOT (seq = 1 AND o_orderkey % 10 = 0)").drop("o_orderkey")
+    for seq in (4, 2, 3, 0, 1):
+        moves.where(F.col("seq") == seq).coalesce(2).write.mode("append").parquet(f"{place}/in")
+
+    def run() -> DataFrame:
+        arriving = spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+        return _run(ledger_stream(arriving, "1 hour"), place)
+
+    run()
+    end = spark.range(1).selectExpr("'end' AS event_id", "0L AS seq", "'enqueue' AS action", "timestamp'1999-01-01 00:00:00Z' AS at")
+    moves.where("false").unionByName(end, allowMissingColumns=True).write.mode("append").parquet(f"{place}/in")
+    done = run().where("event_id <> 'end'")
+    return done.groupBy(
+        F.coalesce("seq", F.lit(-1)).alias("seq"), "action", "accepted", F.col("state").cast("bigint").alias("state"),
+        F.col("attempts").cast("bigint").alias("attempts"), F.coalesce("failure_code", F.lit("-")).alias("code"),
+    ).agg(F.count("*").alias("n"))
+
+
+_MOVE = "named_struct('seq', {}L, 'action', {}, 'at', timestamp'1998-01-01 00:0{}:00Z', 'lease_until', {}, 'next_attempt_at', timestamp'1998-01-01 00:02:30Z', 'failure_code', 'http-500', 'acknowledgement', 'ack')"
+_LEASED = "timestamp'1998-01-01 00:02:00Z'"
+DISORDER = "inline(array(" + ", ".join([
+    _MOVE.format(0, "'enqueue'", 0, "cast(NULL AS timestamp)"),
+    _MOVE.format(1, "'lease'", 1, _LEASED),
+    _MOVE.format(2, "'retrying'", 2, "cast(NULL AS timestamp)"),
+    _MOVE.format(3, "'lease'", 3, "timestamp'1998-01-01 00:05:00Z'"),
+    _MOVE.format(4, "CASE o_orderkey % 3 WHEN 0 THEN 'delivered' WHEN 1 THEN 'dead-lettered' ELSE 'unknown' END", 4, "cast(NULL AS timestamp)"),
+]) + "))"
+# Without its first lease a row is still queued: the retry is refused, the second lease is its first attempt.
+STREAM_OUT_OF_ORDER_SQL = f"""
+    WITH {state_queries.L}, x AS (SELECT k, k % 10 = 0 AS lost FROM l),
+    m AS (
+      SELECT 0 AS seq, 'enqueue' AS action, true AS accepted, 0 AS state, 0 AS attempts, '-' AS code FROM x
+      UNION ALL SELECT 1, 'lease', true, 1, 1, '-' FROM x WHERE NOT lost
+      UNION ALL SELECT 2, 'retrying', NOT lost, CASE WHEN lost THEN 0 ELSE 2 END, CASE WHEN lost THEN 0 ELSE 1 END, CASE WHEN lost THEN '-' ELSE 'http-500' END FROM x
+      UNION ALL SELECT 3, 'lease', true, 1, CASE WHEN lost THEN 1 ELSE 2 END, CASE WHEN lost THEN '-' ELSE 'http-500' END FROM x
+      UNION ALL SELECT 4, CASE k % 3 WHEN 0 THEN 'delivered' WHEN 1 THEN 'dead-lettered' ELSE 'unknown' END, k % 3 < 2, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 1 END,
+        CASE WHEN lost THEN 1 ELSE 2 END, CASE WHEN k % 3 = 0 THEN '-' WHEN k % 3 = 1 OR NOT lost THEN 'http-500' ELSE '-' END FROM x
+      -- The last lease of the others runs out.
+      UNION ALL SELECT -1, 'lease-expired', true, 1, CASE WHEN lost THEN 1 ELSE 2 END, CASE WHEN lost THEN '-' ELSE 'http-500' END FROM x WHERE k % 3 = 2
+    )
+    SELECT CAST(seq AS BIGINT) AS seq, action, accepted, CAST(state AS BIGINT) AS state, CAST(attempts AS BIGINT) AS attempts, code, count(*) AS n FROM m GROUP BY ALL
+"""
+
+
+def stream_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the events as collectors: who is told stale at the end, by the time of the events."""
+    place = _place(spark, "stale")
+    contacts = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), "user_id").alias("collector_id"), F.col("ts").alias("at"))
+    # In the order of time, as contacts arrive.
+    slices = contacts.repartitionByRange(8, "at").sortWithinPartitions("at")
+    slices.write.parquet(f"{place}/in")
+    arriving = spark.readStream.schema(contacts.schema).option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
+    done = _run(stale_stream(arriving, "3 HOURS", "10 minutes"), place)
+    return done.where("status = 'stale'").select("collector_id", F.date_format("last_seen_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_seen"))
+
+
+STREAM_STALE_SQL = """
+    WITH c AS (SELECT 'c' || user_id AS collector_id, max(ts) AS seen FROM events GROUP BY 1)
+    SELECT collector_id, strftime(seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM c
+    WHERE epoch_ms(seen) + 3 * 3600000 <= (SELECT epoch_ms(max(ts) - INTERVAL 10 MINUTES) FROM events)
+"""
+
+
+def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collectors of all fleet events, told stale by the machine's clock after the input has ended."""
+    place = _place(spark, "silence")
+    contacts = state_queries.fleet_events(spark, sf_dir).where("kind = 'heartbeat'").select("collector_id", "at")
+    contacts.write.parquet(f"{place}/in")
+    arriving = spark.readStream.schema(contacts.schema).parquet(f"{place}/in")
+    result = stale_stream(arriving, "1 SECOND", clock="processing")
+    schema, expected = result.schema, contacts.select("collector_id").distinct().count()
+    with state_store(spark):
+        query = (
+            result.writeStream.outputMode("append").format("parquet").option("path", f"{place}/out")
+            .option("checkpointLocation", f"{place}/state").trigger(processingTime="500 milliseconds").start()
+        )
+    # No input comes after the first batch; timers alone bring the rows.
+    deadline = time.monotonic() + 120
+    while query.isActive and time.monotonic() < deadline:
+        time.sleep(1)
+        # A batch that brings no input is done: the ones before have fired all timers.
+        told = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators and not p.numInputRows]
+        if query.recentProgress and told and spark.read.schema(schema).parquet(f"{place}/out").count() >= expected:
+            break
+    query.stop()
+    done = spark.read.schema(schema).parquet(f"{place}/out")
+    return done.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("collector_id").alias("collectors"), F.date_format(F.max("last_seen_at"), "yyyy-MM-dd HH:mm").alias("newest"))
+
+
+STREAM_SILENCE_SQL = "SELECT 'stale' AS status, count(*) AS n, count(*) AS collectors, '2024-01-01 00:03' AS newest FROM customer"
+
+
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts per rule and hour from a stream of alerts; a last alert of a far day closes all windows."""
+    place = _place(spark, "bursts")
+    decoded = candidates(spark, sf_dir).transform(lambda df: envelope.decode_envelope(df, "raw")).filter("event IS NOT NULL")
+    alerts = detect.detect(decoded, event_queries.RULES, "event.timeGenerated").select("rule_id", "detected_at")
+
+    def run() -> DataFrame:
+        arriving = spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
+        return _run(streaming.burst_counts(arriving, "1 hour", "10 years"), place)
+
+    alerts.repartition(8).write.parquet(f"{place}/in")
+    run()
+    spark.range(1).selectExpr("'off' AS rule_id", "timestamp'2100-01-01 00:00:00Z' AS detected_at").write.mode("append").parquet(f"{place}/in")
+    return run().filter("rule_id <> 'off'").select(F.date_format("bucket", "yyyy-MM-dd HH").alias("hour"), "rule_id", "alerts")
+
+
+CUT = "timestamp'1996-01-01 00:00:00Z'"
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a table that is polled while it grows: some rows come late, within the overlap or beyond it.
+
+    The first poll sees the orders up to a day but for one in ten; the second the rest. Rows that are read twice
+    are dropped by their fingerprint.
+    """
+    place = _place(spark, "replay")
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "concat('o', o_orderkey) AS event_id", "concat('f', o_orderkey) AS fingerprint", "o_orderdate AS received_at", "o_orderkey AS sequence"
+    )
+    late = F.col("sequence") % 10 == 0
+    early = (F.col("received_at") <= F.expr(CUT)) & ~late
+    for rows in (orders.where(early), orders.where(~early)):
+        rows.repartition(4).write.mode("append").parquet(f"{place}/table")
+        polled = polling.poll_table(spark, f"{place}/table", orders.schema, "received_at", "sequence", timedelta(days=200))
+        streaming.start_exact(polled, f"{place}/ledger", f"{place}/state", available_now=True).awaitTermination()
+    kept = spark.read.schema(orders.schema).option("basePath", f"{place}/ledger/rows").parquet(f"{place}/ledger/rows")
+    return kept.groupBy(F.year("received_at").cast("bigint").alias("year"), (F.col("sequence") % 10 == 0).alias("late")).agg(
+        F.count("*").alias("n"), F.count_distinct("fingerprint").alias("fingerprints")
+    )
+
+
+# The cursor stands at the last order of the first poll.
+STREAM_REPLAY_SQL = """
+    WITH c AS (SELECT max(o_orderdate) AS top FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' AND o_orderkey % 10 <> 0)
+    SELECT year(o_orderdate) AS year, o_orderkey % 10 = 0 AS late, count(*) AS n, count(*) AS fingerprints FROM orders, c
+    WHERE o_orderkey % 10 <> 0 OR o_orderdate >= top - INTERVAL 200 DAYS GROUP BY ALL
+"""
+
+
 def stream_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fleet events of every customer through keyed state: outcome per event."""
     place = _place(spark, "fleet")
     events = state_queries.fleet_events(spark, sf_dir).repartition(8, "collector_id")
     events.write.parquet(f"{place}/in")
     arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
-    done = _run(fleet_stream(arriving), place)
+    done = _run(fleet_stream(arriving, "2 hours"), place)
     outcomes = done.groupBy(F.concat_ws(" ", F.col("seq").cast("string"), "kind", "outcome").alias("what")).agg(F.count("*").alias("n"))
     states = done.filter("seq = 5").groupBy(F.concat_ws(" ", F.lit("final"), "status", "version").alias("what")).agg(F.count("*").alias("n"))
     return outcomes.unionByName(states)
@@ -176,6 +329,11 @@ def build() -> dict:
         "stream_exact_dedupe": (stream_exact_dedupe, STREAM_EXACT_SQL),
         "stream_alerts": (stream_alerts, STREAM_ALERTS_SQL),
         "stream_ledger": (stream_ledger, STREAM_LEDGER_SQL),
+        "stream_out_of_order": (stream_out_of_order, STREAM_OUT_OF_ORDER_SQL),
+        "stream_bursts": (stream_bursts, event_queries.BURSTS_SQL),
+        "stream_replay": (stream_replay, STREAM_REPLAY_SQL),
         "stream_fleet": (stream_fleet, STREAM_FLEET_SQL),
+        "stream_stale": (stream_stale, STREAM_STALE_SQL),
+        "stream_silence": (stream_silence, STREAM_SILENCE_SQL),
         "sql_functions": (sql_functions, SQL_FUNCTIONS_SQL),
     }

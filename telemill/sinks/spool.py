@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from telemill.functions.sqltext import struct
 from telemill.functions.text import safe_stem
-from telemill.operators.ordinals import running_sum
+from telemill.operators.ordinals import ordered_blocks
 
 DEFAULT_FILE_BYTES = 10 * 1024 * 1024
 DEFAULT_BATCH = 500
 OVERSIZE_CODE = "record-exceeds-ama-file-limit"
+FORMAT = "telemill_spool"
 
 
 def split_oversize(df: DataFrame, max_bytes: int = DEFAULT_FILE_BYTES, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
@@ -27,6 +31,62 @@ def split_oversize(df: DataFrame, max_bytes: int = DEFAULT_FILE_BYTES, payload:
     return df.filter(size <= max_bytes), failures
 
 
+def _filled(sizes: Sequence[int], first: int, used: int, number: int, batch: int, most: int) -> tuple[list[int], int, int]:
+    """File numbers of rows from position ``first`` on, and the bytes and number of the last file."""
+    numbers = []
+    for place, size in enumerate(sizes, first):
+        if place % batch == 0:
+            used = number = 0
+        if used > 0 and used + size > most:
+            used, number = 0, number + 1
+        used += size
+        numbers.append(number)
+    return numbers, used, number
+
+
+class _Packer:
+    """Walks the rows of a sort block; the first group may go on from another block."""
+
+    def __init__(self, keys: Sequence[str], batch: int, most: int):
+        self.keys, self.batch, self.most = keys, batch, most
+
+    def _segments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[tuple, int, int]], list[int]]]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in self.keys)))
+            borders = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            yield batch, [(keys[a], a, z) for a, z in zip(borders, [*borders[1:], len(keys)])], batch.column("_bytes").to_pylist()
+
+    def borders(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of the first and the last group of a block, with the last sizes of each, a batch of them at most."""
+        rows: list[list] = []
+        for batch, groups, sizes in self._segments(batches):
+            block = batch.column("_block")[0].as_py()
+            for key, a, z in groups:
+                if not rows or rows[-1][2] != key:
+                    rows = [*rows[:1], [block, len(rows[:1]), key, 0, []]]
+                rows[-1][3] += z - a
+                rows[-1][4] = (rows[-1][4] + sizes[a:z])[-self.batch :]
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([repr(r[2]) for r in rows], pa.string())]
+        columns += [pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "key", "n", "tail"])
+
+    def walk(self, batches: Iterator[pa.RecordBatch], before: dict[int, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        """The rows with their batch, position and file."""
+        current, started = None, False
+        place = used = number = 0
+        for batch, groups, sizes in self._segments(batches):
+            places, files = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
+            for key, a, z in groups:
+                if not started or key != current:
+                    place, used, number = (0, 0, 0) if started else before.get(batch.column("_block")[0].as_py(), (0, 0, 0))
+                    current, started = key, True
+                files[a:z], used, number = _filled(sizes[a:z], place, used, number, self.batch, self.most)
+                places[a:z] = np.arange(place, place + z - a)
+                place += z - a
+            more = [pa.array(places // self.batch), pa.array(places + 1), pa.array(files)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "batch_no", "_pos", "file_no"])
+
+
 def pack_files(
     df: DataFrame,
     max_bytes: int = DEFAULT_FILE_BYTES,
@@ -35,40 +95,37 @@ def pack_files(
     batch: int = DEFAULT_BATCH,
     payload: str = "payload",
 ) -> DataFrame:
-    """Adds ``batch_no`` and ``file_no``: rows in order, a new file when the next row would not fit.
+    """Adds ``batch_no``, ``_pos`` (from 1) and ``file_no``: rows in order, a new file when the next row would not fit.
 
-    Packing runs per delivery batch (a fixed number of rows of one collector and stream), as a delivery
-    does, so however many rows a collector has, one fold sees one batch. The fold handles ids and
-    sizes; payloads are joined back by row. Rows with null keys form groups of their own, equal rows
-    are packed one by one.
+    Packing runs per delivery batch (a fixed number of rows of one collector and stream), as a delivery does. Rows
+    are sorted once and cut into blocks, so a collector of any number of rows is spread over many; of each block
+    only the sizes of one batch are needed to go on in the next. Rows with null keys form groups of their own, a
+    null payload is an empty line.
     """
-    # Each row has a digest of its own to come back by: of all columns, and a number among equal rows.
-    numbered = df.withColumn("_row", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)).withColumn(
-        "_copy", F.row_number().over(W.partitionBy("_row").orderBy(*order))
-    )
-    slim = numbered.select(*keys, *order, "_row", "_copy", (F.octet_length(payload) + 1).alias("_bytes"), F.lit(1).alias("_one"))
-    slim = running_sum(slim, keys, [*order, "_row", "_copy"], "_one", "_pos").withColumn(
-        "batch_no", F.expr(f"cast((_pos - 1) div {batch} AS bigint)")
-    )
-    grouped = slim.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list(F.struct("_pos", "_bytes"))).alias("_rows"))
-    full = f"acc.used > 0 AND acc.used + r._bytes > {max_bytes}"
-    step = struct(
-        no=f"IF({full}, acc.no + 1, acc.no)",
-        used=f"IF({full}, r._bytes, acc.used + r._bytes)",
-        out=f"array_append(acc.out, named_struct('_pos', r._pos, 'file_no', IF({full}, acc.no + 1, acc.no)))",
-    )
-    start = struct(no="0", used="0", out="cast(array() AS array<struct<_pos:bigint,file_no:int>>)")
-    packed = grouped.select(
-        *keys, "batch_no", F.explode(F.expr(f"aggregate(_rows, {start}, (acc, r) -> {step}, acc -> acc.out)")).alias("p")
-    ).select(*keys, "batch_no", "p.*")
-    places = packed.withColumnsRenamed({k: f"_p_{k}" for k in (*keys, "batch_no", "_pos")})
-    same = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in (*keys, "batch_no", "_pos")]
-    placed = slim.join(places, reduce(lambda a, b: a & b, same)).select("_row", "_copy", "batch_no", "_pos", "file_no")
-    return numbered.join(placed, ["_row", "_copy"]).drop("_row", "_copy")
+    sized = df.withColumn("_bytes", F.coalesce(F.octet_length(payload), F.lit(0)).cast("bigint") + 1)
+    blocks = ordered_blocks(sized, keys, order)
+    packer = _Packer(list(keys), batch, max_bytes)
+    rows = blocks.mapInArrow(packer.borders, "block int, place int, key string, n bigint, tail array<bigint>").collect()
+    before: dict[int, tuple[int, int, int]] = {}
+    key, place, tail = None, 0, []
+    for row in sorted(rows, key=lambda r: (r.block, r.place)):
+        if row.place or row.key != key:
+            key, place, tail = row.key, 0, []
+        elif place:
+            start = place - place % batch
+            _, used, number = _filled(tail[len(tail) - (place - start) :], start, 0, 0, batch, max_bytes)
+            before[row.block] = (place, used, number)
+        place += row.n
+        tail = (tail + list(row.tail))[-batch:]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema) + ", batch_no bigint, _pos bigint, file_no int"
+    return blocks.mapInArrow(lambda b: packer.walk(b, before), schema).drop("_block", "_bytes")
 
 
 def write_spool(packed: DataFrame, path: str, keys: Sequence[str] = ("collector_id", "stream"), payload: str = "payload") -> None:
-    """Writes packed rows as JSON lines, one folder per file; Spark's commit makes them visible at once."""
+    """Appends packed rows as JSON lines, one folder per file; Spark's commit makes them visible at once.
+
+    Written again they stand twice; :func:`write_delivery` replaces its files.
+    """
     stems = {k: F.expr(safe_stem(k)) for k in keys}
     parts = [*keys, "batch_no", "file_no"]
     (
@@ -80,3 +137,101 @@ def write_spool(packed: DataFrame, path: str, keys: Sequence[str] = ("collector_
         .partitionBy(*parts)
         .text(path)
     )
+
+
+@dataclass
+class SpoolFiles(WriterCommitMessage):
+    """The files of a task: temporary name, name, rows and bytes."""
+
+    files: list[tuple[str, str, int, int]] = field(default_factory=list)
+
+
+class SpoolWriter(DataSourceWriter):
+    """Writes each file under a temporary name, and moves the files of all tasks to their names at the commit.
+
+    Names follow from the delivery, the batch and the file, so a delivery that is run again replaces its files and
+    adds none. What a lost task has written is never moved, and goes with the delivery's temporary folder.
+    """
+
+    def __init__(self, path: str, delivery: str):
+        self.path, self.delivery = path, delivery
+
+    def _place(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+
+    def write(self, iterator: Iterator[Row]) -> SpoolFiles:
+        system, root = self._place()
+        active = f"{root}/active/{self.delivery}"
+        system.create_dir(active, recursive=True)
+        files, current, out = [], None, None
+        try:
+            for row in iterator:
+                name = f"{row.stem}-{self.delivery}-{row.batch_no:010d}-{row.file_no:06d}"
+                if name != current:
+                    if out is not None:
+                        out.close()
+                    current = name
+                    files.append([f"{active}/{name}.{uuid4().hex}.tmp", f"{root}/ready/{name}.jsonl", 0, 0])
+                    out = system.open_output_stream(files[-1][0])
+                data = (row.value or "").encode() + b"\n"
+                out.write(data)
+                files[-1][2] += 1
+                files[-1][3] += len(data)
+        finally:
+            if out is not None:
+                out.close()
+        return SpoolFiles([tuple(f) for f in files])
+
+    def commit(self, messages: list[SpoolFiles | None]) -> None:
+        system, root = self._place()
+        system.create_dir(f"{root}/ready", recursive=True)
+        for message in messages:
+            for temporary, ready, _, _ in message.files if message else ():
+                if system.get_file_info(ready).type != fs.FileType.NotFound:
+                    system.delete_file(ready)
+                system.move(temporary, ready)
+        self._clear(system, root)
+
+    def abort(self, messages: list[SpoolFiles | None]) -> None:
+        self._clear(*self._place())
+
+    def _clear(self, system: fs.FileSystem, root: str) -> None:
+        active = f"{root}/active/{self.delivery}"
+        if system.get_file_info(active).type == fs.FileType.Directory:
+            system.delete_dir(active)
+
+
+class SpoolSink(DataSource):
+    """Options ``path`` and ``delivery``; rows ``stem, batch_no, file_no, value``, those of a file together."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def writer(self, schema, overwrite: bool) -> SpoolWriter:
+        return SpoolWriter(self.options["path"], self.options["delivery"])
+
+
+def write_delivery(
+    packed: DataFrame, path: str, delivery: str, keys: Sequence[str] = ("collector_id", "stream"), payload: str = "payload"
+) -> None:
+    """Writes packed rows as JSON lines to ``path/ready``, a file ``<keys>-<delivery>-<batch>-<file>.jsonl`` each.
+
+    ``path`` is a folder that all executors reach. All files of a delivery appear at its commit, or none; the
+    same delivery again replaces them.
+    """
+    spark = packed.sparkSession
+    spark.dataSource.register(SpoolSink)
+    parts = [*keys, "batch_no", "file_no"]
+    stem = F.concat_ws("-", *(F.coalesce(F.expr(safe_stem(k)), F.lit("null")) for k in keys))
+    rows = packed.repartition(*parts).sortWithinPartitions(*parts, "_pos").select(
+        stem.alias("stem"), "batch_no", "file_no", F.col(payload).alias("value")
+    )
+    rows.write.format(FORMAT).mode("append").option("path", path).option("delivery", delivery).save()
+
+
+def acknowledgements(packed: DataFrame, delivery: str, keys: Sequence[str] = ("collector_id", "stream")) -> DataFrame:
+    """``event_id, acknowledgement`` of the rows of a committed delivery: the file that holds each."""
+    stem = F.concat_ws("-", *(F.coalesce(F.expr(safe_stem(k)), F.lit("null")) for k in keys))
+    name = F.format_string(f"%s-{delivery}-%010d-%06d", stem, "batch_no", "file_no")
+    return packed.select("event_id", F.concat(F.lit("spool:"), name).alias("acknowledgement"))

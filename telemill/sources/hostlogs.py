@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemill import schema as S
@@ -12,8 +15,6 @@ from telemill.functions.sqltext import lit, struct, when
 from telemill.functions.text import contains_ci, drop_nulls, merge_labels, present, short_hash, truncate
 from telemill.operators.ordinals import index_within
 
-MAX_LINE_BYTES = 65_536
-
 # Event type by host log kind; other kinds are custom.
 HOST_TYPES = {
     "WindowsEvent": "host_windows_event",
@@ -117,27 +118,52 @@ class LineOptions:
     agent_id: str
     application_name: str
     environment: str = "production"
-    max_line_bytes: int = MAX_LINE_BYTES
+    max_line_bytes: int | None = None
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the place of each line in its split; a task reads its splits one after another, each in order."""
+    current, at = None, 0
+    for batch in batches:
+        places = []
+        for split in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist()):
+            if split != current:
+                current, at = split, 0
+            places.append(at)
+            at += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "place"])
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as ``file``, ``line_no``, ``line``.
+    """Text files as ``file``, ``line_no`` (from 0), ``line``; a line may end with a carriage return.
 
-    Line numbers need the whole file in one row, so this suits files of ordinary size; a producer that
-    numbers its lines needs no such read.
+    Files of any size are read by splits. Lines are counted within each split, and the counts of the splits before
+    it give the number of a split's first line.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value"
+    )
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    # A row for each split.
+    counts = lines.groupBy("file", "split").agg(F.count("*").alias("n"))
+    starts = counts.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = lines.mapInArrow(_positions, "file string, split bigint, value string, place bigint").join(starts, ["file", "split"])
+    return placed.select("file", (F.col("first") + F.col("place")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def _numbered(lines: DataFrame, key: str) -> DataFrame:
+    """The non-blank lines with their place among those of their source, before any join."""
+    return index_within(lines.filter(F.expr(present("line"))), [key], "line_no", "_index")
 
 
-def _line_events(df: DataFrame, key: str, build: str, options: LineOptions) -> DataFrame:
-    """Numbers the non-blank lines per source and builds the envelope."""
-    lines = df.filter(F.expr(present("line")))
-    numbered = index_within(lines, [key], "line_no", "_index")
+def _line_events(numbered: DataFrame, key: str, build: str, options: LineOptions) -> DataFrame:
+    """Builds the envelopes of numbered lines."""
     original = short_hash(f"concat_ws({lit(chr(31))}, {key}, cast(_index AS string), line)", 24)
+    limit = options.max_line_bytes
+    failure = "cast(NULL AS string)" if limit is None else f"IF(octet_length(line) > {limit}, 'line-too-large', NULL)"
     return (
         numbered.withColumn("_original", F.expr(original))
-        .withColumn("failure_code", F.expr(f"IF(octet_length(line) > {options.max_line_bytes}, 'line-too-large', NULL)"))
+        .withColumn("failure_code", F.expr(failure))
         .withColumn("event", F.expr(f"IF(failure_code IS NULL, {build}, NULL)"))
         .withColumnRenamed("_index", "line_index")
     )
@@ -169,7 +195,7 @@ def map_host_lines(
     both join by key, and Spark broadcasts them when they are measured as small.
     """
     enabled = sources.filter("enabled").select(F.col("id").alias("source_id"), "kind", "path")
-    joined = lines.join(enabled, "source_id")
+    joined = _numbered(lines, "source_id").join(enabled, "source_id")
     if metadata is None:
         described = joined.withColumn("host", F.expr(f"cast(NULL AS struct<{HOST_METADATA.replace(' ', ':').replace(',:', ',')}>)"))
     else:
@@ -230,4 +256,4 @@ def map_custom_log_lines(lines: DataFrame, targets: DataFrame, options: LineOpti
             "labels": labels,
         }
     )
-    return _line_events(lines.join(enabled, "target_id"), "target_id", build, options).drop("path", "format", "_original")
+    return _line_events(_numbered(lines, "target_id").join(enabled, "target_id"), "target_id", build, options).drop("path", "format", "_original")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +12,9 @@ from telemill.operators import dedupe, ingest, policy
 from telemill.operators.detect import DetectionRule, detect
 from telemill.operators.ingest import CollectorIdentity
 from telemill.operators.privacy.policy import PrivacyPolicy
+from telemill.session import stable
 from telemill.sinks.lake import write_streams
+from telemill.streaming.keyindex import BUCKET_KEYS, MERGE, KeyIndex
 
 CLOCK = "current_timestamp()"
 
@@ -49,43 +50,32 @@ def exact_dedupe_batch(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return dedupe.mark_duplicates(dedupe.dedupe_first(batch), existing)
 
 
-#: Folders of the key table; a batch reads those that its keys fall into.
-KEY_BUCKETS = 256
-
-
-def write_exact(batch: DataFrame, base: str, batch_id: int, buckets: int = KEY_BUCKETS) -> None:
+def write_exact(batch: DataFrame, base: str, batch_id: int, bucket_keys: int = BUCKET_KEYS, merge: int = MERGE) -> None:
     """Appends the ledger rows of a micro-batch whose fingerprint and event id were never written before.
 
-    Rows go to ``base/rows/batch=N``, their keys to ``base/keys/batch=N/bucket=B``. Only the buckets that the
-    batch's keys fall into are read, slim and without the rows. A replayed batch ignores and overwrites what
-    it wrote itself.
+    Rows go to ``base/rows/batch=N``, their keys to a :class:`telemill.streaming.keyindex.KeyIndex`, of which only
+    the files that may hold one of the batch's keys are opened. A replayed batch ignores and overwrites what it
+    wrote itself.
     """
     spark = batch.sparkSession
-    first = dedupe.dedupe_first(batch)
+    index = KeyIndex(spark, f"{base}/index", bucket_keys, merge)
+    first = stable(dedupe.dedupe_first(batch))
 
     def keys(df: DataFrame) -> DataFrame:
         both = F.array(
             F.struct(F.lit("fingerprint").alias("kind"), F.col("fingerprint").alias("key")),
             F.struct(F.lit("event_id").alias("kind"), F.col("event_id").alias("key")),
         )
-        return df.select(F.inline(both)).where("key IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("kind", "key"), F.lit(buckets)))
-
-    # At most as many numbers as there are buckets.
-    touched = [r.bucket for r in keys(first).select("bucket").distinct().collect()]
-    schema = "kind string, key string, batch long, bucket long"
-    try:
-        known = spark.read.schema(schema).option("basePath", f"{base}/keys").parquet(f"{base}/keys")
-    except AnalysisException:
-        # The first batch finds no table.
-        known = spark.createDataFrame([], schema)
-    known = known.where((F.col("batch") != batch_id) & F.col("bucket").isin(touched))
+        return df.select(F.inline(both)).where("key IS NOT NULL")
+
+    known = index.known(keys(first), batch_id)
     fresh = first
     for kind in ("fingerprint", "event_id"):
         seen = known.where(F.col("kind") == kind).select(F.col("key").alias(kind)).distinct()
         fresh = fresh.join(seen, kind, "left_anti")
     fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
     written = spark.read.schema(batch.schema).parquet(f"{base}/rows/batch={batch_id}")
-    keys(written).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/keys/batch={batch_id}")
+    index.add(keys(written), batch_id)
 
 
 def start_exact(rows: DataFrame, base: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:

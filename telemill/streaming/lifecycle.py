@@ -1,129 +1,326 @@
-"""Stateful streaming: the delivery ledger and the collector fleet.
+"""Stateful streaming: the delivery ledger, the collector fleet, and collectors that fall silent.
 
-State is kept per key in Spark's state store, so a micro-batch costs as much as the keys it touches,
-not as much as the table. Moves of one key in one micro-batch are few; they are applied in ``seq``
-order by a small function. The batch operators ``ledger_apply`` and ``fold_from`` give the same states.
+State is kept per key in Spark's state store, so a micro-batch costs as much as the keys it touches, not as much as
+the table. Moves may arrive in any order: each key holds back what came too early, and applies its moves by ``seq``.
+The batch operators ``ledger_apply`` and ``fleet_fold`` give the same states from the same transition tables.
+
+``transformWithState`` needs the RocksDB state store; start such streams inside :func:`state_store`.
 """
 
 from __future__ import annotations
 
-from collections import namedtuple
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from telemill.operators.ledger import DEAD_LETTERED, DELIVERED, QUEUED, RETRYING, UPLOADING
+from telemill.operators.fleet import has_reason, identity, next_owner, transitions
+from telemill.operators.ledger import DEAD_LETTERED, DELIVERED, QUEUED, RESULTS, RETRYING, UPLOADING
 
-LEDGER_STATE = "state int, attempts int, lease_until timestamp, next_attempt_at timestamp, failure_code string"
-LEDGER_OUT = "event_id string, seq bigint, action string, accepted boolean, state int, attempts int, failure_code string"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-FLEET_STATE = "status string, principal string, version string, queue_depth bigint, delivery_status string, last_seen_at timestamp"
+LEDGER_OUT = "event_id string, seq bigint, action string, accepted boolean, state int, attempts int, failure_code string"
 FLEET_OUT = (
     "collector_id string, seq bigint, kind string, outcome string, status string, version string, queue_depth bigint, "
     "delivery_status string, last_seen_at timestamp"
 )
+STALE_OUT = "collector_id string, status string, last_seen_at timestamp"
+
+#: How long rows that are done are remembered, in event time, to refuse later moves.
+KEEP = 24 * 3600 * 1000
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's own setting comes back after."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def _micros(df: DataFrame, *columns: str) -> DataFrame:
+    """Timestamps as microseconds, which pass between Spark and Python without a time zone."""
+    return df.withColumns({f"{c}_us": F.unix_micros(c) for c in columns})
+
+
+class InOrder(StatefulProcessor):
+    """Applies the moves of a key by ``seq``, whatever order they arrive in.
+
+    A move is applied once all smaller numbers from ``first_seq`` on have been, or once the watermark has passed
+    its time, so that nothing before it can come any more. Until then it waits in the key's list. A number that
+    was passed over is refused when it comes after all. ``STATE`` names the columns of a key's row.
+    """
+
+    STATE = ""
+
+    def __init__(self, move: str, out: str, first_seq: int):
+        self.move, self.out, self.first_seq = move, _names(out), first_seq
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.names, self.columns = _names(self.STATE), _names(self.move)
+        self.row = handle.getValueState("row", f"next_seq bigint, held bigint, last_ms bigint, {self.STATE}")
+        self.waiting = handle.getListState("waiting", self.move)
+
+    def step(self, state: tuple | None, move: Row) -> tuple[tuple, tuple | None]:
+        """The output of a move and the state after it."""
+        raise NotImplementedError
+
+    def refused(self, state: tuple | None, move: Row) -> tuple:
+        """The output of a move that comes too late."""
+        raise NotImplementedError
+
+    def done(self, state: tuple | None) -> bool:
+        """Whether a key's row is to be forgotten some time after its last move."""
+        return False
+
+    def timers(self, state: tuple | None) -> list[int]:
+        """Times at which :meth:`passed` is to be called."""
+        return []
+
+    def passed(self, state: tuple | None, time: int) -> list[tuple]:
+        """What to put out when such a time has passed."""
+        return []
+
+    def _read(self) -> tuple[int, int, int, tuple | None]:
+        kept = self.row.get() if self.row.exists() else None
+        if kept is None:
+            return self.first_seq, 0, 0, None
+        state = tuple(kept[3:])
+        return kept[0], kept[1], kept[2], None if all(x is None for x in state) else state
+
+    def _due(self, key: str, state: tuple | None, times: list[int], now: int) -> list[tuple]:
+        """What times that have passed already put out; no timer would fire for them before the next batch."""
+        return [(key, *o) for t in times if t <= now for o in self.passed(state, t)]
+
+    def _held(self, held: int) -> list[Row]:
+        """The moves that wait; the state gives them back as plain tuples."""
+        return [Row(*self.columns)(*m) for m in self.waiting.get()] if held else []
+
+    def _apply(self, key: str, moves: list, number: int, state: tuple | None, until: int | None) -> tuple:
+        """Applies moves while they follow each other, or up to the last whose time is ``until`` or before."""
+        out, last = [], 0
+        moves.sort(key=lambda m: m.seq)
+        sure = max((i for i, m in enumerate(moves) if until is not None and m.at_us // 1000 <= until), default=-1)
+        taken = 0
+        for i, move in enumerate(moves):
+            if move.seq < number:
+                out.append((key, *self.refused(state, move)))
+            elif move.seq == number or i <= sure:
+                shown, state = self.step(state, move)
+                out.append((key, *shown))
+                number = move.seq + 1
+                last = max(last, move.at_us // 1000)
+            else:
+                break
+            taken += 1
+        return out, moves[taken:], number, state, last
+
+    def _keep(self, number: int, waiting: list, held: int, last: int, state: tuple | None, times: list[int]) -> None:
+        if waiting:
+            self.waiting.put([tuple(m[c] for c in self.columns) for m in waiting])
+            self.handle.registerTimer(min(m.at_us for m in waiting) // 1000)
+        elif held:
+            self.waiting.clear()
+        if not waiting and self.done(state):
+            self.handle.registerTimer(last + KEEP)
+        for time in times:
+            self.handle.registerTimer(time)
+        self.row.update((number, len(waiting), last, *(state or (None,) * len(self.names))))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        number, held, last, state = self._read()
+        moves = [*rows, *self._held(held)]
+        before = self.timers(state)
+        out, waiting, number, state, newest = self._apply(key[0], moves, number, state, None)
+        last = max(last, newest)
+        new, now = [t for t in self.timers(state) if t not in before], timerValues.getCurrentWatermarkInMs()
+        out += self._due(key[0], state, new, now)
+        self._keep(number, waiting, held, last, state, [t for t in new if t > now])
+        return iter([Row(*self.out)(*o) for o in out])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        number, held, last, state = self._read()
+        now, time = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        out = [(key[0], *o) for o in self.passed(state, time)]
+        if held:
+            more, waiting, number, state, newest = self._apply(key[0], self._held(held), number, state, now)
+            out += more + self._due(key[0], state, [t for t in self.timers(state) if t != time], now)
+            last = max(last, newest)
+            self._keep(number, waiting, held, last, state, [t for t in self.timers(state) if t > now])
+        elif self.done(state) and last + KEEP <= now:
+            self.row.clear()
+        return iter([Row(*self.out)(*o) for o in out])
+
+
+class Deliveries(InOrder):
+    """The delivery states of a ledger row. The action ``enqueue`` creates it."""
+
+    STATE = "state int, attempts int, lease_until_ms bigint, next_attempt_us bigint, failure_code string"
+
+    def step(self, state, move):
+        action, new = move.action, None
+        if action == "enqueue":
+            new = (QUEUED, 0, None, None, None) if state is None else None
+        elif action == "lease":
+            if state is not None and self._may_lease(state, move.at_us):
+                until = None if move.lease_until_us is None else move.lease_until_us // 1000
+                new = (UPLOADING, state[1] + 1, until, state[3], state[4])
+        elif action in RESULTS and state is not None and state[0] == UPLOADING:
+            to, needs = RESULTS[action]
+            if move[needs]:
+                code = move.failure_code if needs == "failure_code" else None
+                new = (to, state[1], None, move.next_attempt_at_us if to == RETRYING else None, code)
+        return self._shown(move.seq, action, new is not None, new or state), new or state
+
+    def refused(self, state, move):
+        return self._shown(move.seq, move.action, False, state)
+
+    def done(self, state):
+        return state is None or state[0] in (DELIVERED, DEAD_LETTERED)
+
+    def timers(self, state):
+        return [state[2]] if state is not None and state[0] == UPLOADING and state[2] is not None else []
+
+    def passed(self, state, time):
+        # The row may be leased again.
+        return [self._shown(None, "lease-expired", True, state)] if time in self.timers(state) else []
+
+    @staticmethod
+    def _may_lease(state: tuple, at: int) -> bool:
+        number, _, lease_until, next_attempt, _ = state
+        if number == RETRYING:
+            return next_attempt is None or next_attempt <= at
+        return number == QUEUED or (number == UPLOADING and lease_until is not None and lease_until * 1000 <= at)
+
+    @staticmethod
+    def _shown(seq, action, accepted, state):
+        return (seq, action, accepted, *((None, None, None) if state is None else (state[0], state[1], state[4])))
+
+
+def ledger_stream(moves: DataFrame, delay: str = "10 minutes", first_seq: int = 0) -> DataFrame:
+    """Outcome and resulting state of every move ``event_id, seq, action, at, lease_until, next_attempt_at,
+    failure_code, acknowledgement``, in the order of ``seq`` from ``first_seq`` on.
+
+    Moves of one row may lie in different micro-batches in any order, ``delay`` apart at most in event time. A
+    lease that runs out gives a row of the action ``lease-expired``. A row that is delivered or dead-lettered, or
+    was never enqueued, is forgotten a day after its last move.
+    """
+    move = "seq bigint, action string, failure_code string, acknowledgement string, at_us bigint, lease_until_us bigint, next_attempt_at_us bigint"
+    slim = _micros(moves.withWatermark("at", delay), "at", "lease_until", "next_attempt_at")
+    slim = slim.select("event_id", "at", *_names(move))
+    return slim.groupBy("event_id").transformWithState(Deliveries(move, LEDGER_OUT, first_seq), StructType.fromDDL(LEDGER_OUT), "append", "EventTime")
+
+
+class Collectors(InOrder):
+    """The life cycle of a collector, by the transition table of the batch fold."""
+
+    STATE = "status string, principal string, version string, queue_depth bigint, delivery_status string, last_seen_us bigint"
+
+    def step(self, state, move):
+        status, owner, version, depth, delivery, seen = state or (None,) * 6
+        moves = transitions(move.kind, move.action, move.target_status, has_reason(move.reason), identity(owner, move.principal))
+        outcome, status = moves[status]
+        owner = next_owner(owner, move.kind, move.principal)
+        if outcome == "ok" and move.kind == "register":
+            version, seen = move.version, move.at_us
+            depth, delivery = 0 if depth is None else depth, delivery or "unknown"
+        elif outcome == "ok" and move.kind == "heartbeat":
+            version, depth, delivery, seen = move.version, move.queue_depth, move.delivery_status, move.at_us
+        new = None if status is None else (status, owner, version, depth, delivery, seen)
+        return self._shown(move, outcome, new), new
+
+    def refused(self, state, move):
+        return self._shown(move, "late", state)
+
+    @staticmethod
+    def _shown(move, outcome, state):
+        status, _, version, depth, delivery, seen = state or (None,) * 6
+        return (move.seq, move.kind, outcome, status, version, depth, delivery, seen)
+
+
+def fleet_stream(events: DataFrame, delay: str = "10 minutes", first_seq: int = 1) -> DataFrame:
+    """Outcome and resulting state of every fleet event, as :func:`telemill.operators.fleet.fleet_fold`.
+
+    Events of a collector may arrive in any order, see :func:`ledger_stream`; one that comes after the watermark has
+    let its successors pass has the outcome ``late``.
+    """
+    move = (
+        "seq bigint, kind string, principal string, version string, queue_depth bigint, delivery_status string, action string, "
+        "target_status string, reason string, at_us bigint"
+    )
+    slim = _micros(events.withWatermark("at", delay), "at").select("collector_id", "at", *_names(move))
+    out = FLEET_OUT.replace("last_seen_at timestamp", "last_seen_us bigint")
+    done = slim.groupBy("collector_id").transformWithState(Collectors(move, out, first_seq), StructType.fromDDL(out), "append", "EventTime")
+    return done.withColumn("last_seen_us", F.timestamp_micros("last_seen_us")).withColumnRenamed("last_seen_us", "last_seen_at")
+
+
+_SILENCE = Row("collector_id", "status", "last_seen_us")
+
+
+class Silence(StatefulProcessor):
+    """Tells when a collector has not been heard of for some time, and when it is heard of again.
+
+    One timer per collector; contact moves it on. A timer needs no input to fire.
+    """
+
+    def __init__(self, after_ms: int, event_time: bool):
+        self.after_ms, self.event_time = after_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", "last_seen_us bigint, timer_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        seen, timer = self.row.get() if self.row.exists() else (None, None)
+        newest = max(r.at_us for r in rows)
+        back = seen is not None and timer is None and newest > seen
+        seen = newest if seen is None else max(seen, newest)
+        due = (seen // 1000 if self.event_time else timerValues.getCurrentProcessingTimeInMs()) + self.after_ms
+        if timer is None and not back and self.row.exists():
+            # Old news of a silent collector.
+            return iter([])
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.row.update((seen, due))
+        return iter([_SILENCE(key[0], "heard", seen)] if back else [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        seen, _ = self.row.get()
+        self.row.update((seen, None))
+        return iter([_SILENCE(key[0], "stale", seen)])
+
 
+def stale_stream(contacts: DataFrame, after: str = "15 minutes", delay: str = "1 minute", clock: str = "event") -> DataFrame:
+    """Rows ``collector_id, at`` to changes: ``stale`` when a collector was last heard of ``after`` ago, ``heard`` when
+    it is heard of again.
 
-def _plain(value):
-    """None for the missing values of pandas, everything else unchanged."""
-    return None if value is None or (not isinstance(value, str) and pd.isna(value)) else value
-
-
-def _in_order(frames: Iterator[pd.DataFrame]) -> list:
-    """The rows of one key by ``seq``; plain tuples, since a key has only a few."""
-    rows: list = []
-    for frame in frames:
-        row = namedtuple("Move", frame.columns)
-        rows.extend(map(row, *(frame[c].tolist() for c in frame.columns)))
-    return sorted(rows, key=lambda r: r.seq)
-
-
-def _may_lease(state: tuple, at) -> bool:
-    number, _, lease_until, next_attempt_at, _ = state
-    if number == RETRYING:
-        return next_attempt_at is None or next_attempt_at <= at
-    return number == QUEUED or (number == UPLOADING and lease_until is not None and lease_until <= at)
-
-
-def ledger_stream(moves: DataFrame) -> DataFrame:
-    """Outcome and resulting state of every move ``event_id, seq, action, at, lease_until,
-    next_attempt_at, failure_code, acknowledgement``. The action ``enqueue`` creates the row."""
-    results = {"delivered": DELIVERED, "retrying": RETRYING, "dead-lettered": DEAD_LETTERED}
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(_plain(v) for v in kept.get) if kept.exists else None
-        out = []
-        for row in _in_order(frames):
-            action, at = row.action, _plain(row.at)
-            new = None
-            if action == "enqueue" and state is None:
-                new = (QUEUED, 0, None, None, None)
-            elif action == "lease" and state is not None and _may_lease(state, at):
-                new = (UPLOADING, state[1] + 1, _plain(row.lease_until), state[3], state[4])
-            elif action in results and state is not None and state[0] == UPLOADING:
-                code = _plain(row.failure_code) if action != "delivered" else None
-                if action == "delivered" and _plain(row.acknowledgement) or code:
-                    new = (results[action], state[1], None, _plain(row.next_attempt_at) if action == "retrying" else None, code)
-            state = new or state
-            shown = state or (None, None, None, None, None)
-            out.append((key[0], row.seq, action, new is not None, shown[0], shown[1], shown[4]))
-        if state is not None:
-            kept.update(state)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER_OUT.split(", ")])
-
-    return moves.groupBy("event_id").applyInPandasWithState(step, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-_DECISIONS = {
-    # action: (statuses it may start from, status it has to lead to)
-    "approved": (("Pending",), "Approved"),
-    "rejected": (("Pending",), "Revoked"),
-    "suspended": (("Approved", "Active"), "Suspended"),
-    "revoked": (("Pending", "Approved", "Active", "Suspended"), "Revoked"),
-}
-
-
-def fleet_stream(events: DataFrame) -> DataFrame:
-    """Outcome and resulting state of every fleet event, as :func:`telemill.operators.fleet.fleet_fold`."""
-
-    def outcome(row, state: tuple | None) -> str:
-        if row.kind == "register":
-            return "identity-conflict" if state is not None and state[1] != row.principal else "ok"
-        if row.kind == "heartbeat":
-            if state is None or state[1] != row.principal:
-                return "unknown-collector"
-            return "state-conflict" if state[0] in ("Pending", "Suspended", "Revoked") else "ok"
-        if row.kind != "decide":
-            return "unknown-kind"
-        reason = _plain(row.reason) or ""
-        if not reason.strip() or len(reason) > 500:
-            return "reason-required"
-        if state is None:
-            return "unknown-collector"
-        sources, target = _DECISIONS.get(row.action, ((), None))
-        return "ok" if state[0] in sources and row.target_status == target else "state-conflict"
-
-    def moved(row, state: tuple | None) -> tuple:
-        if row.kind == "register":
-            old = state or ("Pending", None, None, 0, "unknown", None)
-            return (old[0], row.principal, _plain(row.version), old[3], old[4], row.at)
-        if row.kind == "heartbeat":
-            return ("Active", state[1], _plain(row.version), int(row.queue_depth), _plain(row.delivery_status), row.at)
-        return (row.target_status, *state[1:])
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(_plain(v) for v in kept.get) if kept.exists else None
-        out = []
-        for row in _in_order(frames):
-            verdict = outcome(row, state)
-            if verdict == "ok":
-                state = moved(row, state)
-            status, _, version, depth, delivery, seen = state or (None,) * 6
-            out.append((key[0], row.seq, row.kind, verdict, status, version, depth, delivery, seen))
-        if state is not None:
-            kept.update(state)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLEET_OUT.split(", ")])
-
-    return events.groupBy("collector_id").applyInPandasWithState(step, FLEET_OUT, FLEET_STATE, "append", GroupStateTimeout.NoTimeout)
+    With the clock ``event`` time is that of the watermark, so a replay tells the same; with ``processing`` it is
+    the machine's, and silence is told without any input.
+    """
+    if clock not in ("event", "processing"):
+        raise ValueError("clock must be 'event' or 'processing'")
+    spark = contacts.sparkSession
+    after_ms = spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + INTERVAL {after}) AS ms").first().ms
+    marked = contacts.withWatermark("at", delay) if clock == "event" else contacts
+    slim = _micros(marked, "at").select("collector_id", "at", "at_us").where("at IS NOT NULL")
+    mode = "EventTime" if clock == "event" else "ProcessingTime"
+    out = StructType.fromDDL(STALE_OUT.replace("last_seen_at timestamp", "last_seen_us bigint"))
+    done = slim.groupBy("collector_id").transformWithState(Silence(after_ms, clock == "event"), out, "append", mode)
+    return done.withColumn("last_seen_us", F.timestamp_micros("last_seen_us")).withColumnRenamed("last_seen_us", "last_seen_at")
