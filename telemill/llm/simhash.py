@@ -170,6 +170,7 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.frombuffer(b"".join(found), ">i8").astype(np.int64)
 
 
+_CELLS = 1 << 16
 _MULTIPLIERS = _mixed(np.array([7], np.uint64), WIDE)[0] | np.uint64(1)
 
 
@@ -178,41 +179,51 @@ def sketch(found: np.ndarray, bits: int = SKETCH) -> np.ndarray:
     if not len(found):
         return np.zeros(bits // 8, np.uint8)
     values, least = found.view(np.uint64), np.full(bits, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(values), 1024):
-        hashed = values[start : start + 1024, None] * _MULTIPLIERS[None, :bits]
-        np.minimum(least, (hashed ^ (hashed >> np.uint64(29))).min(axis=0), out=least)
+    # Products of a step stay in the processor's cache.
+    rows = max(1, _CELLS // bits)
+    for start in range(0, len(values), rows):
+        np.minimum(least, np.multiply.outer(values[start : start + rows], _MULTIPLIERS[:bits]).min(axis=0), out=least)
     return np.packbits((least * np.uint64(_GOLD) >> np.uint64(63)).astype(bool))
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
 
-def _word_rows(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id, t1, t2, s0..s7, keys``: digest of the words in order, sketch of the shingles, segments of the fingerprint."""
+def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, t1, t2, keys``: digest of the words in order, segments of the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            texts, prints, sketches = [], [], []
+        for batch in steps(batches, 1, 1 << 20):
+            texts, prints = [], []
             for text in utf8(batch.column(1)):
                 words = text.lower().split()
                 texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 prints.append(word_fingerprint(set(words)) if words else np.zeros(64, np.uint8))
-                sketches.append(sketch(shingles(words, size)))
             rows = np.array(prints, np.uint8).reshape(-1, 64)
             halves = np.frombuffer(b"".join(texts), ">i8").astype(np.int64).reshape(-1, 2)
-            bits = np.array(sketches, np.uint8).reshape(-1, SKETCH // 8).view(">i8").astype(np.int64)
             parts = rows[:, : WORD_BITS // 8].reshape(len(rows), -1, WORD_SEGMENT // 8).astype(np.int64)
             values = (parts[:, :, 0] << 16) + (parts[:, :, 1] << 8) + parts[:, :, 2]
             keys = values + (np.arange(values.shape[1]) << WORD_SEGMENT)[None, :]
             ends = np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]
-            columns = [halves[:, 0], halves[:, 1], *bits.T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-                ["id", "t1", "t2", *_SKETCH, "keys"],
+                [batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
+                ["id", "t1", "t2", "keys"],
             )
 
     slim = keyed(df, id_col, text_col).where("id IS NOT NULL")
-    return slim.mapInArrow(run, f"id long, t1 long, t2 long, {', '.join(f'{s} long' for s in _SKETCH)}, keys array<long>")
+    return slim.mapInArrow(run, "id long, t1 long, t2 long, keys array<long>")
+
+
+def _sketch_rows(df: DataFrame, size: int) -> DataFrame:
+    """``node, s0..s7``: the sketch of ``id, text`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1, 1 << 20):
+            found = [sketch(shingles(t.lower().split(), size)) for t in utf8(batch.column(1))]
+            bits = np.array(found, np.uint8).reshape(-1, SKETCH // 8).view(">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["node", *_SKETCH])
+
+    return df.mapInArrow(run, f"node long, {', '.join(f'{s} long' for s in _SKETCH)}")
 
 
 def _shingle_rows(df: DataFrame, size: int) -> DataFrame:
@@ -263,15 +274,16 @@ def similar_copies(
     large group of near copies does not become all its pairs. Texts of no words are copies of each other. Rows that
     share an id may be different texts; what links one of them counts for the id. An empty table gives no row.
     """
-    rows = written(_word_rows(df, id_col, text_col, size))
+    rows = written(_word_rows(df, id_col, text_col))
     # All copies have one fingerprint, so any of them serves.
-    kept = [F.first(c).alias(c) for c in (*_SKETCH, "keys")]
-    nodes = rows.groupBy("t1", "t2").agg(F.min("id").alias("node"), *kept)
-    placed = nodes.select("node", *_SKETCH, F.explode("keys").alias("key"))
+    nodes = rows.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    texts = keyed(df, id_col, text_col)
     shared = written(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    placed = written(placed.join(shared, "key"))
+    placed = written(nodes.select("node", F.explode("keys").alias("key")).join(shared, "key"))
+    # Only texts that meet another one are sketched.
+    some = written(placed.select(F.col("node").alias("id")).distinct())
+    placed = written(placed.join(_sketch_rows(texts.join(some, "id", "left_semi"), size), "node"))
     names = written(nodes.select("t1", "t2", "node"))
-    texts = keyed(df, id_col, text_col)
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in _SKETCH), F.lit(0))
     other = [F.col(c).alias(f"o{c}") for c in _SKETCH]
     none = df.sparkSession.createDataFrame([], "node long, root long")
