@@ -146,7 +146,8 @@ def line_repeats(rows: dict[int, str | None]) -> dict:
             continue
         flat, at = [], 0
         for number, line in enumerate(rows[doc].split("\n")):
-            flat += [[number, *u, u[0] in seen or u[0] in {f[1] for f in flat}] for u in line_units(line)]
+            for u in line_units(line):
+                flat.append([number, *u, u[0] in seen or u[0] in {f[1] for f in flat}])
         seen |= {f[1] for f in flat}
         gone = [False] * len(flat)
         i = 0
