@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from telemill.operators import detect, envelope
 from telemill.plans import event_queries, state_queries
@@ -203,6 +205,34 @@ STREAM_STALE_SQL = """
 """
 
 
+#: Looks at an idle stream, or at batches without a new row, after which it is given up.
+IDLE_LOOKS = 120
+
+
+def _wait_for(query: StreamingQuery, expected: int, written: Callable[[], int], pause: float = 1.0) -> None:
+    """Waits until the stream has written the rows, however long that takes, and stops it.
+
+    Fails if the stream ends before, or brings no more rows though no batch is running.
+    """
+    told, since, last = -1, 0, None
+    try:
+        while True:
+            time.sleep(pause)
+            active, progress = query.isActive, query.lastProgress
+            # Only a batch that was committed after the last look can have brought rows; one that runs may take long.
+            if progress is not None and progress.batchId != last:
+                last, rows = progress.batchId, written()
+                if rows >= expected and not progress.numInputRows:
+                    return
+                told, since = (rows, 0) if rows > told else (told, since + 1)
+            elif active and not query.status["isTriggerActive"]:
+                since += 1
+            if since > IDLE_LOOKS or not active:
+                raise RuntimeError(f"the stream has told {max(told, 0)} of {expected} rows and brings no more") from query.exception()
+    finally:
+        query.stop()
+
+
 def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collectors of all fleet events, told stale by the machine's clock after the input has ended."""
     place = _place(spark, "silence")
@@ -217,14 +247,7 @@ def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
             .option("checkpointLocation", f"{place}/state").trigger(processingTime="500 milliseconds").start()
         )
     # No input comes after the first batch; timers alone bring the rows.
-    deadline = time.monotonic() + 120
-    while query.isActive and time.monotonic() < deadline:
-        time.sleep(1)
-        # A batch that brings no input is done: the ones before have fired all timers.
-        told = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators and not p.numInputRows]
-        if query.recentProgress and told and spark.read.schema(schema).parquet(f"{place}/out").count() >= expected:
-            break
-    query.stop()
+    _wait_for(query, expected, lambda: spark.read.schema(schema).parquet(f"{place}/out").count())
     done = spark.read.schema(schema).parquet(f"{place}/out")
     return done.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("collector_id").alias("collectors"), F.date_format(F.max("last_seen_at"), "yyyy-MM-dd HH:mm").alias("newest"))
 
