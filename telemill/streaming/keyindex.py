@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Keys of a bucket, on average, and bits of its filter for each (one in a hundred other keys passes).
 BUCKET_KEYS, BITS, PROBES = 2_000_000, 10, 7
+#: Keys of a batch, on average, that are held against a filter at once, and hashes that are placed at once.
+SLICE_KEYS, STEP = 250_000, 65_536
 #: Generations of a level that are merged into one of the next.
 MERGE = 8
 
@@ -36,16 +38,20 @@ def _places(hashes: np.ndarray, size: int) -> np.ndarray:
 def bloom(hashes: np.ndarray) -> bytes:
     """A filter that passes these hashes."""
     bits = np.zeros(max(64, -(-BITS * len(hashes) // 8) * 8), bool)
-    bits[_places(hashes, len(bits)).ravel()] = True
+    for at in range(0, len(hashes), STEP):
+        bits[_places(hashes[at : at + STEP], len(bits)).ravel()] = True
     return np.packbits(bits).tobytes()
 
 
 def passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the filter may hold."""
     data = np.frombuffer(bits, np.uint8)
-    places = _places(hashes, 8 * len(data))
-    found = data[places >> np.uint64(3)] >> (7 - (places & np.uint64(7))).astype(np.uint8) & 1
-    return found.all(axis=1)
+    kept = np.empty(len(hashes), bool)
+    for at in range(0, len(hashes), STEP):
+        places = _places(hashes[at : at + STEP], 8 * len(data))
+        found = data[places >> np.uint64(3)] >> (7 - (places & np.uint64(7))).astype(np.uint8) & 1
+        kept[at : at + STEP] = found.all(axis=1)
+    return kept
 
 
 @dataclass(frozen=True)
@@ -60,6 +66,11 @@ class KeyIndex:
     base: str
     bucket_keys: int = BUCKET_KEYS
     merge: int = MERGE
+    slice_keys: int = SLICE_KEYS
+
+    def slices(self, keys: int, buckets: int) -> int:
+        """Slices that a batch of so many keys is cut into beside the buckets: a small generation has few of these."""
+        return max(1, -(-keys // (buckets * self.slice_keys)))
 
     def _hashed(self, keys: DataFrame) -> DataFrame:
         return keys.where("key IS NOT NULL").select("kind", "key", F.xxhash64("kind", "key").alias("h"))
@@ -76,16 +87,23 @@ class KeyIndex:
 
     def candidates(self, keys: DataFrame, generations: list) -> DataFrame:
         """``gen, bucket, kind, key`` for each key and generation whose filter passes it."""
-        gens = F.array(*(F.struct(F.lit(g.gen).alias("gen"), F.lit(g.buckets).alias("buckets")) for g in generations))
+        n = keys.count()
+        cuts = {g.gen: self.slices(n, g.buckets) for g in generations}
+        gens = F.array(*(F.struct(F.lit(g.gen).alias("gen"), F.lit(g.buckets).alias("buckets"), F.lit(cuts[g.gen]).alias("cuts")) for g in generations))
         asked = self._hashed(keys).distinct().select("kind", "key", "h", F.explode(gens).alias("g"))
-        asked = asked.select("g.gen", F.pmod("h", F.col("g.buckets")).cast("int").alias("bucket"), "kind", "key", "h")
+        asked = asked.select(
+            "g.gen", F.pmod("h", F.col("g.buckets")).cast("int").alias("bucket"), F.pmod(F.xxhash64("h"), F.col("g.cuts")).cast("int").alias("cut"), "kind", "key", "h"
+        )
         filters = self.spark.read.schema(_BLOOM).parquet(*(f"{self.base}/blooms/gen={g.gen}" for g in generations))
+        of_gen = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair))
+        # A filter goes to each slice of the batch.
+        filters = filters.withColumn("cut", F.explode(F.sequence(F.lit(0), of_gen[F.col("gen")] - 1)))
 
         def test(asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
             kept = asked.iloc[:0] if filters.empty else asked[passes(bytes(filters.bits.iloc[0]), asked.h.to_numpy(np.int64))]
             return kept[["gen", "bucket", "kind", "key"]]
 
-        both = asked.groupBy("gen", "bucket").cogroup(filters.groupBy("gen", "bucket"))
+        both = asked.groupBy("gen", "bucket", "cut").cogroup(filters.groupBy("gen", "bucket", "cut"))
         return both.applyInPandas(test, "gen string, bucket int, kind string, key string")
 
     def known(self, keys: DataFrame, batch: int) -> DataFrame:

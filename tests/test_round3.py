@@ -13,6 +13,7 @@ from telemill.operators.privacy import engine, jsonwalk
 from telemill.operators.privacy.detectors import builtin_detectors, register_detector
 from telemill.operators.privacy.policy import OPT_IN_DETECTORS, PrivacyPolicy
 from telemill.plans import stream_queries
+from telemill.streaming.keyindex import KeyIndex
 
 PARTS = ["a@b.org", "x.y@h1.corp", "100000001", "123 456 789A", "0412 345 678", "10.1.2.3", "www.example.com", "DOB: 1/2/1990", "passport PA1234567",
          "driver 12345678", "123-456 account 12345678", "123456/87654321", "GB82WEST12345698765432", "gb82west12345698765432", "ABCDEFGH", "N12345", "DVA ",
@@ -90,3 +91,18 @@ def test_silence_waits_for_every_collector(monkeypatch):
     with pytest.raises(RuntimeError, match="3 of 7"):
         stream_queries._wait_for(stuck, 7, stuck.written)
     assert stuck.stopped
+
+
+def test_a_large_batch_meets_a_small_generation_in_slices(spark, tmp_path):
+    """All keys of the batch were one group of one task, as a small generation has one bucket."""
+    index = KeyIndex(spark, str(tmp_path), slice_keys=100)
+
+    def keys(low, high):
+        return spark.range(low, high).selectExpr("'event_id' AS kind", "concat('k', id) AS key")
+
+    index.add(keys(0, 10), 0)
+    batch = keys(5, 2_000)
+    assert index.slices(batch.count(), 1) == 20
+    plan = index.candidates(batch, index.live(1))._jdf.queryExecution().analyzed().toString()
+    assert "cut" in plan
+    assert sorted(r.key for r in index.known(batch, 1).collect()) == [f"k{i}" for i in range(5, 10)]
