@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from telemill.operators.privacy import engine, jsonwalk
 from telemill.operators.privacy.detectors import builtin_detectors, register_detector
 from telemill.operators.privacy.policy import OPT_IN_DETECTORS, PrivacyPolicy
-from telemill.plans import stream_queries
+from telemill.plans import inputs, stream_queries, whole_queries
 from telemill.streaming.keyindex import KeyIndex
 
 PARTS = ["a@b.org", "x.y@h1.corp", "100000001", "123 456 789A", "0412 345 678", "10.1.2.3", "www.example.com", "DOB: 1/2/1990", "passport PA1234567",
@@ -106,3 +106,19 @@ def test_a_large_batch_meets_a_small_generation_in_slices(spark, tmp_path):
     plan = index.candidates(batch, index.live(1))._jdf.queryExecution().analyzed().toString()
     assert "cut" in plan
     assert sorted(r.key for r in index.known(batch, 1).collect()) == [f"k{i}" for i in range(5, 10)]
+
+
+def test_rows_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
+    """A file of one row group was one task, and all events went through the wide expressions on one core."""
+    spark.range(400).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id AS user_id", "'click' AS event_type", "'{\"k\":7}' AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sizes = inputs.candidates(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 100
+
+
+@pytest.mark.parametrize("query", [whole_queries.hostile_texts, whole_queries.wide_json])
+def test_rows_that_grow_are_dealt_over_the_cores_before(spark, tmp_path, query):
+    """Texts and records are made from rows of a few bytes; those of one row group were all made by one task."""
+    spark.range(64).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(64).selectExpr("id AS c_custkey", "concat('c', id) AS c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {2 * spark.sparkContext.defaultParallelism}, true" in plan
