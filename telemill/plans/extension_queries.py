@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from telemill.operators import envelope, ingest, normalise, policy, rulematch
 from telemill.operators.privacy import jsonwalk
 from telemill.plans.event_queries import COLLECTOR, JUDGED_CTE, POLICIES
-from telemill.plans.inputs import CANDIDATE, CANDIDATE_CTE, NOW, candidates, numbered_events, table
+from telemill.plans.inputs import CANDIDATE, CANDIDATE_CTE, NOW, candidates, numbered_events, spread, table
 
 
 def own_field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,15 +82,15 @@ POLICY_DOCUMENTS_SQL = f"""
 
 def rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules read from documents, one of each part; documents without a title are told."""
-    documents = table(spark, sf_dir, "part").select(F.expr(
+    documents = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.expr(
         """to_json(named_struct('id', concat('doc', p_partkey), 'title', IF(p_partkey % 9 = 0, '', p_name), 'level', IF(p_partkey % 2 = 0, 'HIGH', 'Low'),
         'tags', array(concat('attack.t', p_partkey), 'other'), 'detection', named_struct(
           'selection', named_struct('ActorUsername', array(concat('USER', p_partkey % 150), 'nobody'), 'EventType', 'click'), 'condition', 'selection')))"""
     ).alias("document"))
     rules = rulematch.rules_from_documents(documents, "document")
     decoded = envelope.decode_envelope(candidates(spark, sf_dir), "raw").filter("event IS NOT NULL")
-    found = rulematch.detect_with_rules(decoded, rules.where("failure IS NULL"), NOW)
-    alerts = found.groupBy("rule_id").agg(F.count("*").alias("alerts"), F.min("risk_score").cast("bigint").alias("risk"), F.min(F.array_join("techniques", ",")).alias("techniques"))
+    found = rulematch.alert_totals(decoded, rules.where("failure IS NULL"))
+    alerts = found.groupBy("rule_id").agg(F.sum("alerts").alias("alerts"), F.min("risk_score").cast("bigint").alias("risk"), F.min(F.array_join("techniques", ",")).alias("techniques"))
     bad = rules.where("failure IS NOT NULL").agg(F.count("*").alias("alerts")).selectExpr("'refused' AS rule_id", "alerts", "0L AS risk", "'' AS techniques")
     return alerts.unionByName(bad)
 

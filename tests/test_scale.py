@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 import re
 import time
@@ -72,6 +73,37 @@ def test_rule_table_gives_the_alerts_of_compiled_rules(spark, strict):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_totals_of_a_rule_table_are_those_of_its_alerts(spark, strict):
+    """Totals need no alert: tables of many rules over few selections made events times rules of them."""
+    rnd = random.Random(21 + strict)
+    events = spark.createDataFrame(some_events(rnd, 60), EVENT).repartition(3)
+    # Rules with other names and levels repeat the logic of others.
+    rules = [r for r in some_rules(rnd, 40)] + [dataclasses.replace(r, id=f"{r.id}-again", title="More", level="critical") for r in some_rules(random.Random(21 + strict), 10)]
+    table = rulematch.rule_table(spark, rules + rules[:1])
+    table = table.unionByName(table.limit(0)).unionByName(spark.createDataFrame([("bare", "Bare", "1", "h", None, None, None, {"selection": "EventType:alpha"}), ("none", "None", "1", "h", "low", [], "a", None)], rulematch.RULES))
+    gone = spark.createDataFrame([("R3",), ("r7",)], "rule_id string")
+    made = rulematch.detect_with_rules(events, table, NOW, gone, strict=strict).collect()
+    want = {}
+    for r in made:
+        want.setdefault((r.rule_id, r.level), []).append(r)
+    want = {k: (len(v), v[0].risk_score, min(r.event_id for r in v), max(",".join(r.matched_fields) for r in v), max((r.summary for r in v if r.summary is not None), default=None)) for k, v in want.items()}
+    for shard_bytes in (rulematch.SHARD_BYTES, 600):
+        found = rulematch.alert_totals(events, table, gone, strict=strict, shard_bytes=shard_bytes).groupBy("rule_id", "level").agg(
+            F.sum("alerts"), F.min("risk_score"), F.min("first_event"), F.max("most_fields"), F.max("last_summary")
+        )
+        assert {(r[0], r[1]): tuple(r[2:]) for r in found.collect()} == want
+    assert len(want) > 8 and rulematch.alert_totals(events, table.limit(0)).count() == 0
+
+
+def test_rules_with_the_same_logic_are_matched_once(spark, monkeypatch):
+    matched, scan = [], rulematch.scan_totals
+    monkeypatch.setattr(rulematch, "scan_totals", lambda cells, rules: matched.append(len(rules)) or scan(cells, rules))
+    table = spark.range(500).selectExpr("concat('r', id) AS rule_id", "'t' AS title", "'1' AS version", "'h' AS hash", "'low' AS level", "array('T') AS techniques", "'a' AS condition", "map('a', concat('EventResult:', IF(id % 2 = 0, 'success', 'failure'))) AS selections")
+    events = spark.createDataFrame(some_events(random.Random(2), 50), EVENT)
+    assert rulematch.alert_totals(events, table).agg(F.sum("alerts")).first()[0] == 50 * 250 and matched == [2]
+
+
 def test_rule_table_edge_cases(spark):
     events = spark.createDataFrame(some_events(random.Random(1), 5), EVENT)
     assert rulematch.detect_with_rules(events, spark.createDataFrame([], rulematch.RULES), NOW).count() == 0
