@@ -61,8 +61,9 @@ class InOrder(StatefulProcessor):
     """Applies the moves of a key by ``seq``, whatever order they arrive in.
 
     A move is applied once all smaller numbers from ``first_seq`` on have been, or once the watermark has passed
-    its time, so that nothing before it can come any more. Until then it waits in the key's list. A number that
-    was passed over is refused when it comes after all. ``STATE`` names the columns of a key's row.
+    its time, so that nothing before it can come any more. Until then it waits in the key's row. A number that
+    was passed over is refused when it comes after all. ``STATE`` names the columns of a key's row. All that is kept
+    of a key is one value: each access to the store is a message, and those cost more than the moves.
     """
 
     STATE = ""
@@ -73,8 +74,9 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.names, self.columns = _names(self.STATE), _names(self.move)
-        self.row = handle.getValueState("row", f"next_seq bigint, held bigint, last_ms bigint, {self.STATE}")
-        self.waiting = handle.getListState("waiting", self.move)
+        fields = ", ".join(c.replace(" ", ":", 1) for c in self.move.split(", "))
+        self.row = handle.getValueState("row", f"next_seq bigint, waiting array<struct<{fields}>>, last_ms bigint, {self.STATE}")
+        self.as_move, self.as_out = Row(*self.columns), Row(*self.out)
 
     def step(self, state: tuple | None, move: Row) -> tuple[tuple, tuple | None]:
         """The output of a move and the state after it."""
@@ -96,21 +98,18 @@ class InOrder(StatefulProcessor):
         """What to put out when such a time has passed."""
         return []
 
-    def _read(self) -> tuple[int, int, int, tuple | None]:
-        kept = self.row.get() if self.row.exists() else None
+    def _read(self) -> tuple[int, list[Row], int, tuple | None]:
+        kept = self.row.get()
         if kept is None:
-            return self.first_seq, 0, 0, None
+            return self.first_seq, [], 0, None
         state = tuple(kept[3:])
-        return kept[0], kept[1], kept[2], None if all(x is None for x in state) else state
+        # The state gives the moves that wait back as plain tuples.
+        return kept[0], [self.as_move(*m) for m in kept[1] or ()], kept[2], None if all(x is None for x in state) else state
 
     def _due(self, key: str, state: tuple | None, times: list[int], now: int) -> list[tuple]:
         """What times that have passed already put out; no timer would fire for them before the next batch."""
         return [(key, *o) for t in times if t <= now for o in self.passed(state, t)]
 
-    def _held(self, held: int) -> list[Row]:
-        """The moves that wait; the state gives them back as plain tuples."""
-        return [Row(*self.columns)(*m) for m in self.waiting.get()] if held else []
-
     def _apply(self, key: str, moves: list, number: int, state: tuple | None, until: int | None) -> tuple:
         """Applies moves while they follow each other, or up to the last whose time is ``until`` or before."""
         out, last = [], 0
@@ -130,41 +129,40 @@ class InOrder(StatefulProcessor):
             taken += 1
         return out, moves[taken:], number, state, last
 
-    def _keep(self, number: int, waiting: list, held: int, last: int, state: tuple | None, times: list[int]) -> None:
+    def _keep(self, number: int, waiting: list, held: list, last: int, state: tuple | None, times: list[int]) -> None:
         if waiting:
-            self.waiting.put([tuple(m[c] for c in self.columns) for m in waiting])
-            self.handle.registerTimer(min(m.at_us for m in waiting) // 1000)
-        elif held:
-            self.waiting.clear()
-        if not waiting and self.done(state):
+            first = min(m.at_us for m in waiting)
+            # The timer of the first of those that wait is set already if that has not changed.
+            if not held or first != min(m.at_us for m in held):
+                self.handle.registerTimer(first // 1000)
+        elif self.done(state):
             self.handle.registerTimer(last + KEEP)
         for time in times:
             self.handle.registerTimer(time)
-        self.row.update((number, len(waiting), last, *(state or (None,) * len(self.names))))
+        self.row.update((number, [tuple(m[c] for c in self.columns) for m in waiting], last, *(state or (None,) * len(self.names))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
         number, held, last, state = self._read()
-        moves = [*rows, *self._held(held)]
         before = self.timers(state)
-        out, waiting, number, state, newest = self._apply(key[0], moves, number, state, None)
+        out, waiting, number, state, newest = self._apply(key[0], [*rows, *held], number, state, None)
         last = max(last, newest)
         new, now = [t for t in self.timers(state) if t not in before], timerValues.getCurrentWatermarkInMs()
         out += self._due(key[0], state, new, now)
         self._keep(number, waiting, held, last, state, [t for t in new if t > now])
-        return iter([Row(*self.out)(*o) for o in out])
+        return iter([self.as_out(*o) for o in out])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         number, held, last, state = self._read()
         now, time = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
         out = [(key[0], *o) for o in self.passed(state, time)]
         if held:
-            more, waiting, number, state, newest = self._apply(key[0], self._held(held), number, state, now)
+            more, waiting, number, state, newest = self._apply(key[0], list(held), number, state, now)
             out += more + self._due(key[0], state, [t for t in self.timers(state) if t != time], now)
             last = max(last, newest)
             self._keep(number, waiting, held, last, state, [t for t in self.timers(state) if t > now])
         elif self.done(state) and last + KEEP <= now:
             self.row.clear()
-        return iter([Row(*self.out)(*o) for o in out])
+        return iter([self.as_out(*o) for o in out])
 
 
 class Deliveries(InOrder):

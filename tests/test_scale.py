@@ -8,8 +8,10 @@ import re
 import time
 from collections import Counter
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_privacy import redact
 
@@ -343,3 +345,22 @@ def test_silence_is_told_and_ends(spark, tmp_path):
     assert [g for g in got if g[1] == "a"] == [(0, "a", "stale"), (50, "a", "heard"), (50, "a", "stale")]
     # The watermark never passes a quarter of an hour without b: it moves only with what arrives.
     assert not [g for g in got if g[1] == "b"]
+
+
+def test_a_key_with_moves_that_wait_costs_one_read_and_one_write(spark):
+    """Each access to the state store is a message; a key made up to nine of them in a batch."""
+    calls = []
+    kept = {"value": None}
+    row = SimpleNamespace(get=lambda: calls.append("get") or kept["value"], update=lambda v: calls.append("update") or kept.update(value=v))
+    handle = SimpleNamespace(getValueState=lambda *_: row, registerTimer=lambda t: calls.append("timer"))
+    move = "seq bigint, action string, failure_code string, acknowledgement string, at_us bigint, lease_until_us bigint, next_attempt_at_us bigint"
+    ledger = lifecycle.Deliveries(move, lifecycle.LEDGER_OUT, 0)
+    ledger.init(handle)
+    came = lambda seq, action: SimpleNamespace(seq=seq, action=action, failure_code="x", acknowledgement="ack", at_us=1_000_000 * seq, lease_until_us=None, next_attempt_at_us=None)
+    Move = Row(*[c.split()[0] for c in move.split(", ")])  # noqa: N806
+    as_row = lambda m: Move(m.seq, m.action, m.failure_code, m.acknowledgement, m.at_us, m.lease_until_us, m.next_attempt_at_us)
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    out = [list(ledger.handleInputRows(("a",), iter([as_row(came(s, a))]), clock)) for s, a in ((2, "delivered"), (3, "lease"), (1, "lease"), (0, "enqueue"))]
+    assert [len(o) for o in out] == [0, 0, 0, 4] and [r.accepted for r in out[3]] == [True, True, True, False]
+    # A timer for the first that waits, and another when an earlier one comes; the last one forgets the row.
+    assert calls == ["get", "timer", "update", "get", "update", "get", "timer", "update", "get", "timer", "update"]
