@@ -93,22 +93,23 @@ def cells(values: str) -> str:
 def scan(values: str, start: str, step: Callable[[str, str], str], kind: str) -> str:
     """The array of states after each element, from ``start``; ``step`` takes a state and an element.
 
-    A fold that appends to its own result copies it every time, which is quadratic. Here only the results of a
-    cell are copied, and those of whole cells as references, so an array of n elements costs n * CELL steps.
-    States are of the type ``kind``.
+    A fold copies its whole state at each step, with all that was appended to it. So a first fold keeps only the
+    state before each cell, and a second one walks every cell from there: an array of n elements costs n * CELL
+    copies and (n / CELL) squared. States are of the type ``kind``.
     """
     none = f"cast(array() AS array<{kind}>)"
-    grown = f"named_struct('at', new, 'done', concat(acc.done, array(new)))"
-    inner = (
-        f"aggregate(cell, named_struct('at', outer.at, 'done', {none}), "
-        f"(acc, x) -> {let('new', step('acc.at', 'x'), grown)})"
+    end = f"aggregate(cell, outer.at, (at, x) -> {step('at', 'x')})"
+    starts = (
+        f"aggregate(parts, named_struct('at', cast({start} AS {kind}), 'done', {none}), "
+        f"(outer, cell) -> named_struct('at', {end}, 'done', concat(outer.done, array(outer.at))), outer -> outer.done)"
     )
-    outer = (
-        f"aggregate({cells('vals')}, named_struct('at', cast({start} AS {kind}), 'done', cast(array() AS array<array<{kind}>>)), "
-        f"(outer, cell) -> {let('part', inner, "named_struct('at', part.at, 'done', concat(outer.done, array(part.done)))")}, "
-        f"outer -> flatten(outer.done))"
+    grown = "named_struct('at', new, 'done', concat(acc.done, array(new)))"
+    inner = (
+        f"aggregate(cell, named_struct('at', begin, 'done', {none}), "
+        f"(acc, x) -> {let('new', step('acc.at', 'x'), grown)}, acc -> acc.done)"
     )
-    return let("vals", values, outer)
+    walked = f"flatten(zip_with(parts, {starts}, (cell, begin) -> {inner}))"
+    return let("vals", values, let("parts", cells("vals"), f"IF(size(vals) = 0, {none}, {walked})"))
 
 
 def prefix_sums(values: str) -> str:

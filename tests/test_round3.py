@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
+import time
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from telemill.functions import sqltext
 from telemill.operators.privacy import engine, jsonwalk
 from telemill.operators.privacy.detectors import builtin_detectors, register_detector
 from telemill.operators.privacy.policy import OPT_IN_DETECTORS, PrivacyPolicy
@@ -122,3 +125,17 @@ def test_rows_that_grow_are_dealt_over_the_cores_before(spark, tmp_path, query):
     spark.range(64).selectExpr("id AS c_custkey", "concat('c', id) AS c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {2 * spark.sparkContext.defaultParallelism}, true" in plan
+
+
+def test_running_states_of_a_long_array(spark):
+    """The states of all cells before were copied with each cell: a million elements took minutes."""
+    values = "transform(sequence(1, {}), i -> cast(i % 7 AS int))"
+    for n in (1, 127, 128, 129, 16_500):
+        row = spark.sql(f"SELECT {values.format(n)} AS v, {sqltext.prefix_sums(values.format(n))} AS sums, {sqltext.prefix_maxima(values.format(n))} AS tops").first()
+        assert row.sums == list(itertools.accumulate(row.v)) and row.tops == list(itertools.accumulate(row.v, max))
+    assert spark.sql(f"SELECT {sqltext.prefix_sums('cast(array() AS array<int>)')} AS sums").first().sums == []
+    spark.range(1).selectExpr("id AS n").createOrReplaceTempView("one")
+    started = time.monotonic()
+    sums = sqltext.prefix_sums("transform(sequence(1, 1000000 + cast(n AS int)), i -> 1)")
+    assert spark.sql(f"SELECT element_at({sums}, -1) AS last FROM one").first().last == 1_000_000
+    assert time.monotonic() - started < 20
