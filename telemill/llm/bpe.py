@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from telemill.llm.common import keyed, steps
+from telemill.llm.common import kept, keyed, steps
 
 #: Distinct pieces a Python worker remembers; beyond it the memory is emptied and fills again.
 REMEMBERED = 450_000
@@ -195,10 +194,9 @@ class Encoder:
         return [x[0] for x in found], " ".join([x[1] for x in found])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, read once in a worker."""
-    return Encoder(path)
+    """The encoder of a file, read once in a worker, and let go when the worker turns to other work."""
+    return kept(("bpe", path), lambda: Encoder(path))
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +210,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in steps(batches, 1):
+        for batch in steps(batches, 1, work=("bpe", path)):
             found = [encode(t or "") for t in batch.column(1).to_pylist()]
             counts = [sum(map(len, pieces)) for pieces, _ in found]
             offsets = np.zeros(len(found) + 1, np.int32)

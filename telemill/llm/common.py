@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,6 +19,10 @@ STEP_BYTES = 8 << 20
 #: Rows that Spark hands to Python at a time. Rows are whole texts, so Spark's 10,000 would fill its buffers.
 BATCH_ROWS = 1000
 
+T = TypeVar("T")
+#: What this Python worker keeps between the tasks of one kind of work, by a name for that work.
+_KEPT: dict[object, object] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -30,8 +36,32 @@ def saved(df: DataFrame) -> DataFrame:
     return stable(df)
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices whose text column holds about ``limit`` bytes at most."""
+def kept(work: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps for ``work``: made when first asked for, held while its tasks are of that work.
+
+    A worker serves the tasks of all stages, so what one operator remembers would stand beside the memory of all later
+    ones. It is let go by the first of :func:`steps` that is not of that work.
+    """
+    _let_go(work)
+    if work not in _KEPT:
+        _KEPT[work] = make()
+    return _KEPT[work]
+
+
+def _let_go(work: object) -> None:
+    """Frees what is kept for other work than ``work``."""
+    if _KEPT and work not in _KEPT:
+        _KEPT.clear()
+        # Kept things may hold each other.
+        gc.collect()
+
+
+def steps(batches: Iterable[pa.RecordBatch], column: int, limit: int = STEP_BYTES, work: object = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices whose text column holds about ``limit`` bytes at most.
+
+    What the worker has :func:`kept` for other work than ``work`` is let go.
+    """
+    _let_go(work)
     for batch in batches:
         start, size = 0, 0
         lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()

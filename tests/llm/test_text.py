@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+import weakref
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
 import corpus_pipeline
-from telemill.llm import bpe, decontaminate, html, licenses, toxicity, warc
+from telemill.llm import bpe, common, decontaminate, html, licenses, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, id long, hits string, items int"
@@ -299,3 +301,11 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, extra, SF).columns == extra.columns
         assert stage(spark, extra.limit(0), SF).count() == 0
+
+
+def test_the_encoder_is_let_go_by_other_work():
+    held = weakref.ref(bpe.encoder(corpus_pipeline.TOKENIZER))
+    list(common.steps([pa.record_batch({"text": ["a"]})], 0, work=("bpe", corpus_pipeline.TOKENIZER)))
+    assert held() is bpe.encoder(corpus_pipeline.TOKENIZER)
+    list(common.steps([pa.record_batch({"text": ["a"]})], 0))
+    assert held() is None
