@@ -273,8 +273,10 @@ def current_reports(states: DataFrame, events: DataFrame, what: str) -> DataFram
     if what not in ("sources", "outputs"):
         raise ValueError("what must be 'sources' or 'outputs'")
     last = states.select("collector_id", F.col("reports_seq").alias("seq"))
+    # By its files' size Spark takes a table for small whose rows grow here, and would hold all reports in every task.
     return (
         events.select("collector_id", "seq", what)
+        .hint("merge")
         .join(last, ["collector_id", "seq"])
         .select("collector_id", F.explode(what).alias("r"))
         .select("collector_id", "r.*")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemill.functions import sqltext
+from telemill.operators import fleet
 from telemill.operators.privacy import engine, jsonwalk
 from telemill.operators.privacy.detectors import builtin_detectors, register_detector
 from telemill.operators.privacy.policy import OPT_IN_DETECTORS, PrivacyPolicy
@@ -139,3 +140,13 @@ def test_running_states_of_a_long_array(spark):
     sums = sqltext.prefix_sums("transform(sequence(1, 1000000 + cast(n AS int)), i -> 1)")
     assert spark.sql(f"SELECT element_at({sums}, -1) AS last FROM one").first().last == 1_000_000
     assert time.monotonic() - started < 20
+
+
+def test_reports_are_not_sent_whole_to_every_task(spark):
+    """All events' reports stood in each task, because the file they were made from is small."""
+    report = "array(named_struct('source_id', concat('s', id % 3), 'type', 'file', 'status', 'ok', 'lag_seconds', id, 'last_event_at', timestamp'2024-01-01'))"
+    events = spark.range(20).selectExpr("concat('c', id % 4) AS collector_id", "id AS seq", f"{report} AS sources")
+    states = spark.range(4).selectExpr("concat('c', id) AS collector_id", "id + 16 AS reports_seq")
+    found = fleet.current_reports(states, events, "sources")
+    assert sorted((r.collector_id, r.lag_seconds) for r in found.collect()) == [(f"c{i}", i + 16) for i in range(4)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
