@@ -217,7 +217,7 @@ def spool_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A delivery that broke off and is run again.
     spool.write_delivery(files.where("batch_no % 3 = 0"), place, "d1")
     spool.write_delivery(files, place, "d1")
-    lines = spark.read.option("lineSep", "\n").text(f"{place}/ready").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("file"), "value")
+    lines = spool.read_delivered(spark, place)
     told = spool.acknowledgements(files, "d1").groupBy("acknowledgement").agg(F.count("*").alias("told"))
     read = lines.groupBy("file").agg(F.count("*").alias("rows"), F.sum(F.octet_length("value") + 1).cast("bigint").alias("bytes"))
     return read.join(told, F.concat(F.lit("spool:"), "file") == F.col("acknowledgement")).select("file", "rows", "bytes", "told")

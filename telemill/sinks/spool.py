@@ -9,9 +9,9 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from telemill.functions.text import safe_stem
 from telemill.operators.ordinals import ordered_blocks
@@ -20,6 +20,9 @@ DEFAULT_FILE_BYTES = 10 * 1024 * 1024
 DEFAULT_BATCH = 500
 OVERSIZE_CODE = "record-exceeds-ama-file-limit"
 FORMAT = "telemill_spool"
+#: Files that one task reads, and bytes of lines it hands over at a time.
+FILES_A_TASK = 2048
+READ_BYTES = 1 << 20
 
 
 def split_oversize(df: DataFrame, max_bytes: int = DEFAULT_FILE_BYTES, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
@@ -139,6 +142,10 @@ def write_spool(packed: DataFrame, path: str, keys: Sequence[str] = ("collector_
     )
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
 @dataclass
 class SpoolFiles(WriterCommitMessage):
     """The files of a task: temporary name, name, rows and bytes."""
@@ -156,11 +163,8 @@ class SpoolWriter(DataSourceWriter):
     def __init__(self, path: str, delivery: str):
         self.path, self.delivery = path, delivery
 
-    def _place(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-
     def write(self, iterator: Iterator[Row]) -> SpoolFiles:
-        system, root = self._place()
+        system, root = _place(self.path)
         active = f"{root}/active/{self.delivery}"
         system.create_dir(active, recursive=True)
         files, current, out = [], None, None
@@ -183,17 +187,20 @@ class SpoolWriter(DataSourceWriter):
         return SpoolFiles([tuple(f) for f in files])
 
     def commit(self, messages: list[SpoolFiles | None]) -> None:
-        system, root = self._place()
+        system, root = _place(self.path)
         system.create_dir(f"{root}/ready", recursive=True)
         for message in messages:
             for temporary, ready, _, _ in message.files if message else ():
-                if system.get_file_info(ready).type != fs.FileType.NotFound:
+                try:
+                    system.move(temporary, ready)
+                except OSError:
+                    # Not every file system's move replaces a file.
                     system.delete_file(ready)
-                system.move(temporary, ready)
+                    system.move(temporary, ready)
         self._clear(system, root)
 
     def abort(self, messages: list[SpoolFiles | None]) -> None:
-        self._clear(*self._place())
+        self._clear(*_place(self.path))
 
     def _clear(self, system: fs.FileSystem, root: str) -> None:
         active = f"{root}/active/{self.delivery}"
@@ -201,13 +208,64 @@ class SpoolWriter(DataSourceWriter):
             system.delete_dir(active)
 
 
+@dataclass
+class SpoolNames(InputPartition):
+    """The names of the files that one task reads."""
+
+    names: list[str]
+
+
+class SpoolReader(DataSourceReader):
+    """Reads the lines of delivered files, many files a task, however small they are."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[SpoolNames]:
+        system, root = _place(self.path)
+        found = system.get_file_info(fs.FileSelector(f"{root}/ready", allow_not_found=True))
+        names = sorted(f.base_name for f in found if f.base_name.endswith(".jsonl"))
+        return [SpoolNames(names[i : i + FILES_A_TASK]) for i in range(0, max(1, len(names)), FILES_A_TASK)]
+
+    def read(self, partition: SpoolNames) -> Iterator[pa.RecordBatch]:
+        system, root = _place(self.path)
+        files, lines, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(lines, pa.string())], ["file", "value"])
+
+        for name in partition.names:
+            with system.open_input_stream(f"{root}/ready/{name}") as stream:
+                data = stream.read()
+            found = data.split(b"\n")
+            if not found[-1]:
+                found.pop()
+            files += [name.removesuffix(".jsonl")] * len(found)
+            lines += found
+            held += len(data)
+            if held >= READ_BYTES:
+                yield batch()
+                files, lines, held = [], [], 0
+        if lines:
+            yield batch()
+
+
 class SpoolSink(DataSource):
-    """Options ``path`` and ``delivery``; rows ``stem, batch_no, file_no, value``, those of a file together."""
+    """Options ``path`` and ``delivery``; rows ``stem, batch_no, file_no, value``, those of a file together.
+
+    Reading gives ``file, value``: each line of the delivered files with its file's name without the ending.
+    """
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
+    def schema(self) -> str:
+        return "file string, value string"
+
+    def reader(self, schema) -> SpoolReader:
+        return SpoolReader(self.options["path"])
+
     def writer(self, schema, overwrite: bool) -> SpoolWriter:
         return SpoolWriter(self.options["path"], self.options["delivery"])
 
@@ -230,6 +288,12 @@ def write_delivery(
     rows.write.format(FORMAT).mode("append").option("path", path).option("delivery", delivery).save()
 
 
+def read_delivered(spark: SparkSession, path: str) -> DataFrame:
+    """``file, value``: the lines of all delivered files under ``path``."""
+    spark.dataSource.register(SpoolSink)
+    return spark.read.format(FORMAT).option("path", path).load()
+
+
 def acknowledgements(packed: DataFrame, delivery: str, keys: Sequence[str] = ("collector_id", "stream")) -> DataFrame:
     """``event_id, acknowledgement`` of the rows of a committed delivery: the file that holds each."""
     stem = F.concat_ws("-", *(F.coalesce(F.expr(safe_stem(k)), F.lit("null")) for k in keys))

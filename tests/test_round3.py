@@ -17,6 +17,7 @@ from telemill.operators.privacy import engine, jsonwalk
 from telemill.operators.privacy.detectors import builtin_detectors, register_detector
 from telemill.operators.privacy.policy import OPT_IN_DETECTORS, PrivacyPolicy
 from telemill.plans import inputs, stream_queries, whole_queries
+from telemill.sinks import spool
 from telemill.streaming.keyindex import KeyIndex
 
 PARTS = ["a@b.org", "x.y@h1.corp", "100000001", "123 456 789A", "0412 345 678", "10.1.2.3", "www.example.com", "DOB: 1/2/1990", "passport PA1234567",
@@ -150,3 +151,17 @@ def test_reports_are_not_sent_whole_to_every_task(spark):
     found = fleet.current_reports(states, events, "sources")
     assert sorted((r.collector_id, r.lag_seconds) for r in found.collect()) == [(f"c{i}", i + 16) for i in range(4)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_are_read_many_a_task(spark, tmp_path):
+    """A task for every 32 files of a kilobyte cost more than all other steps."""
+    rows = spark.range(300).selectExpr("'c' AS collector_id", "'s' AS stream", "cast(id AS string) AS event_id", "IF(id % 7 = 0, '', concat('é', id)) AS payload", "id AS received_at")
+    packed = spool.pack_files(rows, 8)
+    for _ in range(2):
+        spool.write_delivery(packed, str(tmp_path), "d")
+    files = list((tmp_path / "ready").iterdir())
+    read = spool.read_delivered(spark, str(tmp_path))
+    assert len(files) > 100 and read.rdd.getNumPartitions() == 1 and not (tmp_path / "active" / "d").exists()
+    lines = [(f.name.removesuffix(".jsonl"), x) for f in files for x in f.read_text().split("\n")[:-1]]
+    assert sorted(map(tuple, read.collect())) == sorted(lines) and len(lines) == 300
+    assert spool.read_delivered(spark, str(tmp_path / "none")).count() == 0
