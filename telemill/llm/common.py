@@ -9,7 +9,7 @@ from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.session import configure, shared_dir, stable
@@ -19,6 +19,9 @@ STEP_BYTES = 8 << 20
 #: Rows that Spark hands to Python at a time. Rows are whole texts, so Spark's 10,000 would fill its buffers.
 BATCH_ROWS = 1000
 
+#: Bits of the filter of :func:`divided`: it is broadcast as 65,536 words at most.
+FILTER_BITS = 1 << 22
+
 T = TypeVar("T")
 #: What this Python worker keeps between the tasks of one kind of work, by a name for that work.
 _KEPT: dict[object, object] = {}
@@ -97,3 +100,26 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def divided(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose id may be in the one column of ``ids``, rows whose id is not), by a Bloom filter of one hash.
+
+    A join with the ids would shuffle all of ``df`` as soon as they are too many to be broadcast; the filter has a size
+    that no input exceeds. All rows with an id in ``ids`` are in the first part, with few others; null ids are not.
+    """
+
+    def place(key: Column) -> Column:
+        return F.xxhash64(key.cast("long")).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+    word, bits = free(df, "word"), free(df, "bits")
+    named = F.col(f"`{ids.columns[0]}`")
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    marks = ids.where(named.isNotNull()).select(F.shiftright(place(named), 6).alias(word), bit(place(named)).alias(bits))
+    marks = F.broadcast(written(marks.groupBy(word).agg(F.bit_or(bits).alias(bits))))
+    own = F.col(f"`{id_col}`")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    at = df.withColumn(word, F.when(own.isNotNull(), F.shiftright(place(own), 6)))
+    hit = F.col(bits).bitwiseAND(bit(place(own))) != 0
+    some = at.join(marks, word).where(hit).select(*columns)
+    return some, at.join(marks, word, "left").where(~F.coalesce(hit, F.lit(False))).select(*columns)

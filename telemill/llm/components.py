@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from telemill.llm.common import saved
 
 _EDGE = "u long, v long"
-#: Edges one task contracts at a time.
+#: Links one task contracts at a time.
 _BLOCK = 1 << 20
 
 
@@ -53,6 +53,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _marked(links: DataFrame) -> Row:
+    """What tells whether links have changed."""
+    return links.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: every node of the links ``u, v`` with the smallest node it can reach.
 
@@ -60,16 +65,20 @@ def components(edges: DataFrame) -> DataFrame:
     every node the smallest of its neighbours (large star, small star). A node's neighbours are never
     gathered: the smallest is an aggregate with partial results, joined back to the links. Turns end when
     the links no longer change, after a logarithmic number. Links are kept in the shared folder between
-    turns. Nodes without a link do not appear; null links are left out.
+    turns. Once so few links are left that a task takes them at a time, it contracts them all. Nodes without a link do
+    not appear; null links are left out.
     """
     # Smaller node in v throughout.
     found = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     # Links may be dear to find, so they are found once.
-    found, mark = saved(found.mapInArrow(_contract, _EDGE).distinct()), None
-    while True:
-        links = found.mapInArrow(_contract, _EDGE).distinct()
+    found = saved(found.mapInArrow(_contract, _EDGE).distinct())
+    # Links that are stars already need one turn.
+    mark = _marked(found)
+    while mark.n > _BLOCK:
+        # A task gets up to a block, as many tasks with few links each would contract little.
+        links = found.coalesce(1 + mark.n // _BLOCK).mapInArrow(_contract, _EDGE).distinct()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: larger neighbours point to the smallest one.
@@ -81,9 +90,11 @@ def components(edges: DataFrame) -> DataFrame:
         found = saved(
             small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        now = found.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
-        if (now.n, now.s) == mark:
+        now = _marked(found)
+        if now == mark:
             break
-        mark = (now.n, now.s)
+        mark = now
+    if mark.n <= _BLOCK:
+        found = saved(found.coalesce(1).mapInArrow(_contract, _EDGE))
     flat = found.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return flat.unionByName(flat.select(F.col("root").alias("node"), "root").distinct())

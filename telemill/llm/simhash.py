@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.common import free, keyed, saved, steps, utf8, written
+from telemill.llm.common import divided, free, keyed, saved, steps, utf8, written
 from telemill.llm.components import components
 
 BITS = 64
@@ -121,11 +122,18 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     All columns stay. Rows with a null id are kept. Rows that share an id are one document.
     """
     found = near_duplicates(df, id_col, text_col, words, distance)
+    return _without(df, id_col, found.where("component_id <> id").select("id").distinct())
+
+
+def _without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``ids``. Rows with a null id stay."""
     # No loss may follow from a null id, so the ids to remove are looked up, not those to keep.
-    # They are written, so that Spark knows their size: texts are shuffled only if they are many.
     key = free(df, "gone")
-    gone = written(found.where("component_id <> id").select(F.col("id").alias(key)).distinct())
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
+    gone = written(ids.select(F.col("id").alias(key)))
+    some, rest = divided(df, id_col, gone)
+    # Only texts that may go are shuffled to meet their ids. Spark would put an anti-join before the filter.
+    met = some.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left")
+    return rest.unionByName(met.where(F.col(key).isNull()).drop(key))
 
 
 #: Bits of a fingerprint of words, cut into segments that are keys of their own.
@@ -135,9 +143,9 @@ SHINGLE, LEAST = 5, 0.8
 #: Bits of a sketch of shingles, one of each of as many least hashes. Those of texts of similarity j differ in
 #: (1 - j) / 2 of the bits: 51 at 0.8, with a deviation of 7. Pairs of more differing bits than this are not compared.
 SKETCH, APART = 512, 74
-#: The same for the sketches of what is left after the turns.
+#: The same for the sketches of what is left then.
 WIDE, WIDE_APART = 2048, 250
-#: Turns that compare the texts of a bucket with one of them, before the rest is compared with each other.
+#: So many texts of a bucket are compared with all of it, before the rest is compared with each other.
 TURNS = 3
 
 _GOLD = 0x9E3779B97F4A7C15
@@ -189,41 +197,34 @@ def sketch(found: np.ndarray, bits: int = SKETCH) -> np.ndarray:
 _SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
 
-def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, t1, t2, keys``: digest of the words in order, segments of the fingerprint."""
+def _word_rows(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``id, t1, t2, keys, s0..s7``: digest of the words in order, segments of the fingerprint, sketch of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1, 1 << 20):
-            texts, prints = [], []
+            texts, prints, sketches = [], [], []
             for text in utf8(batch.column(1)):
                 words = text.lower().split()
                 texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 prints.append(word_fingerprint(set(words)) if words else np.zeros(64, np.uint8))
+                sketches.append(sketch(shingles(words, size)))
             rows = np.array(prints, np.uint8).reshape(-1, 64)
             halves = np.frombuffer(b"".join(texts), ">i8").astype(np.int64).reshape(-1, 2)
             parts = rows[:, : WORD_BITS // 8].reshape(len(rows), -1, WORD_SEGMENT // 8).astype(np.int64)
             values = (parts[:, :, 0] << 16) + (parts[:, :, 1] << 8) + parts[:, :, 2]
             keys = values + (np.arange(values.shape[1]) << WORD_SEGMENT)[None, :]
             ends = np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]
+            bits = np.array(sketches, np.uint8).reshape(-1, SKETCH // 8).view(">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-                ["id", "t1", "t2", "keys"],
+                [
+                    batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())),
+                    *(pa.array(np.ascontiguousarray(c)) for c in bits.T),
+                ],
+                ["id", "t1", "t2", "keys", *_SKETCH],
             )
 
     slim = keyed(df, id_col, text_col).where("id IS NOT NULL")
-    return slim.mapInArrow(run, "id long, t1 long, t2 long, keys array<long>")
-
-
-def _sketch_rows(df: DataFrame, size: int) -> DataFrame:
-    """``node, s0..s7``: the sketch of ``id, text`` rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, 1, 1 << 20):
-            found = [sketch(shingles(t.lower().split(), size)) for t in utf8(batch.column(1))]
-            bits = np.array(found, np.uint8).reshape(-1, SKETCH // 8).view(">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["node", *_SKETCH])
-
-    return df.mapInArrow(run, f"node long, {', '.join(f'{s} long' for s in _SKETCH)}")
+    return slim.mapInArrow(run, f"id long, t1 long, t2 long, keys array<long>, {', '.join(f'{s} long' for s in _SKETCH)}")
 
 
 def _shingle_rows(df: DataFrame, size: int) -> DataFrame:
@@ -238,14 +239,15 @@ def _shingle_rows(df: DataFrame, size: int) -> DataFrame:
 
 
 def _wide_rows(df: DataFrame, size: int) -> DataFrame:
-    """``id, wide``: the wide sketch of ``id, text`` rows."""
+    """``id, wide, shingles`` of ``id, text`` rows: the wide sketch, and what it is made of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1, 1 << 20):
-            found = [sketch(shingles(t.lower().split(), size), WIDE).view(">i8").astype(np.int64) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "wide"])
+            sets = [shingles(t.lower().split(), size) for t in utf8(batch.column(1))]
+            found = [sketch(s, WIDE).view(">i8").astype(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (found, sets))], ["id", "wide", "shingles"])
 
-    return df.mapInArrow(run, "id long, wide array<long>")
+    return df.mapInArrow(run, "id long, wide array<long>, shingles array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -268,63 +270,73 @@ def similar_copies(
     of 24 bits is a key, so any two fingerprints with 20 or fewer differing bits meet. Texts that share a key are
     compared by their shingles, if sketches of these differ in at most ``apart`` of 512 bits.
 
-    Texts of equal words are one node, however many. In each turn the texts of a bucket are compared with one of
-    them, another in each turn, unless they are in its component already. What is then in other components is compared
-    with all others of the bucket: every pair of a bucket is in one component or has been looked at, though a
-    large group of near copies does not become all its pairs. Texts of no words are copies of each other. Rows that
-    share an id may be different texts; what links one of them counts for the id. An empty table gives no row.
+    Texts of equal words are one node, however many. The texts of a bucket are compared with ``TURNS`` of them. What is
+    then in other components is compared with all others of the bucket: every pair of a bucket is in one component or
+    has been looked at, though a large group of near copies does not become all its pairs. Texts of no words are copies
+    of each other. Rows that share an id may be different texts; what links one of them counts for the id. An empty
+    table gives no row.
+
+    Fingerprints and sketches are made in one pass. Texts are read again only if they are near another by their
+    sketches, and no others are shuffled, however large the table is.
     """
-    rows = written(_word_rows(df, id_col, text_col))
-    # All copies have one fingerprint, so any of them serves.
-    nodes = rows.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    rows = written(_word_rows(df, id_col, text_col, size))
+    # All copies have one fingerprint and one sketch, so those of any of them serve.
+    nodes = written(rows.groupBy("t1", "t2").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("keys", *_SKETCH))))
     texts = keyed(df, id_col, text_col)
     shared = written(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    placed = written(nodes.select("node", F.explode("keys").alias("key")).join(shared, "key"))
-    # Only texts that meet another one are sketched.
-    some = written(placed.select(F.col("node").alias("id")).distinct())
-    placed = written(placed.join(_sketch_rows(texts.join(some, "id", "left_semi"), size), "node"))
-    names = written(nodes.select("t1", "t2", "node"))
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in _SKETCH), F.lit(0))
-    other = [F.col(c).alias(f"o{c}") for c in _SKETCH]
-    none = df.sparkSession.createDataFrame([], "node long, root long")
-
-    def rooted(roots: DataFrame) -> DataFrame:
-        """The rows of buckets whose texts are in more than one component."""
-        every = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return written(every.join(mixed, "key"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id")
-        sets = written(_shingle_rows(texts.join(ends, "id", "left_semi"), size))
-        return written(_similar(pairs, sets, least))
-
-    links, roots = None, none
-    for turn in range(TURNS):
-        open_rows = rooted(roots)
-        one = F.min_by(F.struct("node", "root", *_SKETCH), F.xxhash64("node", F.lit(turn))).alias("o")
-        ones = open_rows.groupBy("key").agg(one).select("key", F.col("o.node").alias("u"), F.col("o.root").alias("oroot"), *(F.col(f"o.{c}").alias(f"o{c}") for c in _SKETCH))
-        star = open_rows.join(ones, "key").where((F.col("root") != F.col("oroot")) & (differ <= apart))
-        found = compared(star.select("u", F.col("node").alias("v")))
-        links = found if links is None else links.unionByName(found)
-        roots = written(components(links))
+    placed = nodes.select("node", F.explode("keys").alias("key")).join(shared, "key")
+    placed = written(placed.join(nodes.select("node", *_SKETCH), "node"))
+    other = [f"o{c}" for c in _SKETCH]
+
+    def differ(of: str = "") -> Column:
+        """The bits in which a row's sketch differs from that of ``of``."""
+        return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{of}{o}"))) for c, o in zip(_SKETCH, _SKETCH if of else other)), F.lit(0))
+
+    def picked(ids: DataFrame) -> DataFrame:
+        """The texts of some different ids; only those that may be theirs are shuffled to meet them."""
+        # Spark would put a semi-join before the filter.
+        return divided(texts, "id", ids)[0].join(ids, "id").select("id", "text")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+    ones = placed.groupBy(F.col("key").alias("okey")).agg(
+        *(F.min_by(F.struct("node", *_SKETCH), F.xxhash64("node", F.lit(turn))).alias(f"t{turn}") for turn in range(TURNS))
+    )
+    near = [(F.col("node") != F.col(f"t{turn}.node")) & (differ(f"t{turn}.") <= apart) for turn in range(TURNS)]
+    star = placed.join(ones, (F.col("key") == F.col("okey")) & reduce(Column.__or__, near))
+    found = F.array(*(F.when(near[turn], F.col(f"t{turn}.node")) for turn in range(TURNS)))
+    pairs = ordered(star.select("node", F.explode(found).alias("u")).where("u IS NOT NULL").withColumnRenamed("node", "v"))
+    ends = written(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id"))
+    links = written(_similar(pairs, written(_shingle_rows(picked(ends), size)), least))
+    roots = written(components(links))
+    # The rows of buckets whose texts are in more than one component.
+    every = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = every.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", F.xxhash64("node", F.lit(0))).alias("home")
+    )
+    open_rows = written(every.join(mixed.where("low < high").select("key", "home"), "key"))
     # The component of a bucket's first text is told from the others, whose texts meet all of the bucket.
-    open_rows = rooted(roots)
-    some = open_rows.select(F.col("node").alias("id")).distinct()
-    wide = _wide_rows(texts.join(some, "id", "left_semi"), size).withColumnRenamed("id", "node")
-    keys = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    open_rows = written(open_rows.join(keys, "node").join(wide, "node"))
-    first = open_rows.groupBy("key").agg(F.min_by("root", F.xxhash64("node", F.lit(0))).alias("home"))
-    away = open_rows.join(first, "key").where("root <> home")
-    away = written(away.select("key", F.col("node").alias("u"), F.col("root").alias("oroot"), F.col("keys").alias("okeys"), F.col("wide").alias("owide"), *other))
+    away = open_rows.where("root <> home").select(
+        "key", F.col("node").alias("u"), F.col("root").alias("oroot"), *(F.col(c).alias(o) for c, o in zip(_SKETCH, other))
+    )
+    meet = (F.col("root") != F.col("oroot")) & (differ() <= apart)
+    # Those that are near none by their sketches are done with, before wide ones are made.
+    away = written(away.join(open_rows.withColumnRenamed("key", "okey"), (F.col("key") == F.col("okey")) & meet, "left_semi"))
+    close = written(open_rows.join(away.withColumnRenamed("key", "okey"), (F.col("key") == F.col("okey")) & meet, "left_semi"))
+    some = written(away.select("u").union(close.select("node")).distinct().withColumnRenamed("u", "id"))
+    sets = written(_wide_rows(picked(some), size))
+    keys = open_rows.join(some, open_rows.node == some.id, "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    known = written(keys.join(sets.select(F.col("id").alias("node"), "wide"), "node"))
+    away = away.join(known.select(F.col("node").alias("u"), F.col("keys").alias("okeys"), F.col("wide").alias("owide")), "u")
     # A pair is looked at in one of the buckets it shares.
     once = F.array_min(F.array_intersect("keys", "okeys")) == F.col("key")
     far = F.aggregate(F.zip_with("wide", "owide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    rest = away.join(open_rows, "key").where((F.col("root") != F.col("oroot")) & (differ <= apart) & once & (far <= WIDE_APART))
-    links = links.unionByName(compared(rest.select("u", F.col("node").alias("v"))))
+    rest = away.join(close.join(known, "node"), "key").where(meet & once & (far <= WIDE_APART))
+    pairs = ordered(rest.select("u", F.col("node").alias("v")))
+    links = links.unionByName(_similar(pairs, sets.select("id", "shingles"), least))
     roots = written(components(links))
-    named = names.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
+    named = nodes.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
     return rows.select("id", "t1", "t2").join(named, ["t1", "t2"]).groupBy("id").agg(F.min("component_id").alias("component_id"))
 
 
@@ -336,6 +348,4 @@ def keep_first_similar(
     All columns stay. Rows with a null id are kept.
     """
     found = similar_copies(df, id_col, text_col, size, least, apart)
-    key = free(df, "gone")
-    gone = written(found.where("component_id <> id").select(F.col("id").alias(key)))
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
+    return _without(df, id_col, found.where("component_id <> id").select("id"))
