@@ -133,6 +133,8 @@ class Encoder:
         end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        # One number for each id: merging makes new ones, and those of remembered words would be millions.
+        self.ids = list(range(max(self.token) + 1))
         self.pairs = {}
         for rank, (a, b) in enumerate(model["merges"]):
             # Of a pair that is listed twice the later rank counts.
@@ -152,7 +154,8 @@ class Encoder:
 
     def _word(self, word: str) -> tuple[int, ...]:
         data = word.encode()
-        return tuple(merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]], self.pairs))
+        merged = merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]], self.pairs)
+        return tuple(map(self.ids.__getitem__, merged))
 
     def _assigned(self, piece: str) -> bool:
         """Whether this Python's Unicode tables know all characters of a piece."""

@@ -1,12 +1,13 @@
-"""What near copies move, and the filter by ids."""
+"""What near copies move, the filter by ids, links in blocks, and what an encoder remembers."""
 
 from __future__ import annotations
 
 import random
 
+import public_tokenizers
 import pytest
 
-from telemill.llm import common, components, simhash
+from telemill.llm import bpe, common, components, simhash
 
 WORDS = "a of the and over into winter mountain letters yesterday nevertheless é 日本 x1 can't".split()
 
@@ -71,3 +72,14 @@ def test_components_of_links_beyond_a_block(spark, monkeypatch, block):
     want = {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1100)}
     want |= {2000 + 10 * r + i: 2000 + 10 * r for r in range(20) for i in range(5)}
     assert {r.node: r.root for r in components.components(df).collect()} == want
+
+
+def test_remembered_words_share_their_ids():
+    """Equal ids of different words are one number, so remembering a word costs its tuple alone."""
+    encoder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [f"{a}{b}" for a in ("winter", "mountain", "zqxj", "日本") for b in ("", "s", "qzx", "2024", "é")]
+    found: dict[int, set[int]] = {}
+    for word in words:
+        for i in encoder.words[word]:
+            found.setdefault(i, set()).add(id(i))
+    assert len(found) > 10 and max(found) > 256 and all(len(x) == 1 for x in found.values())
