@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,8 +133,6 @@ class Encoder:
         end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        # One number for each id: merging makes new ones, and those of remembered words would be millions.
-        self.ids = list(range(max(self.token) + 1))
         self.pairs = {}
         for rank, (a, b) in enumerate(model["merges"]):
             # Of a pair that is listed twice the later rank counts.
@@ -152,10 +150,10 @@ class Encoder:
         self.words = _Memory(self._word)
         self.pieces = _Memory(self._piece)
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        """The ids of a word, four bytes each: as numbers, those of remembered words would be millions of objects."""
         data = word.encode()
-        merged = merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]], self.pairs)
-        return tuple(map(self.ids.__getitem__, merged))
+        return array("i", merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]], self.pairs)).tobytes()
 
     def _assigned(self, piece: str) -> bool:
         """Whether this Python's Unicode tables know all characters of a piece."""
@@ -168,7 +166,7 @@ class Encoder:
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
         return [bytes(map(self.byte.__getitem__, word)).decode() for word, _ in split]
 
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def _piece(self, piece: str) -> tuple[bytes, str]:
         if piece.isascii():
             words = self.words_of(piece.lower())
         elif self.assigned.issuperset(piece) or self._assigned(piece):
@@ -177,24 +175,24 @@ class Encoder:
         else:
             words = self._newer(piece)
         known = self.words
-        ids = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable([known[w] for w in words]))
-        return ids, " ".join(map(self.token.__getitem__, ids))
+        ids = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        return ids, " ".join(map(self.token.__getitem__, array("i", ids)))
 
     def _split(self, text: str) -> list[str]:
         return _SPACE.split(text) if _EXTRA.search(text) else text.split()
 
-    def encode(self, text: str) -> tuple[list[tuple[int, ...]], str]:
-        """The ids, in pieces, and the decoded text of one text."""
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """The ids, four bytes each, and the decoded text of one text."""
         if self.mark in text and len(parts := self.specials.split(text)) > 1:
             found = []
             for part in parts:
                 if part in self.special:
-                    found.append(((self.special[part],), part))
+                    found.append((array("i", [self.special[part]]).tobytes(), part))
                 else:
                     found += [x for x in map(self.pieces.__getitem__, self._split(part)) if x[0]]
         else:
             found = [*map(self.pieces.__getitem__, filter(None, self._split(text)))]
-        return [x[0] for x in found], " ".join([x[1] for x in found])
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
 
 def encoder(path: str) -> Encoder:
@@ -215,11 +213,9 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         encode = encoder(path).encode
         for batch in steps(batches, 1, work=("bpe", path)):
             found = [encode(t or "") for t in batch.column(1).to_pylist()]
-            counts = [sum(map(len, pieces)) for pieces, _ in found]
             offsets = np.zeros(len(found) + 1, np.int32)
-            np.cumsum(counts, out=offsets[1:])
-            flat = chain.from_iterable(chain.from_iterable(pieces for pieces, _ in found))
-            ids = np.fromiter(flat, np.int32, int(offsets[-1]))
+            np.cumsum([len(ids) // 4 for ids, _ in found], out=offsets[1:])
+            ids = np.frombuffer(b"".join([ids for ids, _ in found]), np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(offsets, ids), pa.array([d for _, d in found], pa.string())],
                 ["id", "ids", "decoded"],
