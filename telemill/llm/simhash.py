@@ -340,6 +340,21 @@ def similar_copies(
     return rows.select("id", "t1", "t2").join(named, ["t1", "t2"]).groupBy("id").agg(F.min("component_id").alias("component_id"))
 
 
+def near_or_similar(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, apart: int = APART,
+    words: int = 4, distance: int = 4,
+) -> DataFrame:
+    """``id, component_id`` for each row that is near another: the smallest id reachable over the links of
+    :func:`near_duplicates` and of :func:`similar_copies` together.
+
+    A link of either counts, so a group may hold links of both. Ids that neither links do not appear.
+    """
+    found = near_duplicates(df, id_col, text_col, words, distance).select("id", "component_id")
+    found = found.unionByName(similar_copies(df, id_col, text_col, size, least, apart))
+    edges = found.where("component_id <> id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    return components(edges).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+
+
 def keep_first_similar(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, apart: int = APART
 ) -> DataFrame:
@@ -349,3 +364,15 @@ def keep_first_similar(
     """
     found = similar_copies(df, id_col, text_col, size, least, apart)
     return _without(df, id_col, found.where("component_id <> id").select("id"))
+
+
+def keep_first_of_both(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, apart: int = APART,
+    words: int = 4, distance: int = 4,
+) -> DataFrame:
+    """The rows of ``df`` with one document per group of :func:`near_or_similar`: the one with the smallest id.
+
+    All columns stay. Rows with a null id are kept. Rows that share an id are one document.
+    """
+    found = near_or_similar(df, id_col, text_col, size, least, apart, words, distance)
+    return _without(df, id_col, found.where("component_id <> id").select("id"))

@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import brute
+import corpus_pipeline
 from telemill.llm import bpe, common, components, simhash
 
 WORDS = "a of the and over into winter mountain letters yesterday nevertheless é 日本 x1 can't".split()
@@ -84,3 +86,31 @@ def test_remembered_words_are_four_bytes_an_id():
         want = [i for part in encoder.words_of(word) for i in np.frombuffer(encoder.words[part], np.int32).tolist()]
         assert want == library.encode(word, add_special_tokens=False).ids
         assert all(isinstance(ids, bytes) for ids in encoder.words.values())
+
+
+def test_the_stage_drops_near_duplicates_by_simhash_and_near_copies(spark):
+    """Groups over links of both kinds: fingerprints within 4 bits as op7 links them, and five-word shingles at 0.8 or more."""
+    rnd = random.Random(12)
+    line = lambda n: [f"{rnd.choice(WORDS)}{rnd.randrange(400)}" for _ in range(n)]
+    rows: dict[int, str | None] = {}
+    for base in range(6):
+        # Most shingles are the same ones over and over: they set the fingerprint, but are few among the different ones.
+        often = " ".join(line(4)) + " "
+        rows[10 * base + 1] = often * 300 + " ".join(line(30))
+        rows[10 * base + 2] = often * 300 + " ".join(line(30))
+        words = line(200)
+        rows[10 * base + 3] = " ".join(words)
+        rows[10 * base + 4] = " ".join([*words[:100], "other", *words[101:]])
+        # A chain over both: the last shares shingles with the second, which has the first's fingerprint.
+        rows[10 * base + 5] = rows[10 * base + 2] + " end"
+    rows |= {900: None, 901: "", 902: " ".join(line(60))}
+    prints = {k: brute.fingerprint(v) for k, v in rows.items()}
+    sets = {k: brute.shingles(v) for k, v in rows.items()}
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4
+    alike = lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8
+    both = brute.groups(rows, lambda a, b: near(a, b) or alike(a, b))
+    assert len(set(both.values())) < min(len(set(brute.groups(rows, f).values())) for f in (near, alike))
+    docs = spark.createDataFrame([(k, v, "clash") for k, v in [*rows.items(), (None, rows[1])]], "doc_id long, text string, u string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, *sorted(set(both.values()))]
