@@ -1,7 +1,8 @@
 """Stateful streaming: the delivery ledger, the collector fleet, and collectors that fall silent.
 
-State is kept per key in Spark's state store, so a micro-batch costs as much as the keys it touches, not as much as
-the table. Moves may arrive in any order: each key holds back what came too early, and applies its moves by ``seq``.
+State is kept per key in Spark's state store. Moves may arrive in any order: each key holds back what came too early,
+and applies its moves by ``seq``. The keys are dealt into buckets, whose rows are one value of the store each, so a
+micro-batch costs as much as the buckets it touches, and a key costs no message of its own (:class:`Bucketed`).
 The batch operators ``ledger_apply`` and ``fleet_fold`` give the same states from the same transition tables.
 
 ``transformWithState`` needs the RocksDB state store; start such streams inside :func:`state_store`.
@@ -9,12 +10,16 @@ The batch operators ``ledger_apply`` and ``fleet_fold`` give the same states fro
 
 from __future__ import annotations
 
+import pickle
+from collections import namedtuple
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from telemill.operators.fleet import has_reason, identity, next_owner, transitions
@@ -32,6 +37,10 @@ STALE_OUT = "collector_id string, status string, last_seen_at timestamp"
 
 #: How long rows that are done are remembered, in event time, to refuse later moves.
 KEEP = 24 * 3600 * 1000
+#: Buckets that the keys of a stream are dealt into; a stream that goes on from its state keeps their number.
+BUCKETS = 2048
+#: Stands for null among whole numbers, which pandas would turn into floats.
+_NULL = -(2**63)
 
 
 @contextmanager
@@ -64,6 +73,9 @@ class InOrder(StatefulProcessor):
     its time, so that nothing before it can come any more. Until then it waits in the key's row. A number that
     was passed over is refused when it comes after all. ``STATE`` names the columns of a key's row. All that is kept
     of a key is one value: each access to the store is a message, and those cost more than the moves.
+
+    As a processor of its own it is one key a group. The streams below keep the keys of a bucket together instead
+    (:class:`Bucketed`), with the same rules.
     """
 
     STATE = ""
@@ -114,7 +126,7 @@ class InOrder(StatefulProcessor):
         """Applies moves while they follow each other, or up to the last whose time is ``until`` or before."""
         out, last = [], 0
         moves.sort(key=lambda m: m.seq)
-        sure = max((i for i, m in enumerate(moves) if until is not None and m.at_us // 1000 <= until), default=-1)
+        sure = -1 if until is None else max((i for i, m in enumerate(moves) if m.at_us // 1000 <= until), default=-1)
         taken = 0
         for i, move in enumerate(moves):
             if move.seq < number:
@@ -165,6 +177,114 @@ class InOrder(StatefulProcessor):
         return iter([self.as_out(*o) for o in out])
 
 
+class Bucketed:
+    """Keeps the keys of a bucket as one value of the state, and applies their moves as :class:`InOrder` does.
+
+    A group per key costs some messages to the state store and an Arrow batch of its results, a hundred times what its
+    moves cost. Here a bucket's rows come as columns, its state beside them, and its results leave as columns. Of a key
+    the next number, the moves that wait, the time of the last, the state and the times still to come are kept.
+    The bucket has one timeout, for the first of all times of its keys.
+    """
+
+    def __init__(self, rules: InOrder):
+        self.rules, self.columns = rules, _names(rules.move)
+        self.whole = [c.split()[1] == "bigint" for c in rules.move.split(", ")]
+        # Members of a Row are looked up by their names, which costs more than the rules.
+        self.as_move = namedtuple("Move", self.columns)._make
+
+    def _came(self, frames: Iterator[pd.DataFrame]) -> dict[str | None, list[tuple]]:
+        """The moves of a micro-batch by key."""
+        moves: dict[str | None, list[tuple]] = {}
+        for frame in frames:
+            columns = []
+            for name, whole in zip(self.columns, self.whole):
+                values = frame[name].tolist()
+                columns.append([None if x == _NULL else x for x in values] if whole and _NULL in values else values)
+            for key, move in zip(frame["key"].tolist(), map(self.as_move, zip(*columns))):
+                moves.setdefault(key, []).append(move)
+        return moves
+
+    def _step(self, key: str | None, kept: tuple, moves: list[tuple], now: int) -> tuple[list[tuple], tuple]:
+        """What the moves of a key put out, and what is kept of it then."""
+        number, held, last, state, times = kept
+        before = self.rules.timers(state)
+        out, waiting, number, state, newest = self.rules._apply(key, [*moves, *map(self.as_move, held)], number, state, None)
+        after = self.rules.timers(state)
+        new = [t for t in after if t not in before]
+        out += self.rules._due(key, state, new, now)
+        times = [t for t in times if t in after] + [t for t in new if t > now]
+        return out, (number, [tuple(m) for m in waiting], max(last, newest), state, times)
+
+    def _first(self, kept: tuple) -> int | None:
+        """The first time at which something is to be done for a key without a move of it."""
+        _, held, last, state, times = kept
+        at = self.columns.index("at_us")
+        every = list(times)
+        if held:
+            every.append(min(m[at] for m in held) // 1000)
+        elif self.rules.done(state):
+            every.append(last + KEEP)
+        return min(every, default=None)
+
+    def _pass(self, key: str | None, kept: tuple, now: int) -> tuple[list[tuple], tuple | None]:
+        """What times up to ``now`` put out for a key, and what is kept of it then; None if it is forgotten."""
+        out = []
+        while (time := self._first(kept)) is not None and time <= now:
+            number, held, last, state, times = kept
+            if time in times:
+                out += [(key, *o) for o in self.rules.passed(state, time)]
+                times = [t for t in times if t != time]
+            if held:
+                before = self.rules.timers(state)
+                more, waiting, number, state, newest = self.rules._apply(key, [*map(self.as_move, held)], number, state, now)
+                after = self.rules.timers(state)
+                new = [t for t in after if t not in before]
+                out += more + self.rules._due(key, state, new, now)
+                times = [t for t in times if t in after] + [t for t in new if t > now]
+                kept = (number, [tuple(m) for m in waiting], max(last, newest), state, times)
+            elif self.rules.done(state) and last + KEEP <= now:
+                return out, None
+            else:
+                kept = (number, held, last, state, times)
+        return out, kept
+
+    def __call__(self, bucket: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        # The first time of each key stands beside what is kept of it.
+        keys: dict[str | None, tuple[tuple, int | None]] = pickle.loads(group.get[0]) if group.exists else {}
+        now, out = group.getCurrentWatermarkMs(), []
+        for key, moves in ({} if group.hasTimedOut else self._came(frames)).items():
+            kept = keys[key][0] if key in keys else (self.rules.first_seq, [], 0, None, [])
+            shown, kept = self._step(key, kept, moves, now)
+            out += shown
+            keys[key] = (kept, self._first(kept))
+        for key in [k for k, (_, first) in keys.items() if first is not None and first <= now]:
+            shown, kept = self._pass(key, keys[key][0], now)
+            out += shown
+            if kept is None:
+                del keys[key]
+            else:
+                keys[key] = (kept, self._first(kept))
+        if keys:
+            group.update((pickle.dumps(keys, pickle.HIGHEST_PROTOCOL),))
+            first = min((first for _, first in keys.values() if first is not None), default=None)
+            if first is not None:
+                # A group times out when the watermark is beyond its time; a key is due when it is reached.
+                group.setTimeoutTimestamp(max(first - 1, now, 1))
+        elif group.exists:
+            group.remove()
+        if out:
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(self.rules.out, zip(*out))})
+
+
+def _in_buckets(slim: DataFrame, key: str, rules: InOrder, out: str) -> DataFrame:
+    """The results of the moves ``slim`` of the column ``key``, which have ``at`` as their time."""
+    whole = [c.split()[0] for c in rules.move.split(", ") if c.split()[1] == "bigint"]
+    dealt = slim.withColumns({c: F.coalesce(c, F.lit(_NULL)) for c in whole}).select(
+        F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket"), F.col(key).alias("key"), "at", *_names(rules.move)
+    )
+    return dealt.groupBy("bucket").applyInPandasWithState(Bucketed(rules), out, "keys binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class Deliveries(InOrder):
     """The delivery states of a ledger row. The action ``enqueue`` creates it."""
 
@@ -180,7 +300,7 @@ class Deliveries(InOrder):
                 new = (UPLOADING, state[1] + 1, until, state[3], state[4])
         elif action in RESULTS and state is not None and state[0] == UPLOADING:
             to, needs = RESULTS[action]
-            if move[needs]:
+            if getattr(move, needs):
                 code = move.failure_code if needs == "failure_code" else None
                 new = (to, state[1], None, move.next_attempt_at_us if to == RETRYING else None, code)
         return self._shown(move.seq, action, new is not None, new or state), new or state
@@ -221,7 +341,7 @@ def ledger_stream(moves: DataFrame, delay: str = "10 minutes", first_seq: int =
     move = "seq bigint, action string, failure_code string, acknowledgement string, at_us bigint, lease_until_us bigint, next_attempt_at_us bigint"
     slim = _micros(moves.withWatermark("at", delay), "at", "lease_until", "next_attempt_at")
     slim = slim.select("event_id", "at", *_names(move))
-    return slim.groupBy("event_id").transformWithState(Deliveries(move, LEDGER_OUT, first_seq), StructType.fromDDL(LEDGER_OUT), "append", "EventTime")
+    return _in_buckets(slim, "event_id", Deliveries(move, LEDGER_OUT, first_seq), LEDGER_OUT)
 
 
 class Collectors(InOrder):
@@ -263,7 +383,7 @@ def fleet_stream(events: DataFrame, delay: str = "10 minutes", first_seq: int =
     )
     slim = _micros(events.withWatermark("at", delay), "at").select("collector_id", "at", *_names(move))
     out = FLEET_OUT.replace("last_seen_at timestamp", "last_seen_us bigint")
-    done = slim.groupBy("collector_id").transformWithState(Collectors(move, out, first_seq), StructType.fromDDL(out), "append", "EventTime")
+    done = _in_buckets(slim, "collector_id", Collectors(move, out, first_seq), out)
     return done.withColumn("last_seen_us", F.timestamp_micros("last_seen_us")).withColumnRenamed("last_seen_us", "last_seen_at")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import pickle
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from collections import Counter
 from datetime import datetime, timedelta, timezone
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -364,3 +366,82 @@ def test_a_key_with_moves_that_wait_costs_one_read_and_one_write(spark):
     assert [len(o) for o in out] == [0, 0, 0, 4] and [r.accepted for r in out[3]] == [True, True, True, False]
     # A timer for the first that waits, and another when an earlier one comes; the last one forgets the row.
     assert calls == ["get", "timer", "update", "get", "update", "get", "timer", "update", "get", "timer", "update"]
+
+
+class FakeStore:
+    """The state and the timers of one key a group, fired in the order of their times."""
+
+    def __init__(self, rules):
+        self.rows, self.timers, self.key = {}, set(), None
+        self.rules = rules
+        rules.init(self)
+
+    def getValueState(self, *_):  # noqa: N802
+        clear = lambda: self.rows.pop(self.key, None)
+        return SimpleNamespace(get=lambda: self.rows.get(self.key), update=lambda v: self.rows.__setitem__(self.key, v), clear=clear)
+
+    def registerTimer(self, time):  # noqa: N802
+        self.timers.add((time, self.key))
+
+    def batch(self, moves, now):
+        out, clock = [], SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+        for self.key in dict.fromkeys(k for k, _ in moves):
+            out += self.rules.handleInputRows((self.key,), iter([m for k, m in moves if k == self.key]), clock)
+        while due := [t for t in self.timers if t[0] <= now]:
+            time, self.key = min(due, key=str)
+            out += self.rules.handleExpiredTimer((self.key,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: time))  # noqa: B023
+            self.timers.discard((time, self.key))
+        return Counter(map(tuple, out))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_keys_of_a_bucket_are_told_as_alone(seed):
+    """Random moves, late, lost, repeated and early, of keys that share a bucket and of the same keys by themselves."""
+    rnd = random.Random(seed)
+    columns = "seq bigint, action string, failure_code string, acknowledgement string, at_us bigint, lease_until_us bigint, next_attempt_at_us bigint"
+    Move = Row(*[c.split()[0] for c in columns.split(", ")])  # noqa: N806
+    rules = lambda: lifecycle.Deliveries(columns, lifecycle.LEDGER_OUT, 0)
+    alone, bucket = FakeStore(rules()), lifecycle.Bucketed(rules())
+    group = SimpleNamespace(exists=False, hasTimedOut=False, get=None, setTimeoutTimestamp=lambda t: setattr(group, "time", t))
+    group.update = lambda v: (setattr(group, "exists", True), setattr(group, "get", v))
+    group.remove = lambda: setattr(group, "exists", False)
+    minute, now, told = 60_000_000, 0, 0
+    hours = [0, 1, 2, 3, 30, 31, 60, 61, 90, 200]
+    for hour in hours:
+        moves = []
+        for _ in range(60 if hour < 200 else 0):
+            seq = rnd.randrange(8)
+            at = (hour * 60 + rnd.randrange(1, 90)) * minute
+            action = "enqueue" if seq == 0 else rnd.choice(["lease", "lease", "delivered", "retrying", "dead-lettered", "odd"])
+            until = at + rnd.randrange(90) * minute if action == "lease" and rnd.random() < 0.9 else None
+            moves.append((rnd.choice(["a", "b", "c", None, *"defgh"]), Move(seq, action, rnd.choice(["x", None]), rnd.choice(["ack", "", None]), at, until, rnd.choice([None, at + minute]))))
+        now = max(now, hour * 3_600_000 - 1_800_000)
+        group.getCurrentWatermarkMs = lambda: now  # noqa: B023
+        whole = [c.split()[0] for c in columns.split(", ") if c.endswith("bigint")]
+        frame = pd.DataFrame([(k, *m) for k, m in moves], columns=["key", *Move], dtype=object)
+        frame[whole] = frame[whole].map(lambda x: lifecycle._NULL if x is None else x)
+        group.hasTimedOut, group.time = not moves, None
+        got = Counter(r for out in bucket((1,), iter([frame.iloc[:17], frame.iloc[17:]]), group) for r in out.itertuples(index=False, name=None))
+        want = alone.batch(moves, now)
+        # Alone, a lease that has run out may be told again when what waits is let pass; once is right.
+        again = {r: n for r, n in want.items() if r[2] == "lease-expired"}
+        assert {r: n for r, n in got.items() if r not in again} == {r: n for r, n in want.items() if r not in again}
+        assert all(r in again for r in got if r[2] == "lease-expired") and all(got[r] <= n for r, n in again.items())
+        assert group.time is None or group.time >= max(now, 1)
+        told += sum(got.values())
+    assert told > 300 and not group.exists or set(pickle.loads(group.get[0])) == set(alone.rows)
+
+
+def test_keys_of_a_stream_share_few_state_rows(spark, tmp_path, monkeypatch):
+    """A state row, its messages and an Arrow batch per key cost a hundred times what its moves do."""
+    monkeypatch.setattr(lifecycle, "BUCKETS", 16)
+    place = f"file://{tmp_path}"
+    at = lambda m: f"timestamp'2024-01-01 00:0{m}:00Z'"
+    nothing = "cast(null AS timestamp) AS next_attempt_at, 'x' AS failure_code, 'ack' AS acknowledgement"
+    for seq, action in ((2, "delivered"), (1, "lease"), (0, "enqueue")):
+        lease = "timestamp'2024-01-01 01:00:00Z'" if seq == 1 else "cast(null AS timestamp)"
+        spark.range(3000).selectExpr("IF(id = 7, NULL, concat('e', id)) AS event_id", f"{seq}L AS seq", f"'{action}' AS action", f"{at(seq)} AS at", f"{lease} AS lease_until", nothing.split(", ")[0], *nothing.split(", ")[1:]).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    query = run_stream(spark, lambda df: lifecycle.ledger_stream(df, "1 hour"), place, spark.createDataFrame([], MOVE).schema)
+    got = spark.read.parquet(f"{place}/out").groupBy("seq", "accepted", "state", "attempts").agg(F.count_distinct(F.coalesce("event_id", F.lit("-"))).alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(0, True, 0, 0, 3000), (1, True, 1, 1, 3000), (2, True, 3, 1, 3000)]
+    assert max(s.numRowsTotal for p in query.recentProgress for s in p.stateOperators) <= 16
