@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from telemill.operators import detect, envelope
 from telemill.plans import event_queries, state_queries
-from telemill.plans.inputs import NOW, candidates, table
+from telemill.plans.inputs import NOW, candidates, spread, table
 from telemill.session import configure, shared_dir
 from telemill.sources import polling
 from telemill.streaming import ingest as streaming
@@ -142,9 +142,9 @@ def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     the watermark pass the rest.
     """
     place = _place(spark, "disorder")
-    moves = state_queries.ledger_of(spark, sf_dir).selectExpr("event_id", "o_orderkey", DISORDER).where("NOT (seq = 1 AND o_orderkey % 10 = 0)").drop("o_orderkey")
+    moves = spread(state_queries.ledger_of(spark, sf_dir).select("event_id", "o_orderkey")).selectExpr("event_id", "o_orderkey", DISORDER).where("NOT (seq = 1 AND o_orderkey % 10 = 0)").drop("o_orderkey")
     for seq in (4, 2, 3, 0, 1):
-        moves.where(F.col("seq") == seq).coalesce(2).write.mode("append").parquet(f"{place}/in")
+        moves.where(F.col("seq") == seq).repartition(2).write.mode("append").parquet(f"{place}/in")
 
     def run() -> DataFrame:
         arriving = spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
