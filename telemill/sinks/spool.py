@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
@@ -146,18 +149,31 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+def _names(system: fs.FileSystem, folder: str) -> Iterator[str]:
+    """The names in a folder, one after the other where the file system can tell them so."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            yield from (e.name for e in entries)
+    else:
+        yield from (f.base_name for f in system.get_file_info(fs.FileSelector(folder)))
+
+
 @dataclass
 class SpoolFiles(WriterCommitMessage):
-    """The files of a task: temporary name, name, rows and bytes."""
+    """The folder that holds the files of a task, under their names, or none if it had no rows.
+
+    The driver holds the messages of all tasks at a time, so they do not name the files.
+    """
 
-    files: list[tuple[str, str, int, int]] = field(default_factory=list)
+    folder: str | None
 
 
 class SpoolWriter(DataSourceWriter):
-    """Writes each file under a temporary name, and moves the files of all tasks to their names at the commit.
+    """Writes the files of each task into a temporary folder of its own, and moves those of all tasks at the commit.
 
     Names follow from the delivery, the batch and the file, so a delivery that is run again replaces its files and
-    adds none. What a lost task has written is never moved, and goes with the delivery's temporary folder.
+    adds none. What a lost task has written is never moved, and goes with the delivery's temporary folder. The commit
+    holds the names of one task's files at a time.
     """
 
     def __init__(self, path: str, delivery: str):
@@ -165,32 +181,33 @@ class SpoolWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> SpoolFiles:
         system, root = _place(self.path)
-        active = f"{root}/active/{self.delivery}"
-        system.create_dir(active, recursive=True)
-        files, current, out = [], None, None
+        folder, current, out = None, None, None
         try:
             for row in iterator:
                 name = f"{row.stem}-{self.delivery}-{row.batch_no:010d}-{row.file_no:06d}"
+                if folder is None:
+                    folder = uuid4().hex
+                    system.create_dir(f"{root}/active/{self.delivery}/{folder}", recursive=True)
                 if name != current:
                     if out is not None:
                         out.close()
                     current = name
-                    files.append([f"{active}/{name}.{uuid4().hex}.tmp", f"{root}/ready/{name}.jsonl", 0, 0])
-                    out = system.open_output_stream(files[-1][0])
-                data = (row.value or "").encode() + b"\n"
-                out.write(data)
-                files[-1][2] += 1
-                files[-1][3] += len(data)
+                    out = system.open_output_stream(f"{root}/active/{self.delivery}/{folder}/{name}.jsonl")
+                out.write((row.value or "").encode() + b"\n")
         finally:
             if out is not None:
                 out.close()
-        return SpoolFiles([tuple(f) for f in files])
+        return SpoolFiles(folder)
 
     def commit(self, messages: list[SpoolFiles | None]) -> None:
         system, root = _place(self.path)
         system.create_dir(f"{root}/ready", recursive=True)
         for message in messages:
-            for temporary, ready, _, _ in message.files if message else ():
+            if message is None or message.folder is None:
+                continue
+            folder = f"{root}/active/{self.delivery}/{message.folder}"
+            for name in sorted(_names(system, folder)):
+                temporary, ready = f"{folder}/{name}", f"{root}/ready/{name}"
                 try:
                     system.move(temporary, ready)
                 except OSError:
@@ -210,9 +227,17 @@ class SpoolWriter(DataSourceWriter):
 
 @dataclass
 class SpoolNames(InputPartition):
-    """The names of the files that one task reads."""
+    """The names of the files that one task reads, compressed: they share most of their letters."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, names: list[str]) -> SpoolNames:
+        return cls(zlib.compress("\n".join(names).encode()))
 
-    names: list[str]
+    @property
+    def names(self) -> list[str]:
+        return zlib.decompress(self.packed).decode().split("\n") if self.packed else []
 
 
 class SpoolReader(DataSourceReader):
@@ -223,9 +248,9 @@ class SpoolReader(DataSourceReader):
 
     def partitions(self) -> list[SpoolNames]:
         system, root = _place(self.path)
-        found = system.get_file_info(fs.FileSelector(f"{root}/ready", allow_not_found=True))
-        names = sorted(f.base_name for f in found if f.base_name.endswith(".jsonl"))
-        return [SpoolNames(names[i : i + FILES_A_TASK]) for i in range(0, max(1, len(names)), FILES_A_TASK)]
+        there = system.get_file_info(f"{root}/ready").type == fs.FileType.Directory
+        found = (n for n in (_names(system, f"{root}/ready") if there else ()) if n.endswith(".jsonl"))
+        return [SpoolNames.of(sorted(names)) for names in iter(lambda: list(islice(found, FILES_A_TASK)), [])] or [SpoolNames(b"")]
 
     def read(self, partition: SpoolNames) -> Iterator[pa.RecordBatch]:
         system, root = _place(self.path)

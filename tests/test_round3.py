@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import json
+import pickle
 import random
 import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from telemill.functions import sqltext
@@ -165,3 +167,22 @@ def test_small_files_are_read_many_a_task(spark, tmp_path):
     lines = [(f.name.removesuffix(".jsonl"), x) for f in files for x in f.read_text().split("\n")[:-1]]
     assert sorted(map(tuple, read.collect())) == sorted(lines) and len(lines) == 300
     assert spool.read_delivered(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_delivery_of_many_files_is_few_bytes_to_the_driver(tmp_path):
+    """The driver holds what all tasks tell at a time: no name of a file, and names to read in few bytes each."""
+    writer = spool.SpoolWriter(str(tmp_path), "d")
+    rows = lambda low, high: iter([Row(stem="c1-main", batch_no=i // 50, file_no=i % 50, value=f"v{i}") for i in range(low, high)])
+    messages = [writer.write(rows(0, 5000)), writer.write(iter([])), writer.write(rows(5000, 6000)), None]
+    writer.write(rows(6000, 6010))
+    assert all(len(pickle.dumps(m)) < 500 for m in messages)
+    writer.commit(messages)
+    # Run again, it replaces its files; what a lost task has written is gone.
+    writer.commit([writer.write(rows(0, 100))])
+    assert len(list((tmp_path / "ready").iterdir())) == 6000 and not list((tmp_path / "active").iterdir())
+    reader = spool.SpoolReader(str(tmp_path))
+    parts = reader.partitions()
+    assert len(parts) == 3 and sum(len(pickle.dumps(p)) for p in parts) < 12 * 6000
+    got = [r for p in parts for b in reader.read(pickle.loads(pickle.dumps(p))) for r in zip(b["file"].to_pylist(), b["value"].to_pylist())]
+    assert sorted(got) == sorted((f"c1-main-d-{i // 50:010d}-{i % 50:06d}", f"v{i}") for i in range(6000))
+    assert [list(spool.SpoolReader(str(tmp_path / "none")).read(p)) for p in spool.SpoolReader(str(tmp_path / "none")).partitions()] == [[]]
