@@ -30,10 +30,12 @@ def _place(spark: SparkSession, name: str) -> str:
 
 
 def _as_stream(df: DataFrame, place: str, files_per_trigger: int = 4) -> DataFrame:
-    """The rows as a file stream with several micro-batches."""
+    """The rows as a file stream with several micro-batches: as many as eight files would give, dealt over all cores."""
     spark = df.sparkSession
-    df.repartition(8).write.parquet(f"{place}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{place}/in")
+    # A file is one task to the stream, whose expressions are wide: more cores than files would wait.
+    times = -(-spark.sparkContext.defaultParallelism // files_per_trigger)
+    df.repartition(8 * times).write.parquet(f"{place}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger * times).parquet(f"{place}/in")
 
 
 def _run(result: DataFrame, place: str, mode: str = "append") -> DataFrame:
