@@ -128,6 +128,7 @@ class Gates:
             for order, portable, words, shape, pattern in active
             if portable
         ]
+        self.words = sorted({w for _, words, _, _ in self.tests for w in words})
 
     @classmethod
     def of(cls, active: Sequence[tuple[int, Detector]]) -> Gates:
@@ -139,23 +140,28 @@ class Gates:
         found = [list(self.always) for _ in texts]
         joined = "\n".join(texts)
         lowered = joined.lower()
+        # Most detectors fall out here: each word is looked for once in all texts of a document.
+        there = {w for w in self.words if w in lowered}
+        lower: list[str] = []
         hits: dict = {}
         for order, words, shape, pattern in self.tests:
-            if words and not any(w in lowered for w in words):
+            if words and there.isdisjoint(words):
                 continue
+            places = range(len(texts))
             if shape is not None:
                 # Java's blanks are those of ASCII, so a shape in a text is one in the joined texts, too.
                 if shape not in hits:
-                    hits[shape] = shape.search(joined) is not None and [shape.search(t) is not None for t in texts]
+                    hits[shape] = shape.search(joined) is not None and [i for i in places if shape.search(texts[i]) is not None]
                 if not hits[shape]:
                     continue
-            for i, text in enumerate(texts):
-                if shape is not None and not hits[shape][i]:
-                    continue
-                if words and not any(w in text.lower() for w in words):
-                    continue
+                places = hits[shape]
+            if words:
+                lower = lower or [t.lower() for t in texts]
+                some = [w for w in words if w in there]
+                places = [i for i in places if any(w in lower[i] for w in some)]
+            for i in places:
                 # Word borders of other scripts may differ.
-                if pattern is None or not text.isascii() or pattern.search(text):
+                if pattern is None or not texts[i].isascii() or pattern.search(texts[i]):
                     found[i].append(order)
         return found
 

@@ -196,3 +196,24 @@ def test_event_ids_that_pass_for_tax_file_numbers(spark, tmp_path):
     got = [r.event_id for r in extension_queries.long_event_ids(spark, str(tmp_path)).collect()]
     # All have a secret's field; those numbers alone would be worth an alert, too.
     assert sorted(got) == sorted(ids)
+
+
+def test_a_stream_has_a_file_for_every_core(spark, tmp_path):
+    """A file is a task of the stream; eight of them kept no more than eight cores at work, however many there are."""
+    cores, rows = spark.sparkContext.defaultParallelism, spark.range(500).selectExpr("id")
+    for most, batches in ((4, 2), (8, 1), (2, 4)):
+        place = f"{tmp_path}/{most}"
+        arriving = stream_queries._as_stream(rows, place, most)
+        assert len(list((tmp_path / str(most) / "in").glob("*.parquet"))) >= cores * 8 // most
+        done = arriving.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        done.awaitTermination()
+        assert [p.numInputRows > 0 for p in done.recentProgress].count(True) == batches
+        assert sorted(r.id for r in spark.read.parquet(f"{place}/out").collect()) == list(range(500))
+
+
+def test_a_word_is_looked_for_once_in_a_document():
+    """Each detector looked for its own words, most of which are nowhere."""
+    gates = jsonwalk.Gates([(i, True, (f"w{i}", "both"), None, None) for i in range(40)] + [(40, True, (), "[0-9]", None), (41, False, (), None, None)])
+    assert gates.words == sorted({"both", *(f"w{i}" for i in range(40))})
+    assert gates.asked(["a W7.", "b", "é"]) == [[41, 7, 40], [41], [41]]
+    assert gates.asked(["Both x", ""]) == [[41, *range(40)], [41]] and gates.asked([]) == []
