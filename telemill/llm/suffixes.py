@@ -22,7 +22,7 @@ PIECE = 32
 #: Bytes of text one suffix array is built on, about.
 ARRAY_BYTES = 1 << 19
 #: Bytes of text that are hashed at a time; a place takes some 60 bytes of memory.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 #: Groups of more texts are dealt further, by the ends of their strings.
 GROUP_UNITS = 4096
 #: Strings of crowded groups that one step of a task holds, to send equal ones once.
@@ -37,17 +37,27 @@ _LOW24 = np.uint64((1 << 24) - 1)
 
 def _names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     """The rank of each tuple among the distinct tuples, from 1, and their number."""
-    ranks, count = keys[0].astype(np.int64), 0
+    ranks = keys[0].astype(np.int64)
     for key in keys[1:]:
-        ranks = ranks * (int(key.max(initial=0)) + 1) + key
-        _, ranks = np.unique(ranks, return_inverse=True)
-    if len(keys) == 1:
-        _, ranks = np.unique(ranks, return_inverse=True)
+        letters = int(key.max(initial=0)) + 1
+        if (int(ranks.max(initial=0)) + 1) * letters >= 1 << 62:
+            # Ranks instead, so that a key stays below 64 bits.
+            _, ranks = np.unique(ranks, return_inverse=True)
+        ranks = ranks * letters + key
+    _, ranks = np.unique(ranks, return_inverse=True)
     ranks = ranks.astype(np.int64) + 1
     count = int(ranks.max(initial=0))
     return ranks, count
 
 
+def _order(ranks: np.ndarray, top: int) -> np.ndarray:
+    """The places of whole numbers from 0 to ``top`` in their order; they are only sorted if one comes twice."""
+    places = np.full(top + 1, -1, np.int64)
+    places[ranks] = np.arange(len(ranks))
+    order = places[places >= 0]
+    return order if len(order) == len(ranks) else np.argsort(ranks, kind="stable")
+
+
 def suffix_ranks(s: np.ndarray, depth: int, reach: int = 1) -> np.ndarray:
     """Ranks of all suffixes of a sequence of positive numbers by their first ``depth`` letters or more.
 
@@ -88,7 +98,7 @@ def suffix_ranks(s: np.ndarray, depth: int, reach: int = 1) -> np.ndarray:
     place = np.empty(n, np.int64)
     sorted_rest = rest[own]
     place[sorted_rest] = np.arange(len(rest)) + np.searchsorted(s_one, k_rest[own]) + np.searchsorted(s_two, by_two(sorted_rest))
-    order12 = np.argsort(rank[sample], kind="stable")
+    order12 = _order(names, top - 1)
     p12 = sample[order12]
     p12 = p12[p12 < n]
     before = np.empty(len(p12), np.int64)
@@ -112,15 +122,24 @@ def later_windows(texts: list[bytes], counts: np.ndarray, ids: np.ndarray, start
     owner = np.repeat(np.arange(len(texts)), counts)
     offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     place = at[owner] + offset
-    order = np.argsort(ranks[place], kind="stable")
+    order = _order(ranks[place], int(ranks.max(initial=0)))
     owner, offset, place = owner[order], offset[order], place[order]
     same = np.ones(max(0, len(place) - 1), bool)
-    for k in range(length):
-        letters = data[place + k]
-        same &= letters[1:] == letters[:-1]
+    # Eight letters at a time; the last eight may overlap those before.
+    wide = min(8, length)
+    words = np.lib.stride_tricks.sliding_window_view(data, wide)
+    letters = np.zeros((len(words), 8), np.uint8)
+    letters[:, :wide] = words
+    letters = letters.view(np.uint64).ravel()
+    for k in sorted({*range(0, length - wide + 1, wide), length - wide}):
+        some = letters[place + k]
+        same &= some[1:] == some[:-1]
+    # Only strings with an equal neighbour are sorted by where they stand.
     run = np.concatenate([[0], np.cumsum(~same)]) if len(place) else np.zeros(0, np.int64)
+    shared = np.r_[False, same] | np.r_[same, False] if len(place) else np.zeros(0, bool)
+    owner, offset, run = owner[shared], offset[shared], run[shared]
     sort = np.lexsort((starts[owner] + offset, ids[owner], run))
-    later = np.concatenate([[False], np.diff(run[sort]) == 0]) if len(place) else np.zeros(0, bool)
+    later = np.concatenate([[False], np.diff(run[sort]) == 0]) if len(run) else np.zeros(0, bool)
     return owner[sort][later], offset[sort][later]
 
 

@@ -325,3 +325,24 @@ def test_vectors_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted((r.id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
     assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1), (5, 0, 5)]
+
+
+def test_an_array_is_sorted_no_more_than_it_must(monkeypatch):
+    """Distinct ranks are put in place, a name is sorted for once a level, and eight letters are compared at a time."""
+    rnd = random.Random(8)
+    shared = [bytes(rnd.choice(b"abcdefgh ") for _ in range(160)) for _ in range(12)]
+    texts = [bytes(rnd.choice(b"xyz") for _ in range(rnd.randrange(40))) + rnd.choice(shared)[: rnd.randrange(100, 161)] for _ in range(60)] + [b"a" * 300]
+    sorts, plain = [], np.unique
+    monkeypatch.setattr(suffixes.np, "unique", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    for length in (100, 9, 8, 3):
+        counts = np.array([max(0, len(t) - length + 1) for t in texts])
+        ids, starts = np.arange(len(texts)) // 2, np.arange(len(texts)) % 2 * 1000
+        sorts.clear()
+        owner, offset = suffixes.later_windows(texts, counts, ids, starts, length)
+        assert len(sorts) <= 1 + math.ceil(math.log(length, 3))
+        places: dict[bytes, list] = {}
+        for t, (text, n) in enumerate(zip(texts, counts.tolist())):
+            for i in range(n):
+                places.setdefault(text[i : i + length], []).append((int(ids[t]), int(starts[t]) + i, t, i))
+        want = {p[2:] for found in places.values() for p in sorted(found)[1:]}
+        assert set(zip(owner.tolist(), offset.tolist())) == want and len(owner) == len(want) > 500
